@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from exceedra.llm import quality
+from exceedra.llm import quality, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_quality": quality.op1_host_quality,
+    "op9_token_counts": tokencount.op9_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
