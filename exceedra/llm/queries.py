@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from exceedra.llm import quality, tokencount
+from exceedra.llm import quality, tokencount, tokenids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_quality": quality.op1_host_quality,
+    "op4_packed_ids": tokenids.op4_packed_ids,
     "op9_token_counts": tokencount.op9_token_counts,
 }
 
