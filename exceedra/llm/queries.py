@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from exceedra.llm import quality, tokencount, tokenids
+from exceedra.llm import mixing, quality, sharding, tokencount, tokenids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_quality": quality.op1_host_quality,
     "op4_packed_ids": tokenids.op4_packed_ids,
+    "op5_curriculum_mix": mixing.op5_curriculum_mix,
+    "op7_histogram_shards": sharding.op7_histogram_shards,
     "op9_token_counts": tokencount.op9_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_host_quality": quality.SQL,
+    "op5_curriculum_mix": mixing.SQL,
 }
