@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from exceedra.llm import mixing, quality, sharding, tokencount, tokenids
+from exceedra.llm import mixing, ngramjoin, quality, sharding, tokencount, tokenids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_quality": quality.op1_host_quality,
+    "op2_ngram_jaccard": ngramjoin.op2_ngram_jaccard,
     "op4_packed_ids": tokenids.op4_packed_ids,
     "op5_curriculum_mix": mixing.op5_curriculum_mix,
     "op7_histogram_shards": sharding.op7_histogram_shards,
@@ -18,5 +19,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_host_quality": quality.SQL,
+    "op2_ngram_jaccard": ngramjoin.SQL,
     "op5_curriculum_mix": mixing.SQL,
 }
