@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from exceedra.llm import mixing, ngramjoin, quality, sharding, tokencount, tokenids
+from exceedra.llm import decontaminate, mixing, ngramjoin, quality, sharding, tokencount, tokenids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_quality": quality.op1_host_quality,
     "op2_ngram_jaccard": ngramjoin.op2_ngram_jaccard,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_packed_ids": tokenids.op4_packed_ids,
     "op5_curriculum_mix": mixing.op5_curriculum_mix,
     "op7_histogram_shards": sharding.op7_histogram_shards,
