@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from exceedra.llm import decontaminate, mixing, ngramjoin, quality, sharding, tokencount, tokenids
+from exceedra.llm import decontaminate, mixing, ngramjoin, quality, sharding, suffixdedup, tokencount, tokenids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_quality": quality.op1_host_quality,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packed_ids": tokenids.op4_packed_ids,
     "op5_curriculum_mix": mixing.op5_curriculum_mix,
     "op7_histogram_shards": sharding.op7_histogram_shards,
+    "op8_suffix_dedup": suffixdedup.op8_suffix_dedup,
     "op9_token_counts": tokencount.op9_token_counts,
 }
 
