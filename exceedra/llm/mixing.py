@@ -138,8 +138,9 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     rows = materialize(first_position(placed_documents(docs)))
-    out = rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "position")
-    return out.repartitionByRange(shuffle_partitions(spark), F.col("position").asc_nulls_last()).sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
+    out = rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "position", "key")
+    order = [F.col("position").asc_nulls_last(), F.col("key")]  # documents not taken have no position; the key deals them out
+    return out.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).drop("key")
 
 
 SQL = r"""
