@@ -6,6 +6,7 @@ executor can read, so a lost executor never costs more than the tasks it ran.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -60,6 +61,12 @@ def free(df: DataFrame) -> None:
         hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files of finished steps now and not at some later collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from exceedra.llm import decontaminate, mixing, ngramjoin, quality, sharding, suffixdedup, tokencount, tokenids
+from exceedra.llm import decontaminate, linededup, mixing, ngramjoin, quality, sharding, suffixdedup, tokencount, tokenids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_quality": quality.op1_host_quality,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_histogram_shards": sharding.op7_histogram_shards,
     "op8_suffix_dedup": suffixdedup.op8_suffix_dedup,
     "op9_token_counts": tokencount.op9_token_counts,
+    "op10_fuzzy_lines": linededup.op10_fuzzy_lines,
 }
 
 ORACLE_SQL: dict[str, str] = {

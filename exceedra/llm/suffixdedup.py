@@ -27,7 +27,6 @@ id neither loses nor lends; an empty table gives no rows; other columns are not
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -36,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exceedra.llm.common import arrow_map, chunks, materialize, mix64, no_clash, read_table, shuffle_partitions, text_buffer
+from exceedra.llm.common import arrow_map, chunks, materialize, mix64, no_clash, read_table, shuffle_partitions, text_buffer, tidy
 
 WINDOW = 50
 GRAM = 16
@@ -393,12 +392,6 @@ def cut(docs: DataFrame, spans: DataFrame, keep_bytes: bool = False) -> DataFram
     return arrow_map(met, run, schema)
 
 
-def tidy(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files of finished steps now and not at some later collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """Spans of windows to remove from ``docs (doc_id, th, text)``."""
     spark = docs.sparkSession
