@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from exceedra.llm import decontaminate, linededup, mixing, ngramjoin, quality, sharding, suffixdedup, tokencount, tokenids
+from exceedra.llm import decontaminate, linededup, mixing, ngramjoin, quality, sharding, suffixdedup, tokencount, tokenids, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_quality": quality.op1_host_quality,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_packed_ids": tokenids.op4_packed_ids,
     "op5_curriculum_mix": mixing.op5_curriculum_mix,
+    "op6_toxic_lexicon": toxicity.op6_toxic_lexicon,
     "op7_histogram_shards": sharding.op7_histogram_shards,
     "op8_suffix_dedup": suffixdedup.op8_suffix_dedup,
     "op9_token_counts": tokencount.op9_token_counts,
