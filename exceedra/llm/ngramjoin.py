@@ -13,9 +13,10 @@ copies cost one entry.  Links are found in two passes:
    own.  Members that the quick pass already tied are not paired again, nor is a pair whose
    previous shingles agree, as that shingle's tile has it.
 
-Each pair is then bounded by bitmaps: every shingle flips one of 1024 bits, and the number of
-bits in which two bitmaps differ is a lower bound of the difference of the sets, hence an
-upper bound of the overlap.  Pairs that pass are counted on the sorted arrays.  Components
+Each pair is then bounded by bitmaps: every shingle flips one bit of about as many as the set
+has shingles, and the number of bits in which two bitmaps differ (the longer one folded to
+the other's length) is a lower bound of the difference of the sets, hence an upper bound of
+the overlap.  Pairs that pass are counted on the sorted arrays.  Components
 of the links give each document the smallest reachable id.
 
 Defined cases: a text without words, or null, has size 0, links with nothing and is its own
@@ -30,18 +31,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exceedra.llm.common import arrow_map, chunks, connected_components, materialize, mix64, no_clash, read_table, shingle_sets, shuffle_partitions, span_hashes, text_buffer, word_spans
+from exceedra.llm.common import arrow_map, chunks, connected_components, materialize, mix64, no_clash, read_table, shingle_sets, shuffle_partitions, span_hashes, text_buffer, tidy, word_spans
 
 WORDS = 5
 LEAD = 4
-SIGNATURE_BITS = 1024
 COUNT_TOKENS = 4_000_000  # shingles counted at once when frequent ones are looked for
 LOCAL_COUNT = 4
-FREQUENT = 64  # and at least one document in FREQUENT_SHARE
-FREQUENT_SHARE = 2000
+FREQUENT = 32  # documents
 MAX_FREQUENT = 2_000_000  # shingles broadcast; beyond it the rarer of them keep their places in the order
 MAX_BROADCAST_ROWS = 2_000_000
 BUCKET_POSTINGS = 500_000
@@ -60,10 +60,22 @@ def fingerprint(shingles: np.ndarray) -> int:
 
 
 def signature(shingles: np.ndarray) -> bytes:
-    flips = np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (SIGNATURE_BITS - 1), minlength=SIGNATURE_BITS) & 1
+    """Parities of the shingles over a power of two of bits near their number, at least 64."""
+    bits = max(64, 1 << round(float(np.log2(len(shingles)))))
+    flips = np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8)).tobytes()
 
 
+def least_difference(x: bytes, y: bytes) -> int:
+    """Bits in which two signatures differ, the longer folded onto the shorter."""
+    if len(x) < len(y):
+        x, y = y, x
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if len(a) > len(b):
+        a = np.bitwise_xor.reduce(a.reshape(-1, len(b)), 0)
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _frequent_here(sets: list[np.ndarray]) -> tuple[bytes, bytes]:
     v, c = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     keep = c >= LOCAL_COUNT
@@ -114,11 +126,11 @@ def describe(docs: DataFrame) -> DataFrame:
     return arrow_map(docs, run, "doc_id long, n int, fp long, lead array<long>, sig binary, often binary, times binary")
 
 
-def frequent_shingles(meta: DataFrame, n_docs: int) -> np.ndarray:
-    """Shingles in many documents, the most frequent last.
+def frequent_shingles(meta: DataFrame) -> np.ndarray:
+    """Shingles in many documents, the most frequent last, at most ``MAX_FREQUENT``.
 
-    Every batch reports what it saw four times; a shingle of one in 2000 documents is among
-    them.  Shingles times documents bound how many there are, whatever the corpus.
+    Every batch of documents reports what it saw four times.  Which shingles are known here
+    sets the order and so the size of tiles, never the pairs that link.
     """
 
     def spread(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -126,7 +138,7 @@ def frequent_shingles(meta: DataFrame, n_docs: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(often, np.int64)), pa.array(np.frombuffer(times, np.int64))], ["s", "c"])
 
     rows = arrow_map(meta.filter("often is not null").select("often", "times"), spread, "s long, c long")
-    often = rows.groupBy("s").agg(F.sum("c").alias("c")).filter(F.col("c") >= max(FREQUENT, n_docs // FREQUENT_SHARE))
+    often = rows.groupBy("s").agg(F.sum("c").alias("c")).filter(F.col("c") >= FREQUENT)
     got = often.orderBy(F.desc("c"), "s").limit(MAX_FREQUENT).toArrow()
     return got.column("s").to_numpy().view(np.uint64)[::-1].copy()
 
@@ -265,8 +277,16 @@ def bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     two = nodes.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in (3, 5))
-        differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+        one, two = batch.column(3), batch.column(5)
+        wide = np.asarray(pa.compute.binary_length(one))
+        same = wide == np.asarray(pa.compute.binary_length(two))
+        differ = np.zeros(batch.num_rows, np.int64)
+        for w in np.unique(wide[same]).tolist():
+            at = np.flatnonzero(same & (wide == w))
+            x, y = (np.frombuffer(b"".join(c.take(pa.array(at)).to_pylist()), np.uint64).reshape(len(at), -1) for c in (one, two))
+            differ[at] = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+        for i in np.flatnonzero(~same).tolist():
+            differ[i] = least_difference(one[i].as_py(), two[i].as_py())
         size = batch.column(2).to_numpy().astype(np.int64) + batch.column(4).to_numpy()
         keep = pa.array(9 * differ <= size)
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
@@ -278,6 +298,7 @@ def bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs that link, counted on the sorted arrays of both."""
     pairs = materialize(bounded(pairs, nodes))
+    tidy(docs.sparkSession)
     ids = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
     needed = materialize(nodes.join(ids, "fp", "left_semi").select("doc_id", "fp"))
     few = needed.count() <= MAX_BROADCAST_ROWS
@@ -318,17 +339,18 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     own = meta.filter("n is not null").select("doc_id", "n", "fp", "lead", "sig")
     first = own.filter("n > 0").groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "n", "lead", "sig")).alias("r"))
     nodes = materialize(first.select("fp", "r.doc_id", "r.n", "r.lead", "r.sig"))
-    n_nodes, shingles = nodes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    shingles = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     known = nodes.filter("doc_id is not null")
     links = verified(quick_pairs(known), known, docs)
     labels = materialize(connected_components(links).withColumnRenamed("node", "fp"))
     by_doc = materialize(own.select("doc_id", "fp").join(labels, "fp"))
+    tidy(spark)
 
     buckets = max(shuffle_partitions(spark), -(-int(shingles) // (5 * BUCKET_POSTINGS)))
-    packed = prefixes(docs, by_doc, frequent_shingles(meta, n_nodes), buckets)
-    tiles = packed.groupBy("bucket").applyInArrow(tile_pairs, "a long, b long")
-    tiles = materialize(tiles)
+    packed = prefixes(docs, by_doc, frequent_shingles(meta), buckets)
+    tiles = materialize(packed.groupBy("bucket").applyInArrow(tile_pairs, "a long, b long"))
+    tidy(spark)
     more = verified(tiles.distinct(), known, docs)
     star = labels.filter("fp <> component").select(F.col("fp").alias("a"), F.col("component").alias("b"))
     whole = materialize(connected_components(star.unionByName(more)).withColumnRenamed("node", "fp"))
