@@ -11,7 +11,7 @@ from exceedra.functions.columns import PERIODS, area_cartesian, primary
 from exceedra.operators import analysis, daily, decadal, periods, prepare, regions
 from exceedra.sources import tables
 
-TIE = 1.23e-10
+TIE = 1.23e-9
 REF, CC = ("1995-06-01", "1998-05-01"), ("1998-06-01", "2001-05-01")
 QUANTILE, REF_DAYS = 0.9, ("1995-01-01", "1998-12-31")
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,14 +28,14 @@ def register(name: str, sql: str | None = None):
     return add
 
 
-def r8(df: DataFrame) -> DataFrame:
-    """Doubles to 8 decimals, -0 as 0: coarser than summation noise, with exact decimal ties moved off the middle."""
-    return df.select(*[(F.round(F.col(c) + TIE, 8) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+def r6(df: DataFrame) -> DataFrame:
+    """Doubles to 6 decimals, -0 as 0: coarser than summation noise, with exact decimal ties moved off the middle."""
+    return df.select(*[(F.round(F.col(c) + TIE, 6) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def sql8(cols: str, source: str, plain: str = "") -> str:
+def sql6(cols: str, source: str, plain: str = "") -> str:
     """Select with the same rounding."""
-    parts = [f"round({c.strip()} + {TIE}::DOUBLE, 8) + 0.0::DOUBLE AS {c.strip()}" for c in cols.split(",") if c.strip()]
+    parts = [f"round({c.strip()} + {TIE}::DOUBLE, 6) + 0.0::DOUBLE AS {c.strip()}" for c in cols.split(",") if c.strip()]
     return "SELECT " + ", ".join([*(p.strip() for p in plain.split(",") if p.strip()), *parts]) + f" FROM {source}"
 
 
@@ -151,50 +151,50 @@ def ctp(s: SparkSession, d: str, period: str = "monthly") -> DataFrame:
     return periods.region_periods(region(s, d), period)
 
 
-@register("area_grid", f"WITH {CELL} " + sql8("y, x, mask_frac, area", "cell", "cell_id"))
+@register("area_grid", f"WITH {CELL} " + sql6("y, x, mask_frac, area", "cell", "cell_id"))
 def _(s, d):
-    return r8(tables.cells(s, d).select("cell_id", "y", "x", "mask_frac", "area"))
+    return r6(tables.cells(s, d).select("cell_id", "y", "x", "mask_frac", "area"))
 
 
-@register("area_cartesian", f"WITH {CELL} SELECT cell_id, round(mask_frac * 0.25 + 1.23e-10::DOUBLE, 8) AS area FROM cell")
+@register("area_cartesian", f"WITH {CELL} SELECT cell_id, round(mask_frac * 0.25 + 1.23e-9::DOUBLE, 6) AS area FROM cell")
 def _(s, d):
-    return r8(tables.cells(s, d).select("cell_id", (F.lit(area_cartesian(5000.0, 5000.0)) * F.col("mask_frac")).alias("area")))
+    return r6(tables.cells(s, d).select("cell_id", (F.lit(area_cartesian(5000.0, 5000.0)) * F.col("mask_frac")).alias("area")))
 
 
-@register("gr_size", f"WITH {CELL}, {DAILY}, {THR}, g AS (SELECT gr_id, sum(area) AS gr_size, sum(thr * area) / sum(area) AS threshold_avg_gr FROM cell JOIN thr USING (cell_id) GROUP BY gr_id) " + sql8("gr_size, threshold_avg_gr", "g", "gr_id"))
+@register("gr_size", f"WITH {CELL}, {DAILY}, {THR}, g AS (SELECT gr_id, sum(area) AS gr_size, sum(thr * area) / sum(area) AS threshold_avg_gr FROM cell JOIN thr USING (cell_id) GROUP BY gr_id) " + sql6("gr_size, threshold_avg_gr", "g", "gr_id"))
 def _(s, d):
-    return r8(daily.region_sizes(grid(s, d)))
+    return r6(daily.region_sizes(grid(s, d)))
 
 
-@register("dbv_cell", f"WITH {DBV} " + sql8("dtem, dtea", "dbv", "cell_id, d, dtec, dteec"))
+@register("dbv_cell", f"WITH {DBV} " + sql6("dtem, dtea", "dbv", "cell_id, d, dtec, dteec"))
 def _(s, d):
-    return r8(dbv(s, d).select("cell_id", "d", "dtec", "dteec", "dtem", "dtea"))
+    return r6(dbv(s, d).select("cell_id", "d", "dtec", "dteec", "dtem", "dtea"))
 
 
-@register("low_extreme", "WITH " + ",\n".join([CELL, DAILY, THR, SPINE, sql_exceed(True)]) + " " + sql8("dtem, dtea", "dbv0", "cell_id, d, dtec"))
+@register("low_extreme", "WITH " + ",\n".join([CELL, DAILY, THR, SPINE, sql_exceed(True)]) + " " + sql6("dtem, dtea", "dbv0", "cell_id, d, dtec"))
 def _(s, d):
-    return r8(dbv_plain(s, d, True).select("cell_id", "d", "dtec", "dtem", "dtea"))
+    return r6(dbv_plain(s, d, True).select("cell_id", "d", "dtec", "dtem", "dtea"))
 
 
-@register("primary_threshold", "WITH " + ",\n".join([CELL, DAILY, THR, SPINE]) + ", z AS (SELECT cell_id, d, CASE WHEN v IS NULL THEN NULL WHEN v >= 30 THEN v ELSE thr END AS v FROM field JOIN thr USING (cell_id)) " + sql8("v", "z", "cell_id, d"))
+@register("primary_threshold", "WITH " + ",\n".join([CELL, DAILY, THR, SPINE]) + ", z AS (SELECT cell_id, d, CASE WHEN v IS NULL THEN NULL WHEN v >= 30 THEN v ELSE thr END AS v FROM field JOIN thr USING (cell_id)) " + sql6("v", "z", "cell_id, d"))
 def _(s, d):
     x = spine(s, d).join(grid(s, d).select("cell_id", "thr"), "cell_id")
-    return r8(x.select("cell_id", "d", primary(F.col("v"), F.col("thr"), 30.0).alias("v")))
+    return r6(x.select("cell_id", "d", primary(F.col("v"), F.col("thr"), 30.0).alias("v")))
 
 
-@register("dbv_gr", f"WITH {GR} " + sql8("dtea_gr, dtem_gr, dtem_max_gr, dtema_gr", "gr", "gr_id, d, dtec_gr, dteec_gr"))
+@register("dbv_gr", f"WITH {GR} " + sql6("dtea_gr, dtem_gr, dtem_max_gr, dtema_gr", "gr", "gr_id, d, dtec_gr, dteec_gr"))
 def _(s, d):
-    return r8(region(s, d).select("gr_id", "d", "dtec_gr", "dteec_gr", "dtea_gr", "dtem_gr", "dtem_max_gr", "dtema_gr"))
+    return r6(region(s, d).select("gr_id", "d", "dtec_gr", "dteec_gr", "dtea_gr", "dtem_gr", "dtem_max_gr", "dtema_gr"))
 
 
-@register("min_area", f"WITH {DBV},\n{sql_region(20.0)} " + sql8("dtea_gr, dtem_gr, dtem_max_gr, dtema_gr", "gr", "gr_id, d, dtec_gr, dteec_gr"))
+@register("min_area", f"WITH {DBV},\n{sql_region(20.0)} " + sql6("dtea_gr, dtem_gr, dtem_max_gr, dtema_gr", "gr", "gr_id, d, dtec_gr, dteec_gr"))
 def _(s, d):
-    return r8(region(s, d, 20.0).select("gr_id", "d", "dtec_gr", "dteec_gr", "dtea_gr", "dtem_gr", "dtem_max_gr", "dtema_gr"))
+    return r6(region(s, d, 20.0).select("gr_id", "d", "dtec_gr", "dteec_gr", "dtea_gr", "dtem_gr", "dtem_max_gr", "dtema_gr"))
 
 
-@register("network_days", f"WITH {DBV}, g AS (SELECT gr_id, d, max(dtec) AS dtec_gr, coalesce(sum(dtem), 0) AS dtem_gr FROM dbv0 GROUP BY ALL) " + sql8("dtem_gr", "g", "gr_id, d, dtec_gr"))
+@register("network_days", f"WITH {DBV}, g AS (SELECT gr_id, d, max(dtec) AS dtec_gr, coalesce(sum(dtem), 0) AS dtem_gr FROM dbv0 GROUP BY ALL) " + sql6("dtem_gr", "g", "gr_id, d, dtec_gr"))
 def _(s, d):
-    return r8(daily.network_days(dbv_plain(s, d).join(tables.cells(s, d).select("cell_id", "gr_id"), "cell_id")))
+    return r6(daily.network_days(dbv_plain(s, d).join(tables.cells(s, d).select("cell_id", "gr_id"), "cell_id")))
 
 
 def _ctp_queries() -> None:
@@ -202,16 +202,16 @@ def _ctp_queries() -> None:
         cols = [c.strip() for c in GR_METRICS.split(",")]
 
         def gr(s, d, period=period, cols=cols):
-            return r8(ctp(s, d, period).select("gr_id", "p", "doy_first_gr", "doy_last_gr", *cols))
+            return r6(ctp(s, d, period).select("gr_id", "p", "doy_first_gr", "doy_last_gr", *cols))
 
-        register(f"ctp_gr_{period}", f"WITH {GR},\n{sql_ctp_gr(period)} " + sql8(GR_METRICS, "ctp", "gr_id, p, doy_first_gr, doy_last_gr"))(gr)
+        register(f"ctp_gr_{period}", f"WITH {GR},\n{sql_ctp_gr(period)} " + sql6(GR_METRICS, "ctp", "gr_id, p, doy_first_gr, doy_last_gr"))(gr)
     for period in ("annual", "monthly", "WAS", "DJF"):
         cols = [c.strip() for c in CELL_METRICS.split(",")]
 
         def cell(s, d, period=period, cols=cols):
-            return r8(periods.cell_periods(dbv(s, d), period).select("cell_id", "p", "doy_first", "doy_last", *cols))
+            return r6(periods.cell_periods(dbv(s, d), period).select("cell_id", "p", "doy_first", "doy_last", *cols))
 
-        register(f"ctp_cell_{period}", f"WITH {DBV},\n{sql_ctp_cell(period)} " + sql8(CELL_METRICS, "ctpc", "cell_id, p, doy_first, doy_last"))(cell)
+        register(f"ctp_cell_{period}", f"WITH {DBV},\n{sql_ctp_cell(period)} " + sql6(CELL_METRICS, "ctpc", "cell_id, p, doy_first, doy_last"))(cell)
 
 
 _ctp_queries()
@@ -219,20 +219,20 @@ _ctp_queries()
 # ------------------------------------------------------------------ thresholds and preparation
 
 
-@register("threshold_p90", f"WITH {DAILY}, {THR} " + sql8("thr", "thr", "cell_id"))
+@register("threshold_p90", f"WITH {DAILY}, {THR} " + sql6("thr", "thr", "cell_id"))
 def _(s, d):
-    return r8(prepare.percentile_threshold(tables.daily(s, d), QUANTILE, *REF_DAYS))
+    return r6(prepare.percentile_threshold(tables.daily(s, d), QUANTILE, *REF_DAYS))
 
 
-@register("threshold_wetday", f"WITH {RAIN}, t AS (SELECT cell_id, quantile_cont(v, 0.9) AS thr FROM rain WHERE v > 0.99 AND d BETWEEN DATE '1995-01-01' AND DATE '1998-12-31' GROUP BY cell_id) " + sql8("thr", "t", "cell_id"))
+@register("threshold_wetday", f"WITH {RAIN}, t AS (SELECT cell_id, quantile_cont(v, 0.9) AS thr FROM rain WHERE v > 0.99 AND d BETWEEN DATE '1995-01-01' AND DATE '1998-12-31' GROUP BY cell_id) " + sql6("thr", "t", "cell_id"))
 def _(s, d):
-    return r8(prepare.percentile_threshold(tables.rain(s, d), QUANTILE, *REF_DAYS, 0.99))
+    return r6(prepare.percentile_threshold(tables.rain(s, d), QUANTILE, *REF_DAYS, 0.99))
 
 
-@register("threshold_smooth", f"WITH {CELL}, {DAILY}, {THR}, k AS (SELECT cell_id, thr, cell_id // 5 AS iy, cell_id % 5 AS ix FROM cell JOIN thr USING (cell_id)), z AS (SELECT a.cell_id, avg(b.thr) AS smoothed FROM k a JOIN k b ON (a.iy - b.iy) * (a.iy - b.iy) + (a.ix - b.ix) * (a.ix - b.ix) < 2.25 GROUP BY 1) " + sql8("smoothed", "z", "cell_id"))
+@register("threshold_smooth", f"WITH {CELL}, {DAILY}, {THR}, k AS (SELECT cell_id, thr, cell_id // 5 AS iy, cell_id % 5 AS ix FROM cell JOIN thr USING (cell_id)), z AS (SELECT a.cell_id, avg(b.thr) AS smoothed FROM k a JOIN k b ON (a.iy - b.iy) * (a.iy - b.iy) + (a.ix - b.ix) * (a.ix - b.ix) < 2.25 GROUP BY 1) " + sql6("smoothed", "z", "cell_id"))
 def _(s, d):
     g = grid(s, d).select("cell_id", "thr", F.floor(F.col("cell_id") / 5).alias("iy"), (F.col("cell_id") % 5).alias("ix"))
-    return r8(prepare.smooth(g, 1))
+    return r6(prepare.smooth(g, 1))
 
 
 HOURLY = """hourly AS (SELECT (user_id % 25)::INT AS cell_id, date_trunc('hour', ts) AS ts, avg(value) AS v FROM events GROUP BY ALL),
@@ -249,67 +249,67 @@ def _(s, d):
     return _lon(tables.hourly(s, d)).select("cell_id", prepare.utc_offset(F.col("lon") * 0.7).alias("hours")).distinct()
 
 
-@register("local_day_resample", f"WITH {HOURLY}, z AS (SELECT cell_id, (ts + INTERVAL ({OFFSET}) HOUR)::DATE AS d, avg(v - 273.15) AS t, min(v - 273.15) AS tn, max(v - 273.15) AS tx FROM lonh GROUP BY ALL) " + sql8("t, tn, tx", "z", "cell_id, d"))
+@register("local_day_resample", f"WITH {HOURLY}, z AS (SELECT cell_id, (ts + INTERVAL ({OFFSET}) HOUR)::DATE AS d, avg(v - 273.15) AS t, min(v - 273.15) AS tn, max(v - 273.15) AS tx FROM lonh GROUP BY ALL) " + sql6("t, tn, tx", "z", "cell_id, d"))
 def _(s, d):
-    return r8(prepare.daily_temperature(_lon(tables.hourly(s, d))))
+    return r6(prepare.daily_temperature(_lon(tables.hourly(s, d))))
 
 
-@register("precip_day", f"WITH {HOURLY}, z AS (SELECT cell_id, (ts + INTERVAL ({OFFSET} + 7) HOUR)::DATE AS d, sum(v * 1000) AS p24h, max(v * 1000) AS px1h FROM lonh GROUP BY ALL) " + sql8("p24h, px1h", "z", "cell_id, d"))
+@register("precip_day", f"WITH {HOURLY}, z AS (SELECT cell_id, (ts + INTERVAL ({OFFSET} + 7) HOUR)::DATE AS d, sum(v * 1000) AS p24h, max(v * 1000) AS px1h FROM lonh GROUP BY ALL) " + sql6("p24h, px1h", "z", "cell_id, d"))
 def _(s, d):
-    return r8(prepare.daily_precipitation(_lon(tables.hourly(s, d)), True))
+    return r6(prepare.daily_precipitation(_lon(tables.hourly(s, d)), True))
 
 
-@register("wind_vector_mean", f"WITH {HOURLY}, z AS (SELECT cell_id, (ts + INTERVAL ({OFFSET}) HOUR)::DATE AS d, sqrt(pow(avg(v), 2) + pow(avg(v - 50), 2)) AS wind FROM lonh GROUP BY ALL) " + sql8("wind", "z", "cell_id, d"))
+@register("wind_vector_mean", f"WITH {HOURLY}, z AS (SELECT cell_id, (ts + INTERVAL ({OFFSET}) HOUR)::DATE AS d, sqrt(pow(avg(v), 2) + pow(avg(v - 50), 2)) AS wind FROM lonh GROUP BY ALL) " + sql6("wind", "z", "cell_id, d"))
 def _(s, d):
     h = _lon(tables.hourly(s, d)).withColumn("u", F.col("v")).withColumn("v", F.col("v") - 50)
-    return r8(prepare.daily_wind(h))
+    return r6(prepare.daily_wind(h))
 
 
-@register("humidity", f"WITH {HOURLY}, e AS (SELECT cell_id, lon, ts, 270 + v / 10 AS dew, 90000 + v AS pr FROM lonh), f AS (SELECT *, 611.2::DOUBLE * exp(17.67 * (dew - 273.15) / (dew - 273.15 + 243.5)) AS e FROM e), z AS (SELECT cell_id, (ts + INTERVAL ({OFFSET}) HOUR)::DATE AS d, avg(pr) AS p, avg(0.6219569100577033::DOUBLE * e / (pr - (1 - 0.6219569100577033::DOUBLE) * e)) AS q FROM f GROUP BY ALL) " + sql8("p, q", "z", "cell_id, d"))
+@register("humidity", f"WITH {HOURLY}, e AS (SELECT cell_id, lon, ts, 270 + v / 10 AS dew, 90000 + v AS pr FROM lonh), f AS (SELECT *, 611.2::DOUBLE * exp(17.67 * (dew - 273.15) / (dew - 273.15 + 243.5)) AS e FROM e), z AS (SELECT cell_id, (ts + INTERVAL ({OFFSET}) HOUR)::DATE AS d, avg(pr) AS p, avg(0.6219569100577033::DOUBLE * e / (pr - (1 - 0.6219569100577033::DOUBLE) * e)) AS q FROM f GROUP BY ALL) " + sql6("p, q", "z", "cell_id, d"))
 def _(s, d):
     h = _lon(tables.hourly(s, d)).select("cell_id", "lon", "ts", (270 + F.col("v") / 10).alias("dewpoint"), (90000 + F.col("v")).alias("pressure"))
-    return r8(prepare.daily_humidity(h))
+    return r6(prepare.daily_humidity(h))
 
 
-@register("accumulated_day", f"WITH {HOURLY}, a AS (SELECT cell_id, ts, (ts - INTERVAL 1 HOUR)::DATE AS d, v FROM hourly), b AS (SELECT *, v - coalesce(lag(v) OVER (PARTITION BY cell_id, d ORDER BY ts), 0) AS s FROM a), z AS (SELECT cell_id, d, max(v) * 1000 AS p24h, max(s) * 1000 AS px1h FROM b GROUP BY ALL) " + sql8("p24h, px1h", "z", "cell_id, d"))
+@register("accumulated_day", f"WITH {HOURLY}, a AS (SELECT cell_id, ts, (ts - INTERVAL 1 HOUR)::DATE AS d, v FROM hourly), b AS (SELECT *, v - coalesce(lag(v) OVER (PARTITION BY cell_id, d ORDER BY ts), 0) AS s FROM a), z AS (SELECT cell_id, d, max(v) * 1000 AS p24h, max(s) * 1000 AS px1h FROM b GROUP BY ALL) " + sql6("p24h, px1h", "z", "cell_id, d"))
 def _(s, d):
-    return r8(prepare.daily_accumulated(tables.hourly(s, d)))
+    return r6(prepare.daily_accumulated(tables.hourly(s, d)))
 
 
-@register("subdaily_max", f"WITH {HOURLY}, z AS (SELECT cell_id, ts::DATE AS d, max(v) AS v FROM hourly GROUP BY ALL) " + sql8("v", "z", "cell_id, d"))
+@register("subdaily_max", f"WITH {HOURLY}, z AS (SELECT cell_id, ts::DATE AS d, max(v) AS v FROM hourly GROUP BY ALL) " + sql6("v", "z", "cell_id, d"))
 def _(s, d):
-    return r8(prepare.aggregate_days(tables.hourly(s, d), prepare.method_for("Tx")))
+    return r6(prepare.aggregate_days(tables.hourly(s, d), prepare.method_for("Tx")))
 
 
-@register("mean_of_two", f"WITH {DAILY}, {RAIN}, z AS (SELECT cell_id, d, (daily.v + rain.v) / 2 AS v FROM daily JOIN rain USING (cell_id, d)) " + sql8("v", "z", "cell_id, d"))
+@register("mean_of_two", f"WITH {DAILY}, {RAIN}, z AS (SELECT cell_id, d, (daily.v + rain.v) / 2 AS v FROM daily JOIN rain USING (cell_id, d)) " + sql6("v", "z", "cell_id, d"))
 def _(s, d):
     b = tables.rain(s, d).withColumnRenamed("v", "w")
-    return r8(tables.daily(s, d).join(b, ["cell_id", "d"]).select("cell_id", "d", ((F.col("v") + F.col("w")) / 2).alias("v")))
+    return r6(tables.daily(s, d).join(b, ["cell_id", "d"]).select("cell_id", "d", ((F.col("v") + F.col("w")) / 2).alias("v")))
 
 
-@register("altitude_lon", f"WITH {CELL} SELECT cell_id, round(y * 100 / 9.80665::DOUBLE + 1.23e-10, 8) AS altitude, round(CASE WHEN x * 30 > 180 THEN x * 30 - 360 ELSE x * 30 END + 1.23e-10::DOUBLE, 8) AS lon FROM cell")
+@register("altitude_lon", f"WITH {CELL} SELECT cell_id, round(y * 100 / 9.80665::DOUBLE + 1.23e-9, 6) AS altitude, round(CASE WHEN x * 30 > 180 THEN x * 30 - 360 ELSE x * 30 END + 1.23e-9::DOUBLE, 6) AS lon FROM cell")
 def _(s, d):
     c = tables.cells(s, d)
-    return r8(c.select("cell_id", prepare.altitude(F.col("y") * 100).alias("altitude"), prepare.signed_longitude(F.col("x") * 30).alias("lon")))
+    return r6(c.select("cell_id", prepare.altitude(F.col("y") * 100).alias("altitude"), prepare.signed_longitude(F.col("x") * 30).alias("lon")))
 
 
 GAPS = "WITH " + ",\n".join([CELL, DAILY, SPINE]) + ", m AS (SELECT *, avg(v) OVER (PARTITION BY cell_id, month(d), day(d)) AS mv, min(d) FILTER (WHERE v IS NOT NULL) OVER (PARTITION BY cell_id) AS f FROM field), z AS (SELECT cell_id, d, CASE WHEN d >= f THEN coalesce(v, mv) ELSE v END AS v FROM m) "
 
 
-@register("gap_fill", GAPS + sql8("v", "z", "cell_id, d"))
+@register("gap_fill", GAPS + sql6("v", "z", "cell_id, d"))
 def _(s, d):
-    return r8(prepare.fill_gaps(spine(s, d)))
+    return r6(prepare.fill_gaps(spine(s, d)))
 
 
-@register("station_select", f"WITH {DAILY} " + sql8("v", "daily SEMI JOIN (SELECT cell_id FROM daily GROUP BY 1 HAVING year(min(d)) <= 1995) USING (cell_id)", "cell_id, d"))
+@register("station_select", f"WITH {DAILY} " + sql6("v", "daily SEMI JOIN (SELECT cell_id FROM daily GROUP BY 1 HAVING year(min(d)) <= 1995) USING (cell_id)", "cell_id, d"))
 def _(s, d):
-    return r8(prepare.long_stations(tables.daily(s, d), 1995))
+    return r6(prepare.long_stations(tables.daily(s, d), 1995))
 
 
-@register("monthly_anomaly", f"WITH {CELL}, {DAILY}, g AS (SELECT gr_id, date_trunc('month', d)::DATE AS d, sum(v) AS v FROM daily JOIN cell USING (cell_id) GROUP BY ALL), z AS (SELECT gr_id, d, v - avg(v) FILTER (WHERE year(d) BETWEEN 1995 AND 1998) OVER (PARTITION BY gr_id, month(d)) AS anomaly FROM g) " + sql8("anomaly", "z", "gr_id, d"))
+@register("monthly_anomaly", f"WITH {CELL}, {DAILY}, g AS (SELECT gr_id, date_trunc('month', d)::DATE AS d, sum(v) AS v FROM daily JOIN cell USING (cell_id) GROUP BY ALL), z AS (SELECT gr_id, d, v - avg(v) FILTER (WHERE year(d) BETWEEN 1995 AND 1998) OVER (PARTITION BY gr_id, month(d)) AS anomaly FROM g) " + sql6("anomaly", "z", "gr_id, d"))
 def _(s, d):
     m = tables.daily(s, d).join(tables.cells(s, d).select("cell_id", "gr_id"), "cell_id").groupBy("gr_id", F.trunc("d", "month").alias("d")).agg(F.sum("v").alias("v"))
-    return r8(prepare.monthly_anomaly(m, 1995, 1998).select("gr_id", "d", "anomaly"))
+    return r6(prepare.monthly_anomaly(m, 1995, 1998).select("gr_id", "d", "anomaly"))
 
 
 HOURS = f"""{CELL}, {HOURLY}, ht AS (SELECT cell_id, quantile_cont(v, 0.6) AS thr FROM hourly GROUP BY cell_id),
@@ -325,9 +325,9 @@ def hourly_cells(s: SparkSession, d: str) -> DataFrame:
     return tables.cells(s, d).join(thr, "cell_id")
 
 
-@register("hourly_cell", f"WITH {HOURS} " + sql8("nhours, h_rise, h_set", "hd", "cell_id, d, t_hfirst, t_hlast, t_hmax"))
+@register("hourly_cell", f"WITH {HOURS} " + sql6("nhours, h_rise, h_set", "hd", "cell_id, d, t_hfirst, t_hlast, t_hmax"))
 def _(s, d):
-    return r8(daily.hourly_days(tables.hourly(s, d), hourly_cells(s, d)).select("cell_id", "d", "t_hfirst", "t_hlast", "t_hmax", "nhours", "h_rise", "h_set"))
+    return r6(daily.hourly_days(tables.hourly(s, d), hourly_cells(s, d)).select("cell_id", "d", "t_hfirst", "t_hlast", "t_hmax", "nhours", "h_rise", "h_set"))
 
 
 HOURS_GR = f"""{HOURS}, hw AS (SELECT *, CASE WHEN nhours > 0 THEN area ELSE 0 END AS a FROM hd),
@@ -342,14 +342,14 @@ def hourly_gr(s: SparkSession, d: str) -> DataFrame:
     return daily.hourly_region(hours, area, c)
 
 
-@register("hourly_gr", f"WITH {HOURS_GR} " + sql8("nhours_gr, t_hfirst_gr, t_hlast_gr, t_hmax_gr, h_rise_gr, h_set_gr", "hg", "gr_id, d"))
+@register("hourly_gr", f"WITH {HOURS_GR} " + sql6("nhours_gr, t_hfirst_gr, t_hlast_gr, t_hmax_gr, h_rise_gr, h_set_gr", "hg", "gr_id, d"))
 def _(s, d):
-    return r8(hourly_gr(s, d))
+    return r6(hourly_gr(s, d))
 
 
-@register("hourly_periods", f"WITH {HOURS_GR}, z AS (SELECT gr_id, date_trunc('month', d)::DATE AS p, coalesce(avg(nhours_gr) FILTER (WHERE nhours_gr > 0), 0) AS h_avg_gr, avg(h_rise_gr) AS h_rise_avg_gr, avg(h_set_gr) AS h_set_avg_gr FROM hg GROUP BY ALL) " + sql8("h_avg_gr, h_rise_avg_gr, h_set_avg_gr", "z", "gr_id, p"))
+@register("hourly_periods", f"WITH {HOURS_GR}, z AS (SELECT gr_id, date_trunc('month', d)::DATE AS p, coalesce(avg(nhours_gr) FILTER (WHERE nhours_gr > 0), 0) AS h_avg_gr, avg(h_rise_gr) AS h_rise_avg_gr, avg(h_set_gr) AS h_set_avg_gr FROM hg GROUP BY ALL) " + sql6("h_avg_gr, h_rise_avg_gr, h_set_avg_gr", "z", "gr_id, p"))
 def _(s, d):
-    return r8(periods.hourly_periods(hourly_gr(s, d), "gr_id", "monthly", "_gr"))
+    return r6(periods.hourly_periods(hourly_gr(s, d), "gr_id", "monthly", "_gr"))
 
 
 # ------------------------------------------------------------------ decades, references, factors
@@ -367,24 +367,24 @@ def dec(s: SparkSession, d: str) -> DataFrame:
     return decadal.decadal_means(ctp(s, d), "gr_id", DEC_COLS)
 
 
-@register("decadal_mean", f"WITH {DEC} " + sql8(", ".join(DEC_COLS), "de", "gr_id, p"))
+@register("decadal_mean", f"WITH {DEC} " + sql6(", ".join(DEC_COLS), "de", "gr_id, p"))
 def _(s, d):
-    return r8(dec(s, d))
+    return r6(dec(s, d))
 
 
-@register("decadal_compound", f"WITH {COMP} " + sql8(", ".join(COMP_COLS), "dec_", "gr_id, p"))
+@register("decadal_compound", f"WITH {COMP} " + sql6(", ".join(COMP_COLS), "dec_", "gr_id, p"))
 def _(s, d):
-    return r8(decadal.compounds(dec(s, d)).select("gr_id", "p", *COMP_COLS))
+    return r6(decadal.compounds(dec(s, d)).select("gr_id", "p", *COMP_COLS))
 
 
-@register("spread", f"WITH {DEC}, ys AS (SELECT a.gr_id, a.p, a.em_avg_gr AS c, b.em_avg_gr AS x FROM (SELECT de.*, dn.n FROM de JOIN dn USING (gr_id, p)) a JOIN dn b ON a.gr_id = b.gr_id AND b.n BETWEEN a.n - 5 AND a.n + 4), z AS (SELECT gr_id, p, CASE WHEN any_value(c) IS NOT NULL THEN sqrt(coalesce(sum(pow(x - c, 2)) FILTER (WHERE x > c), 0) / greatest(count(*) FILTER (WHERE x > c), 1)) END AS supp, CASE WHEN any_value(c) IS NOT NULL THEN sqrt(coalesce(sum(pow(x - c, 2)) FILTER (WHERE NOT coalesce(x > c, false)), 0) / greatest(count(*) FILTER (WHERE NOT coalesce(x > c, false)), 1)) END AS slow FROM ys GROUP BY ALL) " + sql8("supp, slow", "z", "gr_id, p"))
+@register("spread", f"WITH {DEC}, ys AS (SELECT a.gr_id, a.p, a.em_avg_gr AS c, b.em_avg_gr AS x FROM (SELECT de.*, dn.n FROM de JOIN dn USING (gr_id, p)) a JOIN dn b ON a.gr_id = b.gr_id AND b.n BETWEEN a.n - 5 AND a.n + 4), z AS (SELECT gr_id, p, CASE WHEN any_value(c) IS NOT NULL THEN sqrt(coalesce(sum(pow(x - c, 2)) FILTER (WHERE x > c), 0) / greatest(count(*) FILTER (WHERE x > c), 1)) END AS supp, CASE WHEN any_value(c) IS NOT NULL THEN sqrt(coalesce(sum(pow(x - c, 2)) FILTER (WHERE NOT coalesce(x > c, false)), 0) / greatest(count(*) FILTER (WHERE NOT coalesce(x > c, false)), 1)) END AS slow FROM ys GROUP BY ALL) " + sql6("supp, slow", "z", "gr_id, p"))
 def _(s, d):
-    return r8(decadal.spreads(ctp(s, d), "gr_id", "em_avg_gr"))
+    return r6(decadal.spreads(ctp(s, d), "gr_id", "em_avg_gr"))
 
 
-@register("rolling_full", f"WITH {CTPM}, z AS (SELECT gr_id, p, CASE WHEN count(em_avg_max_gr) OVER w = 10 THEN avg(em_avg_max_gr) OVER w END AS em_avg_max_gr FROM ctp WINDOW w AS (PARTITION BY gr_id ORDER BY p ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING)) " + sql8("em_avg_max_gr", "z", "gr_id, p"))
+@register("rolling_full", f"WITH {CTPM}, z AS (SELECT gr_id, p, CASE WHEN count(em_avg_max_gr) OVER w = 10 THEN avg(em_avg_max_gr) OVER w END AS em_avg_max_gr FROM ctp WINDOW w AS (PARTITION BY gr_id ORDER BY p ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING)) " + sql6("em_avg_max_gr", "z", "gr_id, p"))
 def _(s, d):
-    return r8(decadal.rolling_full(ctp(s, d), "gr_id", "em_avg_max_gr"))
+    return r6(decadal.rolling_full(ctp(s, d), "gr_id", "em_avg_max_gr"))
 
 
 AF_COLS = ["ef_gr", "ed_gr", "em_gr", "tex_gr"]
@@ -397,25 +397,25 @@ def _gm(c: str, span: tuple[str, str]) -> str:
 REFS = COMP + ", ref AS (SELECT gr_id, " + ", ".join(f"{_gm(c, REF)} AS {c}_ref, {_gm(c, CC)} AS {c}_cc" for c in AF_COLS) + " FROM dec_ GROUP BY gr_id)"
 
 
-@register("gmean_ref", f"WITH {REFS} " + sql8(", ".join(f"{c}_ref, {c}_cc" for c in AF_COLS), "ref", "gr_id"))
+@register("gmean_ref", f"WITH {REFS} " + sql6(", ".join(f"{c}_ref, {c}_cc" for c in AF_COLS), "ref", "gr_id"))
 def _(s, d):
     x = decadal.compounds(dec(s, d))
-    return r8(decadal.reference_means(x, "gr_id", AF_COLS, *REF, "_ref").join(decadal.reference_means(x, "gr_id", AF_COLS, *CC, "_cc"), "gr_id"))
+    return r6(decadal.reference_means(x, "gr_id", AF_COLS, *REF, "_ref").join(decadal.reference_means(x, "gr_id", AF_COLS, *CC, "_cc"), "gr_id"))
 
 
-@register("amplification", f"WITH {REFS}, z AS (SELECT gr_id, p, " + ", ".join(f"CASE WHEN {c}_ref > 0 THEN {c} / {c}_ref END AS {c}_af, CASE WHEN {c}_ref > 0 THEN {c}_cc / {c}_ref END AS {c}_af_cc" for c in AF_COLS) + " FROM dec_ JOIN ref USING (gr_id)) " + sql8(", ".join(f"{c}_af, {c}_af_cc" for c in AF_COLS), "z", "gr_id, p"))
+@register("amplification", f"WITH {REFS}, z AS (SELECT gr_id, p, " + ", ".join(f"CASE WHEN {c}_ref > 0 THEN {c} / {c}_ref END AS {c}_af, CASE WHEN {c}_ref > 0 THEN {c}_cc / {c}_ref END AS {c}_af_cc" for c in AF_COLS) + " FROM dec_ JOIN ref USING (gr_id)) " + sql6(", ".join(f"{c}_af, {c}_af_cc" for c in AF_COLS), "z", "gr_id, p"))
 def _(s, d):
-    return r8(decadal.amplification(decadal.compounds(dec(s, d)), "gr_id", AF_COLS, REF, CC))
+    return r6(decadal.amplification(decadal.compounds(dec(s, d)), "gr_id", AF_COLS, REF, CC))
 
 
-@register("doy_adjust", f"WITH {DEC}, o AS (SELECT *, 0.5::DOUBLE * (30.5 * aep_gr - (doy_last_gr - doy_first_gr + 1)) AS off FROM de), z AS (SELECT gr_id, p, doy_first_gr - off AS doy_first_gr, doy_last_gr + off AS doy_last_gr FROM o) " + sql8("doy_first_gr, doy_last_gr", "z", "gr_id, p"))
+@register("doy_adjust", f"WITH {DEC}, o AS (SELECT *, 0.5::DOUBLE * (30.5 * aep_gr - (doy_last_gr - doy_first_gr + 1)) AS off FROM de), z AS (SELECT gr_id, p, doy_first_gr - off AS doy_first_gr, doy_last_gr + off AS doy_last_gr FROM o) " + sql6("doy_first_gr, doy_last_gr", "z", "gr_id, p"))
 def _(s, d):
-    return r8(decadal.adjust_days(dec(s, d), "_gr").select("gr_id", "p", "doy_first_gr", "doy_last_gr"))
+    return r6(decadal.adjust_days(dec(s, d), "_gr").select("gr_id", "p", "doy_first_gr", "doy_last_gr"))
 
 
-@register("h_adjust", f"WITH {HOURS_GR}, z0 AS (SELECT gr_id, date_trunc('month', d)::DATE AS p, coalesce(avg(nhours_gr) FILTER (WHERE nhours_gr > 0), 0) AS h_avg_gr, avg(h_rise_gr) AS r, avg(h_set_gr) AS t FROM hg GROUP BY ALL), z AS (SELECT gr_id, p, r * (h_avg_gr / nullif(r + t, 0)) AS h_rise_avg_gr, t * (h_avg_gr / nullif(r + t, 0)) AS h_set_avg_gr FROM z0) " + sql8("h_rise_avg_gr, h_set_avg_gr", "z", "gr_id, p"))
+@register("h_adjust", f"WITH {HOURS_GR}, z0 AS (SELECT gr_id, date_trunc('month', d)::DATE AS p, coalesce(avg(nhours_gr) FILTER (WHERE nhours_gr > 0), 0) AS h_avg_gr, avg(h_rise_gr) AS r, avg(h_set_gr) AS t FROM hg GROUP BY ALL), z AS (SELECT gr_id, p, r * (h_avg_gr / nullif(r + t, 0)) AS h_rise_avg_gr, t * (h_avg_gr / nullif(r + t, 0)) AS h_set_avg_gr FROM z0) " + sql6("h_rise_avg_gr, h_set_avg_gr", "z", "gr_id, p"))
 def _(s, d):
-    return r8(decadal.adjust_hours(periods.hourly_periods(hourly_gr(s, d), "gr_id", "monthly", "_gr"), "_gr").select("gr_id", "p", "h_rise_avg_gr", "h_set_avg_gr"))
+    return r6(decadal.adjust_hours(periods.hourly_periods(hourly_gr(s, d), "gr_id", "monthly", "_gr"), "_gr").select("gr_id", "p", "h_rise_avg_gr", "h_set_avg_gr"))
 
 
 # ------------------------------------------------------------------ lattices and aggregates
@@ -429,9 +429,9 @@ def extent(s: SparkSession, d: str) -> DataFrame:
     return regions.with_extent(regions.lattice(tables.cells(s, d), 1.0), 2.0)
 
 
-@register("gr_lattice", f"WITH {CELL}, {LATTICE} " + sql8("yc, xc, x_off, area_frac", "ext", "gr_id"))
+@register("gr_lattice", f"WITH {CELL}, {LATTICE} " + sql6("yc, xc, x_off, area_frac", "ext", "gr_id"))
 def _(s, d):
-    return r8(extent(s, d).select(F.col("gr_id").cast("int").alias("gr_id"), "yc", "xc", "x_off", "area_frac"))
+    return r6(extent(s, d).select(F.col("gr_id").cast("int").alias("gr_id"), "yc", "xc", "x_off", "area_frac"))
 
 
 @register("gr_cell_bridge", f"WITH {CELL}, {LATTICE} SELECT gr_id, cell_id FROM lnk")
@@ -449,9 +449,9 @@ def windows(s: SparkSession, d: str) -> DataFrame:
     return regions.window_days(dbv_plain(s, d), links)
 
 
-@register("sub_gr", f"WITH {SUB} " + sql8("dtea_gr, dtem_gr, dtem_max_gr", "wd", "gr_id, d, dtec_gr"))
+@register("sub_gr", f"WITH {SUB} " + sql6("dtea_gr, dtem_gr, dtem_max_gr", "wd", "gr_id, d, dtec_gr"))
 def _(s, d):
-    return r8(windows(s, d).select("gr_id", "d", "dtec_gr", "dtea_gr", "dtem_gr", "dtem_max_gr"))
+    return r6(windows(s, d).select("gr_id", "d", "dtec_gr", "dtea_gr", "dtem_gr", "dtem_max_gr"))
 
 
 AGR = SUB + """, wa AS (SELECT gr_id, sum(area) AS a FROM lnk GROUP BY gr_id),
@@ -466,49 +466,49 @@ def agr(s: SparkSession, d: str) -> DataFrame:
     return windows(s, d).groupBy("gr_id", F.trunc("d", "month").alias("p")).agg(em).join(area, "gr_id")
 
 
-@register("agr_mean", f"WITH {AGR}, z AS (SELECT p, m AS em FROM am) " + sql8("em", "z", "p"))
+@register("agr_mean", f"WITH {AGR}, z AS (SELECT p, m AS em FROM am) " + sql6("em", "z", "p"))
 def _(s, d):
-    return r8(regions.weighted_mean(agr(s, d), "em"))
+    return r6(regions.weighted_mean(agr(s, d), "em"))
 
 
-@register("agr_spread", f"WITH {AGR}, z AS (SELECT p, sqrt(sum(a * pow(em - m, 2)) FILTER (WHERE em >= m) / sum(a) FILTER (WHERE em >= m)) AS supp, sqrt(sum(a * pow(em - m, 2)) FILTER (WHERE NOT coalesce(em >= m, false)) / sum(a) FILTER (WHERE NOT coalesce(em >= m, false))) AS slow FROM ag JOIN am USING (p) GROUP BY p) " + sql8("supp, slow", "z", "p"))
+@register("agr_spread", f"WITH {AGR}, z AS (SELECT p, sqrt(sum(a * pow(em - m, 2)) FILTER (WHERE em >= m) / sum(a) FILTER (WHERE em >= m)) AS supp, sqrt(sum(a * pow(em - m, 2)) FILTER (WHERE NOT coalesce(em >= m, false)) / sum(a) FILTER (WHERE NOT coalesce(em >= m, false))) AS slow FROM ag JOIN am USING (p) GROUP BY p) " + sql6("supp, slow", "z", "p"))
 def _(s, d):
-    return r8(regions.weighted_spread(agr(s, d), "em"))
+    return r6(regions.weighted_spread(agr(s, d), "em"))
 
 
-@register("agr_percentiles", f"WITH {AGR}, w0 AS (SELECT p, gr_id, em AS x, a / sum(a) OVER (PARTITION BY p) AS w FROM ag WHERE em IS NOT NULL), w1 AS (SELECT p, x, sum(w) OVER (PARTITION BY p ORDER BY x, gr_id ROWS UNBOUNDED PRECEDING) AS c FROM w0), w2 AS (SELECT p, coalesce(max(x) FILTER (WHERE c <= 0.05), min(x)) AS p05, arg_min(c, abs(c - 0.95)) AS cn, arg_min(x, abs(c - 0.95)) AS an, coalesce(min(x) FILTER (WHERE c >= 0.95), max(x)) AS above FROM w1 GROUP BY p), z AS (SELECT p, p05, CASE WHEN cn >= 0.95 THEN an ELSE above END AS p95 FROM w2) " + sql8("p05, p95", "z", "p"))
+@register("agr_percentiles", f"WITH {AGR}, w0 AS (SELECT p, gr_id, em AS x, a / sum(a) OVER (PARTITION BY p) AS w FROM ag WHERE em IS NOT NULL), w1 AS (SELECT p, x, sum(w) OVER (PARTITION BY p ORDER BY x, gr_id ROWS UNBOUNDED PRECEDING) AS c FROM w0), w2 AS (SELECT p, coalesce(max(x) FILTER (WHERE c <= 0.05), min(x)) AS p05, arg_min(c, abs(c - 0.95)) AS cn, arg_min(x, abs(c - 0.95)) AS an, coalesce(min(x) FILTER (WHERE c >= 0.95), max(x)) AS above FROM w1 GROUP BY p), z AS (SELECT p, p05, CASE WHEN cn >= 0.95 THEN an ELSE above END AS p95 FROM w2) " + sql6("p05, p95", "z", "p"))
 def _(s, d):
-    return r8(regions.weighted_percentiles(agr(s, d), "em"))
+    return r6(regions.weighted_percentiles(agr(s, d), "em"))
 
 
-@register("agr_dof", f"WITH {CELL}, z AS (SELECT greatest(sum(area) / pow(2 * pi() * 6371 / 360 * 2, 2) * 100, 1) AS n_dof FROM cell) " + sql8("n_dof", "z"))
+@register("agr_dof", f"WITH {CELL}, z AS (SELECT greatest(sum(area) / pow(2 * pi() * 6371 / 360 * 2, 2) * 100, 1) AS n_dof FROM cell) " + sql6("n_dof", "z"))
 def _(s, d):
-    return r8(regions.degrees_of_freedom(tables.cells(s, d).withColumnRenamed("area", "gr_area"), 2.0))
+    return r6(regions.degrees_of_freedom(tables.cells(s, d).withColumnRenamed("area", "gr_area"), 2.0))
 
 
-@register("agr_blocks", f"WITH {CELL}, z AS (SELECT floor((46.0 - y) / 1.0 + 1e-9)::BIGINT AS yb, floor((x - 9.0) / 1.0 + 1e-9)::BIGINT AS xb, avg(CASE WHEN mask_frac > 0 THEN 1.0::DOUBLE ELSE 0 END) AS mask_frac, sum(area) AS gr_area FROM cell GROUP BY ALL) " + sql8("mask_frac, gr_area", "z", "yb, xb"))
+@register("agr_blocks", f"WITH {CELL}, z AS (SELECT floor((46.0 - y) / 1.0 + 1e-9)::BIGINT AS yb, floor((x - 9.0) / 1.0 + 1e-9)::BIGINT AS xb, avg(CASE WHEN mask_frac > 0 THEN 1.0::DOUBLE ELSE 0 END) AS mask_frac, sum(area) AS gr_area FROM cell GROUP BY ALL) " + sql6("mask_frac, gr_area", "z", "yb, xb"))
 def _(s, d):
-    return r8(regions.blocks(tables.cells(s, d), 1.0, 46.0, 9.0))
+    return r6(regions.blocks(tables.cells(s, d), 1.0, 46.0, 9.0))
 
 
 # ------------------------------------------------------------------ masks, regridding, variability, analytics
 
 
-@register("rect_mask", f"WITH {CELL}, z AS (SELECT cell_id, greatest(least(y + 0.25, 45.6) - greatest(y - 0.25, 44.4), 0) / 0.5 * (greatest(least(x + 0.25, 10.7) - greatest(x - 0.25, 9.3), 0) / 0.5) AS s FROM cell), y AS (SELECT cell_id, CASE WHEN s > 0 THEN s END AS mask_frac FROM z) " + sql8("mask_frac", "y", "cell_id"))
+@register("rect_mask", f"WITH {CELL}, z AS (SELECT cell_id, greatest(least(y + 0.25, 45.6) - greatest(y - 0.25, 44.4), 0) / 0.5 * (greatest(least(x + 0.25, 10.7) - greatest(x - 0.25, 9.3), 0) / 0.5) AS s FROM cell), y AS (SELECT cell_id, CASE WHEN s > 0 THEN s END AS mask_frac FROM z) " + sql6("mask_frac", "y", "cell_id"))
 def _(s, d):
-    return r8(prepare.rectangle_mask(tables.cells(s, d), 44.4, 45.6, 9.3, 10.7, 0.5))
+    return r6(prepare.rectangle_mask(tables.cells(s, d), 44.4, 45.6, 9.3, 10.7, 0.5))
 
 
 @register("polygon_mask")
 def _(s, d):
-    return r8(prepare.polygon_mask(tables.cells(s, d), [(9.1, 44.1), (11.2, 44.3), (10.2, 46.1)], 0.5))
+    return r6(prepare.polygon_mask(tables.cells(s, d), [(9.1, 44.1), (11.2, 44.3), (10.2, 46.1)], 0.5))
 
 
-@register("bilinear", f"WITH {CELL}, {DAILY}, t AS (SELECT cell_id AS target_id, y - 0.2::DOUBLE AS ty, x + 0.1::DOUBLE AS tx FROM cell WHERE cell_id % 5 < 4 AND cell_id < 18), w AS (SELECT target_id, c.cell_id, (1 - abs(ty - y) / 0.5) * (1 - abs(tx - x) / 0.5) AS w FROM t JOIN cell c ON abs(ty - y) < 0.5 - 1e-9 AND abs(tx - x) < 0.5 - 1e-9), z AS (SELECT target_id, d, CASE WHEN count(*) = 4 THEN sum(w * v) END AS v FROM w JOIN daily USING (cell_id) GROUP BY ALL) " + sql8("v", "z", "target_id, d"))
+@register("bilinear", f"WITH {CELL}, {DAILY}, t AS (SELECT cell_id AS target_id, y - 0.2::DOUBLE AS ty, x + 0.1::DOUBLE AS tx FROM cell WHERE cell_id % 5 < 4 AND cell_id < 18), w AS (SELECT target_id, c.cell_id, (1 - abs(ty - y) / 0.5) * (1 - abs(tx - x) / 0.5) AS w FROM t JOIN cell c ON abs(ty - y) < 0.5 - 1e-9 AND abs(tx - x) < 0.5 - 1e-9), z AS (SELECT target_id, d, CASE WHEN count(*) = 4 THEN sum(w * v) END AS v FROM w JOIN daily USING (cell_id) GROUP BY ALL) " + sql6("v", "z", "target_id, d"))
 def _(s, d):
     c = tables.cells(s, d)
     t = c.filter("cell_id % 5 < 4 and cell_id < 18").select(F.col("cell_id").alias("target_id"), (F.col("y") - 0.2).alias("y"), (F.col("x") + 0.1).alias("x"))
-    return r8(prepare.bilinear(tables.daily(s, d), prepare.bilinear_weights(c, t, 0.5)))
+    return r6(prepare.bilinear(tables.daily(s, d), prepare.bilinear_weights(c, t, 0.5)))
 
 
 NAT = DBV + ", st AS (SELECT cell_id, gr_id, date_trunc('year', d)::DATE AS p, sum(dtem) AS em FROM dbv0 GROUP BY ALL), st2 AS (SELECT *, avg(em) OVER (PARTITION BY gr_id, p) AS em_gr FROM st)"
@@ -520,26 +520,26 @@ def stations(s: SparkSession, d: str) -> DataFrame:
     return a.join(a.groupBy("gr_id", "p").agg(F.avg("em").alias("em_gr")), ["gr_id", "p"])
 
 
-@register("natural_variability", f"WITH {NAT}, a AS (SELECT gr_id, cell_id, stddev_pop(em) AS s FROM st2 GROUP BY ALL), b AS (SELECT gr_id, sqrt(sum(s * s) / count(s)) AS s_station FROM a GROUP BY gr_id), c AS (SELECT gr_id, stddev_pop(em_gr) AS s_region FROM (SELECT DISTINCT gr_id, p, em_gr FROM st2) GROUP BY gr_id), z AS (SELECT gr_id, s_region, s_station, s_region / s_station AS scale FROM b JOIN c USING (gr_id)) " + sql8("s_region, s_station, scale", "z", "gr_id"))
+@register("natural_variability", f"WITH {NAT}, a AS (SELECT gr_id, cell_id, stddev_pop(em) AS s FROM st2 GROUP BY ALL), b AS (SELECT gr_id, sqrt(sum(s * s) / count(s)) AS s_station FROM a GROUP BY gr_id), c AS (SELECT gr_id, stddev_pop(em_gr) AS s_region FROM (SELECT DISTINCT gr_id, p, em_gr FROM st2) GROUP BY gr_id), z AS (SELECT gr_id, s_region, s_station, s_region / s_station AS scale FROM b JOIN c USING (gr_id)) " + sql6("s_region, s_station, scale", "z", "gr_id"))
 def _(s, d):
-    return r8(decadal.natural_variability(stations(s, d), "cell_id", "gr_id", "em", "em_gr"))
+    return r6(decadal.natural_variability(stations(s, d), "cell_id", "gr_id", "em", "em_gr"))
 
 
-@register("variability_bounds", f"WITH {NAT}, f AS (SELECT gr_id, em / em_gr AS f FROM st2 WHERE em_gr > 0), b AS (SELECT gr_id, sqrt(sum(pow(f - 1, 2)) FILTER (WHERE f >= 1) / count(*) FILTER (WHERE f >= 1)) AS nv_upper, sqrt(sum(pow(f - 1, 2)) FILTER (WHERE f < 1) / count(*) FILTER (WHERE f < 1)) AS nv_lower FROM f GROUP BY gr_id), z AS (SELECT *, sqrt(nv_upper * nv_upper + nv_lower * nv_lower) AS nv_both FROM b) " + sql8("nv_upper, nv_lower, nv_both", "z", "gr_id"))
+@register("variability_bounds", f"WITH {NAT}, f AS (SELECT gr_id, em / em_gr AS f FROM st2 WHERE em_gr > 0), b AS (SELECT gr_id, sqrt(sum(pow(f - 1, 2)) FILTER (WHERE f >= 1) / count(*) FILTER (WHERE f >= 1)) AS nv_upper, sqrt(sum(pow(f - 1, 2)) FILTER (WHERE f < 1) / count(*) FILTER (WHERE f < 1)) AS nv_lower FROM f GROUP BY gr_id), z AS (SELECT *, sqrt(nv_upper * nv_upper + nv_lower * nv_lower) AS nv_both FROM b) " + sql6("nv_upper, nv_lower, nv_both", "z", "gr_id"))
 def _(s, d):
     f = stations(s, d).filter("em_gr > 0").withColumn("f", F.col("em") / F.col("em_gr"))
-    return r8(decadal.combined_variability(decadal.variability_bounds(f, "gr_id", "f"), ["nv_upper", "nv_lower"], "nv_both"))
+    return r6(decadal.combined_variability(decadal.variability_bounds(f, "gr_id", "f"), ["nv_upper", "nv_lower"], "nv_both"))
 
 
-@register("trend", f"WITH {CTPM}, t AS (SELECT gr_id, datediff('month', DATE '1995-01-01', p)::DOUBLE AS t, em_gr FROM ctp), g AS (SELECT gr_id, regr_slope(em_gr, t) AS slope, regr_intercept(em_gr, t) AS intercept, regr_sxx(em_gr, t) AS sxx, regr_syy(em_gr, t) AS syy, count(*) AS n FROM t GROUP BY gr_id), z AS (SELECT gr_id, slope, intercept, sqrt(greatest(syy - slope * slope * sxx, 0) / ((n - 2) * sxx)) AS slope_se FROM g) " + sql8("slope, intercept, slope_se", "z", "gr_id"))
+@register("trend", f"WITH {CTPM}, t AS (SELECT gr_id, datediff('month', DATE '1995-01-01', p)::DOUBLE AS t, em_gr FROM ctp), g AS (SELECT gr_id, regr_slope(em_gr, t) AS slope, regr_intercept(em_gr, t) AS intercept, regr_sxx(em_gr, t) AS sxx, regr_syy(em_gr, t) AS syy, count(*) AS n FROM t GROUP BY gr_id), z AS (SELECT gr_id, slope, intercept, sqrt(greatest(syy - slope * slope * sxx, 0) / ((n - 2) * sxx)) AS slope_se FROM g) " + sql6("slope, intercept, slope_se", "z", "gr_id"))
 def _(s, d):
     t = ctp(s, d).withColumn("t", F.months_between("p", F.lit("1995-01-01").cast("date")))
-    return r8(analysis.trend(t, "gr_id", "t", "em_gr"))
+    return r6(analysis.trend(t, "gr_id", "t", "em_gr"))
 
 
-@register("area_above", f"WITH {AGR}, z AS (SELECT p, coalesce(sum(a) FILTER (WHERE em > 8), 0) / sum(a) * 100 AS percent FROM ag GROUP BY p) " + sql8("percent", "z", "p"))
+@register("area_above", f"WITH {AGR}, z AS (SELECT p, coalesce(sum(a) FILTER (WHERE em > 8), 0) / sum(a) * 100 AS percent FROM ag GROUP BY p) " + sql6("percent", "z", "p"))
 def _(s, d):
-    return r8(analysis.share_above(agr(s, d), "em", 8.0))
+    return r6(analysis.share_above(agr(s, d), "em", 8.0))
 
 
 @register("start_years", f"WITH {DAILY} SELECT year, count(*) AS n FROM (SELECT cell_id, min(year(d))::INT AS year FROM daily GROUP BY cell_id) GROUP BY year")
@@ -553,14 +553,14 @@ def _(s, d):
     return analysis.compare(x, ctp(s, d).select("gr_id", "p", "em_gr", "ed_gr"), ["gr_id", "p"], ["em_gr", "ed_gr"])
 
 
-@register("station_nearest", f"WITH {CELL}, c AS (SELECT n_nationkey AS station, 46.0::DOUBLE - 0.4 * (n_nationkey % 7) AS sy, 9.0::DOUBLE + 0.3 * (n_nationkey % 8) AS sx FROM nation), z AS (SELECT cell_id, arg_min(station, (abs(y - sy) + abs(x - sx), station)) AS station, min(abs(y - sy) + abs(x - sx)) AS distance FROM cell, c GROUP BY cell_id) " + sql8("distance", "z", "cell_id, station"))
+@register("station_nearest", f"WITH {CELL}, c AS (SELECT n_nationkey AS station, 46.0::DOUBLE - 0.4 * (n_nationkey % 7) AS sy, 9.0::DOUBLE + 0.3 * (n_nationkey % 8) AS sx FROM nation), z AS (SELECT cell_id, arg_min(station, (abs(y - sy) + abs(x - sx), station)) AS station, min(abs(y - sy) + abs(x - sx)) AS distance FROM cell, c GROUP BY cell_id) " + sql6("distance", "z", "cell_id, station"))
 def _(s, d):
     k = F.col("n_nationkey")
     st = tables.read(s, d, "nation").select(k.alias("station"), (46.0 - 0.4 * (k % 7)).alias("sy"), (9.0 + 0.3 * (k % 8)).alias("sx"))
-    return r8(prepare.nearest(tables.cells(s, d), st))
+    return r6(prepare.nearest(tables.cells(s, d), st))
 
 
-@register("rollup_regions", f"WITH {DBV}, z AS (SELECT gr_id, cell_id, sum(dtem) AS em, sum(dtec)::BIGINT AS ed FROM dbv0 GROUP BY ROLLUP (gr_id, cell_id)) " + sql8("em", "z", "gr_id, cell_id, ed"))
+@register("rollup_regions", f"WITH {DBV}, z AS (SELECT gr_id, cell_id, sum(dtem) AS em, sum(dtec)::BIGINT AS ed FROM dbv0 GROUP BY ROLLUP (gr_id, cell_id)) " + sql6("em", "z", "gr_id, cell_id, ed"))
 def _(s, d):
     x = dbv_plain(s, d).join(tables.cells(s, d).select("cell_id", "gr_id"), "cell_id")
-    return r8(x.rollup("gr_id", "cell_id").agg(F.sum("dtem").alias("em"), F.sum("dtec").alias("ed")))
+    return r6(x.rollup("gr_id", "cell_id").agg(F.sum("dtem").alias("em"), F.sum("dtec").alias("ed")))
