@@ -34,7 +34,9 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +49,8 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 BLOCK_IDS = 4096
 FILE_IDS = 2_000_000
-MAX_RUNS = 300_000
+MAX_RUNS = 1_200_000
+STOPS = b".,;:!?"
 MAGIC = b"PKIDS001"
 NULL_ID = -(2**63)
 
@@ -115,22 +118,60 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
+        special = json.loads(spec)["added_tokens"][0]
+        self.mark = special["content"], special["id"]
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.starts = [0]
+        self.flat = array("I")
+        self.starts = array("q", [0])
+
+    def simple(self, run: bytes) -> tuple[bytes, bytes]:
+        """A run as a word in lower case and the stops after it, where they are encoded apart.
+
+        The splitter ends a piece between a letter and a stop, and lower-cases all but its
+        special strings, which contain ``<``.
+        """
+        if b"<" in run:
+            return run, b""
+        word = run.rstrip(STOPS)
+        if len(word) < len(run) and word[-1:].isalpha():
+            return word.lower(), run[len(word) :]
+        return run.lower(), b""
+
+    def learn_plain(self, runs: list[bytes]) -> None:
+        """Adds runs by the library: many at once, parted by a special string and cut at its id."""
+        mark, mark_id = self.mark
+        plain = [r for r in runs if b"<" not in r]
+        for lo in range(0, len(plain), 4000):
+            part = plain[lo : lo + 4000]
+            ids = np.array(self.tokenizer.encode(mark.join([r.decode("utf-8") for r in part]), add_special_tokens=False).ids, np.uint32)
+            marks = np.flatnonzero(ids == mark_id)
+            ends = np.append(marks - np.arange(len(marks)), len(ids) - len(marks)) + self.starts[-1]
+            self.number.update(zip(part, range(len(self.number), len(self.number) + len(part)), strict=True))
+            self.flat.frombytes(ids[ids != mark_id].tobytes())
+            self.starts.frombytes(ends.astype(np.int64).tobytes())
+        for r in runs:
+            if b"<" in r:
+                self.add(r, self.tokenizer.encode(r.decode("utf-8"), add_special_tokens=False).ids)
 
     def learn(self, runs: list[bytes]) -> None:
-        for run, enc in zip(runs, self.tokenizer.encode_batch_fast([r.decode("utf-8") for r in runs], add_special_tokens=False), strict=True):
-            ids = enc.ids
-            at = self.starts[-1]
-            while at + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
-            self.flat[at : at + len(ids)] = ids
-            self.starts.append(at + len(ids))
-            self.number[run] = len(self.number)
+        """Adds runs that are not known yet."""
+        parts = [self.simple(r) for r in runs]
+        self.learn_plain(list({x for p in parts for x in p if x} - self.number.keys()))
+        for run, (word, stops) in zip(runs, parts, strict=True):
+            if run not in self.number:
+                self.add(run, self.ids_of(word) + self.ids_of(stops) if stops else self.ids_of(word))
+
+    def ids_of(self, run: bytes) -> array:
+        k = self.number[run]
+        return self.flat[self.starts[k] : self.starts[k + 1]]
+
+    def add(self, run: bytes, ids) -> None:
+        self.number[run] = len(self.number)
+        self.flat.extend(ids)
+        self.starts.append(len(self.flat))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, each with the end id, and how many each has."""
@@ -138,11 +179,12 @@ class Encoder:
             self.clear()
         runs = [t.split() for t in texts]
         known = self.number
-        new = list({r for doc in runs for r in doc if r not in known})
+        new = set(chain.from_iterable(runs)) - known.keys()
         if new:
-            self.learn(new)
-        starts = np.array(self.starts, np.int64)
-        which = np.fromiter((known[r] for doc in runs for r in doc), np.int64)
+            self.learn(list(new))
+        starts = np.frombuffer(self.starts, np.int64)
+        flat = np.frombuffer(self.flat, np.uint32) if len(self.flat) else np.zeros(0, np.uint32)
+        which = np.fromiter(map(known.__getitem__, chain.from_iterable(runs)), np.int64)
         size = starts[which + 1] - starts[which]
         owner = np.repeat(np.arange(len(texts)), [len(doc) for doc in runs])
         per_doc = np.bincount(owner, weights=size, minlength=len(texts)).astype(np.int64) + 1
@@ -150,9 +192,9 @@ class Encoder:
         out = np.full(int(ends[-1]) if len(ends) else 0, END_ID, np.uint32)
         total = int(size.sum())
         if total:
-            local = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
+            local = np.arange(total) - np.repeat(np.cumsum(size) - size - starts[which], size)
             place = np.arange(total) + np.repeat(owner, size)  # one end id for each document before
-            out[place] = self.flat[local + np.repeat(starts[which], size)]
+            out[place] = flat[local]
         return out, per_doc
 
 
