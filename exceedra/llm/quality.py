@@ -151,7 +151,9 @@ def apply_rules(docs: DataFrame, max_host_rate: float = MAX_HOST_RATE) -> DataFr
     flags = materialize(with_base_verdict(docs.select("text", "source")).select(F.col("source").alias("host"), F.col("_failed").alias("base_failed")))
     bad = host_verdicts(flags, max_host_rate).filter("host_rejected").select(F.col("host").alias("_rejected_host"))
     bad = materialize(bad)
-    kept = with_base_verdict(docs).filter(~F.col("_failed")).drop("_failed")
+    # A filter would be pushed below the steps of the verdict and repeat them; a generator stays above.
+    once = F.explode(F.array_repeat(F.lit(1), F.when(F.col("_failed"), 0).otherwise(1))).alias("_once")
+    kept = with_base_verdict(docs).select("*", once).drop("_failed", "_once")
     if bad.isEmpty():
         return kept
     return kept.join(bad, F.col("source").eqNullSafe(F.col("_rejected_host")), "left_anti")
