@@ -9,8 +9,10 @@ anchors.  A run is an anchor with its windows, 50 to 84 bytes in all.
 1. Runs are hashed to blocks by anchor, packed, with a hash of all their bytes.  A run whose
    bytes also stand in a smaller document is removed whole.  Where an anchor is shared but
    the bytes around it differ, the first holder of each variant goes on.
-2. The bytes of those variants are fetched.  Each block of them gets a suffix array, and
-   windows that agree come together in it; those with a smaller document among them go.
+2. The bytes of those variants are fetched.  A window that two of them share holds one of four
+   strings of 42 or 43 bytes about the anchor, by how far the anchor is into it; variants
+   that share none are let go.  Each block of the others gets a suffix array, and windows
+   that agree come together in it; those with a smaller document among them go.
 3. Each document cuts its own bytes.
 
 The suffix array is built by Lyndon groups.  Suffixes start in groups by their first byte.
@@ -260,6 +262,28 @@ def suffix_array(text: list[int]) -> list[int]:
     return out
 
 
+# First byte from the anchor, and length, of the strings of which a shared window holds one.
+CORES = ((0, 42), (-9, 42), (-18, 42), (-27, 43))
+
+
+def share_a_core(data: list[bytes], groups: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Variants that have a core in common with another variant of their anchor."""
+    raw = np.frombuffer(b"".join(data), np.uint8)
+    size = np.fromiter(map(len, data), np.int64, len(data))
+    begin = np.cumsum(size) - size
+    h = gram_hashes(raw)
+    keep = np.zeros(len(data), bool)
+    for k, (first, length) in enumerate(CORES):
+        at = np.flatnonzero((place + first >= 0) & (place + first + length <= size))
+        here = begin[at] + place[at] + first
+        key = mix64(groups[at].view(np.uint64) * np.uint64(4) + np.uint64(k))
+        for step in (0, GRAM, length - GRAM):
+            key = mix64(key ^ h[here + step])
+        _, back, count = np.unique(key, return_inverse=True, return_counts=True)
+        keep[at] |= count[back] > 1
+    return keep
+
+
 def equal_windows(table: pa.Table) -> pa.Table:
     """Windows of the variants of a block that a smaller document also holds: (doc_id, th, ord, skip, n).
 
@@ -268,7 +292,8 @@ def equal_windows(table: pa.Table) -> pa.Table:
     ids, order = table.column("doc_id").to_numpy(), table.column("ord").to_numpy()
     ths, data = table.column("th").to_numpy(), table.column("data").to_pylist()
     groups = table.column("anchor").to_numpy()
-    by = np.argsort(groups, kind="stable")
+    some = np.flatnonzero(share_a_core(data, groups, table.column("place").to_numpy().astype(np.int64)))
+    by = some[np.argsort(groups[some], kind="stable")]
     found: list[list[int]] = [[] for _ in range(3)]
     lo = 0
     while lo < len(by):  # whole anchors, up to a bounded number of bytes at a time
@@ -311,14 +336,14 @@ def equal_windows(table: pa.Table) -> pa.Table:
 
 
 def variant_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The bytes of the runs that go on: (anchor, doc_id, th, ord, data)."""
+    """The bytes of the runs that go on, and where the anchor is in them: (anchor, doc_id, th, ord, place, data)."""
     lists = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("ord", "anchor")).alias("runs"))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for lo, hi in chunks(batch, 2, 1 << 20):
             part = batch.slice(lo, hi - lo)
             buf, offsets = text_buffer(part.column(2))
-            doc, first, last, _, _, _ = runs_of(buf, offsets)
+            doc, first, last, anchors, _, _ = runs_of(buf, offsets)
             begin = np.searchsorted(doc, np.arange(hi - lo))
             runs = part.column(3).combine_chunks() if isinstance(part.column(3), pa.ChunkedArray) else part.column(3)
             count = np.asarray(runs.value_lengths().fill_null(0))
@@ -333,13 +358,14 @@ def variant_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     part.column(0).take(pa.array(who)),
                     part.column(1).take(pa.array(who)),
                     pa.array(order.astype(np.int32)),
+                    pa.array((anchors[at] - first[at]).astype(np.int32)),
                     pa.array([data[a : b + WINDOW] for a, b in zip(first[at].tolist(), last[at].tolist(), strict=True)], pa.binary()),
                 ],
-                ["anchor", "doc_id", "th", "ord", "data"],
+                ["anchor", "doc_id", "th", "ord", "place", "data"],
             )
 
     met = docs.join(lists, ["doc_id", "th"]).select("doc_id", "th", "text", "runs")
-    return arrow_map(met, run, "anchor long, doc_id long, th long, ord int, data binary")
+    return arrow_map(met, run, "anchor long, doc_id long, th long, ord int, place int, data binary")
 
 
 def cut(docs: DataFrame, spans: DataFrame, keep_bytes: bool = False) -> DataFrame:
