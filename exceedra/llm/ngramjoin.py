@@ -4,13 +4,13 @@ A document is the set of its distinct 5-word shingles; two link when 100 * inter
 least 80 * union.  Equal sets are one node, named by a 64-bit fingerprint, so thousands of
 copies cost one entry.  Links are found in two passes:
 
-1. A quick pass ties each node to one hub for each of its four smallest shingles.  It settles
-   most groups of near copies with a number of pairs in line with the number of nodes.
+1. Two quick turns tie each node to hubs, one and then six of the nodes that share one of its
+   four smallest shingles.  They settle most groups of near copies with a number of pairs in line with the number of nodes.
 2. The complete pass.  In any order of shingles, linked sets share one among the first fifth
    of the larger and the first ninth of the smaller.  Frequent shingles come last in the
    order, so the tiles that these prefixes make stay small.  A tile is one shingle with the
    sizes that can link: its members are sorted by size and each meets those up to 5/4 of its
-   own.  Members that the quick pass already tied are not paired again, nor is a pair whose
+   own.  Members that the quick turns already tied are not paired again, nor is a pair whose
    previous shingles agree, as that shingle's tile has it.
 
 Each pair is then bounded by bitmaps: every shingle flips one bit of about as many as the set
@@ -39,6 +39,7 @@ from exceedra.llm.common import arrow_map, chunks, connected_components, materia
 
 WORDS = 5
 LEAD = 4
+HUBS = 6
 COUNT_TOKENS = 4_000_000  # shingles counted at once when frequent ones are looked for
 LOCAL_COUNT = 4
 FREQUENT = 32  # documents
@@ -143,12 +144,22 @@ def frequent_shingles(meta: DataFrame) -> np.ndarray:
     return got.column("s").to_numpy().view(np.uint64)[::-1].copy()
 
 
-def quick_pairs(nodes: DataFrame) -> DataFrame:
-    """Pairs of a node and the hub of one of its smallest shingles."""
-    post = materialize(nodes.select("fp", "n", F.explode("lead").alias("s")))
-    hubs = post.groupBy("s").agg(F.min(F.struct(F.xxhash64("fp"), "fp", "n")).alias("h"), F.count("*").alias("c")).filter("c > 1")
-    hubs = materialize(hubs.select("s", F.col("h.fp").alias("hub"), F.col("h.n").alias("hub_n")))
-    met = post.join(hubs, "s").filter(F.col("fp") != F.col("hub")).filter(can_link(F.col("n"), F.col("hub_n")))
+def quick_pairs(nodes: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
+    """Pairs of a node and the hub of one of its smallest shingles, where nothing ties them yet.
+
+    A shingle has one hub in the first turn and ``HUBS`` others in the second.
+    """
+    named = nodes.select("fp", "n", "lead")
+    if labels is None:
+        named = named.withColumn("component", F.col("fp"))
+    else:
+        named = named.join(labels, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    post = materialize(named.select("fp", "n", "component", F.explode("lead").alias("s")))
+    member = lambda k: F.min(F.struct(F.xxhash64("fp", "s", F.lit(k)), "fp", "n", "component"))
+    some = F.array(*[member(k) for k in range(HUBS)]) if turn else F.array(member(-1))
+    hubs = post.groupBy("s").agg(some.alias("h"), F.count("*").alias("c")).filter("c > 1").select("s", F.explode(F.array_distinct("h")).alias("h"))
+    hubs = materialize(hubs.select("s", F.col("h.fp").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.component").alias("hub_component")))
+    met = post.join(hubs, "s").filter(F.col("component") != F.col("hub_component")).filter(can_link(F.col("n"), F.col("hub_n")))
     return met.select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct()
 
 
@@ -331,6 +342,13 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return materialize(arrow_map(met, exact, "a long, b long").distinct())
 
 
+def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components (fp, component) of known components and new links."""
+    if labels is not None:
+        links = links.unionByName(labels.filter("fp <> component").select(F.col("fp").alias("a"), F.col("component").alias("b")))
+    return materialize(connected_components(links).withColumnRenamed("node", "fp"))
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs (doc_id, text)``."""
     spark = docs.sparkSession
@@ -342,8 +360,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     shingles = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     known = nodes.filter("doc_id is not null")
-    links = verified(quick_pairs(known), known, docs)
-    labels = materialize(connected_components(links).withColumnRenamed("node", "fp"))
+    labels = None
+    for turn in range(2):
+        labels = joined(labels, verified(quick_pairs(known, labels, turn), known, docs))
     by_doc = materialize(own.select("doc_id", "fp").join(labels, "fp"))
     tidy(spark)
 
@@ -352,8 +371,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     tiles = materialize(packed.groupBy("bucket").applyInArrow(tile_pairs, "a long, b long"))
     tidy(spark)
     more = verified(tiles.distinct(), known, docs)
-    star = labels.filter("fp <> component").select(F.col("fp").alias("a"), F.col("component").alias("b"))
-    whole = materialize(connected_components(star.unionByName(more)).withColumnRenamed("node", "fp"))
+    whole = joined(labels, more)
 
     least = whole.join(nodes.select("fp", "doc_id"), "fp").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_linked = whole.join(least, "component").select("fp", "component_id")
