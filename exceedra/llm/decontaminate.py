@@ -127,19 +127,22 @@ class Index:
         step = self.edit[item] + 1
         wide = np.int64(len(x) + 2 * int(self.size.max()) + 4)
         offset = int(self.size.max()) + 1  # diagonals may be negative
-        cell, count = np.unique(item * wide + (diagonal + offset) // step, return_counts=True)
+        key = item * wide + (diagonal + offset) // step
+        by = np.argsort(key, kind="stable")
+        places = self.place[post][by]
+        cell, first, count = np.unique(key[by], return_index=True, return_counts=True)
         nxt = np.zeros(len(cell), np.int64)
         pair = np.flatnonzero(cell[1:] == cell[:-1] + 1)
         nxt[pair] = count[pair + 1]
         hits = []
         # A band is a cell and the next one; one that begins before the first cell is covered by it alone.
-        for c, total in zip(cell.tolist(), (count + nxt).tolist(), strict=True):
-            k = c // wide
-            if total >= self.need[k]:
-                begin = (c % wide) * int(self.edit[k] + 1) - offset
-                hits.append((int(k), begin, total))
+        for c in np.flatnonzero(count + nxt >= self.need[cell // wide]).tolist():
+            k = int(cell[c] // wide)
+            # A gram of the item counts once, however often the band repeats it.
+            if len(set(places[first[c] : first[c] + count[c] + nxt[c]].tolist())) >= self.need[k]:
+                hits.append((k, int(cell[c] % wide) * int(self.edit[k] + 1) - offset))
         best: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-        for k, begin, _ in hits:
+        for k, begin in hits:
             width = 2 * (int(self.edit[k]) + 1)
             lo_, hi_ = max(begin, 0), min(begin + width + int(self.size[k]), len(x))
             first, last = np.searchsorted(ends, lo_), np.searchsorted(ends, max(hi_ - 1, lo_))
