@@ -1,11 +1,24 @@
 """Operator 10: fuzzy line deduplication over the whole corpus.
 
 Lines are compared as lower-case words with digits as 0 and no punctuation.  Equal lines are
-one node.  Each gets a 64-bit SimHash of its words; lines whose hashes differ in at most
+one node.  Candidates link when their edit distance is at most a tenth of the longer.
+They come from two passes.
+
+The first takes a 64-bit SimHash of the words; lines whose hashes differ in at most
 three bits are candidates.  By the pigeonhole principle such a pair agrees on all but three
 of ``m`` blocks of bits, so the lines are joined on every choice of ``m - 3`` blocks; ``m``
 grows with the number of lines to keep the joined groups small and does not change which
-pairs are found.  Candidates link when their edit distance is at most a tenth of the longer.
+pairs are found.
+
+The second takes character q-grams.  ``k`` edits leave a run of at least ``(n - k) / (k + 1)``
+of the longer line's ``n`` characters as they were.  In each window of ``w`` consecutive
+q-grams the rarest is picked, so lines that share a run of ``q + w - 1`` characters share a
+picked q-gram, no more than ``k`` places apart.  ``CLASSES`` has ``q`` and ``w`` by the longer
+line's length: below ``EXACT_BELOW`` characters the run is certain and no pair within the
+edit budget is missed; above, runs of ``q + w - 1`` are certain only for fewer edits, and
+the README gives the measured recall at the full budget.  Rarity comes from a sample and
+decides the number of candidates only.
+
 Of each connected group of lines the first occurrence in the corpus, by document and line,
 stays and all others go.
 
@@ -30,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exceedra.llm.common import arrow_map, chunks, connected_components, materialize, mix64, no_clash, read_table, shuffle_partitions, text_buffer, tidy
+from exceedra.llm.common import arrow_map, chunks, connected_components, free, materialize, mix64, no_clash, read_table, shuffle_partitions, text_buffer, tidy
 from exceedra.llm.decontaminate import END, normalise
 
 MIN_CHARS = 20
@@ -39,6 +52,13 @@ EDIT_SHARE = 10
 GROUP_LINES = 64  # lines expected in a joined group at most
 BUCKET_LINES = 500_000
 MAX_BROADCAST_ROWS = 2_000_000
+# Least length of the longer line, q and w of each class.
+CLASSES = ((0, 6, 1), (40, 6, 3), (90, 6, 4), (120, 10, 4), (240, 12, 6), (480, 16, 8), (960, 16, 14))
+EXACT_BELOW = 120
+BUCKET_POSTINGS = 3_000_000
+SAMPLE_LINES = 20_000
+RARITY_BITS = 20
+BINS = 16
 _STEP = np.uint64(0xD1342543DE82EF95)
 
 
@@ -187,6 +207,139 @@ def joined_pairs(packed: DataFrame, m: int, buckets: int, hubs: bool) -> DataFra
     return packed.groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
 
 
+def class_range(c: int) -> tuple[int, int]:
+    """Lengths of lines that can be in a pair of class ``c``: the shorter may lack a tenth of the longer."""
+    least = CLASSES[c][0]
+    return least - least // EDIT_SHARE, CLASSES[c + 1][0] if c + 1 < len(CLASSES) else 1 << 40
+
+
+def char_grams(texts: list[str], q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all texts end to end, the text and place of each, and the hash of the q-gram there (0 where none is whole)."""
+    size = np.array([len(t) for t in texts], np.int64)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    owner = np.repeat(np.arange(len(texts)), size)
+    place = np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)
+    h = np.zeros(max(len(codes) - q + 1, 0), np.uint64)
+    for j in range(q):
+        h = h * _STEP + codes[j : j + len(h)]
+    h = np.concatenate([mix64(h) | np.uint64(1), np.zeros(len(codes) - len(h), np.uint64)])
+    h[place + q > np.repeat(size, size)] = 0
+    return codes, owner, place, h
+
+
+def picked_grams(texts: list[str], c: int, often: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, q-gram hash, first and last place) of the q-grams picked in each text, a row for each different one."""
+    _, q, w = CLASSES[c]
+    _, owner, place, h = char_grams(texts, q)
+    bits = np.uint64(64 - RARITY_BITS)
+    rank = (often[h >> bits].astype(np.uint64) << np.uint64(48)) | (h >> np.uint64(16))
+    n = len(h) - w + 1
+    if n <= 0:
+        none = np.zeros(0, np.int64)
+        return none, h[:0], none, none
+    least = rank[:n].copy()
+    for j in range(1, w):
+        np.minimum(least, rank[j : n + j], out=least)
+    # A window counts if all its q-grams are whole and of one text; ranks are above 0.
+    least[(h[w - 1 :] == 0) | (h[:n] == 0) | (owner[w - 1 :] != owner[:n])] = 0
+    most = np.zeros(len(h), np.uint64)
+    for j in range(w):
+        np.maximum(most[j : n + j], least, out=most[j : n + j])
+    at = np.flatnonzero((most == rank) & (most > 0))
+    at = at[np.lexsort((place[at], h[at], owner[at]))]
+    new = np.ones(len(at), bool)
+    new[1:] = (owner[at[1:]] != owner[at[:-1]]) | (h[at[1:]] != h[at[:-1]])
+    start = np.flatnonzero(new)
+    stop = np.append(start[1:], len(at))[: len(start)] - 1
+    return owner[at[start]], h[at[start]], place[at[start]], place[at[stop]]
+
+
+def letter_counts(texts: list[str]) -> np.ndarray:
+    """Characters of each text by ``BINS`` classes, 255 at most; an edit moves a class by one up and one by one down."""
+    codes, owner, _, _ = char_grams(texts, 1)
+    bins = (mix64(codes.astype(np.uint64)) >> np.uint64(60)).astype(np.int64)
+    return np.minimum(np.bincount(owner * BINS + bins, minlength=len(texts) * BINS), 255).astype(np.uint8).reshape(-1, BINS)
+
+
+def rarity(sample: list[str], c: int) -> np.ndarray:
+    """How often q-grams occur in a sample, by the first bits of their hash."""
+    h = char_grams(sample, CLASSES[c][1])[3]
+    found = np.bincount((h[h > 0] >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=1 << RARITY_BITS)
+    return np.minimum(found + 1, 65535).astype(np.uint16)
+
+
+def gram_pairs(texts: DataFrame, c: int, sample: list[str], chars: int) -> DataFrame:
+    """Pairs of class ``c`` in ``texts (h, label, size, t)`` of different labels that share a picked q-gram."""
+    spark = texts.sparkSession
+    lo, hi = class_range(c)
+    w = CLASSES[c][2]
+    buckets = max(-(-shuffle_partitions(spark) // 4), -(-2 * chars // ((w + 1) * BUCKET_POSTINGS)))
+    often = spark.sparkContext.broadcast(rarity([t for t in sample if lo <= len(t) < hi], c))
+
+    def post(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for a, b in chunks(batch, 2):
+            part = batch.slice(a, b - a)
+            lines = part.column(2).to_pylist()
+            owner, token, first, last = picked_grams(lines, c, often.value)
+            h, label = (part.column(k).to_numpy() for k in range(2))
+            counts, size = letter_counts(lines), np.array([len(t) for t in lines], np.uint32)
+            bucket = (token >> np.uint64(8)) % np.uint64(buckets)
+            by = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
+            rows: list[tuple] = []
+            for k in range(buckets):
+                i = by[cuts[k] : cuts[k + 1]]
+                if len(i):
+                    used, own = np.unique(owner[i], return_inverse=True)
+                    ints = [v.astype(np.uint32).tobytes() for v in (own, first[i], last[i])]
+                    rows.append((k, h[used].tobytes(), label[used].tobytes(), size[used].tobytes(), counts[used].tobytes(), token[i].tobytes(), *ints))
+            if rows:
+                kinds = [pa.int32(), *[pa.binary()] * 8]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    names = ["bucket", "h", "label", "size", "counts", "token", "own", "first", "last"]
+
+    def meet(table: pa.Table) -> pa.Table:
+        get = lambda name, kind: [np.frombuffer(v, kind) for v in table.column(name).to_pylist()]
+        each_h, each_own = get("h", np.int64), get("own", np.uint32)
+        base = np.cumsum([0, *[len(v) for v in each_h[:-1]]])
+        own = np.concatenate([v.astype(np.int64) + b for v, b in zip(each_own, base, strict=True)])
+        h, label, size = np.concatenate(each_h), np.concatenate(get("label", np.int64)), np.concatenate(get("size", np.uint32)).astype(np.int64)
+        counts = np.concatenate(get("counts", np.uint8)).reshape(-1, BINS)
+        token, first, last = np.concatenate(get("token", np.uint64)), np.concatenate(get("first", np.uint32)).astype(np.int64), np.concatenate(get("last", np.uint32)).astype(np.int64)
+        by = np.lexsort((size[own], token))
+        own, token, first, last = own[by], token[by], first[by], last[by]
+        starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        ends = np.r_[starts[1:], len(token)]
+        mine = label[own]
+        mixed = np.minimum.reduceat(mine, starts) != np.maximum.reduceat(mine, starts)
+        left, d = np.flatnonzero(np.repeat(mixed, ends - starts)), 1
+        found, waiting = np.zeros((0, 2), np.int64), []
+        while len(left):
+            left = left[left + d < len(token)]
+            # Sizes rise in a group, so a line that is too long for ``left`` ends its turn.
+            s, t = own[left], own[left + d]
+            budget = size[t] // EDIT_SHARE
+            go = (token[left] == token[left + d]) & (size[t] - size[s] <= budget)
+            left, s, t, budget = left[go], s[go], t[go], budget[go]
+            r = left + d
+            ok = (mine[left] != mine[r]) & (first[left] - last[r] <= budget) & (first[r] - last[left] <= budget) & (size[t] >= CLASSES[c][0])
+            s, t, budget = s[ok], t[ok], budget[ok]
+            if len(s):
+                more = counts[s].astype(np.int16) - counts[t]
+                ok = np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1)) <= budget
+                waiting.append(np.stack([np.minimum(h[s[ok]], h[t[ok]]), np.maximum(h[s[ok]], h[t[ok]])], 1))
+            if sum(map(len, waiting)) > 1_000_000:
+                found, waiting = np.unique(np.concatenate([found, *waiting]), axis=0), []
+            d += 1
+        found = np.unique(np.concatenate([found, *waiting]), axis=0)
+        return pa.table({"a": found[:, 0], "b": found[:, 1]})
+
+    some = texts.filter((F.col("size") >= lo) & (F.col("size") < hi)).select("h", "label", "t")
+    packed = arrow_map(some, post, "bucket int, h binary, label binary, size binary, counts binary, token binary, own binary, first binary, last binary")
+    return packed.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
+
+
 def within(a: str, b: str, limit: int) -> bool:
     """Whether the edit distance is at most ``limit``: bit-parallel columns over the differing middle."""
     if abs(len(a) - len(b)) > limit:
@@ -205,22 +358,22 @@ def within(a: str, b: str, limit: int) -> bool:
         where[c] = where.get(c, 0) | 1 << i
     full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
     up, down, score = full, 0, len(a)
-    for c in b:
+    for left_over, c in zip(range(len(b) - 1, -1, -1), b, strict=True):
         same = where.get(c, 0)
         diagonal = (((same & up) + up) ^ up) | same | down
         right, left = down | (full & ~(diagonal | up)), up & diagonal
         score += bool(right & last) - bool(left & last)
+        if score - left_over > limit:
+            return False
         right = (right << 1 | 1) & full
         left = left << 1 & full
         up, down = left | (full & ~(diagonal | right)), right & diagonal
     return score <= limit
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs of lines whose edit distance is small, from the texts of their first occurrences."""
-    pairs = materialize(pairs)
-    ids = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
-    needed = nodes.join(ids, "h", "left_semi").groupBy("doc_id", "th").agg(F.collect_list(F.struct("line", "h")).alias("lines"))
+def line_texts(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """h and compared text t of ``nodes``, from their first occurrences."""
+    needed = nodes.groupBy("doc_id", "th").agg(F.collect_list(F.struct("line", "h")).alias("lines"))
     needed = materialize(needed)
     few = needed.count() <= MAX_BROADCAST_ROWS // 10
     texts = docs.join(F.broadcast(needed) if few else needed, ["doc_id", "th"]).select("text", "lines")
@@ -234,7 +387,14 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
                 [pa.array(whole.view(np.int64)[rows]), pa.array([x[begin[k] : ends[k]].tobytes().decode("utf-32-le").strip() for k in rows], pa.string())], ["h", "t"]
             )
 
-    lines = materialize(arrow_map(texts, fetch, "h long, t string").dropDuplicates(["h"]))
+    return materialize(arrow_map(texts, fetch, "h long, t string").dropDuplicates(["h"]))
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs of lines whose edit distance is small."""
+    pairs = materialize(pairs)
+    ids = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
+    lines = line_texts(nodes.join(ids, "h", "left_semi"), docs)
 
     def compare(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         keep = [within(s, t, max(len(s), len(t)) // EDIT_SHARE) for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
@@ -245,6 +405,29 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return materialize(arrow_map(pairs.join(one, "a").join(two, "b").select("a", "b", "s", "t"), compare, "a long, b long"))
 
 
+def stars(labels: DataFrame) -> DataFrame:
+    """Components as links to their smallest node."""
+    return labels.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
+def gram_groups(nodes: DataFrame, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Components ``labels`` with the links of the q-gram pass, one class of lengths after the other."""
+    spark = docs.sparkSession
+    tied = nodes.join(labels, F.col("h") == F.col("node"), "left").select("h", F.coalesce("component", "h").alias("label"))
+    texts = materialize(line_texts(nodes, docs).join(tied, "h").select("h", "label", F.length("t").alias("size"), "t"))
+    n = texts.count()
+    sample = [r["t"] for r in texts.filter(F.pmod("h", F.lit(n // SAMPLE_LINES + 1)) == 0).select(F.substring("t", 1, 2000).alias("t")).toLocalIterator()]
+    links = stars(labels)
+    for c in range(len(CLASSES)):
+        lo, hi = class_range(c)
+        chars = texts.filter((F.col("size") >= lo) & (F.col("size") < hi)).agg(F.sum("size")).first()[0]
+        if chars:
+            links = links.unionByName(verified(gram_pairs(texts, c, sample, chars), nodes, docs))
+            tidy(spark)
+    free(texts)
+    return materialize(connected_components(links))
+
+
 def line_groups(lines: DataFrame, docs: DataFrame) -> DataFrame:
     """First occurrence of the group of every line that has another occurrence or a near copy: (h, doc_id, th, line)."""
     spark = docs.sparkSession
@@ -260,9 +443,9 @@ def line_groups(lines: DataFrame, docs: DataFrame) -> DataFrame:
     tidy(spark)
     tied = nodes.join(labels, F.col("h") == F.col("node"), "left").select("h", "sim", F.coalesce("component", "h").alias("label"))
     more = verified(joined_pairs(packed_keys(tied, m, buckets), m, buckets, False), nodes, docs)
-    star = labels.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    whole = materialize(connected_components(star.unionByName(more)))
+    whole = materialize(connected_components(stars(labels).unionByName(more)))
     tidy(spark)
+    whole = gram_groups(nodes, docs, whole)
     placed = nodes.join(whole, F.col("h") == F.col("node"), "left").select("h", "n", "component", place.alias("p"))
     first = placed.filter("component is not null").groupBy("component").agg(F.min("p").alias("first"))
     near = whole.join(first, "component").select(F.col("node").alias("h"), "first")
