@@ -95,6 +95,7 @@ def fold(codes: np.ndarray) -> np.ndarray:
         use = (to > 0) & np.where(digit, near | follows, follows)
         out[use] = to[use]
     keep = out != 32
+    keep[:1] = True  # the space before the first text
     keep[1:] |= out[:-1] != 32
     return out[keep]
 
