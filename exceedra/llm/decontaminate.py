@@ -144,12 +144,14 @@ class Index:
         best: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         for k, begin in hits:
             width = 2 * (int(self.edit[k]) + 1)
-            lo_, hi_ = max(begin, 0), min(begin + width + int(self.size[k]), len(x))
+            # Edits ahead of the first shared gram or behind the last lead off the band.
+            edit = int(self.edit[k])
+            lo_, hi_ = max(begin - edit, 0), min(begin + width + int(self.size[k]) + edit, len(x))
             first, last = np.searchsorted(ends, lo_), np.searchsorted(ends, max(hi_ - 1, lo_))
             for d in range(int(first), min(int(last), len(ends) - 1) + 1):
                 a = max(lo_, int(ends[d - 1]) + 1 if d else 0)
                 b = min(hi_, int(ends[d]))
-                found = align(self.texts[k], x[a:b], begin - a, width, int(self.edit[k]))
+                found = align(self.texts[k], x[a:b], begin - a, width, edit)
                 if found is not None:
                     best.setdefault((d, k), []).append((a + found[0], a + found[1], found[2]))
         out = []
