@@ -32,9 +32,15 @@ _LOCAL_SCRATCH: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder below the shared one; removed when the JVM ends."""
+    """A fresh folder below the shared one; removed when the JVM ends.
+
+    Without ``spark.checkpoint.dir`` a temporary folder serves a local master; on a cluster
+    that would be a different disk on each machine, so it is an error there.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if not _LOCAL_SCRATCH:
             _LOCAL_SCRATCH.append("file://" + tempfile.mkdtemp(prefix="scratch-"))
         base = _LOCAL_SCRATCH[0]
@@ -227,6 +233,14 @@ def no_clash(df: DataFrame, needed: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in needed])
 
 
+def free_prefix(df: DataFrame) -> str:
+    """A beginning that no column name of ``df`` has, for columns beside the input's own."""
+    prefix = "_x_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix = "_x" + prefix
+    return prefix
+
+
 def local_path(name: str) -> str:
     """Where a public tokenizer file lies on this machine."""
     folder = os.environ.get("TOKENIZER_DIR")

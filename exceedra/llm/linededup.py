@@ -1,35 +1,33 @@
 """Operator 10: fuzzy line deduplication over the whole corpus.
 
 Lines are compared as lower-case words with digits as 0 and no punctuation.  Equal lines are
-one node.  Candidates link when their edit distance is at most a tenth of the longer.
-They come from two passes.
-
-The first takes a 64-bit SimHash of the words; lines whose hashes differ in at most
-three bits are candidates.  By the pigeonhole principle such a pair agrees on all but three
-of ``m`` blocks of bits, so the lines are joined on every choice of ``m - 3`` blocks; ``m``
-grows with the number of lines to keep the joined groups small and does not change which
-pairs are found.
-
-The second takes character q-grams.  ``k`` edits leave a run of at least ``(n - k) / (k + 1)``
-of the longer line's ``n`` characters as they were.  In each window of ``w`` consecutive
-q-grams the rarest is picked, so lines that share a run of ``q + w - 1`` characters share a
-picked q-gram, no more than ``k`` places apart.  ``CLASSES`` has ``q`` and ``w`` by the longer
-line's length: below ``EXACT_BELOW`` characters the run is certain and no pair within the
-edit budget is missed; above, runs of ``q + w - 1`` are certain only for fewer edits, and
-the README gives the measured recall at the full budget.  Rarity comes from a sample and
-decides the number of candidates only.
-
-Of each connected group of lines the first occurrence in the corpus, by document and line,
-stays and all others go.
-
-A first round ties the members of a joined group to one of them; the complete round then
-leaves out pairs that are tied already, so a group of thousands of near copies gives links
-in line with its size.
-
-Defined cases: null and empty texts have one empty line, which stays; lines with fewer than
-``MIN_CHARS`` compared characters always stay; repeated rows and ids are told apart by a
-hash of the text, and rows equal in both lose the same lines; rows with a null id keep all
-lines and lend none; an empty table gives no rows; other columns are not looked at.
+one node, whatever their length.  Lines link when their edit distance is at most a tenth of
+the longer.  Candidates share a block key; a line has keys of two kinds:
+
+* A 64-bit SimHash of its words, cut into ``m`` blocks of bits: a key for each choice of
+  ``m - 3`` blocks.  By the pigeonhole principle lines whose hashes differ in at most three
+  bits agree in one of them.  ``m`` grows with the number of lines to keep blocks small and
+  does not change which pairs are found.
+* Its character q-grams in ``PICKS`` ranges of hash values: the least hash of each range is a
+  key.  One edit of a letter changes a whole word, and with it many bits of the SimHash of a
+  short line, but few q-grams: lines that have the share ``J`` of their q-grams in common
+  agree in each key with chance ``J``.  ``CLASSES`` has ``q`` by the longer line's length.
+
+One pass over the texts deals all keys to buckets.  A bucket keeps those members of a block
+that have a partner near enough in size (or in SimHash), which is linear in its rows; no pair
+is written there.  Their texts are fetched once.  A first round compares each member with the
+block's most frequent line; the second makes the pairs of a block's members that are not
+connected by then; sizes, counts of characters and minima of shorter q-grams rule most of
+them out before any becomes a row.
+A large block is dealt over a triangle of cells for that.  Pairs are verified by edit
+distance.  Of each connected group of lines the first occurrence in the corpus, by document
+and line, stays and all others go.
+
+Defined cases: null and empty texts have one empty line; lines without a letter or digit
+always stay; lines with fewer than ``EDIT_SHARE`` compared characters link with equal ones
+only; repeated rows and ids are told apart by a hash of the text, and rows equal in both lose
+the same lines; rows with a null id keep all lines and lend none; an empty table gives no
+rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -46,20 +44,23 @@ from pyspark.sql import functions as F
 from exceedra.llm.common import arrow_map, chunks, connected_components, free, materialize, mix64, no_clash, read_table, shuffle_partitions, text_buffer, tidy
 from exceedra.llm.decontaminate import END, normalise
 
-MIN_CHARS = 20
 MAX_DISTANCE = 3
 EDIT_SHARE = 10
-GROUP_LINES = 64  # lines expected in a joined group at most
-BUCKET_LINES = 500_000
+GROUP_LINES = 64  # lines expected in a block by chance at most
+LARGE_BLOCK = 2_000  # members that are not looked at pair by pair while blocks are built
+CELL_MEMBERS = 5_000  # of a block, before its pairs are dealt over cells
+BUCKET_LINES = 100_000
+LINE_BYTES = 200  # expected; sets the number of blocks and buckets only
 MAX_BROADCAST_ROWS = 2_000_000
-# Least length of the longer line, q and w of each class.
-CLASSES = ((0, 6, 1), (40, 6, 3), (90, 6, 4), (120, 10, 4), (240, 12, 6), (480, 16, 8), (960, 16, 14))
-EXACT_BELOW = 120
-BUCKET_POSTINGS = 3_000_000
-SAMPLE_LINES = 20_000
-RARITY_BITS = 20
+# Least length of the longer line and q of each class.
+CLASSES = ((EDIT_SHARE, 4), (20, 6), (40, 10), (100, 16))
+PICKS = 6
 BINS = 16
+SKETCH_Q = (4, 8)  # for lines below SKETCH_SIZE, and others
+SKETCH_SIZE = 40
+SKETCH_SHARE = 6
 _STEP = np.uint64(0xD1342543DE82EF95)
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def _powers(n: int) -> np.ndarray:
@@ -76,7 +77,10 @@ def _sums(values: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def lines_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(document, line number, hash, SimHash, first, last + 1) of lines long enough, and the compared text."""
+    """(document, line number, hash, SimHash, first, last + 1) of lines with a letter or digit, and the compared text.
+
+    A line is compared without the spaces at its ends.
+    """
     data = buf.tobytes()
     mark = np.array([END], np.uint32)
     parts, n_lines = [], []
@@ -92,8 +96,10 @@ def lines_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     begin = np.concatenate([[0], ends[:-1] + 1])
     doc = np.repeat(np.arange(len(n_lines)), n_lines)
     number = np.arange(len(ends)) - np.repeat(np.cumsum(n_lines) - n_lines, n_lines)
-    long_ = ends - begin >= MIN_CHARS
-    doc, number, begin, ends = doc[long_], number[long_], begin[long_], ends[long_]
+    begin = begin + (x[np.minimum(begin, len(x) - 1)] == 32)
+    ends = ends - ((ends > begin) & (x[np.maximum(ends - 1, 0)] == 32))
+    some = ends > begin
+    doc, number, begin, ends = doc[some], number[some], begin[some], ends[some]
     none = np.zeros(0, np.uint64)
     if not len(doc):
         return doc, number, none, none, begin, ends, x
@@ -120,22 +126,6 @@ def lines_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return doc, number, whole, sim, begin, ends, x
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """doc_id, th, line, h, sim of every line of ``docs (doc_id, th, text)`` that is long enough."""
-
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for lo, hi in chunks(batch, 2, 1 << 20):
-            part = batch.slice(lo, hi - lo)
-            doc, number, whole, sim, _, _, _ = lines_of(*text_buffer(part.column(2)))
-            who = pa.array(doc, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(who), part.column(1).take(who), pa.array(number.astype(np.int32)), pa.array(whole.view(np.int64)), pa.array(sim.view(np.int64))],
-                ["doc_id", "th", "line", "h", "sim"],
-            )
-
-    return arrow_map(docs, run, "doc_id long, th long, line int, h long, sim long")
-
-
 def blocks_for(n: int) -> int:
     """Number of blocks so that chance alone puts at most ``GROUP_LINES`` lines in a joined group."""
     m = MAX_DISTANCE + 1
@@ -152,192 +142,169 @@ def block_keys(sim: np.ndarray, m: int) -> Iterator[np.ndarray]:
         yield sim & np.uint64(sum(chosen))
 
 
-def packed_keys(nodes: DataFrame, m: int, buckets: int) -> DataFrame:
-    """``nodes (h, sim, label)`` by key: a row for each batch, choice of blocks and bucket."""
+def gram_hashes(x: np.ndarray, q: int) -> np.ndarray:
+    """Hash of the q-gram at each place of an array of code points."""
+    h = np.zeros(max(len(x) - q + 1, 0), np.uint64)
+    for j in range(q):
+        h *= _STEP
+        h += x[j : j + len(h)]
+    return mix64(h)
+
+
+def range_minima(x: np.ndarray, begin: np.ndarray, end: np.ndarray, q: int, ranges: int) -> np.ndarray:
+    """The least q-gram hash of each line in each range of hash values; all bits set where there is none."""
+    low = np.full(len(begin) * ranges, _NONE, np.uint64)
+    count = end - begin - q + 1
+    own = np.flatnonzero(count > 0)
+    count = count[own]
+    if len(own):
+        at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count - begin[own], count)
+        g = gram_hashes(x, q)[at]
+        place = np.repeat(own * ranges, count) + ((g & np.uint64(0xFFFF)) * np.uint64(ranges) >> np.uint64(16)).astype(np.int64)
+        np.minimum.at(low, place, g)
+    return low.reshape(-1, ranges)
+
+
+def picked_grams(x: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key) of the least q-gram hash of each range in each line, for every class that the line can be in."""
+    size = end - begin
+    lines, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for c, (least, q) in enumerate(CLASSES):
+        most = CLASSES[c + 1][0] if c + 1 < len(CLASSES) else 1 << 40
+        # The shorter line of a pair may lack a tenth of the longer.
+        own = np.flatnonzero((size >= least - least // EDIT_SHARE) & (size < most) & (size >= q))
+        if len(own):
+            low = range_minima(x, begin[own], end[own], q, PICKS).ravel()
+            held = np.flatnonzero(low != _NONE)
+            lines.append(own[held // PICKS])
+            keys.append(mix64(low[held] + np.uint64(q)))
+    return np.concatenate(lines), np.concatenate(keys)
+
+
+_FIELDS = ("key", "h", "size", "own")
+_KINDS = (np.uint64, np.int64, np.uint32, np.uint32)
+
+
+def line_blocks(docs: DataFrame, m: int, buckets: int) -> DataFrame:
+    """Lines (doc_id, th, line, h) of ``docs (doc_id, th, text)``, and rows without line that carry the keys of a batch in a bucket.
+
+    Buckets below ``buckets`` hold q-gram keys; those above hold SimHashes by choice of blocks.
+    """
+    names = ["doc_id", "th", "line", "h", "bucket", *(f"b_{f}" for f in _FIELDS)]
+
+    def packed(bucket: np.ndarray, key: np.ndarray, line: np.ndarray, h: np.ndarray, size: np.ndarray) -> Iterator[tuple]:
+        order = np.argsort(bucket, kind="stable")
+        held, starts = np.unique(bucket[order], return_index=True)
+        for b, k in zip(held.tolist(), np.split(order, starts[1:]), strict=True):
+            used, own = np.unique(line[k], return_inverse=True)
+            yield b, key[k].tobytes(), h[used].tobytes(), size[used].tobytes(), own.astype(np.uint32).tobytes()
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        h, sim, label = (batch.column(k).to_numpy() for k in range(3))
-        out: list[list] = [[] for _ in range(4)]
-        for c, key in enumerate(block_keys(sim.view(np.uint64), m)):
-            bucket = (mix64(key) % np.uint64(buckets)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
-            for b in range(buckets):
-                k = by[cuts[b] : cuts[b + 1]]
-                if len(k):
-                    for column, v in zip(out, (c * buckets + b, h[k].tobytes(), sim[k].tobytes(), label[k].tobytes()), strict=True):
-                        column.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], ["bucket", "h", "sim", "label"])
+        seen = np.zeros(0, np.int64)
+        waiting: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            base = np.cumsum([0, *[len(w[0]) for w in waiting]])
+            h, size, sim = (np.concatenate([w[k] for w in waiting]) for k in range(3))
+            line = np.concatenate([w[3] + b for w, b in zip(waiting, base[:-1], strict=True)])
+            key = np.concatenate([w[4] for w in waiting])
+            waiting.clear()
+            rows = list(packed((key % np.uint64(buckets)).astype(np.int64), key, line, h, size))
+            some = np.flatnonzero(size >= EDIT_SHARE)
+            for c, k in enumerate(block_keys(sim[some], m)):
+                rows += packed(buckets * (c + 1) + (mix64(k) % np.uint64(buckets)).astype(np.int64), sim[some], some, h, size)
+            if rows:
+                nothing = [pa.nulls(len(rows), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64())]
+                columns = [pa.array(v, t) for v, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)]
+                yield pa.RecordBatch.from_arrays([*nothing, *columns], names)
 
-    return arrow_map(nodes, run, "bucket int, h binary, sim binary, label binary")
+        lines = 0
+        for lo, hi in chunks(batch, 2, 1 << 20):
+            part = batch.slice(lo, hi - lo)
+            doc, number, whole, sim, begin, end, x = lines_of(*text_buffer(part.column(2)))
+            who, h = pa.array(doc, pa.int64()), whole.view(np.int64)
+            nothing = [pa.nulls(len(doc), t) for t in (pa.int32(), *[pa.binary()] * 4)]
+            yield pa.RecordBatch.from_arrays([part.column(0).take(who), part.column(1).take(who), pa.array(number.astype(np.int32)), pa.array(h), *nothing], names)
+            line, key = picked_grams(x, begin, end)
+            waiting.append((h, (end - begin).astype(np.uint32), sim, line, key))
+            lines += len(doc)
+            if lines > BUCKET_LINES:
+                yield from flush()
+                lines = 0
+        if waiting:
+            yield from flush()
+
+    return arrow_map(docs, run, "doc_id long, th long, line int, h long, bucket int, " + ", ".join(f"b_{f} binary" for f in _FIELDS))
 
 
-def joined_pairs(packed: DataFrame, m: int, buckets: int, hubs: bool) -> DataFrame:
-    """Pairs in a joined group within the distance, of different labels; with ``hubs`` only those with its first member."""
+def block_members(packed: DataFrame, m: int, buckets: int) -> DataFrame:
+    """(block, h, n) of the lines that have a partner within the bounds in their block; ``n`` is how often they occur."""
 
     def run(table: pa.Table) -> pa.Table:
-        choice = int(table.column("bucket")[0].as_py()) // buckets
-        h, sim, label = (np.concatenate([np.frombuffer(v, np.int64) for v in table.column(c).to_pylist()]) for c in ("h", "sim", "label"))
-        key = list(block_keys(sim.view(np.uint64), m))[choice]
-        by = np.lexsort((mix64(h.view(np.uint64)), key))
-        h, sim, label, key = h[by], sim.view(np.uint64)[by], label[by], key[by]
-        found = [np.zeros((0, 2), np.int64)]
-
-        def take(left: np.ndarray, right: np.ndarray) -> None:
-            ok = (label[left] != label[right]) & (np.bitwise_count(sim[left] ^ sim[right]) <= MAX_DISTANCE)
-            a, b = h[left[ok]], h[right[ok]]
-            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
-
-        if hubs:
-            new = np.r_[True, key[1:] != key[:-1]]
-            take(np.flatnonzero(new)[np.cumsum(new) - 1][~new], np.flatnonzero(~new))
+        choice = int(table.column("bucket")[0].as_py()) // buckets - 1
+        parts: list[list[np.ndarray]] = [[] for _ in range(3)]
+        for row in zip(*(table.column(f"b_{f}").to_pylist() for f in _FIELDS), strict=True):
+            key, h, size, own = (np.frombuffer(v, k) for v, k in zip(row, _KINDS, strict=True))
+            for p, v in zip(parts, (key, h[own], size[own]), strict=True):
+                p.append(v)
+        value, h, size = (np.concatenate(p) for p in parts)
+        key = value if choice < 0 else list(block_keys(value, m))[choice]
+        order = np.lexsort((h, size, key))
+        new = np.r_[True, (key[order[1:]] != key[order[:-1]]) | (h[order[1:]] != h[order[:-1]])]
+        n = np.diff(np.append(np.flatnonzero(new), len(order)))
+        order = order[new]
+        key, value, h, size = key[order], value[order], h[order], size[order].astype(np.int64)
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        in_block = np.repeat(np.diff(np.append(starts, len(key))), np.diff(np.append(starts, len(key))))
+        stays = np.zeros(len(key), bool)
+        if choice < 0:  # sizes rise in a block, so the nearest size is next to a line
+            near = (key[1:] == key[:-1]) & (size[1:] - size[:-1] <= size[1:] // EDIT_SHARE)
+            stays[1:] |= near
+            stays[:-1] |= near
         else:
-            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            ends = np.r_[starts[1:], len(key)]
-            mixed = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)
-            left, d = np.flatnonzero(np.repeat(mixed, ends - starts)), 1
+            stays |= in_block > LARGE_BLOCK
+            left, d = np.flatnonzero(in_block <= LARGE_BLOCK), 1
             while len(left):
                 left = left[left + d < len(key)]
-                left = left[key[left] == key[left + d]]
-                take(left, left + d)
+                left = left[(key[left] == key[left + d]) & (size[left + d] - size[left] <= size[left + d] // EDIT_SHARE)]
+                hit = left[np.bitwise_count(value[left] ^ value[left + d]) <= MAX_DISTANCE]
+                stays[hit] = True
+                stays[hit + d] = True
                 d += 1
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return packed.groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
+        block = mix64(key + np.uint64(choice + 1)).view(np.int64)
+        return pa.table({"block": block[stays], "h": h[stays], "n": n[stays]})
 
+    return packed.groupBy("bucket").applyInArrow(run, "block long, h long, n long")
 
-def class_range(c: int) -> tuple[int, int]:
-    """Lengths of lines that can be in a pair of class ``c``: the shorter may lack a tenth of the longer."""
-    least = CLASSES[c][0]
-    return least - least // EDIT_SHARE, CLASSES[c + 1][0] if c + 1 < len(CLASSES) else 1 << 40
 
-
-def char_grams(texts: list[str], q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Code points of all texts end to end, the text and place of each, and the hash of the q-gram there (0 where none is whole)."""
+def signatures(texts: list[str]) -> np.ndarray:
+    """Characters of each text by ``BINS`` classes, 255 at most, and a byte for each of ``BINS`` q-gram minima, 0 for none."""
     size = np.array([len(t) for t in texts], np.int64)
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    owner = np.repeat(np.arange(len(texts)), size)
-    place = np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)
-    h = np.zeros(max(len(codes) - q + 1, 0), np.uint64)
-    for j in range(q):
-        h = h * _STEP + codes[j : j + len(h)]
-    h = np.concatenate([mix64(h) | np.uint64(1), np.zeros(len(codes) - len(h), np.uint64)])
-    h[place + q > np.repeat(size, size)] = 0
-    return codes, owner, place, h
-
-
-def picked_grams(texts: list[str], c: int, often: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text, q-gram hash, first and last place) of the q-grams picked in each text, a row for each different one."""
-    _, q, w = CLASSES[c]
-    _, owner, place, h = char_grams(texts, q)
-    bits = np.uint64(64 - RARITY_BITS)
-    rank = (often[h >> bits].astype(np.uint64) << np.uint64(48)) | (h >> np.uint64(16))
-    n = len(h) - w + 1
-    if n <= 0:
-        none = np.zeros(0, np.int64)
-        return none, h[:0], none, none
-    least = rank[:n].copy()
-    for j in range(1, w):
-        np.minimum(least, rank[j : n + j], out=least)
-    # A window counts if all its q-grams are whole and of one text; ranks are above 0.
-    least[(h[w - 1 :] == 0) | (h[:n] == 0) | (owner[w - 1 :] != owner[:n])] = 0
-    most = np.zeros(len(h), np.uint64)
-    for j in range(w):
-        np.maximum(most[j : n + j], least, out=most[j : n + j])
-    at = np.flatnonzero((most == rank) & (most > 0))
-    at = at[np.lexsort((place[at], h[at], owner[at]))]
-    new = np.ones(len(at), bool)
-    new[1:] = (owner[at[1:]] != owner[at[:-1]]) | (h[at[1:]] != h[at[:-1]])
-    start = np.flatnonzero(new)
-    stop = np.append(start[1:], len(at))[: len(start)] - 1
-    return owner[at[start]], h[at[start]], place[at[start]], place[at[stop]]
-
-
-def letter_counts(texts: list[str]) -> np.ndarray:
-    """Characters of each text by ``BINS`` classes, 255 at most; an edit moves a class by one up and one by one down."""
-    codes, owner, _, _ = char_grams(texts, 1)
     bins = (mix64(codes.astype(np.uint64)) >> np.uint64(60)).astype(np.int64)
-    return np.minimum(np.bincount(owner * BINS + bins, minlength=len(texts) * BINS), 255).astype(np.uint8).reshape(-1, BINS)
-
-
-def rarity(sample: list[str], c: int) -> np.ndarray:
-    """How often q-grams occur in a sample, by the first bits of their hash."""
-    h = char_grams(sample, CLASSES[c][1])[3]
-    found = np.bincount((h[h > 0] >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=1 << RARITY_BITS)
-    return np.minimum(found + 1, 65535).astype(np.uint16)
-
-
-def gram_pairs(texts: DataFrame, c: int, sample: list[str], chars: int) -> DataFrame:
-    """Pairs of class ``c`` in ``texts (h, label, size, t)`` of different labels that share a picked q-gram."""
-    spark = texts.sparkSession
-    lo, hi = class_range(c)
-    w = CLASSES[c][2]
-    buckets = max(-(-shuffle_partitions(spark) // 4), -(-2 * chars // ((w + 1) * BUCKET_POSTINGS)))
-    often = spark.sparkContext.broadcast(rarity([t for t in sample if lo <= len(t) < hi], c))
-
-    def post(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for a, b in chunks(batch, 2):
-            part = batch.slice(a, b - a)
-            lines = part.column(2).to_pylist()
-            owner, token, first, last = picked_grams(lines, c, often.value)
-            h, label = (part.column(k).to_numpy() for k in range(2))
-            counts, size = letter_counts(lines), np.array([len(t) for t in lines], np.uint32)
-            bucket = (token >> np.uint64(8)) % np.uint64(buckets)
-            by = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
-            rows: list[tuple] = []
-            for k in range(buckets):
-                i = by[cuts[k] : cuts[k + 1]]
-                if len(i):
-                    used, own = np.unique(owner[i], return_inverse=True)
-                    ints = [v.astype(np.uint32).tobytes() for v in (own, first[i], last[i])]
-                    rows.append((k, h[used].tobytes(), label[used].tobytes(), size[used].tobytes(), counts[used].tobytes(), token[i].tobytes(), *ints))
-            if rows:
-                kinds = [pa.int32(), *[pa.binary()] * 8]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-    names = ["bucket", "h", "label", "size", "counts", "token", "own", "first", "last"]
-
-    def meet(table: pa.Table) -> pa.Table:
-        get = lambda name, kind: [np.frombuffer(v, kind) for v in table.column(name).to_pylist()]
-        each_h, each_own = get("h", np.int64), get("own", np.uint32)
-        base = np.cumsum([0, *[len(v) for v in each_h[:-1]]])
-        own = np.concatenate([v.astype(np.int64) + b for v, b in zip(each_own, base, strict=True)])
-        h, label, size = np.concatenate(each_h), np.concatenate(get("label", np.int64)), np.concatenate(get("size", np.uint32)).astype(np.int64)
-        counts = np.concatenate(get("counts", np.uint8)).reshape(-1, BINS)
-        token, first, last = np.concatenate(get("token", np.uint64)), np.concatenate(get("first", np.uint32)).astype(np.int64), np.concatenate(get("last", np.uint32)).astype(np.int64)
-        by = np.lexsort((size[own], token))
-        own, token, first, last = own[by], token[by], first[by], last[by]
-        starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-        ends = np.r_[starts[1:], len(token)]
-        mine = label[own]
-        mixed = np.minimum.reduceat(mine, starts) != np.maximum.reduceat(mine, starts)
-        left, d = np.flatnonzero(np.repeat(mixed, ends - starts)), 1
-        found, waiting = np.zeros((0, 2), np.int64), []
-        while len(left):
-            left = left[left + d < len(token)]
-            # Sizes rise in a group, so a line that is too long for ``left`` ends its turn.
-            s, t = own[left], own[left + d]
-            budget = size[t] // EDIT_SHARE
-            go = (token[left] == token[left + d]) & (size[t] - size[s] <= budget)
-            left, s, t, budget = left[go], s[go], t[go], budget[go]
-            r = left + d
-            ok = (mine[left] != mine[r]) & (first[left] - last[r] <= budget) & (first[r] - last[left] <= budget) & (size[t] >= CLASSES[c][0])
-            s, t, budget = s[ok], t[ok], budget[ok]
-            if len(s):
-                more = counts[s].astype(np.int16) - counts[t]
-                ok = np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1)) <= budget
-                waiting.append(np.stack([np.minimum(h[s[ok]], h[t[ok]]), np.maximum(h[s[ok]], h[t[ok]])], 1))
-            if sum(map(len, waiting)) > 1_000_000:
-                found, waiting = np.unique(np.concatenate([found, *waiting]), axis=0), []
-            d += 1
-        found = np.unique(np.concatenate([found, *waiting]), axis=0)
-        return pa.table({"a": found[:, 0], "b": found[:, 1]})
-
-    some = texts.filter((F.col("size") >= lo) & (F.col("size") < hi)).select("h", "label", "t")
-    packed = arrow_map(some, post, "bucket int, h binary, label binary, size binary, counts binary, token binary, own binary, first binary, last binary")
-    return packed.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
+    out = np.zeros((len(texts), 2 * BINS), np.uint8)
+    out[:, :BINS] = np.minimum(np.bincount(np.repeat(np.arange(len(texts)), size) * BINS + bins, minlength=len(texts) * BINS), 255).reshape(-1, BINS)
+    end = np.cumsum(size)
+    for q, some in ((SKETCH_Q[0], size < SKETCH_SIZE), (SKETCH_Q[1], size >= SKETCH_SIZE)):
+        own = np.flatnonzero(some)
+        low = range_minima(codes, end[own] - size[own], end[own], q, BINS)
+        out[own, BINS:] = np.where(low == _NONE, 0, mix64(low) % np.uint64(255) + np.uint64(1))
+    return out
+
+
+def can_link(one: np.ndarray, two: np.ndarray, size_one: np.ndarray, size_two: np.ndarray) -> np.ndarray:
+    """Whether pairs of lines can be within the budget, by their sizes and signatures.
+
+    An edit moves one character class up and one down.  Pairs must also agree in a sixth of
+    the q-gram minima that either has; lines on two sides of ``SKETCH_SIZE`` are not held to that.
+    """
+    budget = np.maximum(size_one, size_two) // EDIT_SHARE
+    more = one[:, :BINS].astype(np.int16) - two[:, :BINS]
+    ok = (np.abs(size_one - size_two) <= budget) & (np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1)) <= budget)
+    x, y = one[:, BINS:], two[:, BINS:]
+    used = ((x > 0) | (y > 0)).sum(1)
+    same = ((x == y) & (x > 0)).sum(1)
+    return ok & ((SKETCH_SHARE * same >= used) | ((size_one < SKETCH_SIZE) != (size_two < SKETCH_SIZE)))
 
 
 def within(a: str, b: str, limit: int) -> bool:
@@ -371,38 +338,43 @@ def within(a: str, b: str, limit: int) -> bool:
     return score <= limit
 
 
-def line_texts(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """h and compared text t of ``nodes``, from their first occurrences."""
-    needed = nodes.groupBy("doc_id", "th").agg(F.collect_list(F.struct("line", "h")).alias("lines"))
-    needed = materialize(needed)
-    few = needed.count() <= MAX_BROADCAST_ROWS // 10
-    texts = docs.join(F.broadcast(needed) if few else needed, ["doc_id", "th"]).select("text", "lines")
+def line_texts(lines: DataFrame, needed: DataFrame, docs: DataFrame) -> DataFrame:
+    """h, compared text t and counts of characters of the lines ``needed (h)``, each from one of its occurrences."""
+    few = needed.count() <= MAX_BROADCAST_ROWS
+    some = lines.join(F.broadcast(needed) if few else needed, "h", "left_semi")
+    first = some.groupBy("h").agg(F.min(F.struct("doc_id", "th", "line")).alias("p"))
+    lists = materialize(first.groupBy("p.doc_id", "p.th").agg(F.collect_list(F.struct("p.line", "h")).alias("lines")))
+    few = lists.count() <= MAX_BROADCAST_ROWS // 10
+    texts = docs.join(F.broadcast(lists) if few else lists, ["doc_id", "th"]).select("text", "lines")
 
     def fetch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for lo, hi in chunks(batch, 0, 1 << 20):
-            doc, number, whole, _, begin, ends, x = lines_of(*text_buffer(batch.column(0).slice(lo, hi - lo)))
+            doc, _, whole, _, begin, end, x = lines_of(*text_buffer(batch.column(0).slice(lo, hi - lo)))
             want = {(i, w["h"]) for i, ws in enumerate(batch.column(1).slice(lo, hi - lo).to_pylist()) for w in ws}
             rows = [k for k, key in enumerate(zip(doc.tolist(), whole.view(np.int64).tolist(), strict=True)) if key in want]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(whole.view(np.int64)[rows]), pa.array([x[begin[k] : ends[k]].tobytes().decode("utf-32-le").strip() for k in rows], pa.string())], ["h", "t"]
-            )
+            if rows:
+                found = [x[begin[k] : end[k]].tobytes().decode("utf-32-le") for k in rows]
+                yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)[rows]), pa.array(found, pa.string()), pa.array([c.tobytes() for c in signatures(found)], pa.binary())], ["h", "t", "bag"])
 
-    return materialize(arrow_map(texts, fetch, "h long, t string").dropDuplicates(["h"]))
+    return materialize(arrow_map(texts, fetch, "h long, t string, bag binary").dropDuplicates(["h"]))
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs of lines whose edit distance is small."""
-    pairs = materialize(pairs)
-    ids = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
-    lines = line_texts(nodes.join(ids, "h", "left_semi"), docs)
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of lines whose edit distance is small."""
 
     def compare(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        keep = [within(s, t, max(len(s), len(t)) // EDIT_SHARE) for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-        flags = pa.array(keep, pa.bool_())
+        s, t = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        size_s, size_t = (np.array(list(map(len, v)), np.int64) for v in (s, t))
+        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, 2 * BINS) for k in (4, 5))
+        keep = can_link(x, y, size_s, size_t)
+        for i in np.flatnonzero(keep).tolist():
+            keep[i] = within(s[i], t[i], max(len(s[i]), len(t[i])) // EDIT_SHARE)
+        flags = pa.array(keep)
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(flags), batch.column(1).filter(flags)], ["a", "b"])
 
-    one, two = lines.select(F.col("h").alias("a"), F.col("t").alias("s")), lines.select(F.col("h").alias("b"), "t")
-    return materialize(arrow_map(pairs.join(one, "a").join(two, "b").select("a", "b", "s", "t"), compare, "a long, b long"))
+    one, two = texts.select(F.col("h").alias("a"), F.col("t").alias("s"), F.col("bag").alias("x")), texts.select(F.col("h").alias("b"), "t", F.col("bag").alias("y"))
+    met = pairs.join(one, "a").join(two, "b").select("a", "b", "s", "t", "x", "y")
+    return materialize(arrow_map(met, compare, "a long, b long"))
 
 
 def stars(labels: DataFrame) -> DataFrame:
@@ -410,46 +382,79 @@ def stars(labels: DataFrame) -> DataFrame:
     return labels.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
 
 
-def gram_groups(nodes: DataFrame, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Components ``labels`` with the links of the q-gram pass, one class of lengths after the other."""
-    spark = docs.sparkSession
-    tied = nodes.join(labels, F.col("h") == F.col("node"), "left").select("h", F.coalesce("component", "h").alias("label"))
-    texts = materialize(line_texts(nodes, docs).join(tied, "h").select("h", "label", F.length("t").alias("size"), "t"))
-    n = texts.count()
-    sample = [r["t"] for r in texts.filter(F.pmod("h", F.lit(n // SAMPLE_LINES + 1)) == 0).select(F.substring("t", 1, 2000).alias("t")).toLocalIterator()]
-    links = stars(labels)
-    for c in range(len(CLASSES)):
-        lo, hi = class_range(c)
-        chars = texts.filter((F.col("size") >= lo) & (F.col("size") < hi)).agg(F.sum("size")).first()[0]
-        if chars:
-            links = links.unionByName(verified(gram_pairs(texts, c, sample, chars), nodes, docs))
-            tidy(spark)
-    free(texts)
-    return materialize(connected_components(links))
-
-
-def line_groups(lines: DataFrame, docs: DataFrame) -> DataFrame:
+def pairs_across(members: DataFrame, n: int) -> DataFrame:
+    """Pairs of a block's members of different labels, within the bounds; ``members (block, h, label, size, bag, side)``."""
+
+    def run(table: pa.Table) -> pa.Table:
+        block, h, label, size, side = (table.column(c).to_numpy() for c in ("block", "h", "label", "size", "side"))
+        bag = np.frombuffer(b"".join(table.column("bag").to_pylist()), np.uint8).reshape(-1, 2 * BINS)
+        order = np.lexsort((h, size, block))
+        block, h, label, size, side, bag = block[order], h[order], label[order], size[order].astype(np.int64), side[order], bag[order]
+        found, waiting = [np.zeros((0, 2), np.int64)], 0
+        left, d = np.arange(len(h)), 1
+        while len(left):
+            left = left[left + d < len(h)]
+            r = left + d
+            budget = size[r] // EDIT_SHARE
+            go = (block[left] == block[r]) & (size[r] - size[left] <= budget)
+            left, r, budget = left[go], r[go], budget[go]
+            ok = (label[left] != label[r]) & ((side[left] != side[r]) | (side[left] == 0))
+            s, t = left[ok], r[ok]
+            for a in range(0, len(s), 100_000):
+                i, j = s[a : a + 100_000], t[a : a + 100_000]
+                fits = can_link(bag[i], bag[j], size[i], size[j])
+                found.append(np.stack([np.minimum(h[i[fits]], h[j[fits]]), np.maximum(h[i[fits]], h[j[fits]])], 1))
+                waiting += len(found[-1])
+            if waiting > 1_000_000:
+                found, waiting = [np.unique(np.concatenate(found), axis=0)], 0
+            d += 1
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    dealt = members.withColumn("bucket", F.pmod(F.xxhash64("block"), F.lit(n)))
+    return dealt.groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
+
+
+def open_members(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """Members of blocks with more than one label, each with its label, size and counts; large blocks as cells.
+
+    A block of ``c`` parts has a cell for each part and one for each two parts, whose members
+    meet only those of the other side.
+    """
+    tied = members.join(labels, F.col("h") == F.col("node"), "left").select("block", "h", F.coalesce("component", "h").alias("label"))
+    tied = materialize(tied)
+    mixed = tied.groupBy("block").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("block", F.ceil(F.col("c") / CELL_MEMBERS).cast("int").alias("c"))
+    info = texts.select("h", F.length("t").alias("size"), "bag")
+    dealt = tied.join(mixed, "block").join(info, "h").withColumn("own", F.pmod(F.xxhash64("h"), F.col("c")).cast("int"))
+    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+    cell = F.when(F.col("c") == 1, F.col("block")).otherwise(F.xxhash64("block", F.least("own", "other"), F.greatest("own", "other")))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    return cells.select(cell.alias("block"), "h", "label", "size", "bag", side.alias("side"))
+
+
+def line_groups(lines: DataFrame, packed: DataFrame, docs: DataFrame, m: int, buckets: int) -> DataFrame:
     """First occurrence of the group of every line that has another occurrence or a near copy: (h, doc_id, th, line)."""
     spark = docs.sparkSession
-    place = F.struct("doc_id", "line", "th")
-    nodes = lines.groupBy("h").agg(F.min(place).alias("p"), F.min("sim").alias("sim"), F.count("*").alias("n"))
-    nodes = materialize(nodes.select("h", "sim", "n", "p.doc_id", "p.line", "p.th"))
-    n = nodes.count()
-    m = blocks_for(n)
-    buckets = max(-(-shuffle_partitions(spark) // 4), -(-n // BUCKET_LINES))
-    own = nodes.select("h", "sim", F.col("h").alias("label"))
-    links = verified(joined_pairs(packed_keys(own, m, buckets), m, buckets, True), nodes, docs)
+    members = materialize(block_members(packed, m, buckets))
+    tidy(spark)
+    texts = line_texts(lines, materialize(members.select("h").distinct()), docs)
+    hubs = members.groupBy("block").agg(F.max(F.struct("n", "h")).alias("hub"))
+    pairs = members.join(hubs, "block").select("h", F.col("hub.h").alias("g")).filter("h <> g")
+    links = verified(pairs.select(F.least("h", "g").alias("a"), F.greatest("h", "g").alias("b")).distinct(), texts)
     labels = materialize(connected_components(links))
     tidy(spark)
-    tied = nodes.join(labels, F.col("h") == F.col("node"), "left").select("h", "sim", F.coalesce("component", "h").alias("label"))
-    more = verified(joined_pairs(packed_keys(tied, m, buckets), m, buckets, False), nodes, docs)
+    rest = materialize(open_members(members, labels, texts))
+    n = max(shuffle_partitions(spark), -(-rest.count() // BUCKET_LINES))
+    more = verified(pairs_across(rest, n), texts)
     whole = materialize(connected_components(stars(labels).unionByName(more)))
+    free(rest), free(texts)
     tidy(spark)
-    whole = gram_groups(nodes, docs, whole)
-    placed = nodes.join(whole, F.col("h") == F.col("node"), "left").select("h", "n", "component", place.alias("p"))
-    first = placed.filter("component is not null").groupBy("component").agg(F.min("p").alias("first"))
-    near = whole.join(first, "component").select(F.col("node").alias("h"), "first")
-    same = placed.filter("component is null and n > 1").select("h", F.col("p").alias("first"))
+    place = F.struct("doc_id", "line", "th")
+    first = lines.groupBy("h").agg(F.min(place).alias("p"), F.count("*").alias("n"))
+    placed = materialize(first.join(whole, F.col("h") == F.col("node"), "left").select("h", "n", "component", "p").filter("n > 1 or component is not null"))
+    least = placed.filter("component is not null").groupBy("component").agg(F.min("p").alias("first"))
+    near = whole.join(least, "component").select(F.col("node").alias("h"), "first")
+    same = placed.filter("component is null").select("h", F.col("p").alias("first"))
     return materialize(near.unionByName(same).select("h", F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th"), F.col("first.line").alias("line")))
 
 
@@ -458,8 +463,13 @@ def dedup_lines(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = no_clash(docs, ["doc_id", "text"]).select("doc_id", F.xxhash64(text).alias("th"), text.alias("text"))
     some = docs.filter("doc_id is not null")
-    lines = materialize(line_table(some))
-    first = line_groups(lines, some).withColumnsRenamed({"doc_id": "_d", "th": "_t", "line": "_l", "h": "_h"})
+    spark = docs.sparkSession
+    n_bytes = some.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    m = blocks_for(int(n_bytes) // LINE_BYTES)
+    buckets = max(-(-shuffle_partitions(spark) // 4), -(-int(n_bytes) // (LINE_BYTES * BUCKET_LINES)))
+    found = materialize(line_blocks(some, m, buckets))
+    lines, packed = found.filter("bucket is null").select("doc_id", "th", "line", "h"), found.filter("bucket is not null")
+    first = line_groups(lines, packed, some, m, buckets).withColumnsRenamed({"doc_id": "_d", "th": "_t", "line": "_l", "h": "_h"})
     met = lines.join(first, F.col("h") == F.col("_h"))
     gone = met.filter((F.col("doc_id") != F.col("_d")) | (F.col("line") != F.col("_l")) | (F.col("th") != F.col("_t")))
     lists = gone.groupBy("doc_id", "th").agg(F.collect_set("line").alias("gone"))

@@ -10,14 +10,18 @@ copies cost one entry.  Links are found in two passes:
    of the larger and the first ninth of the smaller.  Frequent shingles come last in the
    order, so the tiles that these prefixes make stay small.  A tile is one shingle with the
    sizes that can link: its members are sorted by size and each meets those up to 5/4 of its
-   own.  Members that the quick turns already tied are not paired again, nor is a pair whose
-   previous shingles agree, as that shingle's tile has it.
-
-Each pair is then bounded by bitmaps: every shingle flips one bit of about as many as the set
-has shingles, and the number of bits in which two bitmaps differ (the longer one folded to
-the other's length) is a lower bound of the difference of the sets, hence an upper bound of
-the overlap.  Pairs that pass are counted on the sorted arrays.  Components
-of the links give each document the smallest reachable id.
+   own.  Members that the quick turns already tied are not paired again.  The places of the
+   shingle in both orders bound the overlap: where it is the first that two sets share, what
+   stands before it on either side is not shared.  A pair that this bound lets go in a later
+   tile has met the same bound, with smaller places, in its first one.  The tile of a shingle
+   that is known to be in many documents is dealt over a triangle of cells, each for two
+   parts of its members, so that no task holds it whole.
+
+Each pair is then bounded by bitmaps: every shingle flips one bit of about twice as many as
+the set has shingles, and the number of bits in which two bitmaps differ (the longer one
+folded to the other's length) is a lower bound of the difference of the sets, hence an upper
+bound of the overlap.  Pairs that pass are counted on the sorted arrays.  Components of the
+links give each document the smallest reachable id.
 
 Defined cases: a text without words, or null, has size 0, links with nothing and is its own
 component; a shorter text than five words is one shingle; repeated rows and equal texts share
@@ -40,12 +44,13 @@ from exceedra.llm.common import arrow_map, chunks, connected_components, materia
 WORDS = 5
 LEAD = 4
 HUBS = 6
-COUNT_TOKENS = 4_000_000  # shingles counted at once when frequent ones are looked for
+COUNT_TOKENS = 1_000_000  # shingles counted at once when frequent ones are looked for
 LOCAL_COUNT = 4
 FREQUENT = 32  # documents
 MAX_FREQUENT = 2_000_000  # shingles broadcast; beyond it the rarer of them keep their places in the order
 MAX_BROADCAST_ROWS = 2_000_000
 BUCKET_POSTINGS = 500_000
+CELL_MEMBERS = 20_000  # of a tile, before it is dealt over cells
 
 
 def sets_of(column: pa.Array) -> list[np.ndarray]:
@@ -61,8 +66,8 @@ def fingerprint(shingles: np.ndarray) -> int:
 
 
 def signature(shingles: np.ndarray) -> bytes:
-    """Parities of the shingles over a power of two of bits near their number, at least 64."""
-    bits = max(64, 1 << round(float(np.log2(len(shingles)))))
+    """Parities of the shingles over a power of two of bits near twice their number, at least 64."""
+    bits = max(64, 2 << round(float(np.log2(len(shingles)))))
     flips = np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8)).tobytes()
 
@@ -84,18 +89,18 @@ def _frequent_here(sets: list[np.ndarray]) -> tuple[bytes, bytes]:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, n, fp, lead, sig of every document, and rows without n that carry frequent shingles."""
+    """doc_id, th, n, fp, lead, sig of every row of ``docs (doc_id, text, th)``, and rows without n that carry frequent shingles."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         tokens = 0
-        names = ["doc_id", "n", "fp", "lead", "sig", "often", "times"]
+        names = ["doc_id", "th", "n", "fp", "lead", "sig", "often", "times"]
 
         def counted() -> pa.RecordBatch:
             often, times = _frequent_here(list(held.values()))
             held.clear()
             return pa.RecordBatch.from_arrays(
-                [pa.array([None], pa.int64()), pa.array([None], pa.int32()), pa.array([None], pa.int64()), pa.array([None], pa.list_(pa.int64())), pa.array([None], pa.binary()), pa.array([often], pa.binary()), pa.array([times], pa.binary())], names
+                [*(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary())), pa.array([often], pa.binary()), pa.array([times], pa.binary())], names
             )
 
         for lo, hi in chunks(batch, 1):
@@ -109,6 +114,7 @@ def describe(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(lo, hi - lo),
+                    batch.column(2).slice(lo, hi - lo),
                     pa.array([len(s) for s in sets], pa.int32()),
                     pa.array(fps, pa.int64()),
                     pa.array([s[:LEAD].view(np.int64).tolist() for s in sets], pa.list_(pa.int64())),
@@ -124,11 +130,11 @@ def describe(docs: DataFrame) -> DataFrame:
         if held:
             yield counted()
 
-    return arrow_map(docs, run, "doc_id long, n int, fp long, lead array<long>, sig binary, often binary, times binary")
+    return arrow_map(docs, run, "doc_id long, th long, n int, fp long, lead array<long>, sig binary, often binary, times binary")
 
 
-def frequent_shingles(meta: DataFrame) -> np.ndarray:
-    """Shingles in many documents, the most frequent last, at most ``MAX_FREQUENT``.
+def frequent_shingles(meta: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles in many documents, the most frequent last, at most ``MAX_FREQUENT``, and their counts.
 
     Every batch of documents reports what it saw four times.  Which shingles are known here
     sets the order and so the size of tiles, never the pairs that link.
@@ -141,7 +147,7 @@ def frequent_shingles(meta: DataFrame) -> np.ndarray:
     rows = arrow_map(meta.filter("often is not null").select("often", "times"), spread, "s long, c long")
     often = rows.groupBy("s").agg(F.sum("c").alias("c")).filter(F.col("c") >= FREQUENT)
     got = often.orderBy(F.desc("c"), "s").limit(MAX_FREQUENT).toArrow()
-    return got.column("s").to_numpy().view(np.uint64)[::-1].copy()
+    return got.column("s").to_numpy().view(np.uint64)[::-1].copy(), got.column("c").to_numpy()[::-1].copy()
 
 
 def quick_pairs(nodes: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
@@ -167,19 +173,20 @@ def can_link(n, m):
     return F.least(n, m) * 5 >= F.greatest(n, m) * 4
 
 
-def prefixes(docs: DataFrame, labels: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
-    """Packed prefixes: a row for each batch of documents and bucket of shingles."""
+def prefixes(docs: DataFrame, labels: DataFrame, frequent: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
+    """Packed prefixes: a row for each batch of documents and bucket of shingles that it has."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(frequent)
     few = labels.count() <= MAX_BROADCAST_ROWS
     joined = docs.join(F.broadcast(labels) if few else labels, "doc_id", "left").select("text", "fp", "component")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = np.argsort(shared.value, kind="stable")  # place in the order of frequency
-        values = shared.value[rank]
+        rank = np.argsort(shared.value[0], kind="stable")  # place in the order of frequency
+        values = shared.value[0][rank]
+        cells = -(-shared.value[1][rank] // CELL_MEMBERS)  # parts that a tile is dealt into
         seen: set[int] = set()
         for batch in batches:
-            toks, prev, index, docs_, fps, ns, labels_ = [], [], [], [], [], [], []
+            toks, place, docs_, fps, ns, labels_ = [], [], [], [], [], []
             for lo, hi in chunks(batch, 0):
                 sets = sets_of(batch.column(0).slice(lo, hi - lo))
                 named = batch.column(1).slice(lo, hi - lo).to_pylist()
@@ -197,32 +204,28 @@ def prefixes(docs: DataFrame, labels: DataFrame, frequent: np.ndarray, buckets:
                         often = values[at] == s
                         if often[:length].any():
                             s = np.concatenate([s[~often], s[often][np.argsort(rank[at[often]])]])
-                    t = s[:length]
-                    toks.append(t)
-                    p = np.zeros(length, np.uint32)
-                    p[1:] = t[:-1].astype(np.uint32) | np.uint32(1)
-                    prev.append(p)
-                    index.append(np.arange(length) < n - -(-8 * n // 9) + 1)
+                    toks.append(s[:length])
+                    place.append(np.arange(length, dtype=np.uint32))
                     docs_.append(np.full(length, len(fps), np.int32))
                     fps.append(fp)
                     ns.append(n)
                     labels_.append(c if c is not None and f == fp else fp)
-            if len(seen) > 500_000:
+            if len(seen) > 100_000:
                 seen.clear()
             if not fps:
                 continue
-            tok = np.concatenate(toks)
-            order = np.argsort(tok % np.uint64(buckets), kind="stable")
-            tok, prev_, index_, doc = tok[order], np.concatenate(prev)[order], np.concatenate(index)[order], np.concatenate(docs_)[order]
-            cuts = np.searchsorted((tok % np.uint64(buckets)).astype(np.int64), np.arange(buckets + 1))
+            tok, at_, doc = np.concatenate(toks), np.concatenate(place), np.concatenate(docs_)
             fps_, ns_, comps = np.array(fps, np.int64), np.array(ns, np.int32), np.array(labels_, np.int64)
+            side = np.zeros(len(tok), np.uint8)
+            if len(values) and cells.max() > 1:
+                tok, at_, doc, side = dealt_over_cells(tok, at_, doc, fps_, values, cells)
+            bucket = (tok % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            held, starts = np.unique(bucket[order], return_index=True)
             out: list[list] = [[] for _ in range(8)]
-            for b in range(buckets):
-                lo, hi = cuts[b], cuts[b + 1]
-                if lo == hi:
-                    continue
-                who, local = np.unique(doc[lo:hi], return_inverse=True)
-                parts = (tok[lo:hi], prev_[lo:hi], index_[lo:hi], local.astype(np.int32), fps_[who], ns_[who], comps[who])
+            for b, k in zip(held.tolist(), np.split(order, starts[1:]), strict=True):
+                who, local = np.unique(doc[k], return_inverse=True)
+                parts = (tok[k], at_[k], side[k], local.astype(np.int32), fps_[who], ns_[who], comps[who])
                 for column, v in zip(out, (b, *(x.tobytes() for x in parts)), strict=True):
                     column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], ["bucket", *_PACKED])
@@ -230,53 +233,65 @@ def prefixes(docs: DataFrame, labels: DataFrame, frequent: np.ndarray, buckets:
     return joined.mapInArrow(run, "bucket int, " + ", ".join(f"{c} binary" for c in _PACKED))
 
 
-_PACKED = ("tok", "prev", "idx", "doc", "fps", "ns", "comps")
-_KINDS = (np.uint64, np.uint32, np.bool_, np.int32, np.int64, np.int32, np.int64)
+def dealt_over_cells(tok: np.ndarray, place: np.ndarray, doc: np.ndarray, fps: np.ndarray, values: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Postings with those of large tiles copied to their cells, under a name for each cell.
+
+    A tile of ``c`` parts has a cell for each part (side 0) and one for each two parts (side 1
+    and 2), whose members meet only those of the other side.  A member is in ``c`` cells.
+    """
+    at = np.searchsorted(values, tok)
+    at[at == len(values)] = 0
+    large = np.flatnonzero((values[at] == tok) & (cells[at] > 1))
+    small = np.ones(len(tok), bool)
+    small[large] = False
+    c = cells[at[large]]
+    part = (mix64(fps[doc[large]].view(np.uint64)) % c.astype(np.uint64)).astype(np.int64)
+    copy = np.repeat(large, c)
+    own, other = np.repeat(part, c), np.arange(len(copy)) - np.repeat(np.cumsum(c) - c, c)
+    low, high = np.minimum(own, other), np.maximum(own, other)
+    name = mix64(tok[copy] ^ mix64((low << 32 | high).astype(np.uint64)))
+    side = np.where(own == other, 0, np.where(own < other, 1, 2)).astype(np.uint8)
+    return np.concatenate([tok[small], name]), np.concatenate([place[small], place[copy]]), np.concatenate([doc[small], doc[copy]]), np.concatenate([np.zeros(int(small.sum()), np.uint8), side])
+
+
+_PACKED = ("tok", "place", "side", "doc", "fps", "ns", "comps")
+_KINDS = (np.uint64, np.uint32, np.uint8, np.int32, np.int64, np.int32, np.int64)
 
 
 def tile_pairs(table: pa.Table) -> pa.Table:
-    """Candidate pairs of one bucket of packed prefixes."""
+    """Candidate pairs of one bucket of packed prefixes, within the bounds by sizes and places."""
     parts: list[list[np.ndarray]] = [[] for _ in range(6)]
     for row in zip(*(table.column(c).to_pylist() for c in _PACKED), strict=True):
-        tok, prev, idx, doc, fps, ns, comps = (np.frombuffer(v, k) for v, k in zip(row, _KINDS, strict=True))
-        for p, v in zip(parts, (tok, prev, idx, fps[doc], ns[doc], comps[doc]), strict=True):
+        tok, place, side, doc, fps, ns, comps = (np.frombuffer(v, k) for v, k in zip(row, _KINDS, strict=True))
+        for p, v in zip(parts, (tok, place, side, fps[doc], ns[doc], comps[doc]), strict=True):
             p.append(v)
-    tok, prev, idx, fp, n, comp = (np.concatenate(p) for p in parts)
+    tok, place, side, fp, n, comp = (np.concatenate(p) for p in parts)
     order = np.lexsort((fp, n, tok))
-    tok, prev, idx, fp, n, comp = (v[order] for v in (tok, prev, idx, fp, n, comp))
     keep = np.ones(len(tok), bool)
-    keep[1:] = (tok[1:] != tok[:-1]) | (fp[1:] != fp[:-1])
-    starts = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
-    ends = np.r_[starts[1:], len(tok)]
-    mixed = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
-    keep &= np.repeat(mixed, ends - starts)
-    tok, prev, idx, fp, n, comp = (v[keep] for v in (tok, prev, idx, fp, n, comp))
-    n = n.astype(np.int64)
+    keep[1:] = (tok[order[1:]] != tok[order[:-1]]) | (fp[order[1:]] != fp[order[:-1]])
+    order = order[keep]
+    starts = np.flatnonzero(np.r_[True, tok[order[1:]] != tok[order[:-1]]])
+    mixed = np.minimum.reduceat(comp[order], starts) != np.maximum.reduceat(comp[order], starts)
+    order = order[np.repeat(mixed, np.diff(np.append(starts, len(order))))]
+    tok, place, side, fp, n, comp = tok[order], place[order].astype(np.int64), side[order], fp[order], n[order].astype(np.int64), comp[order]
+    ahead = n - place  # shingles from here on
     found = [np.zeros((0, 2), np.int64)]
-    left = np.flatnonzero(idx)
+    waiting = 0
+    left = np.arange(len(tok))
     d = 1
     while len(left):
         left = left[left + d < len(tok)]
         right = left + d
         ok = (tok[left] == tok[right]) & (n[left] * 5 >= n[right] * 4)
         left, right = left[ok], right[ok]
-        new = (comp[left] != comp[right]) & ((prev[left] != prev[right]) | (prev[left] == 0))
-        a, b = fp[left[new]], fp[right[new]]
-        if len(a):
-            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
-        d += 1
-    # Sizes that tie can stand either way round; the index flag of one of them is enough.
-    right = np.flatnonzero(idx)
-    d = 1
-    while len(right):
-        right = right[right - d >= 0]
-        left = right - d
-        ok = (tok[left] == tok[right]) & (n[left] == n[right])
-        left, right = left[ok], right[ok]
-        new = ~idx[left] & (comp[left] != comp[right]) & ((prev[left] != prev[right]) | (prev[left] == 0))
+        new = (comp[left] != comp[right]) & ((side[left] != side[right]) | (side[left] == 0))
+        new &= 9 * np.minimum(ahead[left], ahead[right]) >= 4 * (n[left] + n[right])
         a, b = fp[left[new]], fp[right[new]]
         if len(a):
             found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+            waiting += len(a)
+            if waiting > 1_000_000:
+                found, waiting = [np.unique(np.concatenate(found), axis=0)], 0
         d += 1
     pairs = np.unique(np.concatenate(found), axis=0)
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
@@ -349,12 +364,12 @@ def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return materialize(connected_components(links).withColumnRenamed("node", "fp"))
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``docs (doc_id, text)``."""
+def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, th, n, fp) of ``docs (doc_id, text)``, nodes (fp, doc_id) and components (fp, component) of linked nodes."""
     spark = docs.sparkSession
-    docs = no_clash(docs, ["doc_id", "text"])
+    docs = no_clash(docs, ["doc_id", "text"]).withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
     meta = materialize(describe(docs))
-    own = meta.filter("n is not null").select("doc_id", "n", "fp", "lead", "sig")
+    own = meta.filter("n is not null").select("doc_id", "th", "n", "fp", "lead", "sig")
     first = own.filter("n > 0").groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "n", "lead", "sig")).alias("r"))
     nodes = materialize(first.select("fp", "r.doc_id", "r.n", "r.lead", "r.sig"))
     shingles = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -371,9 +386,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     tiles = materialize(packed.groupBy("bucket").applyInArrow(tile_pairs, "a long, b long"))
     tidy(spark)
     more = verified(tiles.distinct(), known, docs)
-    whole = joined(labels, more)
+    return own.select("doc_id", "th", "n", "fp"), nodes.select("fp", "doc_id"), joined(labels, more)
+
 
-    least = whole.join(nodes.select("fp", "doc_id"), "fp").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of ``docs (doc_id, text)``."""
+    own, nodes, whole = linked_sets(docs)
+    least = whole.join(nodes, "fp").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_linked = whole.join(least, "component").select("fp", "component_id")
     alone = nodes.join(whole, "fp", "left_anti").select("fp", F.col("doc_id").alias("component_id"))
     ids = materialize(of_linked.unionByName(alone))
@@ -382,10 +401,25 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
-    """Pipeline form: of each component the document with the smallest id; texts without words stay."""
-    found = materialize(jaccard_components(docs))
-    drop = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    """Pipeline form: of each component one row, the one with the smallest id.
+
+    Rows with a null id come after all others; among rows of one id the smallest hash of the
+    text decides, and of rows equal in id and text any one stays.  Texts without words stay,
+    all of them.  Other columns pass through, whatever their names.
+    """
+    own, _, whole = linked_sets(docs)
+    named = own.filter("n > 0").join(whole, "fp", "left").select(F.coalesce("component", "fp").alias("c"), F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th").alias("k"))
+    groups = materialize(named.groupBy("c", "k").count())
+    first = groups.groupBy("c").agg(F.min("k").alias("f"))
+    judged = materialize(groups.join(first, "c").select("k", (F.col("k") == F.col("f")).alias("stays"), "count"))
+    key = [F.col("k.doc_id").alias("_one_id"), F.col("k.th").alias("_one_th")]
+    gone, again = judged.filter("not stays").select(*key), judged.filter("stays and count > 1").select(*key)
+    same = docs["doc_id"].eqNullSafe(F.col("_one_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_one_th"))
+    kept = docs.join(gone, same, "left_anti")
+    if again.isEmpty():
+        return kept
+    repeated = docs.join(again, same, "left_semi").withColumn("_one_th", F.xxhash64(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "_one_th"]).drop("_one_th")
+    return kept.join(again, same, "left_anti").unionByName(repeated)
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

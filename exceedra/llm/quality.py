@@ -7,8 +7,8 @@ all their documents.
 
 Defined cases: a null or blank text has no words and fails the base rule; a null host is a
 host of its own; repeated rows and repeated ids each count and each return a row; an empty
-table returns no rows; columns of the input other than id, text and host are not looked at
-(``keep_columns`` of :func:`apply_rules` passes all of them on).
+table returns no rows; columns of the input other than id, text and host are not looked at,
+and :func:`apply_rules` passes all columns on as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exceedra.llm.common import WORD_SPLIT, materialize, read_table, words_of
+from exceedra.llm.common import WORD_SPLIT, free_prefix, materialize, read_table, words_of
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -58,20 +58,20 @@ def _gaps(places: Column) -> Column:
     return _let(places, total)
 
 
-def with_repeats(df: DataFrame, words: str) -> DataFrame:
-    """Adds ``n`` and ``n_repeat_words`` for the array column ``words``.
+def with_repeats(df: DataFrame, words: str, prefix: str = "") -> DataFrame:
+    """Adds ``n`` and ``n_repeat_words``, behind ``prefix``, for the array column ``words``.
 
     Windows are compared by 64-bit hashes within one document.  Most documents repeat none,
     which a count of distinct hashes shows; only the others are sorted.
     """
-    n = F.size(words)
-    df = df.withColumn("n", n).withColumn("_hw", F.when(n > WINDOW, F.transform(words, lambda x: F.xxhash64(x))))
-    hw = F.col("_hw")
-    grams = F.transform(F.sequence(F.lit(0), F.col("n") - WINDOW), lambda i: F.xxhash64(*[F.get(hw, i + j) for j in range(WINDOW)]))
-    df = df.withColumn("_grams", F.when(F.col("n") > WINDOW, grams))
-    g = F.col("_grams")
+    n, hashes, windows = f"{prefix}n", f"{prefix}_hw", f"{prefix}_grams"
+    df = df.withColumn(n, F.size(words)).withColumn(hashes, F.when(F.size(words) > WINDOW, F.transform(words, lambda x: F.xxhash64(x))))
+    hw = F.col(hashes)
+    grams = F.transform(F.sequence(F.lit(0), F.col(n) - WINDOW), lambda i: F.xxhash64(*[F.get(hw, i + j) for j in range(WINDOW)]))
+    df = df.withColumn(windows, F.when(F.col(n) > WINDOW, grams))
+    g = F.col(windows)
     some = g.isNotNull() & (F.size(F.array_distinct(g)) < F.size(g))
-    return df.withColumn("n_repeat_words", F.when(some, _repeat_words(g)).otherwise(0).cast("long")).drop("_hw", "_grams")
+    return df.withColumn(f"{prefix}n_repeat_words", F.when(some, _repeat_words(g)).otherwise(0).cast("long")).drop(hashes, windows)
 
 
 def base_verdict(n_words: Column, n_repeat_words: Column) -> Column:
@@ -146,23 +146,25 @@ def judge(docs: DataFrame, max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
 def apply_rules(docs: DataFrame, max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
     """Pipeline form: the rows of ``docs`` that the rules keep, with all their columns.
 
-    The base verdict is a filter of the scan; only rejected hosts are joined.
+    The base verdict is found once and written beside the rows; hosts are summed from it, and
+    only rejected hosts are joined.  A null or blank text goes; a null host is one host.
     """
-    flags = materialize(with_base_verdict(docs.select("text", "source")).select(F.col("source").alias("host"), F.col("_failed").alias("base_failed")))
-    bad = host_verdicts(flags, max_host_rate).filter("host_rejected").select(F.col("host").alias("_rejected_host"))
-    bad = materialize(bad)
-    # A filter would be pushed below the steps of the verdict and repeat them; a generator stays above.
-    once = F.explode(F.array_repeat(F.lit(1), F.when(F.col("_failed"), 0).otherwise(1))).alias("_once")
-    kept = with_base_verdict(docs).select("*", once).drop("_failed", "_once")
+    prefix = free_prefix(docs)
+    failed, bad_host = f"{prefix}failed", f"{prefix}host"
+    marked = materialize(with_base_verdict(docs, prefix))
+    flags = marked.select(F.col("source").alias("host"), F.col(failed).alias("base_failed"))
+    bad = materialize(host_verdicts(flags, max_host_rate).filter("host_rejected").select(F.col("host").alias(bad_host)))
+    kept = marked.filter(~F.col(failed)).drop(failed)
     if bad.isEmpty():
         return kept
-    return kept.join(bad, F.col("source").eqNullSafe(F.col("_rejected_host")), "left_anti")
+    return kept.join(bad, kept["source"].eqNullSafe(bad[bad_host]), "left_anti")
 
 
-def with_base_verdict(docs: DataFrame) -> DataFrame:
-    """``docs`` with a column ``_failed``: the base verdict beside the untouched columns."""
-    marked = with_repeats(docs.withColumn("_w", words_of(F.col("text"))), "_w")
-    return marked.withColumn("_failed", base_verdict(F.col("n"), F.col("n_repeat_words"))).select(*[f"`{c}`" for c in docs.columns], "_failed")
+def with_base_verdict(docs: DataFrame, prefix: str) -> DataFrame:
+    """``docs`` with a column ``failed`` behind ``prefix``: the base verdict beside the untouched columns."""
+    marked = with_repeats(docs.withColumn(f"{prefix}w", words_of(F.col("text"))), f"{prefix}w", prefix)
+    verdict = base_verdict(F.col(f"{prefix}n"), F.col(f"{prefix}n_repeat_words")).alias(f"{prefix}failed")
+    return marked.select(*[f"`{c}`" for c in docs.columns], verdict)
 
 
 def op1_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

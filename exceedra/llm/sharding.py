@@ -6,32 +6,33 @@ the exact bytes in equal slices of the key range, keeps for every splitter the o
 which its target falls, and slices only those further, until a slice edge is close enough or
 the key is spelled out.  Then documents are exchanged once.
 
-The law is ``bytes``: shard sizes are near equal.  A group of equal texts stays in one shard
-where an edge of it lies within ``GROUP_TOLERANCE`` of a shard; a larger group is divided by
-the hash of the id, so one group with a third of all rows spreads over as many shards.
+The law is ``bytes``: shard sizes are near equal.  A splitter that falls into a group of equal
+texts goes to an edge of the group where that is within ``balance`` of a shard's bytes, a
+parameter; else it cuts the group by the hash of the id, so one group with a third of all
+rows spreads over as many shards, and a group of any size lies in neighbouring shards.
 
-Each shard is cut into parts by splitters found in the same rounds; a part is what one task
-sorts, and slots are its place in the shard: earlier parts' rows, then the row's rank.
+The exchange is by range of shard and key, into as many tasks as the bytes need; each task
+sorts its rows and numbers them, and slots follow from the rows of a shard in earlier tasks.
 
 Defined cases: a null text has size 1; repeated rows share one key, stay together and get
 slots of their own; a null id hashes as null does; with fewer documents than shards some
-shards are empty; an empty table gives no rows; other columns pass through.
+shards are empty; an empty table gives no rows; other columns pass through, whatever their
+names, but for ``shard`` and ``slot``, which the new ones replace.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from exceedra.llm.common import materialize, read_table
+from exceedra.llm.common import free_prefix, materialize, read_table, shuffle_partitions
 
 SHARDS = 16
-MIN_PARTS = 8  # of each shard
-MAX_PARTS = 64
-PART_ROWS = 500_000
+TASK_BYTES = 128 << 20
 TOLERANCE = 0.001  # of a shard's bytes, for a splitter between texts
-GROUP_TOLERANCE = 0.03  # of a shard's bytes, for keeping a group of equal texts whole
+BALANCE = 0.01  # of a shard's bytes, for keeping a group of equal texts whole
 FIRST_BITS = 12
 STEP_BITS = 8
 
@@ -62,12 +63,12 @@ def _edge(slice_: tuple[int, int], bits: int) -> tuple[int, int]:
     return (a << (64 - bits), low) if bits <= 64 else (a, b << (128 - bits))
 
 
-def find_splitters(keys: DataFrame, goals: list[float], tolerance: float, group_tolerance: dict[int, float]) -> list[tuple[int, int]]:
+def find_splitters(keys: DataFrame, goals: list[float], tolerance: float, group_tolerance: float) -> list[tuple[int, int]]:
     """For each goal a key with about that many bytes below it; ``keys (k1, k2, size)``.
 
     A round groups by slices, at most ``len(goals) * 2**STEP_BITS`` of them, and brings their
-    byte counts to the driver.  ``group_tolerance`` gives, for some goals, how far off an edge
-    of a group of equal texts may be.
+    byte counts to the driver.  ``group_tolerance`` is how far off an edge of a group of equal
+    texts may be.
     """
     open_ = {j: ((0, 0), 0.0) for j in range(len(goals))}  # goal: its slice and the bytes below
     done: dict[int, tuple[int, int]] = {}
@@ -103,7 +104,7 @@ def find_splitters(keys: DataFrame, goals: list[float], tolerance: float, group_
                 del open_[j]
                 continue
             first, last = goals[j] - below, below + n - goals[j]
-            limit = group_tolerance.get(j, tolerance) if one_text else tolerance
+            limit = group_tolerance if one_text else tolerance
             if first <= limit or last <= limit or one_key or bits == 128:
                 if first <= last:
                     done[j] = _edge(slice_, bits)
@@ -120,7 +121,7 @@ def _after(a: int, b: int) -> tuple[int, int]:
     return (a, b + 1) if b + 1 < 1 << 63 else (a + 1, -(1 << 63))
 
 
-def _interval(splitters: list[tuple[int, int]]) -> Column:
+def _interval(splitters: list[tuple[int, int]], first: str, second: str) -> Column:
     """How many splitters are at or below a row's key: a balanced tree of comparisons."""
     top = (1 << 63) - 1
 
@@ -128,7 +129,7 @@ def _interval(splitters: list[tuple[int, int]]) -> Column:
         a, b = s
         if a > top:
             return F.lit(False)
-        k1, k2 = F.col("k1"), F.col("k2")
+        k1, k2 = F.col(first), F.col(second)
         whole = b <= -(1 << 63)
         if whole:
             return k1 >= F.lit(a)
@@ -145,39 +146,51 @@ def _interval(splitters: list[tuple[int, int]]) -> Column:
     return tree(0, len(splitters))
 
 
-def plan(keys: DataFrame, shards: int = SHARDS) -> tuple[Column, Column]:
-    """Columns ``shard`` and ``part`` of the rows of ``keys (k1, k2, size)``, as functions of the key."""
-    total, rows = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    parts = min(max(MIN_PARTS, -(-rows // (shards * PART_ROWS))), MAX_PARTS)
+def shard_column(keys: DataFrame, shards: int = SHARDS, balance: float = BALANCE) -> tuple[Callable[[str, str], Column], int]:
+    """The shard as a function of the key's two columns, and all bytes of ``keys (k1, k2, size)``."""
+    total = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     whole = total / shards
-    goals = [whole * j / parts for j in range(1, shards * parts)]
-    groups = {j - 1: GROUP_TOLERANCE * whole for j in range(parts, shards * parts, parts)}
-    found = find_splitters(keys, goals, TOLERANCE * whole, groups)
-    edges = sorted(found[j] for j in groups)
-    return _interval(edges).cast("int"), _interval(sorted(found)).cast("int")
-
+    found = find_splitters(keys, [whole * j for j in range(1, shards)], TOLERANCE * whole, balance * whole)
+    return lambda k1, k2: _interval(sorted(found), k1, k2).cast("int"), total
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """``docs (doc_id, text, ...)`` with ``shard`` and ``slot``: one exchange, sorted within parts."""
-    keyed = docs.withColumns({"k1": text_key(), "k2": id_key(), "_size": byte_size()})
-    narrow = materialize(keyed.select("k1", "k2", "doc_id", F.col("_size").alias("size")))
-    return _place(narrow, keyed, shards).select(*[f"`{c}`" for c in docs.columns], "shard", "slot")
 
+def place(rows: DataFrame, shard: Column, total: int, prefix: str = "") -> DataFrame:
+    """``rows`` with ``shard`` and ``slot`` behind ``prefix``: one exchange, sorted and numbered within tasks.
 
-def _place(keys: DataFrame, rows: DataFrame, shards: int) -> DataFrame:
-    """``rows`` with shard and slot; ``keys`` are the same rows' keys and sizes."""
-    shard, part = plan(keys, shards)
-    counts = keys.withColumns({"shard": shard, "part": part}).groupBy("shard", "part").count().collect()  # a row for each part
-    before, at = [], {}
-    for s, p, c in sorted(counts):
-        before += [F.lit(p), F.lit(at.get(s, 0)).cast("long")]  # a part lies in one shard
-        at[s] = at.get(s, 0) + c
-    ahead = F.element_at(F.create_map(*before), F.col("part")) if before else F.lit(0).cast("long")
-    inside = Window.partitionBy("shard", "part").orderBy("k1", "k2", "doc_id")
-    return rows.withColumns({"shard": shard, "part": part}).withColumn("slot", ahead + F.row_number().over(inside) - 1)
+    ``rows`` has ``k1``, ``k2`` and the id behind ``prefix``.  A task's number is in the upper
+    bits of Spark's increasing row number, so rows of a shard ahead of a task are counted from
+    one row for each task and shard.
+    """
+    spark = rows.sparkSession
+    at, task, first, ahead = (f"{prefix}{c}" for c in ("at", "task", "first", "ahead"))
+    key = [f"{prefix}shard", f"{prefix}k1", f"{prefix}k2"]
+    n = max(shuffle_partitions(spark), -(-total // TASK_BYTES))
+    dealt = rows.withColumn(key[0], shard).repartitionByRange(n, *key).sortWithinPartitions(*key, f"{prefix}id")
+    placed = materialize(dealt.withColumn(at, F.monotonically_increasing_id()))
+    tasks = placed.groupBy(key[0], F.shiftright(at, 33).alias(task)).agg(F.min(at).alias(first), F.count("*").alias("n"))
+    before, lines = {}, []
+    for s, t, lowest, c in sorted(tasks.collect()):  # a row for each task and each shard's edge
+        lines.append((s, t, before.get(s, 0) - lowest))
+        before[s] = before.get(s, 0) + c
+    starts = F.broadcast(spark.createDataFrame(lines, f"{prefix}s int, {prefix}t long, {ahead} long"))
+    met = placed.join(starts, (F.col(key[0]) == F.col(f"{prefix}s")) & (F.shiftright(at, 33) == F.col(f"{prefix}t")))
+    return met.withColumn(f"{prefix}slot", F.col(at) + F.col(ahead))
+
+
+def shard_documents(docs: DataFrame, shards: int = SHARDS, balance: float = BALANCE) -> DataFrame:
+    """``docs (doc_id, text, ...)`` with ``shard`` and ``slot``; texts move once."""
+    prefix = free_prefix(docs)
+    keys = materialize(docs.select(text_key().alias("k1"), id_key().alias("k2"), byte_size().alias("size")))
+    shard, total = shard_column(keys, shards, balance)
+    keyed = docs.withColumns({f"{prefix}k1": text_key(), f"{prefix}k2": id_key(), f"{prefix}id": F.col("doc_id")})
+    placed = place(keyed, shard(f"{prefix}k1", f"{prefix}k2"), total, prefix)
+    own = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    return placed.select(*[f"`{c}`" for c in own], F.col(f"{prefix}shard").alias("shard"), F.col(f"{prefix}slot").alias("slot"))
 
 
 def op7_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    keys = materialize(docs.select("doc_id", byte_size().alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), text_key().alias("k1"), id_key().alias("k2")))
-    return _place(keys, keys, SHARDS).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    keys = materialize(docs.select(F.col("doc_id").alias("id"), byte_size().alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), text_key().alias("k1"), id_key().alias("k2")))
+    shard, _ = shard_column(keys)
+    out = place(keys, shard("k1", "k2"), 64 * keys.count())
+    return out.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
