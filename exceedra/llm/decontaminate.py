@@ -5,13 +5,16 @@ between.  An item of ``m`` characters may be off by ``e = m / 10`` edits.  Where
 it, at least ``m - q + 1 - q * e`` of its q-grams are shared, and they lie on diagonals (place
 in the text less place in the item) no more than ``e`` apart.  So shared q-grams are counted
 in diagonal bands of width ``2 (e + 1)`` that overlap by half; a region that meets the bound
-is verified by alignment along its band.  The filter loses nothing within the budget.
+is verified by alignment along its band.  ``q`` is 8, or so much less for a short item that the
+bound is at least one; below 10 characters no edit is allowed, and ``q`` is at most the item's
+length.  The filter loses nothing within the budget.
 
 Items are a stated query set: they are taken in blocks of bounded size, each block is
 indexed once and broadcast, and every document passes every block without moving.
 
-Defined cases: null and empty texts match nothing; an item with fewer than ``q`` letters and
-digits is no evidence and matches nothing; null items neither; repeated items are one row
+Defined cases: null and empty texts match nothing; an item shorter than ``Q`` matches whole
+words only; an item without letters and digits matches nothing, null items neither; repeated
+items are one row
 each; an item found twice in a text gives a row each time, overlapping finds give the best;
 repeated rows are judged alike; other columns pass through :func:`drop_contaminated`.
 """
@@ -65,22 +68,37 @@ def normalise(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
-def gram_hashes(x: np.ndarray) -> np.ndarray:
-    """Hash of the q-gram at each place, for q = 8, from those of 2 and 4 characters."""
-    if len(x) < Q:
+def gram_hashes(x: np.ndarray, q: int = Q) -> np.ndarray:
+    """Hash of the q-gram at each place; for q = 8 from those of 2 and 4 characters."""
+    if len(x) < q:
         return np.zeros(0, np.uint64)
     h = x.astype(np.uint64)
-    for step, odd in ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F), (4, 0x165667B19E3779F9)):
-        h = (h[:-step] * np.uint64(odd)) ^ ((h[step:] << np.uint64(21)) | (h[step:] >> np.uint64(43)))
-    return mix64(h)
+    if q == 8:
+        for step, odd in ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F), (4, 0x165667B19E3779F9)):
+            h = (h[:-step] * np.uint64(odd)) ^ ((h[step:] << np.uint64(21)) | (h[step:] >> np.uint64(43)))
+        return mix64(h)
+    out = np.zeros(len(x) - q + 1, np.uint64)
+    for j in range(q):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[j : j + len(out)]
+    return mix64(out)
+
+
+def budget_of(m: int) -> int:
+    """Edits that an item of ``m`` characters may be off by."""
+    return m // EDIT_SHARE
+
+
+def gram_size(m: int) -> int:
+    """The largest q up to ``Q`` whose bound on shared q-grams is at least one for an item of ``m`` characters."""
+    return min(Q, m // (budget_of(m) + 1))
 
 
 class Index:
-    """q-grams of a block of items."""
+    """q-grams of a block of items, one part for each q in use."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
-        self.ids, self.texts, self.edits = [], [], []
-        grams, owner, place = [], [], []
+        self.ids: list[int] = []
+        by_q: dict[int, list[tuple[int, np.ndarray]]] = {}
         for item_id, text in items:
             codes = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
             x, _ = normalise(codes)
@@ -88,33 +106,40 @@ class Index:
                 x = x[1:]
             while len(x) and x[-1] == 32:
                 x = x[:-1]
-            if len(x) < Q:
-                continue
-            h = gram_hashes(x)
-            grams.append(h)
-            owner.append(np.full(len(h), len(self.ids), np.int64))
-            place.append(np.arange(len(h), dtype=np.int64))
-            self.ids.append(item_id)
-            self.texts.append(x)
-            self.edits.append(min(len(x) // EDIT_SHARE, (len(x) - Q) // Q))
+            if len(x):
+                by_q.setdefault(gram_size(len(x)), []).append((len(self.ids), x))
+                self.ids.append(item_id)
+        self.parts = [_Part(q, own) for q, own in sorted(by_q.items())]
+
+    def find(self, x: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(document, item, first, last + 1, edits) of what the normal characters ``x`` hold.
+
+        ``ends`` are the places of the end marks, one for each document.
+        """
+        return [hit for part in self.parts for hit in part.find(x, ends)]
+
+
+class _Part:
+    """Items whose q-grams have one size."""
+
+    def __init__(self, q: int, items: list[tuple[int, np.ndarray]]) -> None:
+        self.q, self.number, self.texts = q, [k for k, _ in items], [x for _, x in items]
         self.size = np.array([len(x) for x in self.texts], np.int64)
-        self.edit = np.array(self.edits, np.int64)
-        self.need = self.size - Q + 1 - Q * self.edit
-        flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
+        self.edit = np.array([budget_of(len(x)) for x in self.texts], np.int64)
+        self.need = self.size - q + 1 - q * self.edit
+        grams = [gram_hashes(x, q) for x in self.texts]
+        flat = np.concatenate(grams)
         order = np.argsort(flat, kind="stable")
         self.gram = flat[order]
-        self.owner = np.concatenate(owner)[order] if grams else np.zeros(0, np.int64)
-        self.place = np.concatenate(place)[order] if grams else np.zeros(0, np.int64)
+        self.owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])[order]
+        self.place = np.concatenate([np.arange(len(g), dtype=np.int64) for g in grams])[order]
         self.bits = max(16, min(26, int(len(flat) * 64).bit_length()))
         self.maybe = np.zeros(1 << self.bits, bool)
         self.maybe[flat >> np.uint64(64 - self.bits)] = True
 
     def find(self, x: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(document, item, first, last + 1, edits) of what the normal characters ``x`` hold.
-
-        ``ends`` are the places of the end marks, one for each document.
-        """
-        h = gram_hashes(x)
+        """As :meth:`Index.find`, of the items of this part."""
+        h = gram_hashes(x, self.q)
         at = np.flatnonzero(self.maybe[h >> np.uint64(64 - self.bits)])
         lo = np.searchsorted(self.gram, h[at], "left")
         n = np.searchsorted(self.gram, h[at], "right") - lo
@@ -151,7 +176,10 @@ class Index:
             for d in range(int(first), min(int(last), len(ends) - 1) + 1):
                 a = max(lo_, int(ends[d - 1]) + 1 if d else 0)
                 b = min(hi_, int(ends[d]))
-                found = align(self.texts[k], x[a:b], begin - a, width, edit)
+                if len(self.texts[k]) < Q:
+                    found = whole_words(self.texts[k], x[a:b], x[a - 1] if a else END, x[b] if b < len(x) else END)
+                else:
+                    found = align(self.texts[k], x[a:b], begin - a, width, edit)
                 if found is not None:
                     best.setdefault((d, k), []).append((a + found[0], a + found[1], found[2]))
         out = []
@@ -161,10 +189,19 @@ class Index:
             for s in spans:
                 if all(s[1] <= t[0] or s[0] >= t[1] for t in kept):
                     kept.append(s)
-            out += [(d, k, *s) for s in kept]
+            out += [(d, self.number[k], *s) for s in kept]
         return out
 
 
+def whole_words(item: np.ndarray, text: np.ndarray, before: int, after: int) -> tuple[int, int, int] | None:
+    """Where ``text``, between the characters ``before`` and ``after``, holds ``item`` exactly as whole words."""
+    framed = np.concatenate([[before], text, [after]])
+    for at in range(len(text) - len(item) + 1):
+        if framed[at] in (32, END) and framed[at + len(item) + 1] in (32, END) and (text[at : at + len(item)] == item).all():
+            return at, at + len(item), 0
+    return None
+
+
 def align(item: np.ndarray, text: np.ndarray, first: int, width: int, budget: int) -> tuple[int, int, int] | None:
     """Where ``text`` holds ``item`` with at most ``budget`` edits: first, last + 1 and edits.
 
@@ -247,10 +284,17 @@ def item_blocks(items: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[li
 
 
 def find_passages(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id, start, end, edits: each passage of an item in each document, in characters."""
-    found = None
+    """doc_id, item_id, start, end, edits: each passage of an item in each document, in characters.
+
+    With more than one block of items, the passages of each are written before the next block
+    is indexed, so that one index at a time is held.
+    """
+    found, last = None, None
     for block in item_blocks(items):
-        shared = docs.sparkSession.sparkContext.broadcast(Index(block))
+        if last is not None:
+            found = materialize(found)
+            last.unpersist()
+        last = shared = docs.sparkSession.sparkContext.broadcast(Index(block))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
