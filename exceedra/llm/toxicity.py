@@ -9,8 +9,12 @@ begin with an entry and that only other documents use are exceptions: where one
 entry inside it does not count.  A document's hits, one per word, are summed by weight and
 divided by its words; a logistic curve over the sum and the rate gives the score.
 
-Counts run over all labelled training documents; ``MAX_ENTRIES`` bounds the candidates for
-the lexicon and ``MAX_FIT_ROWS`` the sample to which the curve is fitted.
+Counts run over all labelled training documents.  An entry is in the share ``MIN_SHARE`` of
+the toxic documents at least, so candidates are no more than the entries of a mean toxic
+document by ``1 / MIN_SHARE``; an exception is in the share ``EXCEPTION_SHARE`` of the other
+documents that have its entry, so there are at most ``1 / EXCEPTION_SHARE`` phrases of a
+document for each entry.  ``MAX_FIT_ROWS`` bounds the labelled rows to which the curve is
+fitted, chosen by a hash of the id.
 
 Defined cases: null, empty and wordless texts score as a text without hits; documents
 without a label are scored like others; a document labelled twice takes the larger label;
@@ -37,7 +41,7 @@ MIN_SUPPORT = 3  # toxic documents, and at least MIN_SHARE of them
 MIN_SHARE = 0.004
 MIN_WEIGHT = 3.0
 SAME_SHARE = 0.95
-MAX_ENTRIES = 50_000
+EXCEPTION_SHARE = 0.05
 MAX_FIT_ROWS = 50_000
 MAX_BROADCAST_ROWS = 2_000_000
 END = 0x110000
@@ -115,11 +119,11 @@ def folded_texts(column: pa.Array) -> tuple[str, np.ndarray]:
 
 
 def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and toxic of labelled documents outside the held-out third."""
+    """doc_id, text and toxic of labelled documents outside the held-out third."""
     known = no_clash(labels, ["doc_id", "toxic"]).filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id")))
     known = materialize(known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     few = known.count() <= MAX_BROADCAST_ROWS
-    return docs.join(F.broadcast(known) if few else known, "doc_id").select("text", "toxic")
+    return docs.join(F.broadcast(known) if few else known, "doc_id").select("doc_id", "text", "toxic")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -137,12 +141,12 @@ def _document_words(column: pa.Array) -> Iterator[list[str]]:
         yield text[a : b - 1].split(" ")
 
 
-def learn_lexicon(train: DataFrame) -> dict[str, float]:
-    """Weights of the entries; two passes, the first over toxic documents only."""
+def learn_lexicon(train: DataFrame) -> tuple[dict[str, float], dict[str, int]]:
+    """Weights of the entries, and how many other documents have each; two passes, the first over toxic documents only."""
     totals = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     n_toxic, n_other = totals.get(1, 0), totals.get(0, 0)
     if not n_toxic:
-        return {}
+        return {}, {}
     least = max(MIN_SUPPORT, MIN_SHARE * n_toxic)
 
     def toxic_counts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -153,8 +157,7 @@ def learn_lexicon(train: DataFrame) -> dict[str, float]:
         yield pa.RecordBatch.from_arrays([pa.array(list(counts.keys()), pa.string()), pa.array(list(counts.values()), pa.int64())], ["entry", "n"])
 
     toxic = arrow_map(train.filter("toxic = 1").select("text"), toxic_counts, "entry string, n long")
-    some = toxic.groupBy("entry").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).orderBy(F.desc("n"), "entry").limit(MAX_ENTRIES)
-    in_toxic = {r["entry"]: r["n"] for r in some.collect()}
+    in_toxic = {r["entry"]: r["n"] for r in toxic.groupBy("entry").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).collect()}
     shared = train.sparkSession.sparkContext.broadcast(frozenset(in_toxic))
 
     def other_counts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -165,7 +168,7 @@ def learn_lexicon(train: DataFrame) -> dict[str, float]:
         yield pa.RecordBatch.from_arrays([pa.array(list(counts.keys()), pa.string()), pa.array(list(counts.values()), pa.int64())], ["entry", "n"])
 
     other = arrow_map(train.filter("toxic = 0").select("text"), other_counts, "entry string, n long")
-    in_other = {r["entry"]: r["n"] for r in other.groupBy("entry").agg(F.sum("n").alias("n")).collect()}  # at most MAX_ENTRIES
+    in_other = {r["entry"]: r["n"] for r in other.groupBy("entry").agg(F.sum("n").alias("n")).collect()}  # the same entries
     weight = {e: float(np.log((n + 0.5) / (n_toxic + 1)) - np.log((in_other.get(e, 0) + 0.5) / (n_other + 1))) for e, n in in_toxic.items()}
     kept: dict[str, float] = {}
     closer: dict[str, int] = {}  # the most documents that any longer entry shares with its beginning
@@ -178,7 +181,7 @@ def learn_lexicon(train: DataFrame) -> dict[str, float]:
         shorter = any(in_other.get(e[:k], 0) <= in_other.get(e, 0) for k in range(MIN_PREFIX, len(e)) if e[:k] in kept)
         if weight[e] >= MIN_WEIGHT and not longer and not shorter:
             kept[e] = weight[e]
-    return kept
+    return kept, {e: in_other.get(e, 0) for e in kept}
 
 
 def automaton_of(entries: dict[str, float], exceptions: tuple[str, ...]):
@@ -225,25 +228,27 @@ def hits(automaton, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return total, words
 
 
-def learn_exceptions(train: DataFrame, entries: dict[str, float]) -> tuple[str, ...]:
-    """Pairs of words led by an entry that two or more other documents use and no toxic one."""
-    if not entries:
+def learn_exceptions(train: DataFrame, in_other: dict[str, int]) -> tuple[str, ...]:
+    """Pairs of words led by an entry that no toxic document uses, but two or more others and a share of those with the entry."""
+    if not in_other:
         return ()
-    shared = train.sparkSession.sparkContext.broadcast(frozenset(entries))
+    spark = train.sparkSession
+    shared = spark.sparkContext.broadcast(frozenset(in_other))
 
     def phrases(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, list[int]] = {}
+        counts: dict[tuple[str, str], list[int]] = {}
         for lo, hi in chunks(batch, 0):
             for toxic, words in zip(batch.column(1).slice(lo, hi - lo).to_pylist(), _document_words(batch.column(0).slice(lo, hi - lo)), strict=True):
-                own = {f"{w} {v}" for w, v in zip(words, words[1:], strict=False) if v and any(e in shared.value for e in _beginnings(w))}
+                own = {(e, f"{w} {v}") for w, v in zip(words, words[1:], strict=False) if v for e in _beginnings(w) if e in shared.value}
                 for p in own:
                     counts.setdefault(p, [0, 0])[1 if toxic else 0] += 1
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(counts), pa.string()), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())], ["p", "other", "toxic"]
-        )
+        columns = [pa.array([e for e, _ in counts], pa.string()), pa.array([p for _, p in counts], pa.string()), *(pa.array([c[k] for c in counts.values()], pa.int64()) for k in range(2))]
+        yield pa.RecordBatch.from_arrays(columns, ["entry", "p", "other", "toxic"])
 
-    rows = arrow_map(train.select("text", "toxic"), phrases, "p string, other long, toxic long").groupBy("p").agg(F.sum("other").alias("o"), F.sum("toxic").alias("t"))
-    return tuple(sorted(r["p"] for r in rows.filter("o >= 2 and t = 0").orderBy(F.desc("o"), "p").limit(MAX_ENTRIES).collect()))
+    rows = arrow_map(train.select("text", "toxic"), phrases, "entry string, p string, other long, toxic long").groupBy("entry", "p").agg(F.sum("other").alias("o"), F.sum("toxic").alias("t"))
+    known = spark.createDataFrame(list(in_other.items()), "entry string, n long")
+    good = rows.filter("o >= 2 and t = 0").join(F.broadcast(known), "entry").filter(F.col("o") >= EXCEPTION_SHARE * F.col("n"))
+    return tuple(sorted({r["p"] for r in good.select("p").distinct().collect()}))
 
 
 def _features(total: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -269,8 +274,8 @@ def score(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = ())
     docs = no_clash(docs, ["doc_id", "text"])
     spark = docs.sparkSession
     train = materialize(training(docs, labels))
-    entries = learn_lexicon(train)
-    phrases = (*exceptions, *learn_exceptions(train, entries))
+    entries, in_other = learn_lexicon(train)
+    phrases = (*exceptions, *learn_exceptions(train, in_other))
     shared = spark.sparkContext.broadcast((entries, phrases))
     cache: list = []
 
@@ -282,10 +287,10 @@ def score(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = ())
     def measure(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for lo, hi in chunks(batch, 0):
             total, words = hits(automaton(), batch.column(0).slice(lo, hi - lo))
-            yield pa.RecordBatch.from_arrays([pa.array(total), pa.array(words), batch.column(1).slice(lo, hi - lo)], ["total", "words", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(total), pa.array(words), *(batch.column(k).slice(lo, hi - lo) for k in (1, 2))], ["total", "words", "toxic", "doc_id"])
 
-    measured = arrow_map(train.select("text", F.col("toxic").cast("int").alias("toxic")), measure, "total double, words long, toxic int")
-    sample = measured.orderBy(F.xxhash64("total", "words", "toxic")).limit(MAX_FIT_ROWS).toArrow() if entries else None
+    measured = arrow_map(train.select("text", F.col("toxic").cast("int").alias("toxic"), "doc_id"), measure, "total double, words long, toxic int, doc_id long")
+    sample = measured.orderBy(F.xxhash64("doc_id"), "total", "words").limit(MAX_FIT_ROWS).toArrow() if entries else None
     curve = None
     if sample is not None and sample.num_rows:
         curve = fit_curve(_features(sample.column(0).to_numpy(), sample.column(1).to_numpy()), sample.column(2).to_numpy().astype(float))
