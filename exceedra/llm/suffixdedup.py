@@ -6,8 +6,8 @@ Only places where texts can agree are suffix-sorted.  The smallest 16-byte gram
 50-byte window anchors it; neighbouring windows share anchors, and equal windows have equal
 anchors.  A run is an anchor with its windows, 50 to 84 bytes in all.
 
-1. Runs are hashed to blocks by anchor, packed, with a hash of all their bytes.  A run whose
-   bytes also stand in a smaller document is removed whole.  Where an anchor is shared but
+1. Runs are hashed to blocks by anchor, packed, with a 64-bit hash of all their bytes beside 40
+   bits of the anchor's.  A run whose bytes also stand in a smaller document is removed whole.  Where an anchor is shared but
    the bytes around it differ, the first holder of each variant goes on.
 2. The bytes of those variants are fetched.  A window that two of them share holds one of four
    strings of 42 or 43 bytes about the anchor, by how far the anchor is into it; variants
@@ -125,15 +125,13 @@ def pack_runs(docs: DataFrame, blocks: int) -> DataFrame:
         anchor, whole, doc, order = (np.concatenate(p) for p in parts)
         block = (anchor % np.uint64(blocks)).astype(np.int64)
         by = np.argsort(block, kind="stable")
-        cuts = np.searchsorted(block[by], np.arange(blocks + 1))
+        held, starts = np.unique(block[by], return_index=True)
         out: list[list] = [[] for _ in range(7)]
-        for b in range(blocks):
-            k = by[cuts[b] : cuts[b + 1]]
-            if len(k):
-                who, local = np.unique(doc[k], return_inverse=True)
-                values = (_narrow(anchor[k] // np.uint64(blocks), 5), _narrow(whole[k], 6), _narrow(local.astype(np.uint64), 3), order[k].tobytes(), ids[who].tobytes(), ths[who].tobytes())
-                for c, v in zip(out, (b, *values), strict=True):
-                    c.append(v)
+        for b, k in zip(held.tolist(), np.split(by, starts[1:]), strict=True):
+            who, local = np.unique(doc[k], return_inverse=True)
+            values = (_narrow(anchor[k] // np.uint64(blocks), 5), _narrow(whole[k], 8), _narrow(local.astype(np.uint64), 3), order[k].tobytes(), ids[who].tobytes(), ths[who].tobytes())
+            for c, v in zip(out, (b, *values), strict=True):
+                c.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], ["block", *_FIELDS])
 
     return arrow_map(docs, run, "block int, " + ", ".join(f"{f} binary" for f in _FIELDS))
@@ -144,7 +142,7 @@ def judge_runs(table: pa.Table) -> pa.Table:
     parts: list[list[np.ndarray]] = [[] for _ in range(5)]
     for anchor, whole, local, order, ids, ths in zip(*(table.column(f).to_pylist() for f in _FIELDS), strict=True):
         local = _wide(local, 3).astype(np.int64)
-        values = (_wide(anchor, 5), _wide(whole, 6), np.frombuffer(order, np.uint32), np.frombuffer(ids, np.int64)[local], np.frombuffer(ths, np.int64)[local])
+        values = (_wide(anchor, 5), _wide(whole, 8), np.frombuffer(order, np.uint32), np.frombuffer(ids, np.int64)[local], np.frombuffer(ths, np.int64)[local])
         for p, v in zip(parts, values, strict=True):
             p.append(v)
     anchor, whole, order, ids, ths = (np.concatenate(p) for p in parts)
