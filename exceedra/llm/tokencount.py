@@ -277,19 +277,32 @@ class Merger:
         if hit:
             data = "".join(texts).encode("utf-8", "surrogatepass")
             buf = np.frombuffer(data, np.uint8)
-        keys, first, back = np.unique(span_hashes(buf, lo, hi), return_index=True, return_inverse=True)
+        first, back = equal_pieces(buf, lo, hi)
         if len(self.pieces) > MAX_PIECES:
             self.pieces.clear()
         known = self.pieces
-        counts = np.empty(len(keys), np.int64)
-        for i, key in enumerate(keys.tolist()):
-            c = known.get(key)
+        counts = np.empty(len(first), np.int64)
+        for i, (a, b) in enumerate(zip(lo[first].tolist(), hi[first].tolist(), strict=True)):
+            piece = data[a:b]
+            c = known.get(piece)
             if c is None:
-                c = known[key] = self.count(data[lo[first[i]] : hi[first[i]]])
+                c = known[piece] = self.count(piece)
             counts[i] = c
         return extra + np.bincount(whose, weights=counts[back], minlength=n).astype(np.int64)
 
 
+def equal_pieces(buf: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A first piece of each different one, and which of them each piece equals; hashes propose, bytes decide."""
+    _, first, back = np.unique(span_hashes(buf, lo, hi), return_index=True, return_inverse=True)
+    size = hi - lo
+    if len(lo) and (size == size[first[back]]).all():
+        local = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        if (buf[local + np.repeat(lo, size)] == buf[local + np.repeat(lo[first[back]], size)]).all():
+            return first, back
+    whole = np.arange(len(lo))  # two pieces share a hash: each stands for itself
+    return whole, whole
+
+
 _MERGERS: dict[int, Merger] = {}
 
 
