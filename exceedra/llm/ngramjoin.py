@@ -17,7 +17,8 @@ copies cost one entry.  Links are found in two passes:
    that is known to be in many documents is dealt over a triangle of cells, each for two
    parts of its members, so that no task holds it whole.
 
-Each pair is then bounded by bitmaps: every shingle flips one bit of about twice as many as
+Each pair is bounded by bitmaps, in the tile where its shingle is known to be frequent and
+beside the pair else: every shingle flips one bit of about twice as many as
 the set has shingles, and the number of bits in which two bitmaps differ (the longer one
 folded to the other's length) is a lower bound of the difference of the sets, hence an upper
 bound of the overlap.  Pairs that pass are counted on the sorted arrays.  Components of the
@@ -65,9 +66,14 @@ def fingerprint(shingles: np.ndarray) -> int:
     return int((mix64(shingles).sum(dtype=np.uint64) + np.uint64(len(shingles))).view(np.int64)) if len(shingles) else 0
 
 
+def signature_bits(n: int) -> int:
+    """A power of two near twice the number of shingles, at least 64."""
+    return max(64, 2 << round(float(np.log2(n))))
+
+
 def signature(shingles: np.ndarray) -> bytes:
-    """Parities of the shingles over a power of two of bits near twice their number, at least 64."""
-    bits = max(64, 2 << round(float(np.log2(len(shingles)))))
+    """Parities of the shingles over ``signature_bits`` bits."""
+    bits = signature_bits(len(shingles))
     flips = np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8)).tobytes()
 
@@ -186,7 +192,7 @@ def prefixes(docs: DataFrame, labels: DataFrame, frequent: tuple[np.ndarray, np.
         cells = -(-shared.value[1][rank] // CELL_MEMBERS)  # parts that a tile is dealt into
         seen: set[int] = set()
         for batch in batches:
-            toks, place, docs_, fps, ns, labels_ = [], [], [], [], [], []
+            toks, place, docs_, fps, ns, labels_, sigs = [], [], [], [], [], [], []
             for lo, hi in chunks(batch, 0):
                 sets = sets_of(batch.column(0).slice(lo, hi - lo))
                 named = batch.column(1).slice(lo, hi - lo).to_pylist()
@@ -198,10 +204,13 @@ def prefixes(docs: DataFrame, labels: DataFrame, frequent: tuple[np.ndarray, np.
                         continue
                     seen.add(fp)
                     length = n - -(-4 * n // 5) + 1
+                    sig = b""
                     if len(values):
                         at = np.searchsorted(values, s)
                         at[at == len(values)] = 0
                         often = values[at] == s
+                        if int((~often).sum()) < length:  # frequent shingles in the prefix: large tiles
+                            sig = signature(s)
                         if often[:length].any():
                             s = np.concatenate([s[~often], s[often][np.argsort(rank[at[often]])]])
                     toks.append(s[:length])
@@ -209,6 +218,7 @@ def prefixes(docs: DataFrame, labels: DataFrame, frequent: tuple[np.ndarray, np.
                     docs_.append(np.full(length, len(fps), np.int32))
                     fps.append(fp)
                     ns.append(n)
+                    sigs.append(sig)
                     labels_.append(c if c is not None and f == fp else fp)
             if len(seen) > 100_000:
                 seen.clear()
@@ -222,11 +232,20 @@ def prefixes(docs: DataFrame, labels: DataFrame, frequent: tuple[np.ndarray, np.
             bucket = (tok % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             held, starts = np.unique(bucket[order], return_index=True)
-            out: list[list] = [[] for _ in range(8)]
+            sig_of = np.array(sigs, object)
+            out: list[list] = [[] for _ in range(9)]
             for b, k in zip(held.tolist(), np.split(order, starts[1:]), strict=True):
                 who, local = np.unique(doc[k], return_inverse=True)
                 parts = (tok[k], at_[k], side[k], local.astype(np.int32), fps_[who], ns_[who], comps[who])
-                for column, v in zip(out, (b, *(x.tobytes() for x in parts)), strict=True):
+                often = np.zeros(len(who), bool)
+                if len(values):
+                    near = np.searchsorted(values, tok[k])
+                    near[near == len(values)] = 0
+                    often[local[(values[near] == tok[k]) | (side[k] > 0)]] = True
+                carried = b"".join(sig_of[w] if f else b"" for w, f in zip(who.tolist(), often.tolist(), strict=True))
+                sized = np.where(often & np.array([bool(sig_of[w]) for w in who.tolist()]), ns_[who], -ns_[who])
+                parts = (*parts[:5], sized.astype(np.int32), parts[6])
+                for column, v in zip(out, (b, *(x.tobytes() for x in parts), carried), strict=True):
                     column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], ["bucket", *_PACKED])
 
@@ -254,18 +273,40 @@ def dealt_over_cells(tok: np.ndarray, place: np.ndarray, doc: np.ndarray, fps: n
     return np.concatenate([tok[small], name]), np.concatenate([place[small], place[copy]]), np.concatenate([doc[small], doc[copy]]), np.concatenate([np.zeros(int(small.sum()), np.uint8), side])
 
 
-_PACKED = ("tok", "place", "side", "doc", "fps", "ns", "comps")
-_KINDS = (np.uint64, np.uint32, np.uint8, np.int32, np.int64, np.int32, np.int64)
+# ``ns`` is negative where a document's signature is not in ``sigs``.
+_PACKED = ("tok", "place", "side", "doc", "fps", "ns", "comps", "sigs")
+_KINDS = (np.uint64, np.uint32, np.uint8, np.int32, np.int64, np.int32, np.int64, np.uint64)
+
+
+def may_link(words: np.ndarray, at_one: np.ndarray, at_two: np.ndarray, n_one: np.ndarray, n_two: np.ndarray) -> np.ndarray:
+    """False where the signatures of both, of one width, leave no room for a link."""
+    out = np.ones(len(at_one), bool)
+    both = np.flatnonzero((at_one >= 0) & (at_two >= 0))
+    if not len(both):
+        return out
+    bits = np.maximum(64, 2 << np.round(np.log2(np.stack([n_one[both], n_two[both]]))).astype(np.int64))
+    for w in np.unique(bits[0]).tolist():
+        same = both[(bits[0] == w) & (bits[1] == w)]
+        span = np.arange(w // 64)
+        for a in range(0, len(same), 20_000):
+            i = same[a : a + 20_000]
+            differ = np.bitwise_count(words[at_one[i, None] + span] ^ words[at_two[i, None] + span]).sum(1, dtype=np.int64)
+            out[i] = 9 * differ <= n_one[i] + n_two[i]
+    return out
 
 
 def tile_pairs(table: pa.Table) -> pa.Table:
     """Candidate pairs of one bucket of packed prefixes, within the bounds by sizes and places."""
-    parts: list[list[np.ndarray]] = [[] for _ in range(6)]
+    parts: list[list[np.ndarray]] = [[] for _ in range(8)]
+    words = 0
     for row in zip(*(table.column(c).to_pylist() for c in _PACKED), strict=True):
-        tok, place, side, doc, fps, ns, comps = (np.frombuffer(v, k) for v, k in zip(row, _KINDS, strict=True))
-        for p, v in zip(parts, (tok, place, side, fps[doc], ns[doc], comps[doc]), strict=True):
+        tok, place, side, doc, fps, ns, comps, sigs = (np.frombuffer(v, k) for v, k in zip(row, _KINDS, strict=True))
+        wide = np.array([signature_bits(n) // 64 if n > 0 else 0 for n in ns.tolist()], np.int64)
+        at = words + np.cumsum(wide) - wide
+        words += len(sigs)
+        for p, v in zip(parts, (tok, place, side, fps[doc], np.abs(ns)[doc], comps[doc], np.where(wide > 0, at, -1)[doc], sigs), strict=True):
             p.append(v)
-    tok, place, side, fp, n, comp = (np.concatenate(p) for p in parts)
+    tok, place, side, fp, n, comp, sig_at, sig_words = (np.concatenate(p) for p in parts)
     order = np.lexsort((fp, n, tok))
     keep = np.ones(len(tok), bool)
     keep[1:] = (tok[order[1:]] != tok[order[:-1]]) | (fp[order[1:]] != fp[order[:-1]])
@@ -274,6 +315,7 @@ def tile_pairs(table: pa.Table) -> pa.Table:
     mixed = np.minimum.reduceat(comp[order], starts) != np.maximum.reduceat(comp[order], starts)
     order = order[np.repeat(mixed, np.diff(np.append(starts, len(order))))]
     tok, place, side, fp, n, comp = tok[order], place[order].astype(np.int64), side[order], fp[order], n[order].astype(np.int64), comp[order]
+    sig_at = sig_at[order]
     ahead = n - place  # shingles from here on
     found = [np.zeros((0, 2), np.int64)]
     waiting = 0
@@ -286,7 +328,9 @@ def tile_pairs(table: pa.Table) -> pa.Table:
         left, right = left[ok], right[ok]
         new = (comp[left] != comp[right]) & ((side[left] != side[right]) | (side[left] == 0))
         new &= 9 * np.minimum(ahead[left], ahead[right]) >= 4 * (n[left] + n[right])
-        a, b = fp[left[new]], fp[right[new]]
+        one, two = left[new], right[new]
+        fits = may_link(sig_words, sig_at[one], sig_at[two], n[one], n[two])
+        a, b = fp[one[fits]], fp[two[fits]]
         if len(a):
             found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
             waiting += len(a)
