@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def trend(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
@@ -21,11 +22,57 @@ def share_above(df: DataFrame, metric: str, limit: float) -> DataFrame:
 
 
 def compare(a: DataFrame, b: DataFrame, keys: list[str], metrics: list[str], absolute: float = 5e-5) -> DataFrame:
-    """Largest absolute difference of each metric and whether it is within the tolerance."""
+    """Largest absolute difference of each metric, values that one table lacks, and whether all is within the tolerance.
+
+    A key that one table lacks is a value it lacks for every metric that the other has there.
+    """
     x = a.alias("a").join(b.alias("b"), keys, "full")
-    gaps = [F.max(F.abs(F.col(f"a.{m}") - F.col(f"b.{m}"))).alias(m) for m in metrics]
-    long = x.agg(*gaps).select(F.stack(F.lit(len(metrics)), *[y for m in metrics for y in (F.lit(m), F.col(m))]).alias("metric", "gap"))
-    return long.withColumn("within", F.coalesce(F.col("gap"), F.lit(0.0)) <= absolute)
+    one, two = (lambda m, t=t: F.col(f"{t}.{m}") for t in "ab")
+    found = [F.struct(F.max(F.abs(one(m) - two(m))).alias("gap"), F.count_if(one(m).isNull() != two(m).isNull()).alias("one_sided")).alias(m) for m in metrics]
+    long = x.agg(*found).select(F.stack(F.lit(len(metrics)), *[y for m in metrics for y in (F.lit(m), F.col(m))]).alias("metric", "r"))
+    out = long.select("metric", "r.gap", "r.one_sided")
+    return out.withColumn("within", (F.coalesce(F.col("gap"), F.lit(0.0)) <= absolute) & (F.col("one_sided") == 0))
+
+
+def trend_bounds(df: DataFrame, key: str, x: str, y: str, z: float = 1.645) -> DataFrame:
+    """:func:`trend` with the slope's bounds at ``z`` standard errors."""
+    t = trend(df, key, x, y)
+    return t.withColumn("slope_low", F.col("slope") - z * F.col("slope_se")).withColumn("slope_high", F.col("slope") + z * F.col("slope_se"))
+
+
+def trend_ratio(df: DataFrame, key: str, x: str, y: str, base: str) -> DataFrame:
+    """Slope of each key over that of the key ``base``, whose own row has the ratio 1."""
+    t = trend(df, key, x, y)
+    own = F.max(F.when(F.col(key) == F.lit(base), F.col("slope"))).over(Window.partitionBy(F.lit(0)))  # a row for each key
+    return t.select(key, F.try_divide(F.col("slope"), own).alias("ratio"))
+
+
+def factor_spans(factors: DataFrame, key: str, metric: str, spans: list[tuple[str, str, str]], dof: float = 1.0) -> DataFrame:
+    """Geometric mean of a factor in each named span, and the mean's spread for ``dof`` independent regions."""
+    value = F.when(F.col(metric) > 0, F.col(metric))
+    inside = lambda a, b: F.when(F.col("p").between(F.lit(a).cast("date"), F.lit(b).cast("date")), value)
+    per = [F.struct(F.exp(F.avg(F.ln(inside(a, b)))).alias("m"), (F.stddev_pop(inside(a, b)) / F.sqrt(F.lit(dof))).alias("s")).alias(n) for n, a, b in spans]
+    long = factors.groupBy(key).agg(*per)
+    pairs = [y for n, _, _ in spans for y in (F.lit(n), F.col(n))]
+    return long.select(key, F.stack(F.lit(len(spans)), *pairs).alias("span", "r")).select(key, "span", F.col("r.m").alias("factor"), F.col("r.s").alias("spread"))
+
+
+def mean_of_rows(df: DataFrame, key: str, metric: str, first: int, last: int) -> DataFrame:
+    """Arithmetic mean over rows ``first`` to ``last - 1`` of each series, from 0; negative rows count from its end."""
+    w = Window.partitionBy(key)
+    n, size = F.row_number().over(w.orderBy("p")) - 1, F.count("*").over(w)
+    at = lambda k: size + k if k < 0 else F.lit(k)
+    inside = df.withColumn("_n", n).withColumn("_a", at(first)).withColumn("_b", at(last)).filter("_n >= _a and _n < _b")
+    return inside.groupBy(key).agg(F.avg(metric).alias(metric))
+
+
+def decade_pairs(a: DataFrame, b: DataFrame, keys: list[str], q: float = 0.9) -> DataFrame:
+    """Values of ``b`` on the days when ``a`` is at or above its quantile, averaged with ``a`` by decade."""
+    key, day = keys
+    top = a.groupBy(key).agg(F.percentile("v", F.lit(q)).alias("t"))
+    hot = a.join(top, key).filter("v >= t").select(*keys, F.col("v").alias("a"))
+    met = hot.join(b.select(*keys, F.col("v").alias("b")), keys)
+    return met.groupBy(key, (F.floor(F.year(day) / 10) * 10).cast("int").alias("decade")).agg(F.avg("a").alias("a"), F.avg("b").alias("b"), F.count("*").alias("n"))
 
 
 def start_years(series: DataFrame) -> DataFrame:

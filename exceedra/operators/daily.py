@@ -16,11 +16,11 @@ def on_spine(daily: DataFrame, cells: DataFrame, first: str | None = None, last:
 
     Days and cells are dimensions; their product is made from the day list, cell by cell.
     """
-    lo, hi = (F.lit(first).cast("date"), F.lit(last).cast("date")) if first and last else (None, None)
-    if lo is None:
-        row = daily.agg(F.min("d").alias("a"), F.max("d").alias("b")).first()
-        lo, hi = F.lit(row["a"]), F.lit(row["b"])
-    days = cells.select("cell_id", F.explode(F.sequence(lo, hi)).alias("d"))
+    if first and last:
+        days = cells.select("cell_id", F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("d"))
+    else:
+        span = daily.agg(F.min("d").alias("_a"), F.max("d").alias("_b"))  # one row, found when the plan runs
+        days = cells.select("cell_id").crossJoin(F.broadcast(span)).select("cell_id", F.explode(F.sequence("_a", "_b")).alias("d"))
     return days.join(daily, ["cell_id", "d"], "left")
 
 
@@ -89,6 +89,23 @@ def hourly_region(hours: DataFrame, dbv: DataFrame, cells: DataFrame) -> DataFra
     return g.select("gr_id", "d", "nhours_gr", *[F.when(F.col("nhours_gr") > 0, F.col(f"{c}_gr")).alias(f"{c}_gr") for c in names])
 
 
+def on_exceedance_days(hourly: DataFrame, days: DataFrame, cells: DataFrame) -> DataFrame:
+    """Hours of days on which the cell's region is in exceedance (``dtec_gr = 1``)."""
+    hot = days.filter("dtec_gr = 1").select("gr_id", "d")
+    at = hourly.join(cells.select("cell_id", "gr_id"), "cell_id").withColumn("d", F.to_date("ts"))
+    return at.join(hot, ["gr_id", "d"], "left_semi").select("cell_id", "ts", "v")
+
+
 def network_days(dbv: DataFrame) -> DataFrame:
     """Station network: any station counts, magnitudes add up."""
     return dbv.groupBy("gr_id", "d").agg(F.max("dtec").alias("dtec_gr"), zero_sum(F.col("dtem")).alias("dtem_gr"))
+
+
+def network_events(dbv: DataFrame) -> DataFrame:
+    """Days of a station network with the mark of each event."""
+    return mark_events(network_days(dbv), "gr_id", "dtec_gr", "dteec_gr")
+
+
+def relative_area(days: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Exceedance area of a region in percent of its size."""
+    return days.join(sizes.select("gr_id", "gr_size"), "gr_id").withColumn("dtea_rel_gr", 100 * F.try_divide("dtea_gr", "gr_size"))

@@ -41,16 +41,17 @@ def compounds(df: DataFrame, suffix: str = "_gr") -> DataFrame:
     return df
 
 
-def spreads(df: DataFrame, key: str, metric: str) -> DataFrame:
-    """Upper and lower spread of each decade about its centre mean.
+def spreads(df: DataFrame, key: str, metric: str, window: tuple[int, int, int] = WINDOW) -> DataFrame:
+    """Upper and lower spread of each window about its centre mean, in one pass over the series.
 
     Years above the mean make the upper class; all others, missing ones too, the lower.
     """
-    _, before, after = WINDOW
+    rows, before, after = window
     w = Window.partitionBy(key).orderBy("p")
     frame = w.rowsBetween(-before, after)
-    centre = decadal_means(df, key, [metric]).select(key, "p", F.col(metric).alias("c"))
-    years = df.select(key, "p", F.collect_list(F.struct(F.col(metric).alias("x"))).over(frame).alias("a")).join(centre, [key, "p"])
+    n, size_ = F.row_number().over(w), F.count(F.lit(1)).over(Window.partitionBy(key))
+    whole = (n > before) & (n <= size_ - after) & (size_ >= rows)
+    years = df.select(key, "p", F.collect_list(F.struct(F.col(metric).alias("x"))).over(frame).alias("a"), F.when(whole, F.avg(metric).over(frame)).alias("c"))
     up = lambda e: F.coalesce(e["x"] > F.col("c"), F.lit(False))
     squares = lambda cond: F.aggregate(F.filter("a", cond), F.lit(0.0), lambda s, e: s + F.coalesce(F.pow(e["x"] - F.col("c"), 2), F.lit(0.0)))
     size = lambda cond: F.greatest(F.size(F.filter("a", cond)), F.lit(1))
@@ -71,6 +72,48 @@ def reference_means(df: DataFrame, key: str, metrics: list[str], first: str, las
     return some.groupBy(key).agg(*[geometric_mean(F.col(m)).alias(m + suffix) for m in metrics])
 
 
+def reference_pair(df: DataFrame, key: str, metrics: list[str], ref: tuple[str, str], cc: tuple[str, str]) -> DataFrame:
+    """Geometric means over both spans in one aggregate: columns ``_ref`` and ``_cc``."""
+    inside = lambda span: F.col("p").between(F.lit(span[0]).cast("date"), F.lit(span[1]).cast("date"))
+    each = [geometric_mean(F.when(inside(s), F.col(m))).alias(m + n) for n, s in (("_ref", ref), ("_cc", cc)) for m in metrics]
+    return df.groupBy(key).agg(*each)
+
+
+def centre_span(first_year: int, last_year: int, data_first: int, data_last: int, window: tuple[int, int, int] = WINDOW) -> tuple[str, str]:
+    """First and last label of the centre years of a span of years: those whose window lies inside it."""
+    if first_year < data_first or last_year > data_last:
+        raise ValueError(f"{first_year} to {last_year} is not inside the data, {data_first} to {data_last}")
+    _, before, after = window
+    return f"{first_year + before}-01-01", f"{last_year - after}-12-31"
+
+
+def annual_means(df: DataFrame, key: str, metrics: list[str], first: str, last: str, suffix: str = "_ref") -> DataFrame:
+    """Arithmetic means of the labels from ``first`` to ``last``."""
+    some = df.filter(F.col("p").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+    return some.groupBy(key).agg(*[F.avg(m).alias(m + suffix) for m in metrics])
+
+
+def decadal_driver(df: DataFrame, key: str, metrics: list[str], window: tuple[int, int, int] = WINDOW, suffix: str = "_gr", spread_of: tuple[str, ...] = (), adjust: bool = True) -> DataFrame:
+    """Means of basic metrics, compounds, tEX names and, where asked for, spreads: the decadal table of a series."""
+    out = compounds(decadal_means(df, key, metrics, window), suffix)
+    if adjust and {f"doy_first{suffix}", f"doy_last{suffix}", f"aep{suffix}"} <= set(metrics):
+        out = adjust_days(out, suffix)
+    if adjust and {f"h_avg{suffix}", f"h_rise_avg{suffix}", f"h_set_avg{suffix}"} <= set(metrics):
+        out = adjust_hours(out, suffix)
+    for m in spread_of:
+        out = out.join(spreads(df, key, m, window).withColumnsRenamed({"supp": f"{m}_supp", "slow": f"{m}_slow"}), [key, "p"])
+    return temporal_names(out)
+
+
+def station_factors(df: DataFrame, key: str, basic: list[str], ref: tuple[str, str], cc: tuple[str, str]) -> DataFrame:
+    """Factors of stations: each basic metric against its reference, compounds as products of the factors."""
+    af = amplification(df, key, basic, ref, cc)
+    for end in ("_af", "_af_cc"):
+        c = lambda n, e=end: F.col(n + e)
+        af = af.withColumn("ed" + end, c("ef") * c("ed_avg")).withColumn("em" + end, c("ef") * c("ed_avg") * c("em_avg"))
+    return af
+
+
 def adjust_days(df: DataFrame, s: str = "") -> DataFrame:
     """First and last day moved apart evenly until they span the exposure period."""
     off = 0.5 * (DAYS_PER_MONTH * F.col("aep" + s) - (F.col("doy_last" + s) - F.col("doy_first" + s) + 1))
@@ -91,13 +134,18 @@ def drop_short(df: DataFrame, reference: DataFrame, key: str, metrics: list[str]
 
 def amplification(dec: DataFrame, key: str, metrics: list[str], ref: tuple[str, str], cc: tuple[str, str], min_duration: float = 0.0) -> DataFrame:
     """Factors of each period and of the recent period against the reference period."""
-    base = reference_means(dec, key, metrics, *ref, "_ref")
+    inside = lambda span: F.col("p").between(F.lit(span[0]).cast("date"), F.lit(span[1]).cast("date"))
+    whole = Window.partitionBy(key)
+    joined = dec
+    for end, span in (("_ref", ref), ("_cc", cc)):
+        for m in metrics:
+            mean = F.exp(F.avg(F.when(inside(span) & (F.col(m) > 0), F.ln(F.when(F.col(m) > 0, F.col(m))))).over(whole))
+            joined = joined.withColumn(m + end, mean)
     if min_duration:
         ed = next(m for m in metrics if m.startswith("ed") and "avg" not in m)
-        inside = dec.filter(F.col("p").between(F.lit(ref[0]).cast("date"), F.lit(ref[1]).cast("date")))
-        base = drop_short(base, inside, key, [m + "_ref" for m in metrics], ed, min_duration / 10)
-    recent = reference_means(dec, key, metrics, *cc, "_cc")
-    joined = dec.join(base, key).join(recent, key)
+        joined = joined.withColumn("_least", F.min(F.when(inside(ref), F.col(ed))).over(whole))
+        for m in metrics:
+            joined = joined.withColumn(m + "_ref", F.when(F.col("_least") >= min_duration / 10, F.col(m + "_ref")))
     factor = lambda a, m: F.when(F.col(m + "_ref") > 0, F.try_divide(F.col(a), F.col(m + "_ref")))
     return joined.select(key, "p", *[factor(m, m).alias(m + "_af") for m in metrics], *[factor(m + "_cc", m).alias(m + "_af_cc") for m in metrics])
 

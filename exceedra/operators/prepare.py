@@ -109,6 +109,69 @@ def smooth(values: DataFrame, radius: int) -> DataFrame:
     return values.join(means, ["iy", "ix"]).select("cell_id", "smoothed")
 
 
+def crop(df: DataFrame, y0: float, y1: float, x0: float, x1: float) -> DataFrame:
+    """Rows inside a box, whichever way its sides are given; the filter reaches a Parquet scan."""
+    return df.filter(F.col("y").between(min(y0, y1), max(y0, y1)) & F.col("x").between(min(x0, x1), max(x0, x1)))
+
+
+def crop_to_mask(df: DataFrame, mask: DataFrame, margin: float = 0.0) -> DataFrame:
+    """Rows inside the bounding box of the cells with a share of mask, widened by ``margin`` degrees.
+
+    In longitude the margin is divided by the cosine of the box's highest latitude; sides go
+    outwards to whole degrees where there is a margin.
+    """
+    box = mask.filter("mask_frac > 0").agg(F.min("y").alias("_s"), F.max("y").alias("_n"), F.min("x").alias("_w"), F.max("x").alias("_e"))
+    if margin:
+        wide = margin / F.cos(F.radians(F.greatest(F.abs(F.col("_n")), F.abs(F.col("_s")))))
+        box = box.select(F.floor(F.col("_s") - margin).alias("_s"), F.ceil(F.col("_n") + margin).alias("_n"), F.floor(F.col("_w") - wide).alias("_w"), F.ceil(F.col("_e") + wide).alias("_e"))
+    inside = F.col("y").between(F.col("_s"), F.col("_n")) & F.col("x").between(F.col("_w"), F.col("_e"))
+    return df.crossJoin(F.broadcast(box)).filter(inside).drop("_s", "_n", "_w", "_e")  # one row beside every cell
+
+
+def land_mask(cells: DataFrame, least: float = 0.5, below: float = 0.0) -> DataFrame:
+    """Cells with more than ``least`` of land and, where ``below`` is not 0, a height under it: share 1, else NULL."""
+    ok = F.col("lsm") > least
+    if below:
+        ok &= F.col("altitude") < below
+    return cells.select("cell_id", F.when(ok, 1.0).alias("mask_frac"))
+
+
+def region_mask(cells: DataFrame, kind: str, **how) -> DataFrame:
+    """Mask by kind: ``polygon``, ``box`` or ``land``."""
+    makers = {"polygon": polygon_mask, "box": rectangle_mask, "land": land_mask}
+    if kind not in makers:
+        raise ValueError(f"unknown kind of mask: {kind}")
+    return makers[kind](cells, **how)
+
+
+def threshold_of(field: DataFrame, cells: DataFrame, kind: str, value: float, first: str = "", last: str = "", kelvin: bool = False) -> DataFrame:
+    """Threshold by kind: ``abs``, one value for all cells, or ``perc``, each cell's percentile over the reference days."""
+    if kind == "abs":
+        thr = cells.select("cell_id", F.lit(float(value)).alias("thr"))
+    elif kind == "perc":
+        thr = percentile_threshold(field, value / 100, first, last)
+    else:
+        raise ValueError(f"unknown kind of threshold: {kind}")
+    return thr.withColumn("thr", F.col("thr") + 273.15) if kelvin else thr
+
+
+def mean_of(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean of two variables where both are present as rows."""
+    return a.alias("a").join(b.alias("b"), keys).select(*keys, ((F.col("a.v") + F.col("b.v")) / 2).alias("v"))
+
+
+def wet(series: DataFrame, least: float, hours_back: int = 0) -> DataFrame:
+    """Rows at or above ``least``; ``hours_back`` moves hourly rows to the earlier measuring day."""
+    out = series.filter(F.col("v") >= least)
+    return out.withColumn("ts", F.col("ts") - F.make_interval(hours=F.lit(hours_back))) if hours_back else out
+
+
+def season_means(series: DataFrame, first_month: int = 1, last_month: int = 12) -> DataFrame:
+    """Means of ``series (gr_id, d, v)`` by year over some months."""
+    some = series.filter(F.month("d").between(first_month, last_month))
+    return some.groupBy("gr_id", F.year("d").alias("year")).agg(F.avg("v").alias("v"))
+
+
 def rectangle_mask(cells: DataFrame, y0: float, y1: float, x0: float, x1: float, step: float) -> DataFrame:
     """Share of each cell inside a rectangle."""
     cover = lambda c, a, b: F.greatest(F.least(c + step / 2, F.lit(b)) - F.greatest(c - step / 2, F.lit(a)), F.lit(0.0)) / step

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from exceedra.functions.columns import zero_sum
-from exceedra.operators.daily import MIN_AREA, region_metrics
+from exceedra.operators.daily import MIN_AREA, mark_events, region_metrics
+from exceedra.operators.periods import region_periods
 
 EARTH_KM = 6371.0
 EDGE = 1e-9
@@ -26,19 +27,26 @@ def lattice(cells: DataFrame, spacing: float) -> DataFrame:
 
 
 def with_extent(grid: DataFrame, size: float, step: float = 0.25) -> DataFrame:
-    """Half widths: rounded to the lattice in longitude, and the share of area that this adds."""
+    """Half widths: rounded to ``step`` in longitude, and the share of area that this adds."""
     half = size / 2
     exact = half / F.cos(F.radians("yc"))
     out = grid.withColumn("x_off", F.bround(exact / step) * step).withColumn("y_off", F.lit(half))
     return out.withColumn("area_frac", F.col("x_off") / exact)
 
 
-def bridge(cells: DataFrame, grid: DataFrame) -> DataFrame:
-    """(gr_id, cell_id) of every cell in every window: a range join of two dimensions."""
-    c = cells.select("cell_id", "y", "x", "area")
+def bridge(cells: DataFrame, grid: DataFrame, tile: float = 1.0) -> DataFrame:
+    """(gr_id, cell_id) of every cell in every window; windows are half open in both directions.
+
+    The range join is an equi-join on tiles of ``tile`` degrees: a cell is in one, a window in
+    those that it touches.
+    """
+    at = lambda c: F.floor(c / tile).cast("int")
+    span = lambda c, off: F.sequence(at(c - off - EDGE), at(c + off + EDGE))
+    c = cells.select("cell_id", "y", "x", "area", at(F.col("y")).alias("ty"), at(F.col("x")).alias("tx"))
+    g = grid.withColumn("ty", F.explode(span(F.col("yc"), F.col("y_off")))).withColumn("tx", F.explode(span(F.col("xc"), F.col("x_off"))))
     inside = (F.col("y") > F.col("yc") - F.col("y_off") + EDGE) & (F.col("y") <= F.col("yc") + F.col("y_off") + EDGE)
-    inside &= (F.col("x") >= F.col("xc") - F.col("x_off") - EDGE) & (F.col("x") <= F.col("xc") + F.col("x_off") + EDGE)
-    return c.join(F.broadcast(grid), inside).select("gr_id", "cell_id", "area", "area_frac")
+    inside &= (F.col("x") >= F.col("xc") - F.col("x_off") - EDGE) & (F.col("x") < F.col("xc") + F.col("x_off") - EDGE)
+    return c.join(g, ["ty", "tx"]).filter(inside).select("gr_id", "cell_id", "area", "area_frac")
 
 
 def window_days(dbv: DataFrame, links: DataFrame, min_area: float = MIN_AREA) -> DataFrame:
@@ -57,10 +65,22 @@ def blocks(cells: DataFrame, size: float, top: float, left: float) -> DataFrame:
     return by.groupBy("yb", "xb").agg(F.avg(F.when(F.col("mask_frac") > 0, 1.0).otherwise(0.0)).alias("mask_frac"), F.sum(F.when(F.col("mask_frac") > 0, F.col("area"))).alias("gr_area"))
 
 
-def weighted_mean(df: DataFrame, metric: str) -> DataFrame:
-    """Area-weighted mean per period; a missing value adds nothing and keeps its weight."""
-    x = F.sum(F.col("a") * F.col(metric))
-    return df.groupBy("p").agg((x / F.sum("a")).alias(metric))
+def weighted_mean(df: DataFrame, *metrics: str) -> DataFrame:
+    """Area-weighted means per period; a missing value adds nothing and keeps its weight."""
+    return df.groupBy("p").agg(*[(F.sum(F.col("a") * F.col(m)) / F.sum("a")).alias(m) for m in metrics])
+
+
+def window_periods(days: DataFrame, period: str) -> DataFrame:
+    """All period metrics of every window at once, from :func:`window_days`."""
+    return region_periods(mark_events(days, "gr_id", "dtec_gr", "dteec_gr"), period)
+
+
+def all_percentiles(df: DataFrame, metrics: list[str]) -> DataFrame:
+    """Weighted 5 and 95 % points of every metric: (metric, p, p05, p95), one pass over long rows."""
+    pairs = [y for m in metrics for y in (F.lit(m), F.col(m).cast("double"))]
+    long = df.select("gr_id", "a", "p", F.stack(F.lit(len(metrics)), *pairs).alias("metric", "x"))
+    long = long.withColumn("p", F.struct("metric", "p"))
+    return weighted_percentiles(long, "x").select("p.metric", "p.p", "p05", "p95")
 
 
 def weighted_spread(df: DataFrame, metric: str) -> DataFrame:
@@ -96,5 +116,6 @@ def degrees_of_freedom(grid: DataFrame, size: float) -> DataFrame:
 
 def scaled_to(df: DataFrame, metrics: list[str], own: DataFrame, target: DataFrame) -> DataFrame:
     """Spatial series scaled so that their reference means are the target's; both tables one row."""
-    o, t = own.first(), target.first()
-    return df.select("p", *[(F.col(m) * F.lit(t[m] / o[m] if o[m] else None)).alias(m) for m in metrics])
+    one = own.select(*[F.col(m).alias(f"_own_{m}") for m in metrics]).crossJoin(target.select(*[F.col(m).alias(f"_to_{m}") for m in metrics]))
+    met = df.crossJoin(F.broadcast(one))  # one row beside every period
+    return met.select("p", *[(F.col(m) * F.try_divide(F.col(f"_to_{m}"), F.col(f"_own_{m}"))).alias(m) for m in metrics])

@@ -25,3 +25,23 @@ def save(df: DataFrame, path: str, digits: int = 2, partition_by: tuple[str, ...
 def export_means(df: DataFrame, metric: str, path: str) -> None:
     """Regional mean of a metric by period as CSV with one decimal."""
     df.groupBy("p").agg(F.format_number(F.avg(metric), "0.0").alias(metric)).orderBy("p").write.mode("overwrite").csv(path, header=True)
+
+
+def with_means(dec: DataFrame, means: DataFrame, key: str) -> DataFrame:
+    """A decadal table with the ``_CC`` and ``_ref`` means of its series beside each row; older ones are replaced."""
+    keep = [c for c in dec.columns if c == key or c not in means.columns]
+    return dec.select(*keep).join(means, key, "left")
+
+
+def aggregate_columns(df: DataFrame, scope: str = "_agr") -> DataFrame:
+    """Only the label and the columns of the aggregate scope."""
+    return df.select("p", *[c for c in df.columns if scope in c])
+
+
+def packed16(df: DataFrame, column: str, scale: float = 0.1, missing: int = -9999) -> DataFrame:
+    """A double as a scaled 16-bit integer; missing values as ``missing``."""
+    return df.withColumn(column, F.coalesce(F.bround(F.col(column) / scale), F.lit(missing)).cast("smallint"))
+
+
+def unpacked16(df: DataFrame, column: str, scale: float = 0.1, missing: int = -9999) -> DataFrame:
+    return df.withColumn(column, F.when(F.col(column) != missing, F.col(column) * F.lit(scale)))

@@ -26,8 +26,15 @@ def field(spark: SparkSession, path: str, first_year: int, last_year: int, seaso
 
 def station_csv(spark: SparkSession, path: str, parameter: str) -> DataFrame:
     """A station's series: columns time and the parameter."""
-    raw = spark.read.csv(path, header=True, schema=f"time string, {parameter} double")
-    return raw.select(F.to_date(F.substring("time", 1, 10)).alias("d"), F.nanvl(parameter, F.lit(None).cast("double")).alias("v"))
+    raw = spark.read.csv(path, header=True)  # by name, wherever the columns stand
+    return raw.select(F.to_date(F.substring("time", 1, 10)).alias("d"), F.nanvl(F.col(f"`{parameter}`").cast("double"), F.lit(None).cast("double")).alias("v"))
+
+
+def overlapping(spark: SparkSession, path: str, first_year: int, last_year: int) -> DataFrame:
+    """Stored results partitioned by ``span`` (``YYYYtoYYYY``) that overlap the years; the reference span is left out."""
+    df = spark.read.option("basePath", path).parquet(path)
+    own = df.filter(F.col("span") != "ref")
+    return own.filter((F.substring("span", 1, 4).cast("int") <= last_year) & (F.substring("span", 7, 4).cast("int") >= first_year)).drop("span")
 
 
 def wide_stations(df: DataFrame) -> DataFrame:
@@ -65,6 +72,12 @@ def rain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy(F.col("s_nationkey").alias("cell_id"), F.to_date("l_shipdate").alias("d")).agg(F.sum("l_quantity").alias("v"))
 
 
+def altitude(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A height and a share of land for each cell of the synthetic grid."""
+    c = cells(spark, sf_dir)
+    return c.select("cell_id", "y", "x", "mask_frac", "area", "gr_id", (F.col("cell_id") * 97 % 13 * 150.0).alias("altitude"), (F.col("cell_id") * 31 % 10 / 10.0).alias("lsm"))
+
+
 def orders_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     x = read(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_totalprice").join(c, F.col("o_custkey") == F.col("c_custkey"))
