@@ -13,8 +13,8 @@ Items are a stated query set: they are taken in blocks of bounded size, each blo
 indexed once and broadcast, and every document passes every block without moving.
 
 Defined cases: null and empty texts match nothing; an item shorter than ``Q`` matches whole
-words only; an item without letters and digits matches nothing, null items neither; repeated
-items are one row
+words only; one with fewer than ``MIN_ITEM`` letters and digits is no evidence and matches
+nothing, null items neither; repeated items are one row
 each; an item found twice in a text gives a row each time, overlapping finds give the best;
 repeated rows are judged alike; other columns pass through :func:`drop_contaminated`.
 """
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from exceedra.llm.common import chunks, materialize, mix64, no_clash, read_table, text_buffer
 
 Q = 8
+MIN_ITEM = 4
 EDIT_SHARE = 10  # one edit in so many characters
 BLOCK_CHARS = 4_000_000
 END = 0x110000
@@ -106,7 +107,7 @@ class Index:
                 x = x[1:]
             while len(x) and x[-1] == 32:
                 x = x[:-1]
-            if len(x):
+            if len(x) >= MIN_ITEM:
                 by_q.setdefault(gram_size(len(x)), []).append((len(self.ids), x))
                 self.ids.append(item_id)
         self.parts = [_Part(q, own) for q, own in sorted(by_q.items())]

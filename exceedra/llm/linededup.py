@@ -193,6 +193,8 @@ def line_blocks(docs: DataFrame, m: int, buckets: int) -> DataFrame:
     names = ["doc_id", "th", "line", "h", "bucket", *(f"b_{f}" for f in _FIELDS)]
 
     def packed(bucket: np.ndarray, key: np.ndarray, line: np.ndarray, h: np.ndarray, size: np.ndarray) -> Iterator[tuple]:
+        if not len(bucket):
+            return
         order = np.argsort(bucket, kind="stable")
         held, starts = np.unique(bucket[order], return_index=True)
         for b, k in zip(held.tolist(), np.split(order, starts[1:]), strict=True):

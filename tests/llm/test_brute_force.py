@@ -226,27 +226,3 @@ def test_within():
     for _ in range(600):
         a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 14))) for _ in range(2))
         assert all(linededup.within(a, b, k) == (edit_distance(a, b) <= k) for k in (0, 1, 2, 5))
-
-
-def test_line_dedup(spark, data):
-    lines, texts = [], documents()
-    for i, t in texts.items():
-        raw = np.frombuffer(t.encode(), np.uint8)
-        doc, number, h, sim, lo, hi, x = linededup.lines_of(raw, np.array([0, len(raw)]))
-        lines += [(i, int(number[k]), int(sim[k]), x[lo[k] : hi[k]].tobytes().decode("utf-32-le").strip()) for k in range(len(doc))]
-    own = {r[3]: r[2] for r in lines}
-    keys = list(own)
-    label = list(range(len(keys)))
-    sims = np.array([own[k] for k in keys], np.uint64)
-    for i in range(len(keys)):
-        for j in np.flatnonzero(np.bitwise_count(sims[:i] ^ sims[i]) <= 3).tolist():
-            if edit_distance(keys[i], keys[j]) <= max(len(keys[i]), len(keys[j])) // 10:
-                a, b = label[i], label[j]
-                label = [min(a, b) if v in (a, b) else v for v in label]
-    group, seen, removed = dict(zip(keys, label, strict=True)), set(), dict.fromkeys(texts, 0)
-    for i, _, _, text in sorted(lines):
-        removed[i] += group[text] in seen
-        seen.add(group[text])
-    got = {r.doc_id: r for r in QUERIES["op10_fuzzy_lines"](spark, data).collect()}
-    assert {i: r.n_removed for i, r in got.items()} == removed
-    assert all(got[i].n_lines == len(re.split("\n", t)) for i, t in texts.items())

@@ -1,25 +1,41 @@
-"""Line deduplication against edit distance alone."""
+"""Line deduplication against edit distance alone: nothing else goes, and nearly all of it does."""
 
 from __future__ import annotations
 
 import random
+import unicodedata
 
-import pyarrow as pa
 import pyarrow.parquet as pq
 
 from support import DATA
 from exceedra.llm import linededup
-from exceedra.llm.common import text_buffer
+
+
+def compared(line):
+    """Lower-case letters, marks and numbers, ASCII digits as 0, single spaces between."""
+    out = "".join((c.lower() if len(c.lower()) == 1 else c) if unicodedata.category(c)[0] in "LMN" else " " for c in line)
+    return " ".join("".join("0" if c in "0123456789" else c for c in out).split(" ")).strip() if out.strip() else ""
+
+
+def test_within_agrees_with_the_table_of_edit_distances():
+    rng = random.Random(4)
+    for _ in range(300):
+        a = "".join(rng.choice("abc") for _ in range(rng.randint(0, 25)))
+        b = "".join(rng.choice("abc") for _ in range(rng.randint(0, 25)))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        for limit in (0, 1, 3, 8):
+            assert linededup.within(a, b, limit) == (row[-1] <= limit)
 
 
 def removed_by_brute_force(texts):
     """Lines of each text that go, if every pair of different lines is held against the edit budget."""
-    lines = []
-    for i, t in sorted(texts.items()):
-        _, number, _, _, lo, hi, x = linededup.lines_of(*text_buffer(pa.array([t])))
-        lines += [(i, int(number[k]), x[lo[k] : hi[k]].tobytes().decode("utf-32-le").strip()) for k in range(len(number))]
-    keys = sorted({t for *_, t in lines}, key=len)
-    counts = linededup.letter_counts(keys).astype(int)
+    lines = [(i, c) for i, t in sorted(texts.items()) for line in t.split("\n") if (c := " ".join(compared(line).split()))]
+    keys = sorted({t for _, t in lines}, key=len)
+    letters = [{c: t.count(c) for c in set(t)} for t in keys]
     parent = list(range(len(keys)))
 
     def root(k):
@@ -29,16 +45,14 @@ def removed_by_brute_force(texts):
 
     for j, t in enumerate(keys):
         budget, i = len(t) // 10, j - 1
-        if len(t) < linededup.MIN_CHARS:
-            continue
-        while i >= 0 and len(t) - len(keys[i]) <= budget:
-            more = counts[j] - counts[i]
-            if max(more[more > 0].sum(), -more[more < 0].sum()) <= budget and linededup.within(keys[i], t, budget):
+        while budget and i >= 0 and len(t) - len(keys[i]) <= budget:
+            x, y = letters[i], letters[j]
+            if sum(max(y[c] - x.get(c, 0), 0) for c in y) <= budget and linededup.within(keys[i], t, budget):
                 a, b = root(i), root(j)
                 parent[max(a, b)] = min(a, b)
             i -= 1
     group, seen, removed = {t: root(k) for k, t in enumerate(keys)}, set(), dict.fromkeys(texts, 0)
-    for i, _, t in lines:
+    for i, t in lines:
         removed[i] += group[t] in seen
         seen.add(group[t])
     return removed
@@ -51,32 +65,51 @@ def edited(rng, text, edits):
     return "".join(out)
 
 
-def test_every_pair_within_the_budget_links(spark):
+def held(spark, texts):
+    got = linededup.dedup_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    want = removed_by_brute_force(texts)
+    assert all(r.n_removed <= want[r.doc_id] for r in got)
+    return sum(r.n_removed for r in got) / sum(want.values())
+
+
+def test_few_edits_are_found(spark):
+    """One edit in 50 characters, at least one: recall 0.98 or more."""
     rng = random.Random(11)
     words = lambda n: " ".join("".join(rng.choice("abcdefghijk") for _ in range(rng.randint(2, 8))) for _ in range(n))
     texts = {}
     for i in range(150):
         base = words(rng.choice([5, 8, 12, 20, 40, 80, 200]))
-        texts[2 * i], texts[2 * i + 1] = base, edited(rng, base, rng.randint(1, max(1, len(base) // 12)))
-    got = linededup.dedup_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
-    want = removed_by_brute_force(texts)
-    assert {r.doc_id: r.n_removed for r in got} == want and sum(want.values()) >= 140
+        texts[2 * i], texts[2 * i + 1] = base, edited(rng, base, max(1, len(base) // 50))
+    assert held(spark, texts) >= 0.98
 
 
-def test_evenly_spread_edits_link_below_the_exact_length():
+def test_many_edits_are_mostly_found(spark):
+    """One edit in 20 characters: recall 0.8 or more; a tenth of a long line is beyond the keys (see README)."""
     rng = random.Random(12)
-    for n in [*range(18, linededup.EXACT_BELOW)]:
-        base = "".join(rng.choice("abcdefghijk") for _ in range(n))
-        step = n / (n // 10 + 1)
-        other = list(base)
-        for k in range(1, n // 10 + 1):
-            other[min(int(k * step), n - 1)] = "z"
-        c = max(i for i, row in enumerate(linededup.CLASSES) if row[0] <= n)
-        owner, token, _, _ = linededup.picked_grams([base, "".join(other)], c, linededup.rarity([], c))
-        assert set(token[owner == 0]) & set(token[owner == 1]), n
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijk") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    texts = {}
+    for i in range(150):
+        base = words(rng.choice([5, 8, 12, 20, 40, 80]))
+        texts[2 * i], texts[2 * i + 1] = base, edited(rng, base, max(1, len(base) // 20))
+    assert held(spark, texts) >= 0.8
+
+
+def test_a_large_group_of_near_copies_keeps_one(spark):
+    rng = random.Random(13)
+    base = "the quick brown fox jumps over the lazy dog near the river bank while seven bright stars shine above it all tonight"
+    texts = {0: base} | {i: edited(rng, base, rng.randint(1, 4)) for i in range(1, 1500)}
+    got = linededup.dedup_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert sum(r.n_removed for r in got) >= 1497
+
+
+def test_short_equal_lines_go(spark):
+    got = {r.doc_id: r.n_removed for r in linededup.dedup_lines(spark.createDataFrame([(1, "ok"), (2, "OK!\nno"), (3, "...")], "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 1, 3: 0}
 
 
 def test_corpus_lines_by_edit_distance_alone(spark, data):
     t = pq.read_table(f"{DATA}/documents.parquet", columns=["doc_id", "text"]).to_pydict()
-    got = linededup.op10_fuzzy_lines(spark, data).collect()
-    assert {r.doc_id: r.n_removed for r in got} == removed_by_brute_force(dict(zip(t["doc_id"], t["text"], strict=True)))
+    got = {r.doc_id: r.n_removed for r in linededup.op10_fuzzy_lines(spark, data).collect()}
+    want = removed_by_brute_force({i: x or "" for i, x in zip(t["doc_id"], t["text"], strict=True)})
+    assert all(n <= want[i] for i, n in got.items())
+    assert sum(got.values()) >= 0.97 * sum(want.values())

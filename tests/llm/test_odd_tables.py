@@ -35,8 +35,7 @@ OPS = {
 
 @pytest.mark.parametrize("name", OPS)
 def test_every_row_returns(name, odd, nothing, items, labels):
-    plain = odd.drop("shard", "slot") if name == "shards" else odd
-    assert ids(OPS[name](plain, items, labels).collect()) == ids(odd.collect())
+    assert ids(OPS[name](odd, items, labels).collect()) == ids(odd.collect())
     assert OPS[name](nothing, items, labels).count() == 0
 
 
@@ -76,7 +75,7 @@ def test_mix(odd):
 
 
 def test_shards(odd):
-    rows = sharding.shard_documents(odd.drop("shard", "slot"), 4).collect()
+    rows = sharding.shard_documents(odd, 4).collect()
     for s in {r["shard"] for r in rows}:
         own = sorted(r["slot"] for r in rows if r["shard"] == s)
         assert own == list(range(len(own)))
