@@ -26,6 +26,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from exceedra.llm.common import free_prefix, materialize, read_table, shuffle_partitions
 
@@ -168,11 +169,9 @@ def place(rows: DataFrame, shard: Column, total: int, prefix: str = "") -> DataF
     dealt = rows.withColumn(key[0], shard).repartitionByRange(n, *key).sortWithinPartitions(*key, f"{prefix}id")
     placed = materialize(dealt.withColumn(at, F.monotonically_increasing_id()))
     tasks = placed.groupBy(key[0], F.shiftright(at, 33).alias(task)).agg(F.min(at).alias(first), F.count("*").alias("n"))
-    before, lines = {}, []
-    for s, t, lowest, c in sorted(tasks.collect()):  # a row for each task and each shard's edge
-        lines.append((s, t, before.get(s, 0) - lowest))
-        before[s] = before.get(s, 0) + c
-    starts = F.broadcast(spark.createDataFrame(lines, f"{prefix}s int, {prefix}t long, {ahead} long"))
+    earlier = Window.partitionBy(key[0]).orderBy(task).rowsBetween(Window.unboundedPreceding, -1)  # over a row for each task
+    before = F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col(first)
+    starts = F.broadcast(tasks.select(F.col(key[0]).alias(f"{prefix}s"), F.col(task).alias(f"{prefix}t"), before.alias(ahead)))  # tasks and shards, no more rows
     met = placed.join(starts, (F.col(key[0]) == F.col(f"{prefix}s")) & (F.shiftright(at, 33) == F.col(f"{prefix}t")))
     return met.withColumn(f"{prefix}slot", F.col(at) + F.col(ahead))
 
