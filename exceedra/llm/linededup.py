@@ -14,14 +14,14 @@ the longer.  Candidates share a block key; a line has keys of two kinds:
   agree in each key with chance ``J``.  ``CLASSES`` has ``q`` by the longer line's length.
 
 One pass over the texts deals all keys to buckets.  A bucket keeps those members of a block
-that have a partner near enough in size (or in SimHash), which is linear in its rows; no pair
-is written there.  Their texts are fetched once.  A first round compares each member with the
-block's most frequent line; the second makes the pairs of a block's members that are not
-connected by then; sizes, counts of characters and minima of shorter q-grams rule most of
-them out before any becomes a row.
-A large block is dealt over a triangle of cells for that.  Pairs are verified by edit
-distance.  Of each connected group of lines the first occurrence in the corpus, by document
-and line, stays and all others go.
+that have a partner near enough in size (or in SimHash), which is linear in its rows.  Their
+texts are fetched once and go to the blocks.  There each member is first held against the
+block's most frequent line; then members that are not connected by now meet those of near
+size, each two in the first of their common blocks only.  Sizes, counts of characters and
+minima of shorter q-grams rule most pairs out, banded edit distance decides the others, and
+only links that connect something become rows.  A large block is dealt over a triangle of
+cells.  Of each connected group of lines the first occurrence in the corpus, by document and
+line, stays and all others go.
 
 Defined cases: null and empty texts have one empty line; lines without a letter or digit
 always stay; lines with fewer than ``EDIT_SHARE`` compared characters link with equal ones
@@ -49,6 +49,13 @@ EDIT_SHARE = 10
 GROUP_LINES = 64  # lines expected in a block by chance at most
 LARGE_BLOCK = 2_000  # members that are not looked at pair by pair while blocks are built
 CELL_MEMBERS = 5_000  # of a block, before its pairs are dealt over cells
+TILE_MEMBERS = 40_000  # expected in a task that compares texts
+PAIRS_AT_ONCE = 100_000
+BAND_SIZE = 3_000  # characters; longer lines are compared one pair at a time
+BAND_CELLS = 60_000  # of the distance tables of pairs compared together
+STRETCH = 8
+FEW_PAIRS = 6  # fewer are compared one at a time
+FAR = 10_000  # beyond any distance of lines of ``BAND_SIZE``
 BUCKET_LINES = 100_000
 LINE_BYTES = 200  # expected; sets the number of blocks and buckets only
 MAX_BROADCAST_ROWS = 2_000_000
@@ -76,8 +83,8 @@ def _sums(values: np.ndarray, size: np.ndarray) -> np.ndarray:
     return mix64(np.add.reduceat(values * _powers(int(size.max()))[local], first) + size.astype(np.uint64))
 
 
-def lines_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(document, line number, hash, SimHash, first, last + 1) of lines with a letter or digit, and the compared text.
+def line_bounds(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(document, line number, first, last + 1) of lines with a letter or digit, and the compared text.
 
     A line is compared without the spaces at its ends.
     """
@@ -91,7 +98,7 @@ def lines_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         parts += [codes, mark]
         n_lines.append(int(breaks.sum()) + 1)
     x, _ = normalise(np.concatenate(parts))
-    x = np.where((x >= 48) & (x <= 57), np.uint32(48), x)
+    x[(x >= 48) & (x <= 57)] = 48
     ends = np.flatnonzero(x == END)
     begin = np.concatenate([[0], ends[:-1] + 1])
     doc = np.repeat(np.arange(len(n_lines)), n_lines)
@@ -99,7 +106,30 @@ def lines_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     begin = begin + (x[np.minimum(begin, len(x) - 1)] == 32)
     ends = ends - ((ends > begin) & (x[np.maximum(ends - 1, 0)] == 32))
     some = ends > begin
-    doc, number, begin, ends = doc[some], number[some], begin[some], ends[some]
+    return doc[some], number[some], begin[some], ends[some], x
+
+
+def sim_hashes(words: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Majority of each bit over stretches of hashed values, ``count`` of each.
+
+    Up to 255 values are counted in the bytes of eight integers at once.
+    """
+    first = np.cumsum(count) - count
+    sim = np.zeros(len(count), np.uint64)
+    ones = np.uint64(0x0101010101010101)
+    half = (count // 2).astype(np.uint8)[:, None]
+    for k in range(8):
+        total = np.add.reduceat(words >> np.uint64(k) & ones, first).view(np.uint8).reshape(-1, 8)
+        sim |= (total > half).astype(np.uint8).view(np.uint64).ravel() << np.uint64(k)
+    for i in np.flatnonzero(count > 255).tolist():
+        bits = np.unpackbits(words[first[i] : first[i] + count[i]].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        sim[i] = np.packbits(2 * bits > count[i], bitorder="little").view(np.uint64)[0]
+    return sim
+
+
+def lines_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(document, line number, hash, SimHash, first, last + 1) of lines with a letter or digit, and the compared text."""
+    doc, number, begin, ends, x = line_bounds(buf, offsets)
     none = np.zeros(0, np.uint64)
     if not len(doc):
         return doc, number, none, none, begin, ends, x
@@ -114,16 +144,7 @@ def lines_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     count = hi - lo
     at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count - lo, count)
     own = words[at]
-    whole = _sums(own, count)
-    first = np.cumsum(count) - count
-    sim = np.zeros(len(doc), np.uint64)
-    for a in range(0, len(doc), 2000):
-        b = min(a + 2000, len(doc))
-        w = own[first[a] : first[b - 1] + count[b - 1]]
-        bits = np.unpackbits(w.view(np.uint8).reshape(-1, 8), axis=1)
-        ones = np.add.reduceat(bits, first[a:b] - first[a], axis=0, dtype=np.int32)
-        sim[a:b] = np.packbits(2 * ones > count[a:b, None], axis=1).view(np.uint64).ravel()
-    return doc, number, whole, sim, begin, ends, x
+    return doc, number, _sums(own, count), sim_hashes(own, count), begin, ends, x
 
 
 def blocks_for(n: int) -> int:
@@ -143,12 +164,19 @@ def block_keys(sim: np.ndarray, m: int) -> Iterator[np.ndarray]:
 
 
 def gram_hashes(x: np.ndarray, q: int) -> np.ndarray:
-    """Hash of the q-gram at each place of an array of code points."""
-    h = np.zeros(max(len(x) - q + 1, 0), np.uint64)
-    for j in range(q):
-        h *= _STEP
-        h += x[j : j + len(h)]
-    return mix64(h)
+    """Hash of the q-gram at each place of an array of code points, from those of half its length."""
+    if len(x) < q:
+        return np.zeros(0, np.uint64)
+    power = _powers(17)
+    own, size, out, done = x.astype(np.uint64), 1, None, 0  # own: polynomials of ``size`` characters; out: of ``done``
+    while True:
+        if q & size:
+            n = len(x) - done - size + 1
+            out, done = (own, size) if out is None else (out[:n] * power[size] + own[done : done + n], done + size)
+        if done == q:
+            return mix64(out)
+        own = own[:-size] * power[size] + own[size:]
+        size *= 2
 
 
 def range_minima(x: np.ndarray, begin: np.ndarray, end: np.ndarray, q: int, ranges: int) -> np.ndarray:
@@ -157,6 +185,12 @@ def range_minima(x: np.ndarray, begin: np.ndarray, end: np.ndarray, q: int, rang
     count = end - begin - q + 1
     own = np.flatnonzero(count > 0)
     count = count[own]
+    if len(own) and 2 * int((count + q).sum()) < len(x):  # few of the characters: hash those only
+        size = end[own] - begin[own]
+        first = np.cumsum(size) - size
+        x = x[np.arange(int(size.sum())) + np.repeat(begin[own] - first, size)]
+        begin = begin.copy()
+        begin[own] = first
     if len(own):
         at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count - begin[own], count)
         g = gram_hashes(x, q)[at]
@@ -202,7 +236,6 @@ def line_blocks(docs: DataFrame, m: int, buckets: int) -> DataFrame:
             yield b, key[k].tobytes(), h[used].tobytes(), size[used].tobytes(), own.astype(np.uint32).tobytes()
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, np.int64)
         waiting: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -211,6 +244,12 @@ def line_blocks(docs: DataFrame, m: int, buckets: int) -> DataFrame:
             line = np.concatenate([w[3] + b for w, b in zip(waiting, base[:-1], strict=True)])
             key = np.concatenate([w[4] for w in waiting])
             waiting.clear()
+            _, once = np.unique(h, return_index=True)
+            place = np.full(len(h), -1)
+            place[once] = np.arange(len(once))
+            held = place[line] >= 0
+            line, key = place[line[held]], key[held]
+            h, size, sim = h[once], size[once], sim[once]
             rows = list(packed((key % np.uint64(buckets)).astype(np.int64), key, line, h, size))
             some = np.flatnonzero(size >= EDIT_SHARE)
             for c, k in enumerate(block_keys(sim[some], m)):
@@ -240,7 +279,7 @@ def line_blocks(docs: DataFrame, m: int, buckets: int) -> DataFrame:
 
 
 def block_members(packed: DataFrame, m: int, buckets: int) -> DataFrame:
-    """(block, h, n) of the lines that have a partner within the bounds in their block; ``n`` is how often they occur."""
+    """(block, h, n) of the lines that have a partner within the bounds in their block; ``n`` is how many batches hold them."""
 
     def run(table: pa.Table) -> pa.Table:
         choice = int(table.column("bucket")[0].as_py()) // buckets - 1
@@ -351,87 +390,227 @@ def line_texts(lines: DataFrame, needed: DataFrame, docs: DataFrame) -> DataFram
 
     def fetch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for lo, hi in chunks(batch, 0, 1 << 20):
-            doc, _, whole, _, begin, end, x = lines_of(*text_buffer(batch.column(0).slice(lo, hi - lo)))
-            want = {(i, w["h"]) for i, ws in enumerate(batch.column(1).slice(lo, hi - lo).to_pylist()) for w in ws}
-            rows = [k for k, key in enumerate(zip(doc.tolist(), whole.view(np.int64).tolist(), strict=True)) if key in want]
+            doc, number, begin, end, x = line_bounds(*text_buffer(batch.column(0).slice(lo, hi - lo)))
+            want = {(i, w["line"]): w["h"] for i, ws in enumerate(batch.column(1).slice(lo, hi - lo).to_pylist()) for w in ws}
+            rows = [(k, want[key]) for k, key in enumerate(zip(doc.tolist(), number.tolist(), strict=True)) if key in want]
             if rows:
-                found = [x[begin[k] : end[k]].tobytes().decode("utf-32-le") for k in rows]
-                yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)[rows]), pa.array(found, pa.string()), pa.array([c.tobytes() for c in signatures(found)], pa.binary())], ["h", "t", "bag"])
+                found = [x[begin[k] : end[k]].tobytes().decode("utf-32-le") for k, _ in rows]
+                yield pa.RecordBatch.from_arrays([pa.array([h for _, h in rows], pa.int64()), pa.array(found, pa.string()), pa.array([c.tobytes() for c in signatures(found)], pa.binary())], ["h", "t", "bag"])
 
     return materialize(arrow_map(texts, fetch, "h long, t string, bag binary").dropDuplicates(["h"]))
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of lines whose edit distance is small."""
+def same_start(a: str, b: str) -> int:
+    """Length of the common beginning."""
+    lo, hi = 0, min(len(a), len(b))
+    if a[:hi] == b[:hi]:
+        return hi
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        if a[lo:mid] == b[lo:mid]:
+            lo = mid
+        else:
+            hi = mid
+    return lo
+
+
+def surely_within(a: str, b: str, limit: int) -> bool:
+    """Whether an alignment that takes the next common stretch of ``STRETCH`` characters each time is in the limit.
+
+    True proves that the edit distance is; False proves nothing.
+    """
+    i = j = cost = 0
+    while True:
+        k = same_start(a[i:], b[j:])
+        i, j = i + k, j + k
+        if i == len(a) or j == len(b):
+            return cost + len(a) - i + len(b) - j <= limit
+        for skip in range(limit - cost + 1):
+            p = b.find(a[i + skip : i + skip + STRETCH], j, j + limit - cost + STRETCH) if i + skip + STRETCH <= len(a) else -1
+            if p >= 0:
+                break
+        else:
+            return cost + max(len(a) - i, len(b) - j) <= limit
+        cost += max(skip, p - j)
+        i, j = i + skip, p
+
+
+def all_within(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """Whether pairs of lines, the shorter one first, are within the budget of the longer.
+
+    Most links are proved by a plain alignment, the rest by the table between the common ends.
+    """
+    out = np.zeros(len(pairs), bool)
+    left: list[tuple[str, str]] = []
+    rows, limits = [], []
+    for k, (a, b) in enumerate(pairs):
+        limit = len(b) // EDIT_SHARE
+        lo = same_start(a, b)
+        a, b = a[lo:], b[lo:]
+        hi = same_start(a[::-1], b[::-1])
+        a, b = a[: len(a) - hi], b[: len(b) - hi]
+        if len(b) <= limit or surely_within(a, b, limit):
+            out[k] = True
+        elif len(b) > BAND_SIZE:
+            out[k] = within(a, b, limit)
+        else:
+            left.append((a, b))
+            rows.append(k)
+            limits.append(limit)
+    out[np.array(rows, np.int64)] = _banded_parts(left, np.array(limits, np.int64))
+    return out
+
+
+def _banded_parts(pairs: list[tuple[str, str]], limit: np.ndarray) -> np.ndarray:
+    """Whether edit distances are at most ``limit``, pairs of similar size and budget together."""
+    out = np.zeros(len(pairs), bool)
+    size = np.array([len(b) for _, b in pairs], np.int64)
+    go = np.flatnonzero(size - np.array([len(a) for a, _ in pairs], np.int64) <= limit)
+    size_class, limit_class = (np.floor(np.log2(v[go] + 1) * 2).astype(np.int64) for v in (size, limit))
+    order = np.lexsort((limit_class, size_class))
+    go, kind = go[order], size_class[order] * 100 + limit_class[order]
+    starts = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]]) if len(go) else np.zeros(0, np.int64)
+    for lo, end in zip(starts.tolist(), np.append(starts[1:], len(go)).tolist(), strict=True):
+        most = max(1, BAND_CELLS // (2 * int(limit[go[lo:end]].max()) + 1))
+        for a in range(lo, end, most):
+            part = go[a : min(a + most, end)]
+            some = [pairs[k] for k in part.tolist()]
+            out[part] = _banded(some, limit[part]) if len(part) >= FEW_PAIRS else [within(x, y, k) for (x, y), k in zip(some, limit[part].tolist(), strict=True)]
+    return out
+
 
-    def compare(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        s, t = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        size_s, size_t = (np.array(list(map(len, v)), np.int64) for v in (s, t))
-        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, 2 * BINS) for k in (4, 5))
-        keep = can_link(x, y, size_s, size_t)
-        for i in np.flatnonzero(keep).tolist():
-            keep[i] = within(s[i], t[i], max(len(s[i]), len(t[i])) // EDIT_SHARE)
-        flags = pa.array(keep)
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(flags), batch.column(1).filter(flags)], ["a", "b"])
+def _columns(texts: list[str], before: int, height: int) -> np.ndarray:
+    """A text in each column, ``before`` places down, over a filler that no text holds."""
+    size = np.array([len(t) for t in texts], np.int64)
+    out = np.full((height, len(texts)), END, np.uint32)
+    at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    out[before + at, np.repeat(np.arange(len(texts)), size)] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return out
 
-    one, two = texts.select(F.col("h").alias("a"), F.col("t").alias("s"), F.col("bag").alias("x")), texts.select(F.col("h").alias("b"), "t", F.col("bag").alias("y"))
-    met = pairs.join(one, "a").join(two, "b").select("a", "b", "s", "t", "x", "y")
-    return materialize(arrow_map(met, compare, "a long, b long"))
 
+def _banded(pairs: list[tuple[str, str]], limit: np.ndarray) -> np.ndarray:
+    """The table of edit distances of many pairs at once, a band around its diagonal."""
+    k = int(limit.max())
+    width = 2 * k + 1
+    m, n = (np.array([len(p[i]) for p in pairs], np.int64) for i in (0, 1))
+    s = _columns([a for a, _ in pairs], 0, int(m.max()))
+    t = _columns([b for _, b in pairs], k, int(n.max()) + width)
+    step = np.arange(width, dtype=np.int16)[:, None]
+    row = np.where(step >= k, step - k, FAR).astype(np.int16) + np.zeros((1, len(pairs)), np.int16)
+    who, out = np.arange(len(pairs)), (m == 0) & (n <= limit)
+    for i in range(len(s)):
+        new = row + (t[i : i + width] != s[i])
+        np.minimum(new[:-1], row[1:] + np.int16(1), out=new[:-1])
+        new -= step
+        np.minimum.accumulate(new, axis=0, out=new)
+        new += step
+        row = new
+        done = np.flatnonzero(m[who] == i + 1)
+        if len(done):
+            p = who[done]
+            out[p] = row[n[p] - m[p] + k, done] <= limit[p]
+        if i % 8 == 7:
+            alive = (m[who] > i + 1) & (row.min(0) <= limit[who])
+            if 4 * int(alive.sum()) <= 3 * len(who):
+                who, row, s, t = who[alive], row[:, alive], s[:, alive], t[:, alive]
+                if not len(who):
+                    break
+    return out
 
-def stars(labels: DataFrame) -> DataFrame:
-    """Components as links to their smallest node."""
-    return labels.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
 
+def block_links(table: pa.Table) -> pa.Table:
+    """Links (a, b) that connect lines of the blocks of one bucket."""
+    cell, block, h, n, side = (table.column(c).to_numpy() for c in ("cell", "block", "h", "n", "side"))
+    names, node = np.unique(h, return_inverse=True)
+    at = np.zeros(len(names), np.int64)
+    at[node] = np.arange(len(h))
+    texts = table.column("t").take(pa.array(at)).to_pylist()
+    length = np.array([len(t) for t in texts], np.int64)
+    bag = np.frombuffer(b"".join(table.column("bag").take(pa.array(at)).to_pylist()), np.uint8).reshape(-1, 2 * BINS)
+    lists = table.column("blocks").take(pa.array(at)).to_pylist()
+    blocks = np.full((len(names), max(map(len, lists))), np.iinfo(np.int64).max)
+    for i, v in enumerate(lists):
+        blocks[i, : len(v)] = v
+    order = np.lexsort((h, length[node], cell))
+    cell, block, n, side, node = cell[order], block[order], n[order], side[order], node[order]
+    size = length[node]
+    parent = list(range(len(names)))
+    links: list[tuple[int, int]] = []
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    def settle(one: np.ndarray, two: np.ndarray) -> bool:
+        """Link pairs of nodes within the budget; ``one`` is no longer than ``two``."""
+        pairs = np.unique(np.stack([one, two], 1), axis=0)
+        one, two = pairs[:, 0], pairs[:, 1]
+        pairs = pairs[can_link(bag[one], bag[two], length[one], length[two])]
+        some = False
+        for i, j in pairs[all_within([(texts[i], texts[j]) for i, j in pairs.tolist()])].tolist():
+            a, b = root(i), root(j)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                links.append((i, j))
+                some = True
+        return some
+
+    starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+    of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(cell))))
+    hub = node[np.lexsort((node, n, of))[np.append(starts[1:], len(cell)) - 1]][of]
+    other = node != hub
+    long_ = length[hub] > size
+    one, two = np.where(long_, node, hub)[other], np.where(long_, hub, node)[other]
+    for a in range(0, len(one), PAIRS_AT_ONCE):
+        settle(one[a : a + PAIRS_AT_ONCE], two[a : a + PAIRS_AT_ONCE])
+
+    label = np.array([root(i) for i in range(len(names))])[node]
+    left, d, held = np.arange(len(node)), 1, 0
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    while len(left):
+        left = left[left + d < len(node)]
+        r = left + d
+        left = left[(cell[left] == cell[r]) & (size[r] - size[left] <= size[r] // EDIT_SHARE)]
+        s = left[(label[left] != label[left + d]) & ((side[left] != side[left + d]) | (side[left] == 0))]
+        for a in range(0, len(s), PAIRS_AT_ONCE):
+            i = s[a : a + PAIRS_AT_ONCE]
+            x, y, here = node[i], node[i + d], block[i]
+            fits = can_link(bag[x], bag[y], length[x], length[y])
+            x, y, here = x[fits], y[fits], here[fits]
+            before = np.zeros(len(x), bool)  # met in an earlier block of both
+            for k in range(blocks.shape[1]):
+                v = blocks[x, k]
+                before |= (v < here) & (blocks[y] == v[:, None]).any(1)
+            if not before.all():
+                waiting.append((x[~before], y[~before]))
+                held += len(waiting[-1][0])
+        d += 1
+        if waiting and (not len(left) or held > PAIRS_AT_ONCE // 4):
+            x, y = (np.concatenate(v) for v in zip(*waiting, strict=True))
+            waiting.clear()
+            held = 0
+            if settle(x, y):
+                label = np.array([root(i) for i in range(len(names))])[node]
+    a, b = (names[np.array([p[k] for p in links], np.int64)] for k in (0, 1))
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-def pairs_across(members: DataFrame, n: int) -> DataFrame:
-    """Pairs of a block's members of different labels, within the bounds; ``members (block, h, label, size, bag, side)``."""
 
-    def run(table: pa.Table) -> pa.Table:
-        block, h, label, size, side = (table.column(c).to_numpy() for c in ("block", "h", "label", "size", "side"))
-        bag = np.frombuffer(b"".join(table.column("bag").to_pylist()), np.uint8).reshape(-1, 2 * BINS)
-        order = np.lexsort((h, size, block))
-        block, h, label, size, side, bag = block[order], h[order], label[order], size[order].astype(np.int64), side[order], bag[order]
-        found, waiting = [np.zeros((0, 2), np.int64)], 0
-        left, d = np.arange(len(h)), 1
-        while len(left):
-            left = left[left + d < len(h)]
-            r = left + d
-            budget = size[r] // EDIT_SHARE
-            go = (block[left] == block[r]) & (size[r] - size[left] <= budget)
-            left, r, budget = left[go], r[go], budget[go]
-            ok = (label[left] != label[r]) & ((side[left] != side[r]) | (side[left] == 0))
-            s, t = left[ok], r[ok]
-            for a in range(0, len(s), 100_000):
-                i, j = s[a : a + 100_000], t[a : a + 100_000]
-                fits = can_link(bag[i], bag[j], size[i], size[j])
-                found.append(np.stack([np.minimum(h[i[fits]], h[j[fits]]), np.maximum(h[i[fits]], h[j[fits]])], 1))
-                waiting += len(found[-1])
-            if waiting > 1_000_000:
-                found, waiting = [np.unique(np.concatenate(found), axis=0)], 0
-            d += 1
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    dealt = members.withColumn("bucket", F.pmod(F.xxhash64("block"), F.lit(n)))
-    return dealt.groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
-
-
-def open_members(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
-    """Members of blocks with more than one label, each with its label, size and counts; large blocks as cells.
+def dealt_members(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Members (block, h, n) with their texts, all their blocks, and the cells of large blocks.
 
     A block of ``c`` parts has a cell for each part and one for each two parts, whose members
     meet only those of the other side.
     """
-    tied = members.join(labels, F.col("h") == F.col("node"), "left").select("block", "h", F.coalesce("component", "h").alias("label"))
-    tied = materialize(tied)
-    mixed = tied.groupBy("block").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("block", F.ceil(F.col("c") / CELL_MEMBERS).cast("int").alias("c"))
-    info = texts.select("h", F.length("t").alias("size"), "bag")
-    dealt = tied.join(mixed, "block").join(info, "h").withColumn("own", F.pmod(F.xxhash64("h"), F.col("c")).cast("int"))
-    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+    large = materialize(members.groupBy("block").agg(F.ceil(F.count("*") / CELL_MEMBERS).cast("int").alias("c")).filter("c > 1"))
+    lists = members.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("block", "n"))).alias("own_blocks"))
+    rows = lists.join(texts, "h").select("h", "t", "bag", F.col("own_blocks.block").alias("blocks"), F.explode("own_blocks").alias("m")).select("h", "t", "bag", "blocks", "m.block", "m.n")
+    rows = rows.join(large, "block", "left").withColumn("c", F.coalesce("c", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("h"), F.col("c")).cast("int"))
+    cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
     cell = F.when(F.col("c") == 1, F.col("block")).otherwise(F.xxhash64("block", F.least("own", "other"), F.greatest("own", "other")))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    return cells.select(cell.alias("block"), "h", "label", "size", "bag", side.alias("side"))
+    return cells.select(cell.alias("cell"), "block", "h", "n", "t", "bag", "blocks", side.alias("side"))
 
 
 def line_groups(lines: DataFrame, packed: DataFrame, docs: DataFrame, m: int, buckets: int) -> DataFrame:
@@ -440,17 +619,12 @@ def line_groups(lines: DataFrame, packed: DataFrame, docs: DataFrame, m: int, bu
     members = materialize(block_members(packed, m, buckets))
     tidy(spark)
     texts = line_texts(lines, materialize(members.select("h").distinct()), docs)
-    hubs = members.groupBy("block").agg(F.max(F.struct("n", "h")).alias("hub"))
-    pairs = members.join(hubs, "block").select("h", F.col("hub.h").alias("g")).filter("h <> g")
-    links = verified(pairs.select(F.least("h", "g").alias("a"), F.greatest("h", "g").alias("b")).distinct(), texts)
-    labels = materialize(connected_components(links))
-    tidy(spark)
-    rest = materialize(open_members(members, labels, texts))
-    n = max(shuffle_partitions(spark), -(-rest.count() // BUCKET_LINES))
-    more = verified(pairs_across(rest, n), texts)
-    whole = materialize(connected_components(stars(labels).unionByName(more)))
-    free(rest), free(texts)
+    n = max(shuffle_partitions(spark), -(-members.count() // TILE_MEMBERS))
+    tiles = dealt_members(members, texts).withColumn("bucket", F.pmod(F.xxhash64("cell"), F.lit(n)))
+    links = materialize(tiles.groupBy("bucket").applyInArrow(block_links, "a long, b long"))
+    free(texts)
     tidy(spark)
+    whole = materialize(connected_components(links))
     place = F.struct("doc_id", "line", "th")
     first = lines.groupBy("h").agg(F.min(place).alias("p"), F.count("*").alias("n"))
     placed = materialize(first.join(whole, F.col("h") == F.col("node"), "left").select("h", "n", "component", "p").filter("n > 1 or component is not null"))
