@@ -466,10 +466,12 @@ def _banded_parts(pairs: list[tuple[str, str]], limit: np.ndarray) -> np.ndarray
     out = np.zeros(len(pairs), bool)
     size = np.array([len(b) for _, b in pairs], np.int64)
     go = np.flatnonzero(size - np.array([len(a) for a, _ in pairs], np.int64) <= limit)
+    if not len(go):
+        return out
     size_class, limit_class = (np.floor(np.log2(v[go] + 1) * 2).astype(np.int64) for v in (size, limit))
     order = np.lexsort((limit_class, size_class))
     go, kind = go[order], size_class[order] * 100 + limit_class[order]
-    starts = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]]) if len(go) else np.zeros(0, np.int64)
+    starts = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]])
     for lo, end in zip(starts.tolist(), np.append(starts[1:], len(go)).tolist(), strict=True):
         most = max(1, BAND_CELLS // (2 * int(limit[go[lo:end]].max()) + 1))
         for a in range(lo, end, most):
