@@ -31,6 +31,24 @@ def test_within_agrees_with_the_table_of_edit_distances():
             assert linededup.within(a, b, limit) == (row[-1] <= limit)
 
 
+def test_many_pairs_at_once_agree_with_one_at_a_time():
+    rng = random.Random(5)
+    pairs = [("", "aaaaaaaaaa"), ("a", "a"), ("b", "a")]
+    for n in (3, 10, 40, 150, 500, 3_500):
+        for _ in range(60 if n < 1_000 else 4):
+            a = "".join(rng.choice("abcdé漢 ") for _ in range(n))
+            b = list(a)
+            for _ in range(rng.randint(0, max(1, n // 6))):
+                p = rng.randrange(len(b))
+                b[p : p + 1] = rng.choice([[], ["x"], [b[p], "y"]]) or ["z"]
+            a, b = sorted((a, "".join(b)), key=len)
+            if len(b) - len(a) <= len(b) // 10:
+                pairs.append((a, b))
+    want = [linededup.within(a, b, len(b) // 10) for a, b in pairs]
+    assert linededup.all_within(pairs).tolist() == want
+    assert 0 < sum(want) < len(want)
+
+
 def removed_by_brute_force(texts):
     """Lines of each text that go, if every pair of different lines is held against the edit budget."""
     lines = [(i, c) for i, t in sorted(texts.items()) for line in t.split("\n") if (c := " ".join(compared(line).split()))]
