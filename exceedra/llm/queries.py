@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from exceedra.llm import bpechunks, decontaminate, linededup, mixing, ngramjoin, quality, sharding, suffixdedup, tokencount, tokenids, toxicity
+from exceedra.llm import bpechunks, collocations, decontaminate, linededup, mixing, ngramjoin, quality, sharding, suffixdedup, tokencount, tokenids, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_quality": quality.op1_host_quality,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": suffixdedup.op8_suffix_dedup,
     "op9_token_counts": tokencount.op9_token_counts,
     "op10_fuzzy_lines": linededup.op10_fuzzy_lines,
+    "op11_toivonen_phrases": collocations.op11_toivonen_phrases,
     "op13_bpe_chunks": bpechunks.op13_bpe_chunks,
 }
 
@@ -26,4 +27,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_host_quality": quality.SQL,
     "op2_ngram_jaccard": ngramjoin.SQL,
     "op5_curriculum_mix": mixing.SQL,
+    "op11_toivonen_phrases": collocations.SQL,
 }
