@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from exceedra.llm import bpechunks, collocations, decontaminate, linededup, mixing, ngramjoin, quality, sharding, suffixdedup, tokencount, tokenids, toxicity
+from exceedra.llm import bpechunks, collocations, decontaminate, dialogue, linededup, mixing, ngramjoin, quality, sharding, suffixdedup, tokencount, tokenids, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_quality": quality.op1_host_quality,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": tokencount.op9_token_counts,
     "op10_fuzzy_lines": linededup.op10_fuzzy_lines,
     "op11_toivonen_phrases": collocations.op11_toivonen_phrases,
+    "op12_auction_repair": dialogue.op12_auction_repair,
     "op13_bpe_chunks": bpechunks.op13_bpe_chunks,
 }
 
@@ -28,4 +29,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_ngram_jaccard": ngramjoin.SQL,
     "op5_curriculum_mix": mixing.SQL,
     "op11_toivonen_phrases": collocations.SQL,
+    "op12_auction_repair": dialogue.SQL,
 }
