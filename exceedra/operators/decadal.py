@@ -151,8 +151,9 @@ def amplification(dec: DataFrame, key: str, metrics: list[str], ref: tuple[str,
 
 
 def temporal_names(df: DataFrame) -> DataFrame:
-    """EM columns again under their temporal-extremity names."""
-    return df.select("*", *[F.col(c).alias("t" + c.replace("em", "ex", 1)) for c in df.columns if c.split("_gr")[0] == "em"])
+    """EM columns again under their temporal-extremity names, where the extremity with area does not hold the name."""
+    names = {c: "t" + c.replace("em", "ex", 1) for c in df.columns if c.split("_gr")[0] == "em"}
+    return df.select("*", *[F.col(c).alias(n) for c, n in names.items() if n not in df.columns])
 
 
 def natural_variability(df: DataFrame, key: str, group: str, metric: str, region: str) -> DataFrame:

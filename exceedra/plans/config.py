@@ -37,6 +37,13 @@ class RunConfig:
     min_duration: float = 0.0
     smoothing_radius: int = 0
     significant_digits: int = 3
+    name: str = "region"
+    unit: str = "1"
+    primary_threshold: float | None = None
+    recalc_threshold: bool = False
+    recalc_daily: bool = False
+    decadal_only: bool = False
+    spreads: bool = False
     unknown: tuple[str, ...] = ()
 
     @classmethod
@@ -48,6 +55,8 @@ class RunConfig:
                 known[k] = _pair(known[k])
         if isinstance(known.get("decadal_window"), str):
             known["decadal_window"] = tuple(int(x) for x in known["decadal_window"].split(","))
+        elif "decadal_window" in known:
+            known["decadal_window"] = tuple(known["decadal_window"])
         config = cls(**known, unknown=tuple(sorted(set(given) - names)))
         config.check()
         return config
@@ -60,5 +69,8 @@ class RunConfig:
         for p in (self.period, self.perc_period):
             if p not in PERIODS:
                 raise ValueError(f"unknown period {p!r}")
+        rows, before, after = self.decadal_window
+        if rows != before + after + 1:
+            raise ValueError("a decadal window has one row beside those before and after")
         if self.start > self.end or self.end > datetime.date.today().year:
             raise ValueError("years run forwards and end by this year")
