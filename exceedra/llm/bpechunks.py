@@ -1,9 +1,10 @@
 """Operator 13: byte-level BPE encoding by content-defined chunks, and decoding.
 
 Texts are cut where a rolling hash of their last 32 bytes has its low bits clear, so that
-copies of a passage are cut alike wherever they stand.  A chunk is encoded by the tokenizers
-library once for each worker process that meets it; its ids and the places where the
-library's splitter began a piece are kept under its bytes.
+copies of a passage are cut alike wherever they stand.  A chunk is encoded once for each
+worker process that meets it; its ids and the places where a piece begins are kept under its
+bytes.  A new chunk is cut into pieces as the library's splitter does, and the tokenizers
+library encodes each different piece once; a chunk with a special string goes to it whole.
 
 Chunk ends are not the library's piece ends, so each join is repaired.  A window of the text
 from the last piece that the left chunk settles to a piece of the right chunk is encoded
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,12 +36,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from exceedra.llm.common import arrow_map, chunks, local_path, no_clash, read_table, text_buffer
-from exceedra.llm.tokencount import byte_alphabet
+from exceedra.llm.tokencount import byte_alphabet, equal_pieces, piece_starts
 
 VOCABULARY = "byte_bpe_50k.json"
 BATCH_BYTES = 1 << 20
 LEAST, MEAN, MOST = 256, 1024, 8192
 KEPT_BYTES = 96 << 20
+MAX_PIECES = 400_000
 SETTLED, AHEAD = 16, 32
 
 _GEAR = np.random.default_rng(20260113).integers(0, 2**32, 256, dtype=np.uint32)
@@ -111,6 +114,9 @@ class Codec:
         for k, token in added.items():
             self.bytes_of[k] = token
         self.length = np.array([len(x) for x in self.bytes_of], np.int64)
+        self.special = list(added.values())
+        self.mark_id = next(iter(added))
+        self.forget_pieces()
         self.known: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
         self.held = 0
         self.encoded = 0  # bytes that the library has seen
@@ -126,6 +132,54 @@ class Codec:
             out.append((np.array(e.ids, np.int32), begins))
         return out
 
+    def forget_pieces(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.flat, self.starts = array("i"), array("q", [0])
+
+    def learn(self, pieces: list[bytes]) -> None:
+        """Adds pieces: one call for all, with a special string between them, whose id parts them."""
+        self.encoded += sum(map(len, pieces))
+        mark = self.special[0]
+        ids = np.array(self.tokenizer.encode_batch_fast([mark.join(pieces).decode("utf-8")], add_special_tokens=False)[0].ids, np.int32)
+        own = ids != self.mark_id
+        ends = np.append(np.cumsum(own)[~own], np.count_nonzero(own)) + self.starts[-1]
+        self.number.update(zip(pieces, range(len(self.number), len(self.number) + len(pieces)), strict=True))
+        self.flat.frombytes(ids[own].tobytes())
+        self.starts.frombytes(ends.astype(np.int64).tobytes())
+
+    def by_pieces(self, parts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of parts without special strings, each different piece by the library."""
+        if not parts:
+            return []
+        if len(self.number) > MAX_PIECES:
+            self.forget_pieces()
+        data = b"".join(parts)
+        buf = np.frombuffer(data, np.uint8)
+        ends = np.cumsum([len(p) for p in parts])
+        lead = np.flatnonzero((buf & 0xC0) != 0x80)  # the byte at which each character begins
+        codes = np.frombuffer(data.decode("utf-8").encode("utf-32-le"), np.uint32)
+        stops = np.searchsorted(lead, ends)
+        begins = piece_starts(np.insert(codes, stops, 0x110000))
+        at = np.insert(lead, stops, ends)[begins]  # end marks begin a piece of no bytes
+        keep = np.append(at[1:] != at[:-1], False) if len(at) else np.zeros(0, bool)
+        lo, hi = at[keep], np.append(at[1:], len(buf))[keep]
+        first, back = equal_pieces(buf, lo, hi)
+        pieces = [data[a:b] for a, b in zip(lo[first].tolist(), hi[first].tolist(), strict=True)]
+        known = self.number
+        new = list(dict.fromkeys(p for p in pieces if p not in known))
+        for lo_ in range(0, len(new), 4000):
+            self.learn(new[lo_ : lo_ + 4000])
+        place = np.frombuffer(self.starts, np.int64)
+        which = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))[back]
+        size = place[which + 1] - place[which]
+        upto = np.cumsum(size)
+        total = int(upto[-1])
+        ids = np.frombuffer(self.flat, np.int32)[np.arange(total) - np.repeat(upto - size - place[which], size)]
+        begins = np.zeros(total, bool)
+        begins[upto - size] = True
+        cut = np.append(0, upto)[np.searchsorted(lo, ends)].tolist()
+        return [(ids[a:b].copy(), begins[a:b].copy()) for a, b in zip([0, *cut[:-1]], cut, strict=True)]
+
     def chunk_ids(self, parts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         """The same by chunk: each is encoded when it is first met."""
         new = list(dict.fromkeys(p for p in parts if p not in self.known))
@@ -133,7 +187,9 @@ class Codec:
             self.known.clear()
             self.held = 0
             new = list(dict.fromkeys(parts))
-        for p, found in zip(new, self.library(new), strict=True):
+        special = [p for p in new if any(x in p for x in self.special)]
+        plain = [p for p in new if not any(x in p for x in self.special)] if special else new
+        for p, found in [*zip(special, self.library(special), strict=True), *zip(plain, self.by_pieces(plain), strict=True)]:
             self.known[p] = found
             self.held += len(p) + 5 * len(found[0]) + 300
         return [self.known[p] for p in parts]
