@@ -20,7 +20,7 @@ def test_insertion_at_the_edge_of_the_budget(insert_at, first):
             out[p] = "z"
         text = "".join(out[:insert_at]) + "y" + "".join(out[insert_at:])
         index = decontaminate.Index([(5, item)])
-        for offset in range(int(index.edit[0]) + 1):
+        for offset in range(int(index.parts[0].edit[0]) + 1):
             for tail in ("", " " + "q" * 40):
                 hits = decontaminate.scan(index, pa.array(["x" * offset + text + tail]))
                 assert [(h[1], h[4]) for h in hits] == [(5, 10)], (offset, tail)
