@@ -60,8 +60,8 @@ def region_metrics(sums: DataFrame, min_area: float = MIN_AREA) -> DataFrame:
 
 
 def region_sizes(cells: DataFrame) -> DataFrame:
-    """gr_size and the area-weighted mean threshold of each region."""
-    return cells.groupBy("gr_id").agg(zero_sum(F.col("area")).alias("gr_size"), F.try_divide(F.sum(F.col("thr") * F.col("area")), F.sum("area")).alias("threshold_avg_gr"))
+    """gr_size, the area of all cells of a region, and the mean threshold over it, to which cells without one add nothing."""
+    return cells.groupBy("gr_id").agg(zero_sum(F.col("area")).alias("gr_size"), F.try_divide(zero_sum(F.col("thr") * F.col("area")), F.sum("area")).alias("threshold_avg_gr"))
 
 
 def hourly_days(hourly: DataFrame, cells: DataFrame, low: bool = False) -> DataFrame:

@@ -49,8 +49,16 @@ def bridge(cells: DataFrame, grid: DataFrame, tile: float = 1.0) -> DataFrame:
     return c.join(g, ["ty", "tx"]).filter(inside).select("gr_id", "cell_id", "area", "area_frac")
 
 
+def valid_links(links: DataFrame, cells: DataFrame) -> DataFrame:
+    """Links to cells that have a threshold: a window without one has no days and no weight."""
+    return links.join(cells.filter("thr is not null").select("cell_id"), "cell_id", "left_semi")
+
+
 def window_days(dbv: DataFrame, links: DataFrame, min_area: float = MIN_AREA) -> DataFrame:
-    """Daily metrics of every window: only exceeding cells meet the bridge, once for all windows."""
+    """Daily metrics of every window: only exceeding cells meet the bridge, once for all windows.
+
+    ``links`` are those of :func:`valid_links`, so that no window without data has days of zeros.
+    """
     hot = dbv.filter("dtem > 0").select("cell_id", "d", "dtem")
     met = hot.join(links, "cell_id").withColumn("a", F.col("area") / F.col("area_frac"))
     sums = met.groupBy("gr_id", "d").agg(F.sum("a").alias("dtea_gr"), F.sum(F.col("dtem") * F.col("a")).alias("ma"), F.max("dtem").alias("top"))

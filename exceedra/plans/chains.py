@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from exceedra.operators import analysis, daily, decadal, periods, prepare, regions
 from exceedra.plans.queries import (
     AF_COLS, CC, CELL, COMP, CTPM, DAILY, DBV, DEC_COLS, GR, HOURS, HOURS_GR, LATTICE, RAIN, REF, SUB, THR,
-    ctp, dbv_plain, dec, extent, grid, hourly_cells, hourly_gr, r6, region, register, sql6, sql_ctp_gr, sql_events, windows,
+    ctp, dbv_plain, dec, grid, hourly_cells, hourly_gr, links, r6, region, register, sql6, sql_ctp_gr, sql_events, windows,
 )
 from exceedra.sources import sinks, tables
 
@@ -16,7 +16,7 @@ from exceedra.sources import sinks, tables
 
 AGR_METRICS = ["ed_gr", "ef_gr", "em_gr", "ed_avg_gr", "em_avg_gr", "dm_avg_gr", "em_avg_md_gr", "tex_gr"]
 WINDOWS = SUB.replace("wd AS (", "wd_ AS (") + ", gr2 AS (SELECT *, dtem_gr * dtea_gr AS dtema_gr FROM wd_), " + sql_events("gr2", "gr_id", "dtec_gr", "dteec_gr", "gr") + ",\n" + sql_ctp_gr("monthly")
-LINK_AREA = ", wa AS (SELECT gr_id, sum(area) AS a FROM lnk GROUP BY gr_id), ag AS (SELECT * FROM ctp JOIN wa USING (gr_id))"
+LINK_AREA = ", wa AS (SELECT gr_id, sum(area) AS a FROM lnk SEMI JOIN thr USING (cell_id) GROUP BY gr_id), ag AS (SELECT * FROM ctp JOIN wa USING (gr_id))"
 
 
 def window_ctp(s: SparkSession, d: str) -> DataFrame:
@@ -24,7 +24,7 @@ def window_ctp(s: SparkSession, d: str) -> DataFrame:
 
 
 def window_area(s: SparkSession, d: str) -> DataFrame:
-    return regions.bridge(tables.cells(s, d), extent(s, d)).groupBy(F.col("gr_id").cast("int").alias("gr_id")).agg(F.sum("area").alias("a"))
+    return links(s, d).groupBy("gr_id").agg(F.sum("area").alias("a"))
 
 
 @register("agr_ctp", f"WITH {WINDOWS} " + sql6(", ".join(AGR_METRICS), "ctp", "gr_id, p"))
@@ -167,7 +167,7 @@ def _(s, d):
 
 @register("relative_area", f"WITH {GR}, z AS (SELECT gr_id, d, 100 * dtea_gr / (SELECT sum(area) FROM cell c WHERE c.gr_id = gr.gr_id) AS dtea_rel_gr FROM gr) " + sql6("dtea_rel_gr", "z", "gr_id, d"))
 def _(s, d):
-    return r6(daily.relative_area(region(s, d), daily.region_sizes(grid(s, d))).select("gr_id", "d", "dtea_rel_gr"))
+    return r6(daily.relative_area(region(s, d), daily.region_sizes(grid(s, d, "left"))).select("gr_id", "d", "dtea_rel_gr"))
 
 
 # ------------------------------------------------------------------ masks, filters, thresholds

@@ -123,10 +123,10 @@ ctpc AS (SELECT * FROM {sql_trim(period, 'cell_id', 'cc3')})"""
 # ------------------------------------------------------------------ Spark side of the same chain
 
 
-def grid(s: SparkSession, d: str) -> DataFrame:
-    """Cells with their threshold."""
+def grid(s: SparkSession, d: str, how: str = "inner") -> DataFrame:
+    """Cells with their threshold; ``how`` ``left`` keeps those without one."""
     thr = prepare.percentile_threshold(tables.daily(s, d), QUANTILE, *REF_DAYS)
-    return tables.cells(s, d).join(thr, "cell_id")
+    return tables.cells(s, d).join(thr, "cell_id", how)
 
 
 def spine(s: SparkSession, d: str) -> DataFrame:
@@ -161,9 +161,9 @@ def _(s, d):
     return r6(tables.cells(s, d).select("cell_id", (F.lit(area_cartesian(5000.0, 5000.0)) * F.col("mask_frac")).alias("area")))
 
 
-@register("gr_size", f"WITH {CELL}, {DAILY}, {THR}, g AS (SELECT gr_id, sum(area) AS gr_size, sum(thr * area) / sum(area) AS threshold_avg_gr FROM cell JOIN thr USING (cell_id) GROUP BY gr_id) " + sql6("gr_size, threshold_avg_gr", "g", "gr_id"))
+@register("gr_size", f"WITH {CELL}, {DAILY}, {THR}, g AS (SELECT gr_id, sum(area) AS gr_size, coalesce(sum(thr * area), 0) / sum(area) AS threshold_avg_gr FROM cell LEFT JOIN thr USING (cell_id) GROUP BY gr_id) " + sql6("gr_size, threshold_avg_gr", "g", "gr_id"))
 def _(s, d):
-    return r6(daily.region_sizes(grid(s, d)))
+    return r6(daily.region_sizes(grid(s, d, "left")))
 
 
 @register("dbv_cell", f"WITH {DBV} " + sql6("dtem, dtea", "dbv", "cell_id, d, dtec, dteec"))
@@ -443,9 +443,14 @@ SUB = DBV + f", {LATTICE}" + """, wd0 AS (SELECT l.gr_id, x.d, coalesce(sum(l.ar
 wd AS (SELECT gr_id, d, dtea_gr, (dtea_gr >= 0.0001)::INT AS dtec_gr, CASE WHEN dtea_gr >= 0.0001 THEN ma / dtea_gr ELSE 0 END AS dtem_gr, CASE WHEN dtea_gr >= 0.0001 THEN top ELSE 0 END AS dtem_max_gr FROM wd0)"""
 
 
+def links(s: SparkSession, d: str) -> DataFrame:
+    """Windows and their cells with a threshold."""
+    own = regions.bridge(tables.cells(s, d), extent(s, d)).withColumn("gr_id", F.col("gr_id").cast("int"))
+    return regions.valid_links(own, grid(s, d))
+
+
 def windows(s: SparkSession, d: str) -> DataFrame:
-    links = regions.bridge(tables.cells(s, d), extent(s, d)).withColumn("gr_id", F.col("gr_id").cast("int"))
-    return regions.window_days(dbv_plain(s, d), links)
+    return regions.window_days(dbv_plain(s, d), links(s, d))
 
 
 @register("sub_gr", f"WITH {SUB} " + sql6("dtea_gr, dtem_gr, dtem_max_gr", "wd", "gr_id, d, dtec_gr"))
@@ -453,14 +458,13 @@ def _(s, d):
     return r6(windows(s, d).select("gr_id", "d", "dtec_gr", "dtea_gr", "dtem_gr", "dtem_max_gr"))
 
 
-AGR = SUB + """, wa AS (SELECT gr_id, sum(area) AS a FROM lnk GROUP BY gr_id),
+AGR = SUB + """, wa AS (SELECT gr_id, sum(area) AS a FROM lnk SEMI JOIN thr USING (cell_id) GROUP BY gr_id),
 wp AS (SELECT gr_id, date_trunc('month', d)::DATE AS p, CASE WHEN sum(dtec_gr) > 0 THEN sum(dtem_gr) END AS em FROM wd GROUP BY ALL),
 ag AS (SELECT * FROM wp JOIN wa USING (gr_id)), am AS (SELECT p, sum(a * em) / sum(a) AS m FROM ag GROUP BY p)"""
 
 
 def agr(s: SparkSession, d: str) -> DataFrame:
-    links = regions.bridge(tables.cells(s, d), extent(s, d)).withColumn("gr_id", F.col("gr_id").cast("int"))
-    area = links.groupBy("gr_id").agg(F.sum("area").alias("a"))
+    area = links(s, d).groupBy("gr_id").agg(F.sum("area").alias("a"))
     em = F.when(F.sum("dtec_gr") > 0, F.sum("dtem_gr")).alias("em")
     return windows(s, d).groupBy("gr_id", F.trunc("d", "month").alias("p")).agg(em).join(area, "gr_id")
 

@@ -161,3 +161,14 @@ def test_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.v for r in spark.sql("select v from daymax").collect()) == [23.0, 47.0, 71.0]
+
+
+def test_region_and_window_with_a_cell_without_data(spark):
+    """Cell 3 has no threshold: it counts for the size, adds no threshold, and a window of it alone has no days."""
+    cells = spark.createDataFrame([(1, 7, 2.0, 10.0), (2, 7, 2.0, 20.0), (3, 7, 4.0, None)], "cell_id int, gr_id int, area double, thr double")
+    size = daily.region_sizes(cells).first()
+    assert size.gr_size == 8.0 and size.threshold_avg_gr == pytest.approx((2 * 10 + 2 * 20) / 8)
+    links = spark.createDataFrame([(0, 1, 2.0, 1.0), (0, 3, 4.0, 1.0), (1, 3, 4.0, 1.0)], "gr_id int, cell_id int, area double, area_frac double")
+    days = spark.createDataFrame([(1, "2000-01-01", 3.0), (1, "2000-01-02", 0.0), (2, "2000-01-01", 1.0), (3, "2000-01-01", None)], "cell_id int, d string, dtem double")
+    got = regions.window_days(days, regions.valid_links(links, cells)).orderBy("gr_id", "d").collect()
+    assert [(r.gr_id, r.d, r.dtec_gr, r.dtea_gr, r.dtem_gr) for r in got] == [(0, "2000-01-01", 1, 2.0, 3.0), (0, "2000-01-02", 0, 0.0, 0.0)]

@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 
 from support import rows_of
+from exceedra.plans import chains, stored  # noqa: F401  (they register their queries)
 from exceedra.plans.queries import Q, SQL
 
 
