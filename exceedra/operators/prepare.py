@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from exceedra.functions.columns import specific_humidity
+from exceedra.operators.spatial import region_cells, where_present
 
 GRAVITY = 9.80665
 AGGREGATES = {"mean": F.avg, "max": F.max, "min": F.min, "sum": F.sum}
@@ -137,11 +136,13 @@ def land_mask(cells: DataFrame, least: float = 0.5, below: float = 0.0) -> DataF
 
 
 def region_mask(cells: DataFrame, kind: str, **how) -> DataFrame:
-    """Mask by kind: ``polygon``, ``box`` or ``land``."""
+    """Mask by kind: ``polygon``, ``box`` or ``land``; ``inside`` keeps the shares of cells in another mask."""
     makers = {"polygon": polygon_mask, "box": rectangle_mask, "land": land_mask}
     if kind not in makers:
         raise ValueError(f"unknown kind of mask: {kind}")
-    return makers[kind](cells, **how)
+    inside = how.pop("inside", None)
+    mask = makers[kind](cells, **how)
+    return mask if inside is None else where_present(mask, inside)
 
 
 def threshold_of(field: DataFrame, cells: DataFrame, kind: str, value: float, first: str = "", last: str = "", kelvin: bool = False) -> DataFrame:
@@ -179,34 +180,11 @@ def rectangle_mask(cells: DataFrame, y0: float, y1: float, x0: float, x1: float,
     return cells.select("cell_id", F.when(share > 0, share).alias("mask_frac"))
 
 
-def clip_area(ring: list[tuple[float, float]], x0: float, x1: float, y0: float, y1: float) -> float:
-    """Area of a polygon inside a rectangle: the ring is cut by one edge after the other."""
-    for axis, limit, sign in ((0, x0, 1), (0, x1, -1), (1, y0, 1), (1, y1, -1)):
-        out: list[tuple[float, float]] = []
-        for (p, q) in zip(ring, ring[1:] + ring[:1], strict=True):
-            a, b = sign * (p[axis] - limit), sign * (q[axis] - limit)
-            if a >= 0:
-                out.append(p)
-            if (a < 0) != (b < 0):
-                t = a / (a - b)
-                out.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
-        ring = out
-        if not ring:
-            return 0.0
-    return abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, ring[1:] + ring[:1], strict=True))) / 2
-
-
 def polygon_mask(cells: DataFrame, ring: list[tuple[float, float]], step: float) -> DataFrame:
-    """Share of each cell inside a polygon of (x, y) corners."""
-    import pandas as pd
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        h = step / 2
-        for p in parts:
-            share = [clip_area(list(ring), x - h, x + h, y - h, y + h) / step**2 for x, y in zip(p.x, p.y, strict=True)]
-            yield pd.DataFrame({"cell_id": p.cell_id, "mask_frac": share})
-
-    return cells.select("cell_id", "x", "y").mapInPandas(run, "cell_id int, mask_frac double").withColumn("mask_frac", F.when(F.col("mask_frac") > 0, F.col("mask_frac")))
+    """Share of each cell inside a polygon of (x, y) corners; missing outside."""
+    corners = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for n, (x, y) in enumerate(ring)])
+    rings = cells.sparkSession.range(1).select(F.lit(0).alias("region"), F.lit(0).alias("ring"), F.lit(False).alias("hole"), F.explode(corners).alias("c")).select("region", "ring", "hole", "c.*")
+    return cells.select("cell_id").join(region_cells(cells, rings, step).select("cell_id", F.col("share").alias("mask_frac")), "cell_id", "left")
 
 
 def bilinear(field: DataFrame, weights: DataFrame) -> DataFrame:
@@ -227,9 +205,3 @@ def bilinear_weights(cells: DataFrame, targets: DataFrame, step: float) -> DataF
     side = lambda u, k: F.when(k == 1, u).otherwise(1 - u)
     t = t.select("target_id", (F.col("fy") + F.col("k.a")).alias("ky"), (F.col("fx") + F.col("k.b")).alias("kx"), (side(F.col("uy"), F.col("k.a")) * side(F.col("ux"), F.col("k.b"))).alias("w"))
     return t.filter("w > 0").join(c, ["ky", "kx"], "left").select("target_id", F.coalesce("cell_id", F.lit(-1)).alias("cell_id"), "w")
-
-
-def nearest(left: DataFrame, stations: DataFrame) -> DataFrame:
-    """Each row's nearest station by the sum of coordinate differences; stations are a dimension."""
-    far = F.abs(F.col("y") - F.col("sy")) + F.abs(F.col("x") - F.col("sx"))
-    return left.join(F.broadcast(stations)).groupBy("cell_id").agg(F.min_by("station", F.struct(far, F.col("station"))).alias("station"), F.min(far).alias("distance"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from exceedra.functions.columns import PERIODS, area_cartesian, primary
-from exceedra.operators import analysis, daily, decadal, periods, prepare, regions
+from exceedra.operators import analysis, daily, decadal, periods, prepare, regions, spatial
 from exceedra.sources import tables
 
 TIE = 1.23e-9
@@ -502,15 +502,18 @@ def _(s, d):
     return r6(prepare.rectangle_mask(tables.cells(s, d), 44.4, 45.6, 9.3, 10.7, 0.5))
 
 
-@register("polygon_mask")
+@register(
+    "polygon_mask",
+    f"WITH {CELL}, k AS (SELECT unnest([9.1, 11.2, 10.2]::DOUBLE[]) AS x1, unnest([44.1, 44.3, 46.1]::DOUBLE[]) AS y1, unnest([11.2, 10.2, 9.1]::DOUBLE[]) AS x2, unnest([44.3, 46.1, 44.1]::DOUBLE[]) AS y2), e AS (SELECT cell_id, y - 0.25 AS base, greatest(least(x1, x2), x - 0.25) AS a, least(greatest(x1, x2), x + 0.25) AS b, x1, y1, (y2 - y1) / (x2 - x1) AS m, sign(x1 - x2) AS s FROM k, cell), h AS (SELECT cell_id, s, m, y1 + m * (a - x1) - base AS ha, y1 + m * (b - x1) - base AS hb FROM e WHERE b > a), z AS (SELECT cell_id, sum(s * (pow(greatest(hb, 0), 2) - pow(greatest(ha, 0), 2) - pow(greatest(hb - 0.5, 0), 2) + pow(greatest(ha - 0.5, 0), 2)) / 2 / m) / 0.25 AS f FROM h GROUP BY cell_id), y AS (SELECT cell_id, CASE WHEN f > 1e-9 THEN f END AS mask_frac FROM cell LEFT JOIN z USING (cell_id)) " + sql6("mask_frac", "y", "cell_id"),
+)
 def _(s, d):
-    return r6(prepare.polygon_mask(tables.cells(s, d), [(9.1, 44.1), (11.2, 44.3), (10.2, 46.1)], 0.5))
+    return r6(prepare.region_mask(tables.cells(s, d), "polygon", ring=[(9.1, 44.1), (11.2, 44.3), (10.2, 46.1)], step=0.5))
 
 
-@register("bilinear", f"WITH {CELL}, {DAILY}, t AS (SELECT cell_id AS target_id, y - 0.2::DOUBLE AS ty, x + 0.1::DOUBLE AS tx FROM cell WHERE cell_id % 5 < 4 AND cell_id < 18), w AS (SELECT target_id, c.cell_id, (1 - abs(ty - y) / 0.5) * (1 - abs(tx - x) / 0.5) AS w FROM t JOIN cell c ON abs(ty - y) < 0.5 - 1e-9 AND abs(tx - x) < 0.5 - 1e-9), z AS (SELECT target_id, d, CASE WHEN count(*) = 4 THEN sum(w * v) END AS v FROM w JOIN daily USING (cell_id) GROUP BY ALL) " + sql6("v", "z", "target_id, d"))
+@register("bilinear", f"WITH {CELL}, {DAILY}, t AS (SELECT cell_id AS target_id, y - 0.2::DOUBLE AS ty, x + 0.1::DOUBLE AS tx FROM cell), w AS (SELECT target_id, c.cell_id, (1 - abs(ty - y) / 0.5) * (1 - abs(tx - x) / 0.5) AS w FROM t JOIN cell c ON abs(ty - y) < 0.5 - 1e-9 AND abs(tx - x) < 0.5 - 1e-9), z AS (SELECT target_id, d, CASE WHEN count(*) = 4 THEN sum(w * v) END AS v FROM w JOIN daily USING (cell_id) GROUP BY ALL) " + sql6("v", "z", "target_id, d"))
 def _(s, d):
     c = tables.cells(s, d)
-    t = c.filter("cell_id % 5 < 4 and cell_id < 18").select(F.col("cell_id").alias("target_id"), (F.col("y") - 0.2).alias("y"), (F.col("x") + 0.1).alias("x"))
+    t = c.select(F.col("cell_id").alias("target_id"), (F.col("y") - 0.2).alias("y"), (F.col("x") + 0.1).alias("x"))
     return r6(prepare.bilinear(tables.daily(s, d), prepare.bilinear_weights(c, t, 0.5)))
 
 
@@ -561,11 +564,11 @@ def _(s, d):
     return r6(analysis.compare(a, b, keys, metrics))
 
 
-@register("station_nearest", f"WITH {CELL}, c AS (SELECT n_nationkey AS station, 46.0::DOUBLE - 0.4 * (n_nationkey % 7) AS sy, 9.0::DOUBLE + 0.3 * (n_nationkey % 8) AS sx FROM nation), z AS (SELECT cell_id, arg_min(station, (abs(y - sy) + abs(x - sx), station)) AS station, min(abs(y - sy) + abs(x - sx)) AS distance FROM cell, c GROUP BY cell_id) " + sql6("distance", "z", "cell_id, station"))
+@register("station_nearest", f"WITH {CELL}, c AS (SELECT n_nationkey AS station, 46.0::DOUBLE - 0.4 * (n_nationkey % 7) AS sy, 9.0::DOUBLE + 0.3 * (n_nationkey % 8) AS sx FROM nation), z AS (SELECT cell_id, arg_min(station, (round(abs(y - sy) + abs(x - sx), 9), station)) AS station, min(abs(y - sy) + abs(x - sx)) AS distance FROM cell, c GROUP BY cell_id) " + sql6("distance", "z", "cell_id, station"))
 def _(s, d):
     k = F.col("n_nationkey")
     st = tables.read(s, d, "nation").select(k.alias("station"), (46.0 - 0.4 * (k % 7)).alias("sy"), (9.0 + 0.3 * (k % 8)).alias("sx"))
-    return r6(prepare.nearest(tables.cells(s, d), st))
+    return r6(spatial.nearest(tables.cells(s, d), st))
 
 
 @register("rollup_regions", f"WITH {DBV}, z AS (SELECT gr_id, cell_id, sum(dtem) AS em, sum(dtec)::BIGINT AS ed FROM dbv0 GROUP BY ROLLUP (gr_id, cell_id)) " + sql6("em", "z", "gr_id, cell_id, ed"))

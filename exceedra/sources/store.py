@@ -39,6 +39,13 @@ def scratch_root(spark: SparkSession) -> str:
     return path
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: its lineage is cut, and lost executors cost nothing but their tasks."""
+    path = scratch_root(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def span_name(first: int, last: int) -> str:
     if first > last:
         raise ValueError(f"{first} to {last} runs backwards")
@@ -126,9 +133,7 @@ class LevelStore:
         if span not in self.spans(level, run):
             return self.save(df, level, run, first, last, digits)
         old = self.read(level, run, [span]).drop("span")
-        beside = scratch_root(self.spark)
-        merge_left(df, old, keys).write.parquet(beside)
-        return self.save(self.spark.read.parquet(beside), level, run, first, last, digits)
+        return self.save(written(merge_left(df, old, keys)), level, run, first, last, digits)
 
     def load_or_build(self, level: str, run: str, first: int, last: int, build, recalculate: bool = False, digits: int = -1) -> DataFrame:
         """A stored span, built and saved first where it is missing or has to be made anew."""

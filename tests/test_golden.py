@@ -124,12 +124,6 @@ def test_linear_fill(spark):
     assert [r.v for r in df.orderBy("d").collect()] == [None, 1.0, 2.0, 3.0, 4.0, None]
 
 
-def test_polygon_clip():
-    assert prepare.clip_area([(0, 0), (2, 0), (2, 2), (0, 2)], 1, 3, 1, 3) == pytest.approx(1.0)
-    assert prepare.clip_area([(0, 0), (1, 0), (0, 1)], 0, 1, 0, 1) == pytest.approx(0.5)
-    assert prepare.clip_area([(5, 5), (6, 5), (5, 6)], 0, 1, 0, 1) == 0.0
-
-
 def test_sink_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, 2.345, None), (2, 2.5, 1.005)], "p int, a double, b double")
     sinks.save(df, str(tmp_path / "t"), 0)
