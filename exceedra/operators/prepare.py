@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from exceedra.functions.columns import specific_humidity
+from exceedra.functions.projection import Conic, TransverseMercator
 from exceedra.operators.spatial import region_cells, where_present
 
 GRAVITY = 9.80665
@@ -205,3 +208,45 @@ def bilinear_weights(cells: DataFrame, targets: DataFrame, step: float) -> DataF
     side = lambda u, k: F.when(k == 1, u).otherwise(1 - u)
     t = t.select("target_id", (F.col("fy") + F.col("k.a")).alias("ky"), (F.col("fx") + F.col("k.b")).alias("kx"), (side(F.col("uy"), F.col("k.a")) * side(F.col("ux"), F.col("k.b"))).alias("w"))
     return t.filter("w > 0").join(c, ["ky", "kx"], "left").select("target_id", F.coalesce("cell_id", F.lit(-1)).alias("cell_id"), "w")
+
+
+def target_lattice(core: tuple[float, float], step: float, least: float, greatest: float) -> list[float]:
+    """Coordinates in steps that pass through ``core``, kept strictly inside the data's bounds.
+
+    The bounds are rounded to whole steps, halves to even; a core outside them is cut, too.
+    """
+    low, high = round(least / step) * step, round(greatest / step) * step
+    first = math.floor((low - core[0]) / step) + 1
+    last = math.ceil((high - core[0]) / step) - 1
+    return [core[0] + k * step for k in range(first, last + 1)]
+
+
+def reprojected(targets: DataFrame, source: Conic | TransverseMercator, target: Conic | TransverseMercator) -> DataFrame:
+    """``targets (target_id, east, north)`` of one projection with x and y in another."""
+    lat, lon = target.inverse(F.col("east"), F.col("north"))
+    placed = targets.withColumn("_lat", lat).withColumn("_lon", lon)
+    x, y = source.forward(F.col("_lat"), F.col("_lon"))
+    return placed.withColumn("x", x).withColumn("y", y).drop("_lat", "_lon")
+
+
+def projected_bounds(cells: DataFrame, source: Conic | TransverseMercator, target: Conic | TransverseMercator) -> DataFrame:
+    """One row: least and greatest easting and northing of ``cells (x, y)`` in the target projection."""
+    lat, lon = source.inverse(F.col("x"), F.col("y"))
+    placed = cells.select(lat.alias("lat"), lon.alias("lon"))
+    east, north = target.forward(F.col("lat"), F.col("lon"))
+    return placed.agg(F.min(east).alias("west"), F.max(east).alias("east"), F.min(north).alias("south"), F.max(north).alias("north"))
+
+
+def projected_targets(cells: DataFrame, source: Conic | TransverseMercator, target: Conic | TransverseMercator, step: float, core: tuple[float, float]) -> DataFrame:
+    """A lattice through ``core`` (east, north) over the cells' extent, with its places in the source's plane.
+
+    Only the four bounds reach the driver; the lattice itself is made of two ranges.
+    """
+    b = projected_bounds(cells, source, target).first()
+    if b.west is None:
+        return cells.sparkSession.createDataFrame([], "target_id long, east double, north double, x double, y double")
+    xs, ys = target_lattice((core[0], core[0]), step, b.west, b.east), target_lattice((core[1], core[1]), step, b.south, b.north)
+    n = max(len(xs), 1)
+    points = cells.sparkSession.range(len(xs) * len(ys)).withColumnRenamed("id", "target_id")
+    points = points.withColumn("east", (xs[0] if xs else 0.0) + step * (F.col("target_id") % n)).withColumn("north", (ys[0] if ys else 0.0) + step * F.floor(F.col("target_id") / n))
+    return reprojected(points, source, target)

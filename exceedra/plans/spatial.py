@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exceedra.operators import regions, spatial
+from exceedra.functions.projection import AUSTRIA, ZONE33, Conic, TransverseMercator
+from exceedra.operators import prepare, regions, spatial
 from exceedra.plans.chains import AGR_METRICS, WINDOWS, window_area, window_ctp
-from exceedra.plans.queries import CELL, LATTICE, extent, r6, register, sql6
+from exceedra.plans.queries import CELL, DAILY, LATTICE, extent, r6, register, sql6
 from exceedra.sources import tables
 
 STEP = tables.STEP
@@ -87,6 +88,89 @@ def _(s, d):
     return r6(spatial.where_present(of(0), of(4)))
 
 
+# ------------------------------------------------------------------ projections
+
+
+def _conic_sql(c: Conic) -> tuple[str, str]:
+    n, scale, origin = c.cone
+    t = f"(tan(pi() / 4 - radians(lat) / 2) / pow((1 - {c.e!r}::DOUBLE * sin(radians(lat))) / (1 + {c.e!r}::DOUBLE * sin(radians(lat))), {c.e / 2!r}::DOUBLE))"
+    turn = f"({n!r}::DOUBLE * radians(lon - {c.lon0!r}::DOUBLE))"
+    return f"{c.east0} + {scale!r}::DOUBLE * pow({t}, {n!r}::DOUBLE) * sin({turn})", f"{c.north0} + {origin!r}::DOUBLE - {scale!r}::DOUBLE * pow({t}, {n!r}::DOUBLE) * cos({turn})"
+
+
+def _mercator_sql(m: TransverseMercator, lat: str, lon: str, source: str) -> str:
+    """Easting and northing in three steps of SQL."""
+    k = 2 * m.third**0.5 / (1 + m.third)
+    x = " + ".join(["eta", *[f"{a!r}::DOUBLE * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(m.series[0], 1)]])
+    y = " + ".join(["xi", *[f"{a!r}::DOUBLE * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(m.series[0], 1)]])
+    return f"""m0 AS (SELECT *, radians({lon} - {m.lon0}) AS turn, sinh(atanh(sin(radians({lat}))) - {k!r}::DOUBLE * atanh({k!r}::DOUBLE * sin(radians({lat})))) AS t FROM {source}),
+m1 AS (SELECT *, atan2(t, cos(turn)) AS xi, atanh(sin(turn) / sqrt(1 + t * t)) AS eta FROM m0),
+m2 AS (SELECT * EXCLUDE (turn, t, xi, eta), {m.east0} + {m.radius!r}::DOUBLE * ({x}) AS east, {m.north0} + {m.radius!r}::DOUBLE * ({y}) AS north FROM m1)"""
+
+
+LATLON = "ll AS (SELECT cell_id, y AS lat, x + 3 AS lon FROM cell)"
+
+
+@register("project_cells", f"WITH {CELL}, {LATLON}, {_mercator_sql(ZONE33, 'lat', 'lon', 'll')}, z AS (SELECT cell_id, east, north, {_conic_sql(AUSTRIA)[0]} AS x, {_conic_sql(AUSTRIA)[1]} AS y FROM m2) " + sql6("east, north, x, y", "z", "cell_id"))
+def _(s, d):
+    lat, lon = F.col("y"), F.col("x") + 3
+    east, north = ZONE33.forward(lat, lon)
+    x, y = AUSTRIA.forward(lat, lon)
+    return r6(tables.cells(s, d).select("cell_id", east.alias("east"), north.alias("north"), x.alias("x"), y.alias("y")))
+
+
+@register("project_back", f"WITH {CELL}, {LATLON} " + sql6("lat, lon, lat2, lon2", "(SELECT *, lat AS lat2, lon AS lon2 FROM ll)", "cell_id"))
+def _(s, d):
+    """There and back in both projections, to six decimals of a degree."""
+    c = tables.cells(s, d).select("cell_id", F.col("y").alias("a"), (F.col("x") + 3).alias("b"))
+    for n, p in (("", ZONE33), ("2", AUSTRIA)):
+        east, north = p.forward(F.col("a"), F.col("b"))
+        lat, lon = p.inverse(east, north)
+        c = c.withColumn(f"lat{n}", lat).withColumn(f"lon{n}", lon)
+    return r6(c.drop("a", "b"))
+
+
+PLANE_STEP, TARGET_STEP, CORE = 10000.0, 4000.0, (432200.0, 5246600.0)
+
+
+def plane_cells(s: SparkSession, d: str) -> DataFrame:
+    """The synthetic lattice in the plane of the conic projection."""
+    k = F.col("cell_id")
+    return tables.cells(s, d).select("cell_id", (400000.0 + PLANE_STEP * (k % 5 - 2)).alias("x"), (400000.0 - PLANE_STEP * (F.floor(k / 5) - 2)).alias("y"))
+
+
+def _inverse_sql(p: Conic | TransverseMercator, east: str, north: str, source: str) -> str:
+    """Columns lat and lon of a plane's points, step by step."""
+    if isinstance(p, Conic):
+        n, scale, origin = p.cone
+        lat = " + ".join(["chi", *[f"{c!r}::DOUBLE * sin({2 * j} * chi)" for j, c in enumerate(p.latitude_terms, 1)]])
+        return f"""c0 AS (SELECT *, {east} - {p.east0} AS px, {origin!r}::DOUBLE - ({north} - {p.north0}) AS py FROM {source}),
+c1 AS (SELECT *, pi() / 2 - 2 * atan(pow(sqrt(px * px + py * py) / {scale!r}::DOUBLE, {1 / n!r}::DOUBLE)) AS chi FROM c0), c2 AS (SELECT * EXCLUDE (px, py, chi), degrees({lat}) AS lat, {p.lon0!r}::DOUBLE + degrees(atan2(px, py)) / {n!r}::DOUBLE AS lon FROM c1)"""
+    a = " - ".join(["xi", *[f"{c!r}::DOUBLE * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, c in enumerate(p.series[1], 1)]])
+    b = " - ".join(["eta", *[f"{c!r}::DOUBLE * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, c in enumerate(p.series[1], 1)]])
+    lat = " + ".join(["chi", *[f"{c!r}::DOUBLE * sin({2 * j} * chi)" for j, c in enumerate(p.series[2], 1)]])
+    return f"""u0 AS (SELECT *, ({north} - {p.north0}) / {p.radius!r}::DOUBLE AS xi, ({east} - {p.east0}) / {p.radius!r}::DOUBLE AS eta FROM {source}), u1 AS (SELECT *, {a} AS ka, {b} AS kb FROM u0),
+u2 AS (SELECT *, asin(sin(ka) / cosh(kb)) AS chi FROM u1), u3 AS (SELECT * EXCLUDE (xi, eta, ka, kb, chi), degrees({lat}) AS lat, {p.lon0} + degrees(atan2(sinh(kb), cos(ka))) AS lon FROM u2)"""
+
+
+REGRID = f"""plane AS (SELECT cell_id, 400000.0::DOUBLE + 10000 * (cell_id % 5 - 2) AS x, 400000.0::DOUBLE - 10000 * (cell_id // 5 - 2) AS y FROM cell),
+{_inverse_sql(AUSTRIA, 'x', 'y', 'plane')}, {_mercator_sql(ZONE33, 'lat', 'lon', 'c2')},
+bound AS (SELECT round_even(min(east) / 4000, 0) * 4000 AS w, round_even(max(east) / 4000, 0) * 4000 AS e, round_even(min(north) / 4000, 0) * 4000 AS s, round_even(max(north) / 4000, 0) * 4000 AS n FROM m2),
+ks AS (SELECT range - 500 AS k FROM range(1000)), xs AS (SELECT {CORE[0]}::DOUBLE + 4000 * k AS east, row_number() OVER (ORDER BY k) - 1 AS ix FROM ks, bound WHERE {CORE[0]} + 4000 * k > w AND {CORE[0]} + 4000 * k < e), ys AS (SELECT {CORE[1]}::DOUBLE + 4000 * k AS north, row_number() OVER (ORDER BY k) - 1 AS iy FROM ks, bound WHERE {CORE[1]} + 4000 * k > s AND {CORE[1]} + 4000 * k < n),
+tgt AS (SELECT iy * (SELECT count(*) FROM xs) + ix AS target_id, east, north FROM xs, ys), {_inverse_sql(ZONE33, 'east', 'north', 'tgt')},
+tp AS (SELECT target_id, {_conic_sql(AUSTRIA)[0]} AS tx, {_conic_sql(AUSTRIA)[1]} AS ty FROM u3),
+wt AS (SELECT target_id, cell_id, (1 - abs(ty - y) / 10000) * (1 - abs(tx - x) / 10000) AS w FROM tp JOIN plane ON abs(ty - y) < 10000 AND abs(tx - x) < 10000),
+rg AS (SELECT target_id, d, CASE WHEN count(*) = 4 THEN sum(w * v) END AS v FROM wt JOIN daily USING (cell_id) GROUP BY ALL)"""
+
+
+@register("regrid_projected", f"WITH {CELL}, {DAILY}, {REGRID} " + sql6("v", "rg", "target_id, d"))
+def _(s, d):
+    """A field in the conic plane on a lattice of the other projection, every place of it a target."""
+    c = plane_cells(s, d)
+    targets = prepare.projected_targets(c, AUSTRIA, ZONE33, TARGET_STEP, CORE)
+    return r6(prepare.bilinear(tables.daily(s, d), prepare.bilinear_weights(c, targets, PLANE_STEP)))
+
+
 # ------------------------------------------------------------------ stations
 
 
