@@ -3,17 +3,18 @@
 1.  A sample of the documents, one in ``SAMPLE`` by a hash of the id, counts all its phrases
     and proposes those above a lowered count.  Proposals only steer: whatever the sample
     misses is found below, so every result is exact.
-2.  A pass over all documents counts the proposals and their negative border: every phrase
-    whose first and last k - 1 words are both proposals (each single word, for k = 1).
-3.  A phrase of the border that proves frequent is a failure: longer phrases over it were
-    not counted.  An expansion pass then counts every phrase not yet counted of which no
-    part is known to be rare.  What such a pass counts is closed: a frequent phrase has only
-    frequent parts, so one that was in neither pass would have a rare part.
+2.  A pass over all documents bounds the counts of the proposals and of their negative
+    border: every phrase whose first and last k - 1 words are both proposals (each single
+    word, for k = 1).  It adds up 64-bit hashes, so a sum is never below a phrase's count.
+3.  A phrase of the border whose bound is high enough is a failure: longer phrases over it
+    were not counted.  A second pass counts exactly, by the phrases themselves, all whose
+    bound is high enough and, where there are failures, every phrase that the first pass left
+    out and no part of which is known to be rare.  What it counts is closed: a frequent
+    phrase has only frequent parts, so one that neither pass met would have a rare part.
 
 Proposals and frequent phrases reach the tasks as a Bloom filter of ``BLOOM_BITS`` bits,
 whatever the corpus: a false member makes a task count a phrase too many, never too few.
-Counts are added inside a task first and then by Spark over the phrase itself, so that no
-hash decides a count.
+Counts are added inside a task first and then by Spark; no hash decides a count.
 
 Defined cases: null and empty texts have no words; a null language is ``und``; repeated rows
 and ids count each; equal scores rank by frequency and then by the bytes of the phrase; a
@@ -32,7 +33,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from exceedra.llm.common import arrow_map, chunks, materialize, mix64, no_clash, read_table, span_hashes, text_buffer
-from exceedra.llm.tokencount import equal_pieces
 
 LONGEST = 5
 LEAST_COUNT = 100
@@ -40,7 +40,8 @@ SAMPLE = 32
 LOWERED = 0.6
 BLOOM_BITS = 1 << 27
 TOP = 2000
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 2 << 20
+ROWS = 100_000
 
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 _KIND = np.zeros(256, np.uint8)  # 0 within a word, 1 between words, 2 between pieces
@@ -86,6 +87,26 @@ def gather_bloom(hashes: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+def ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different keys in order, a place of each, and which of them each place has."""
+    order = np.argsort(key)
+    in_order = key[order]
+    new = np.ones(len(key), bool)
+    np.not_equal(in_order[1:], in_order[:-1], out=new[1:])
+    inverse = np.empty(len(key), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return in_order[new], order[new], inverse
+
+
+def same_spans(buf: np.ndarray, lo: np.ndarray, hi: np.ndarray, other: np.ndarray) -> bool:
+    """Whether each span has the bytes of the span that ``other`` names."""
+    size = hi - lo
+    if not (size == size[other]).all():
+        return False
+    local = np.arange(int(size.sum()), dtype=np.int32) - np.repeat((np.cumsum(size) - size).astype(np.int32), size)
+    return bool((buf[local + np.repeat(lo.astype(np.int32), size)] == buf[local + np.repeat(lo[other].astype(np.int32), size)]).all())
+
+
 class Phrases:
     """The words of some texts and, level by level, the phrases that begin at each of them."""
 
@@ -113,12 +134,15 @@ class Phrases:
         filled = np.flatnonzero(np.diff(name_at) > 0)
         of_lang = np.zeros(len(self.langs), np.uint64)
         of_lang[filled] = span_hashes(name, name_at[:-1][filled], name_at[1:][filled])
-        of_word = span_hashes(self.buf, self.lo, self.hi)
-        first, word = equal_pieces(self.buf, self.lo, self.hi)
-        key, at, self.word = np.unique(word * len(self.langs) + self.lang, return_index=True, return_inverse=True)
+        named = mix64(span_hashes(self.buf, self.lo, self.hi) + of_lang[self.lang] * _FOLD)
+        key, at, self.word = ranked(named)
+        if not (same_spans(self.buf, self.lo, self.hi, at[self.word]) and (self.lang == self.lang[at[self.word]]).all()):
+            data, number = self.buf.tobytes(), {}  # two words share a hash: the words themselves tell them apart
+            self.word = np.array([number.setdefault((g, data[a:b]), len(number)) for g, a, b in zip(self.lang.tolist(), self.lo.tolist(), self.hi.tolist(), strict=True)], np.int64)
+            _, at, self.word = ranked(self.word)
         self.at = at  # one place of each different word or, later, phrase
-        self.words = len(key)
-        self.word_hash = mix64(of_word[at] + of_lang[self.lang[at]] * _FOLD)
+        self.words = len(at)
+        self.word_hash = named[at]
         self.k, self.id, self.hash, self.count = 1, self.word, self.word_hash, np.bincount(self.word)
 
     def longer(self, usable: np.ndarray) -> None:
@@ -133,7 +157,7 @@ class Phrases:
         good[: self.n][good[: self.n]] = usable[self.id[good[: self.n]]]
         here = np.flatnonzero(good[:m] & good[1 : m + 1] & (self.piece[:m] == self.piece[k - 1 : k - 1 + m])) if m else np.zeros(0, np.int64)
         key = self.id[here] * self.words + self.word[here + k - 1]
-        key, at, inverse = np.unique(key, return_index=True, return_inverse=True)
+        key, at, inverse = ranked(key)
         before, last = self.id[here][at], self.word[here + k - 1][at]
         self.head, self.tail = before, self.id[here[at] + 1] if len(at) else before
         self.hash = mix64(self.hash[before] * _FOLD + self.word_hash[last])
@@ -150,7 +174,7 @@ class Phrases:
         wide = np.flatnonzero(size != words + self.k - 1)
         offsets = np.zeros(len(at) + 1, np.int64)
         np.cumsum(size, out=offsets[1:])
-        flat = self.buf[np.arange(int(offsets[-1])) + np.repeat(lo - offsets[:-1], size)]
+        flat = self.buf[np.arange(int(offsets[-1]), dtype=np.int32) + np.repeat((lo - offsets[:-1]).astype(np.int32), size)]
         out = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
         if len(wide):  # more than one blank between words
             fixed = [" ".join(w for w in x.split(" ") if w) for x in out.take(pa.array(wide)).to_pylist()]
@@ -159,15 +183,11 @@ class Phrases:
             out = pc.replace_with_mask(out, pa.array(mask), pa.array(fixed, pa.large_string()))
         return out.cast(pa.string())
 
-    def rows(self, which: np.ndarray, member: np.ndarray) -> pa.RecordBatch:
-        n = len(which)
-        return pa.RecordBatch.from_arrays(
-            [self.langs.take(pa.array(self.lang[self.at[which]])), pa.array(np.full(n, self.k, np.int32)), self.texts(which), pa.array(member[which]), pa.array(self.count[which].astype(np.int64))],
-            ["lang", "k", "phrase", "member", "n"],
-        )
-
-
-COUNTS = "lang string, k int, phrase string, member boolean, n long"
+    def rows(self, which: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Language, phrase and count of some phrases."""
+        for i in range(0, len(which), ROWS):
+            some = which[i : i + ROWS]
+            yield pa.RecordBatch.from_arrays([self.langs.take(pa.array(self.lang[self.at[some]])), self.texts(some), pa.array(self.count[some].astype(np.int64))], ["lang", "phrase", "n"])
 
 
 def _parts(batch: pa.RecordBatch) -> Iterator[Phrases]:
@@ -190,58 +210,42 @@ def sample_hashes(texts: DataFrame, longest: int) -> DataFrame:
     return arrow_map(texts, run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def phrase_hashes(phrases: DataFrame) -> DataFrame:
-    """The hash that tasks give each phrase of ``phrases (lang, phrase)``."""
+def border_bounds(texts: DataFrame, longest: int, proposed: np.ndarray) -> DataFrame:
+    """h and n, bounds of the counts of all proposals and their border in ``texts (lang, text)``."""
+    shared = texts.sparkSession.sparkContext.broadcast(proposed)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        sample = Bloom(shared.value)
         for p in _parts(batch):
-            doc_first = np.flatnonzero(np.append(True, p.piece[1:] != p.piece[:-1]))  # each phrase is one piece
-            words = np.diff(np.append(doc_first, p.n))
-            h = p.word_hash[p.word[doc_first]]
-            for j in range(1, int(words.max())):
-                on = words > j
-                h[on] = mix64(h[on] * _FOLD + p.word_hash[p.word[doc_first[on] + j]])
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
-
-    return arrow_map(phrases.select("lang", "phrase"), run, "h long")
+            for k in range(1, longest + 1):
+                if k > 1:
+                    p.longer(sample.has(p.hash))
+                yield pa.RecordBatch.from_arrays([pa.array(p.hash.view(np.int64)), pa.array(p.count.astype(np.int64))], ["h", "n"])
 
+    return arrow_map(texts, run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
-def counted(texts: DataFrame, longest: int, proposed: np.ndarray, frequent: np.ndarray | None = None) -> DataFrame:
-    """Counts of ``texts (lang, text)`` by phrase; ``k`` 0 holds the words of each language.
 
-    Without ``frequent``: the proposals and their border, ``member`` telling the proposals.
-    With it: all that such a pass left out and whose parts are not known to be rare.
-    """
+def exact_counts(texts: DataFrame, longest: int, proposed: np.ndarray, possible: np.ndarray) -> DataFrame:
+    """lang, phrase, n of all phrases whose bound is high enough, and of those that :func:`border_bounds`
+    left out and whose parts may all be frequent; the empty phrase holds the words of each language."""
     context = texts.sparkSession.sparkContext
-    first, second = context.broadcast(proposed), context.broadcast(frequent) if frequent is not None else None
+    first, second = context.broadcast(proposed), context.broadcast(possible)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        sample, known = Bloom(first.value), Bloom(second.value) if second is not None else None
+        sample, bound = Bloom(first.value), Bloom(second.value)
         for p in _parts(batch):
-            member = sample.has(p.hash)
-            if known is None:
-                total = np.bincount(p.lang, minlength=len(p.langs)).astype(np.int64)
-                n = len(total)
-                yield pa.RecordBatch.from_arrays([p.langs, pa.array(np.zeros(n, np.int32)), pa.array([""] * n), pa.array(np.zeros(n, bool)), pa.array(total)], ["lang", "k", "phrase", "member", "n"])
-                yield p.rows(np.arange(len(member)), member)
-                alive = member
-            else:
-                done = np.ones(len(member), bool)  # counted by the first pass
-                alive = known.has(p.hash)
-            for _ in range(2, longest + 1):
-                old = member, (done if known is not None else member)
-                p.longer(alive)
-                member = sample.has(p.hash)
-                if known is None:
-                    alive = member
-                    yield p.rows(np.arange(len(member)), member)
-                else:
-                    was = old[0] & old[1]
-                    done = was[p.head] & was[p.tail]
-                    alive = ~done | known.has(p.hash)
-                    yield p.rows(np.flatnonzero(~done), member)
-
-    return arrow_map(texts, run, COUNTS).groupBy("lang", "k", "phrase", "member").agg(F.sum("n").alias("n"))
+            total = np.bincount(p.lang, minlength=len(p.langs)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([p.langs, pa.array([""] * len(total)), pa.array(total)], ["lang", "phrase", "n"])
+            bounded = np.ones(len(p.hash), bool)  # the first pass met it: all words, and what has two proposals as parts
+            for k in range(1, longest + 1):
+                if k > 1:
+                    p.longer(alive)
+                    bounded = grows[p.head] & grows[p.tail]
+                alive = ~bounded | bound.has(p.hash)
+                grows = bounded & sample.has(p.hash)
+                yield from p.rows(np.flatnonzero(alive))
+
+    return arrow_map(texts, run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
 def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST_COUNT, sample: int = SAMPLE, bits: int = BLOOM_BITS) -> DataFrame:
@@ -252,13 +256,10 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     lowered = max(2, int(LOWERED * least / sample))
     some = base.filter(F.pmod(F.xxhash64("doc_id"), F.lit(sample)) == 0).select("lang", "text")
     proposed = gather_bloom(sample_hashes(some, longest).filter(F.col("n") >= lowered).select("h"), bits)
-    enough = (F.col("k") == 0) | (F.col("n") >= least)
-    found = materialize(counted(texts, longest, proposed).filter(enough))
-    if found.filter((F.col("k") > 0) & ~F.col("member") & (F.col("k") < longest)).isEmpty():
-        return found.drop("member")
-    known = gather_bloom(phrase_hashes(found.filter("k > 0")), bits)
-    more = materialize(counted(texts, longest, proposed, known).filter(enough))
-    return found.unionByName(more).drop("member")
+    possible = gather_bloom(border_bounds(texts, longest, proposed).filter(F.col("n") >= least).select("h"), bits)
+    found = materialize(exact_counts(texts, longest, proposed, possible).filter((F.col("phrase") == "") | (F.col("n") >= least)))
+    words = F.when(F.col("phrase") == "", 0).otherwise(F.length("phrase") - F.length(F.translate("phrase", " ", "")) + 1)
+    return found.withColumn("k", words)
 
 
 def collocations(frequent: DataFrame, top: int | None = TOP, share: int = 100) -> DataFrame:
@@ -310,4 +311,4 @@ SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score
 FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) WHERE rank <= 2000
 """
 
-__all__ = ["Phrases", "collocations", "counted", "frequent_phrases", "op11_toivonen_phrases"]
+__all__ = ["Phrases", "border_bounds", "collocations", "exact_counts", "frequent_phrases", "op11_toivonen_phrases"]
