@@ -66,12 +66,6 @@ def rolling_full(df: DataFrame, key: str, metric: str, rows: int = 10) -> DataFr
     return df.select(key, "p", F.when(F.count(metric).over(w) == rows, F.avg(metric).over(w)).alias(metric))
 
 
-def reference_means(df: DataFrame, key: str, metrics: list[str], first: str, last: str, suffix: str) -> DataFrame:
-    """Geometric means of positive values over labels from ``first`` to ``last``."""
-    some = df.filter(F.col("p").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
-    return some.groupBy(key).agg(*[geometric_mean(F.col(m)).alias(m + suffix) for m in metrics])
-
-
 def reference_pair(df: DataFrame, key: str, metrics: list[str], ref: tuple[str, str], cc: tuple[str, str]) -> DataFrame:
     """Geometric means over both spans in one aggregate: columns ``_ref`` and ``_cc``."""
     inside = lambda span: F.col("p").between(F.lit(span[0]).cast("date"), F.lit(span[1]).cast("date"))
@@ -126,12 +120,6 @@ def adjust_hours(df: DataFrame, s: str = "") -> DataFrame:
     return df.withColumn("_k", k).withColumn("h_rise_avg" + s, F.col("h_rise_avg" + s) * F.col("_k")).withColumn("h_set_avg" + s, F.col("h_set_avg" + s) * F.col("_k")).drop("_k")
 
 
-def drop_short(df: DataFrame, reference: DataFrame, key: str, metrics: list[str], ed: str, least: float) -> DataFrame:
-    """Metrics of series whose least duration in the reference frame is below ``least`` become missing."""
-    low = reference.groupBy(key).agg(F.min(ed).alias("_ed"))
-    return df.join(low, key, "left").select(*[F.when(F.col("_ed") >= least, F.col(c)).alias(c) if c in metrics else F.col(c) for c in df.columns])
-
-
 def amplification(dec: DataFrame, key: str, metrics: list[str], ref: tuple[str, str], cc: tuple[str, str], min_duration: float = 0.0) -> DataFrame:
     """Factors of each period and of the recent period against the reference period."""
     inside = lambda span: F.col("p").between(F.lit(span[0]).cast("date"), F.lit(span[1]).cast("date"))

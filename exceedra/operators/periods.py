@@ -83,12 +83,6 @@ def with_hours(periods: DataFrame, hours: DataFrame, key: str, suffix: str = "")
     return out
 
 
-def periods_between(days: DataFrame, spans: DataFrame) -> DataFrame:
-    """Metrics over stated spans (p, first, last): a range join to a short list of periods."""
-    met = days.join(F.broadcast(spans), F.col("d").between(F.col("first"), F.col("last")))
-    return met.groupBy("gr_id", "p").agg(F.sum("dtec_gr").cast("double").alias("ed_gr"), F.sum("dtem_gr").alias("em_gr"))
-
-
 def fill_linear(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """Missing values between two present ones on the straight line through them, by row."""
     w = Window.partitionBy(key).orderBy(order)

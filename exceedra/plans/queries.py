@@ -283,8 +283,7 @@ def _(s, d):
 
 @register("mean_of_two", f"WITH {DAILY}, {RAIN}, z AS (SELECT cell_id, d, (daily.v + rain.v) / 2 AS v FROM daily JOIN rain USING (cell_id, d)) " + sql6("v", "z", "cell_id, d"))
 def _(s, d):
-    b = tables.rain(s, d).withColumnRenamed("v", "w")
-    return r6(tables.daily(s, d).join(b, ["cell_id", "d"]).select("cell_id", "d", ((F.col("v") + F.col("w")) / 2).alias("v")))
+    return r6(prepare.mean_of(tables.daily(s, d), tables.rain(s, d), ["cell_id", "d"]))
 
 
 @register("altitude_lon", f"WITH {CELL} SELECT cell_id, round(y * 100 / 9.80665::DOUBLE + 1.23e-9, 6) AS altitude, round(CASE WHEN x * 30 > 180 THEN x * 30 - 360 ELSE x * 30 END + 1.23e-9::DOUBLE, 6) AS lon FROM cell")

@@ -24,7 +24,7 @@ def save(df: DataFrame, path: str, digits: int = 2, partition_by: tuple[str, ...
 
 def export_means(df: DataFrame, metric: str, path: str) -> None:
     """Regional mean of a metric by period as CSV with one decimal."""
-    df.groupBy("p").agg(F.format_number(F.avg(metric), "0.0").alias(metric)).orderBy("p").write.mode("overwrite").csv(path, header=True)
+    df.groupBy("p").agg(F.format_string("%.1f", F.avg(metric)).alias(metric)).orderBy("p").write.mode("overwrite").csv(path, header=True)
 
 
 def with_means(dec: DataFrame, means: DataFrame, key: str) -> DataFrame:

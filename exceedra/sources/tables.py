@@ -30,13 +30,6 @@ def station_csv(spark: SparkSession, path: str, parameter: str) -> DataFrame:
     return raw.select(F.to_date(F.substring("time", 1, 10)).alias("d"), F.nanvl(F.col(f"`{parameter}`").cast("double"), F.lit(None).cast("double")).alias("v"))
 
 
-def overlapping(spark: SparkSession, path: str, first_year: int, last_year: int) -> DataFrame:
-    """Stored results partitioned by ``span`` (``YYYYtoYYYY``) that overlap the years; the reference span is left out."""
-    df = spark.read.option("basePath", path).parquet(path)
-    own = df.filter(F.col("span") != "ref")
-    return own.filter((F.substring("span", 1, 4).cast("int") <= last_year) & (F.substring("span", 7, 4).cast("int") >= first_year)).drop("span")
-
-
 def wide_stations(df: DataFrame) -> DataFrame:
     """Long station rows (d, id, v) to one column for each station."""
     return df.groupBy("d").pivot("id").agg(F.first("v"))
@@ -78,12 +71,6 @@ def altitude(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("cell_id", "y", "x", "mask_frac", "area", "gr_id", (F.col("cell_id") * 97 % 13 * 150.0).alias("altitude"), (F.col("cell_id") * 31 % 10 / 10.0).alias("lsm"))
 
 
-def orders_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    x = read(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_totalprice").join(c, F.col("o_custkey") == F.col("c_custkey"))
-    return x.groupBy(F.col("c_nationkey").alias("cell_id"), F.to_date("o_orderdate").alias("d")).agg((F.avg("o_totalprice") / 1000).alias("v"))
-
-
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
     return e.groupBy((F.col("user_id") % 25).cast("int").alias("cell_id"), F.date_trunc("hour", "ts").alias("ts")).agg(F.avg("value").alias("v"))

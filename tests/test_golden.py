@@ -166,3 +166,61 @@ def test_region_and_window_with_a_cell_without_data(spark):
     days = spark.createDataFrame([(1, "2000-01-01", 3.0), (1, "2000-01-02", 0.0), (2, "2000-01-01", 1.0), (3, "2000-01-01", None)], "cell_id int, d string, dtem double")
     got = regions.window_days(days, regions.valid_links(links, cells)).orderBy("gr_id", "d").collect()
     assert [(r.gr_id, r.d, r.dtec_gr, r.dtea_gr, r.dtem_gr) for r in got] == [(0, "2000-01-01", 1, 2.0, 3.0), (0, "2000-01-02", 0, 0.0, 0.0)]
+
+
+def test_stations_long_and_wide(spark):
+    long = spark.createDataFrame([(DAY, "a", 1.0), (DAY, "b", 2.0), (DAY + dt.timedelta(days=1), "a", 3.0)], "d date, id string, v double")
+    wide = tables.wide_stations(long)
+    assert wide.columns == ["d", "a", "b"]
+    back = tables.long_stations(wide.withColumnRenamed("d", "ts")).filter("v is not null")
+    assert {(r.ts, r.id, r.v) for r in back.collect()} == {tuple(r) for r in long.collect()}
+
+
+def test_exports(spark, tmp_path):
+    df = spark.createDataFrame([(DAY, 1.04, 2.0), (DAY, 3.0, 4.0)], "p date, em_gr_agr double, ef_gr double")
+    assert sinks.aggregate_columns(df).columns == ["p", "em_gr_agr"]
+    sinks.export_means(df, "em_gr_agr", f"file://{tmp_path}/csv")
+    assert spark.read.csv(f"file://{tmp_path}/csv", header=True).collect()[0].em_gr_agr == "2.0"
+
+
+def test_kelvin_and_percentile_thresholds(spark):
+    cells = spark.createDataFrame([(1,)], "cell_id int")
+    field = spark.createDataFrame([(1, DAY + dt.timedelta(days=i), float(i)) for i in range(11)], "cell_id int, d date, v double")
+    assert prepare.threshold_of(field, cells, "abs", 30.0, kelvin=True).first().thr == pytest.approx(303.15)
+    assert prepare.threshold_of(field, cells, "perc", 90.0, "2000-01-01", "2000-01-11").first().thr == pytest.approx(9.0)
+    with pytest.raises(ValueError):
+        prepare.threshold_of(field, cells, "other", 1.0)
+
+
+def test_measuring_day(spark):
+    rows = spark.createDataFrame([(dt.datetime(2000, 1, 2, 3), 5.0), (dt.datetime(2000, 1, 2, 8), 0.5)], "ts timestamp, v double")
+    assert [r.ts for r in prepare.wet(rows, 1.0, 7).collect()] == [dt.datetime(2000, 1, 1, 20)]
+
+
+def test_centre_span():
+    assert decadal.centre_span(1961, 1990, 1961, 2020) == ("1966-01-01", "1986-12-31")
+    with pytest.raises(ValueError):
+        decadal.centre_span(1951, 1990, 1961, 2020)
+
+
+def test_station_union(spark):
+    from exceedra.operators import stations
+
+    a = spark.createDataFrame([(dt.date(y, 1, 1), float(y), 1.0) for y in (1918, 1920, 1921)], "p date, ef double, em double")
+    b = spark.createDataFrame([(dt.date(1919, 1, 1), 7.0)], "p date, ef double")
+    got = stations.station_union([("a", a, 1920), ("b", b, None)], ["ef", "em"])
+    assert {(r.station, r.p.year, r.ef, r.em) for r in got.collect()} == {("a", 1920, 1920.0, 1.0), ("a", 1921, 1921.0, 1.0), ("b", 1919, 7.0, None)}
+    with pytest.raises(KeyError):
+        stations.station_union([("b", b, None)], ["em"])
+
+
+def test_spans_with_gaps_and_overlaps(spark):
+    from exceedra.operators import stations
+
+    days = spark.createDataFrame([(1, DAY + dt.timedelta(days=i), float(i % 7)) for i in range(200)], "cell_id int, d date, v double")
+    spans = [(DAY + dt.timedelta(days=a), DAY + dt.timedelta(days=b)) for a, b in ((0, 3), (2, 95), (90, 90), (150, 400), (20, 10))]
+    df = stations.in_spans(days, spark.createDataFrame([(a, a, b) for a, b in spans], "p date, first date, last date"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    want = sorted((a, DAY + dt.timedelta(days=i)) for a, b in spans for i in range(200) if a <= DAY + dt.timedelta(days=i) <= b)
+    assert sorted((r.p, r.d) for r in df.collect()) == want
