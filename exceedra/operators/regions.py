@@ -54,6 +54,12 @@ def valid_links(links: DataFrame, cells: DataFrame) -> DataFrame:
     return links.join(cells.filter("thr is not null").select("cell_id"), "cell_id", "left_semi")
 
 
+def window_weights(links: DataFrame, cells: DataFrame) -> DataFrame:
+    """Area ``a`` of all cells of each window that has a cell with a threshold: its weight in the aggregate."""
+    some = valid_links(links, cells).select("gr_id").distinct()
+    return links.join(some, "gr_id", "left_semi").groupBy("gr_id").agg(F.sum("area").alias("a"))
+
+
 def window_days(dbv: DataFrame, links: DataFrame, min_area: float = MIN_AREA) -> DataFrame:
     """Daily metrics of every window: only exceeding cells meet the bridge, once for all windows.
 

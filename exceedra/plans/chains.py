@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from exceedra.operators import analysis, daily, decadal, periods, prepare, regions
 from exceedra.plans.queries import (
     AF_COLS, CC, CELL, COMP, CTPM, DAILY, DBV, DEC_COLS, GR, HOURS, HOURS_GR, LATTICE, RAIN, REF, SUB, THR,
-    ctp, dbv_plain, dec, grid, hourly_cells, hourly_gr, links, r6, region, register, sql6, sql_ctp_gr, sql_events, windows,
+    ctp, dbv_plain, dec, grid, hourly_cells, hourly_gr, r6, region, register, sql6, sql_ctp_gr, sql_events, window_weights, windows,
 )
 from exceedra.sources import sinks, tables
 
@@ -16,17 +16,13 @@ from exceedra.sources import sinks, tables
 
 AGR_METRICS = ["ed_gr", "ef_gr", "em_gr", "ed_avg_gr", "em_avg_gr", "dm_avg_gr", "em_avg_md_gr", "tex_gr"]
 WINDOWS = SUB.replace("wd AS (", "wd_ AS (") + ", gr2 AS (SELECT *, dtem_gr * dtea_gr AS dtema_gr FROM wd_), " + sql_events("gr2", "gr_id", "dtec_gr", "dteec_gr", "gr") + ",\n" + sql_ctp_gr("monthly")
-LINK_AREA = ", wa AS (SELECT gr_id, sum(area) AS a FROM lnk SEMI JOIN thr USING (cell_id) GROUP BY gr_id), ag AS (SELECT * FROM ctp JOIN wa USING (gr_id))"
+LINK_AREA = ", wa AS (SELECT gr_id, sum(area) AS a FROM lnk WHERE gr_id IN (SELECT gr_id FROM lnk SEMI JOIN thr USING (cell_id)) GROUP BY gr_id), ag AS (SELECT * FROM ctp JOIN wa USING (gr_id))"
 
 
 def window_ctp(s: SparkSession, d: str) -> DataFrame:
     return regions.window_periods(windows(s, d), "monthly")
 
 
-def window_area(s: SparkSession, d: str) -> DataFrame:
-    return links(s, d).groupBy("gr_id").agg(F.sum("area").alias("a"))
-
-
 @register("agr_ctp", f"WITH {WINDOWS} " + sql6(", ".join(AGR_METRICS), "ctp", "gr_id, p"))
 def _(s, d):
     return r6(window_ctp(s, d).select("gr_id", "p", *AGR_METRICS))
@@ -37,7 +33,7 @@ AGR_MEAN = WINDOWS + LINK_AREA + ", am AS (SELECT p, " + ", ".join(f"sum(a * {m}
 
 @register("agr_mean_all", f"WITH {AGR_MEAN} " + sql6(", ".join(AGR_METRICS), "am", "p"))
 def _(s, d):
-    return r6(regions.weighted_mean(window_ctp(s, d).join(window_area(s, d), "gr_id"), *AGR_METRICS))
+    return r6(regions.weighted_mean(window_ctp(s, d).join(window_weights(s, d), "gr_id"), *AGR_METRICS))
 
 
 @register(
@@ -45,7 +41,7 @@ def _(s, d):
     f"WITH {WINDOWS}{LINK_AREA}, lg AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, gr_id, a, p, {m} AS x FROM ag" for m in ("ed_gr", "em_gr", "tex_gr")) + "), w0 AS (SELECT metric, p, gr_id, x, a / sum(a) OVER (PARTITION BY metric, p) AS w FROM lg WHERE x IS NOT NULL), w1 AS (SELECT metric, p, x, sum(w) OVER (PARTITION BY metric, p ORDER BY x, gr_id ROWS UNBOUNDED PRECEDING) AS c FROM w0), w2 AS (SELECT metric, p, coalesce(max(x) FILTER (WHERE c <= 0.05), min(x)) AS p05, arg_min(c, abs(c - 0.95)) AS cn, arg_min(x, abs(c - 0.95)) AS an, coalesce(min(x) FILTER (WHERE c >= 0.95), max(x)) AS above FROM w1 GROUP BY metric, p), z AS (SELECT metric, p, p05, CASE WHEN cn >= 0.95 THEN an ELSE above END AS p95 FROM w2) " + sql6("p05, p95", "z", "metric, p"),
 )
 def _(s, d):
-    return r6(regions.all_percentiles(window_ctp(s, d).join(window_area(s, d), "gr_id"), ["ed_gr", "em_gr", "tex_gr"]))
+    return r6(regions.all_percentiles(window_ctp(s, d).join(window_weights(s, d), "gr_id"), ["ed_gr", "em_gr", "tex_gr"]))
 
 
 BASE = ["ef_gr", "ed_avg_gr", "em_avg_gr"]
@@ -57,7 +53,7 @@ AGR_DEC = WINDOWS + LINK_AREA + ", am AS (SELECT 'agr' AS k, p, " + ", ".join(f"
     f"WITH {AGR_DEC}, rf AS (SELECT " + ", ".join(f"exp(avg(CASE WHEN {m} > 0 AND p BETWEEN DATE '{a}' AND DATE '{b}' THEN ln(CASE WHEN {m} > 0 THEN {m} END) END)) AS {m}{e}" for m in ("ed_gr", "em_gr") for e, (a, b) in (("_ref", REF), ("_cc", CC))) + " FROM ae), z AS (SELECT p, " + ", ".join(f"{m} / {m}_ref AS {m}_af, {m}_cc / {m}_ref AS {m}_af_cc" for m in ("ed_gr", "em_gr")) + " FROM ae, rf) " + sql6("ed_gr_af, ed_gr_af_cc, em_gr_af, em_gr_af_cc", "z", "p"),
 )
 def _(s, d):
-    mean = regions.weighted_mean(window_ctp(s, d).join(window_area(s, d), "gr_id"), *BASE).withColumn("k", F.lit("agr"))
+    mean = regions.weighted_mean(window_ctp(s, d).join(window_weights(s, d), "gr_id"), *BASE).withColumn("k", F.lit("agr"))
     x = decadal.compounds(decadal.decadal_means(mean, "k", BASE))
     return r6(decadal.amplification(x, "k", ["ed_gr", "em_gr"], REF, CC).drop("k"))
 
@@ -67,7 +63,7 @@ def _(s, d):
     f"WITH {AGR_MEAN}, o AS (SELECT exp(avg(ln(em_gr)) FILTER (WHERE em_gr > 0)) AS own, avg(em_gr) AS target FROM am), z AS (SELECT p, em_gr * (target / own) AS em_gr FROM am, o) " + sql6("em_gr", "z", "p"),
 )
 def _(s, d):
-    mean = regions.weighted_mean(window_ctp(s, d).join(window_area(s, d), "gr_id"), "em_gr")
+    mean = regions.weighted_mean(window_ctp(s, d).join(window_weights(s, d), "gr_id"), "em_gr")
     own = mean.agg(F.exp(F.avg(F.when(F.col("em_gr") > 0, F.ln(F.when(F.col("em_gr") > 0, F.col("em_gr")))))).alias("em_gr"))
     return r6(regions.scaled_to(mean, ["em_gr"], own, mean.agg(F.avg("em_gr").alias("em_gr"))))
 

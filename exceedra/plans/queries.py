@@ -443,13 +443,16 @@ wd AS (SELECT gr_id, d, dtea_gr, (dtea_gr >= 0.0001)::INT AS dtec_gr, CASE WHEN
 
 
 def links(s: SparkSession, d: str) -> DataFrame:
-    """Windows and their cells with a threshold."""
-    own = regions.bridge(tables.cells(s, d), extent(s, d)).withColumn("gr_id", F.col("gr_id").cast("int"))
-    return regions.valid_links(own, grid(s, d))
+    """Windows and their cells."""
+    return regions.bridge(tables.cells(s, d), extent(s, d)).withColumn("gr_id", F.col("gr_id").cast("int"))
 
 
 def windows(s: SparkSession, d: str) -> DataFrame:
-    return regions.window_days(dbv_plain(s, d), links(s, d))
+    return regions.window_days(dbv_plain(s, d), regions.valid_links(links(s, d), grid(s, d)))
+
+
+def window_weights(s: SparkSession, d: str) -> DataFrame:
+    return regions.window_weights(links(s, d), grid(s, d))
 
 
 @register("sub_gr", f"WITH {SUB} " + sql6("dtea_gr, dtem_gr, dtem_max_gr", "wd", "gr_id, d, dtec_gr"))
@@ -457,15 +460,14 @@ def _(s, d):
     return r6(windows(s, d).select("gr_id", "d", "dtec_gr", "dtea_gr", "dtem_gr", "dtem_max_gr"))
 
 
-AGR = SUB + """, wa AS (SELECT gr_id, sum(area) AS a FROM lnk SEMI JOIN thr USING (cell_id) GROUP BY gr_id),
+AGR = SUB + """, wa AS (SELECT gr_id, sum(area) AS a FROM lnk WHERE gr_id IN (SELECT gr_id FROM lnk SEMI JOIN thr USING (cell_id)) GROUP BY gr_id),
 wp AS (SELECT gr_id, date_trunc('month', d)::DATE AS p, CASE WHEN sum(dtec_gr) > 0 THEN sum(dtem_gr) END AS em FROM wd GROUP BY ALL),
 ag AS (SELECT * FROM wp JOIN wa USING (gr_id)), am AS (SELECT p, sum(a * em) / sum(a) AS m FROM ag GROUP BY p)"""
 
 
 def agr(s: SparkSession, d: str) -> DataFrame:
-    area = links(s, d).groupBy("gr_id").agg(F.sum("area").alias("a"))
     em = F.when(F.sum("dtec_gr") > 0, F.sum("dtem_gr")).alias("em")
-    return windows(s, d).groupBy("gr_id", F.trunc("d", "month").alias("p")).agg(em).join(area, "gr_id")
+    return windows(s, d).groupBy("gr_id", F.trunc("d", "month").alias("p")).agg(em).join(window_weights(s, d), "gr_id")
 
 
 @register("agr_mean", f"WITH {AGR}, z AS (SELECT p, m AS em FROM am) " + sql6("em", "z", "p"))

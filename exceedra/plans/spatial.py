@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from exceedra.functions.projection import AUSTRIA, ZONE33, Conic, TransverseMercator
 from exceedra.operators import prepare, regions, spatial
-from exceedra.plans.chains import AGR_METRICS, WINDOWS, window_area, window_ctp
-from exceedra.plans.queries import CELL, DAILY, LATTICE, extent, r6, register, sql6
+from exceedra.plans.chains import AGR_METRICS, WINDOWS, window_ctp
+from exceedra.plans.queries import CELL, DAILY, LATTICE, extent, r6, register, sql6, window_weights
 from exceedra.sources import tables
 
 STEP = tables.STEP
@@ -37,7 +37,7 @@ def _(s, d):
 
 @register(
     "agr_mean_land",
-    f"WITH {WINDOWS}, {LAND}, wa AS (SELECT gr_id, sum(area) AS a FROM lnk SEMI JOIN thr USING (cell_id) SEMI JOIN (SELECT gr_id FROM wl WHERE land_share >= {LEAST_LAND} - 1e-9) k USING (gr_id) GROUP BY gr_id), ag AS (SELECT * FROM ctp JOIN wa USING (gr_id)), am AS (SELECT p, "
+    f"WITH {WINDOWS}, {LAND}, wa AS (SELECT gr_id, sum(area) AS a FROM lnk WHERE gr_id IN (SELECT gr_id FROM lnk SEMI JOIN thr USING (cell_id)) AND gr_id IN (SELECT gr_id FROM wl WHERE land_share >= {LEAST_LAND} - 1e-9) GROUP BY gr_id), ag AS (SELECT * FROM ctp JOIN wa USING (gr_id)), am AS (SELECT p, "
     + ", ".join(f"sum(a * {m}) / sum(a) AS {m}" for m in AGR_METRICS)
     + " FROM ag GROUP BY p) "
     + sql6(", ".join(AGR_METRICS), "am", "p"),
@@ -45,7 +45,7 @@ def _(s, d):
 def _(s, d):
     """Windows with too little land leave the aggregate before it is weighted."""
     land = spatial.land_windows(window_land(s, d), LEAST_LAND).select("gr_id")
-    kept = window_ctp(s, d).join(window_area(s, d), "gr_id").join(land, "gr_id", "left_semi")
+    kept = window_ctp(s, d).join(window_weights(s, d), "gr_id").join(land, "gr_id", "left_semi")
     return r6(regions.weighted_mean(kept, *AGR_METRICS))
 
 

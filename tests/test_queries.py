@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 
 from support import rows_of
-from exceedra.plans import chains, files, networks, spatial, stored, streams  # noqa: F401  (they register their queries)
+from exceedra.plans import aggregates, chains, files, networks, spatial, stored, streams  # noqa: F401  (they register their queries)
 from exceedra.plans.queries import Q, SQL
 
 
