@@ -51,6 +51,19 @@ def region_days(dbv: DataFrame, cells: DataFrame, min_area: float = MIN_AREA) ->
     return region_metrics(sums, min_area)
 
 
+def region_series(field: DataFrame, cells: DataFrame, min_area: float = MIN_AREA, low: bool = False) -> DataFrame:
+    """Region days straight from ``field (cell_id, d, v)``: only exceedances are added up, days without one filled in after.
+
+    The same rows as :func:`region_days` over a whole spine: every region with a cell in
+    ``cells (cell_id, gr_id, thr, area)`` has every day from the field's first to its last.
+    """
+    x = field.join(cells.select("cell_id", "gr_id", "thr", "area"), "cell_id").withColumn("dtem", exceedance(F.col("v"), F.col("thr"), low)).filter("dtem > 0")
+    sums = x.groupBy("gr_id", "d").agg(F.sum("area").alias("dtea_gr"), F.sum(F.col("dtem") * F.col("area")).alias("ma"), F.max("dtem").alias("top"))
+    span = field.agg(F.min("d").alias("_a"), F.max("d").alias("_b"))
+    days = cells.select("gr_id").distinct().crossJoin(F.broadcast(span)).select("gr_id", F.explode(F.sequence("_a", "_b")).alias("d"))  # one row beside every region
+    return region_metrics(days.join(sums, ["gr_id", "d"], "left").fillna(0.0, ["dtea_gr", "ma", "top"]), min_area)
+
+
 def region_metrics(sums: DataFrame, min_area: float = MIN_AREA) -> DataFrame:
     on = F.col("dtea_gr") >= min_area
     out = sums.withColumn("dtec_gr", on.cast("int"))

@@ -123,17 +123,13 @@ def adjust_hours(df: DataFrame, s: str = "") -> DataFrame:
 def amplification(dec: DataFrame, key: str, metrics: list[str], ref: tuple[str, str], cc: tuple[str, str], min_duration: float = 0.0) -> DataFrame:
     """Factors of each period and of the recent period against the reference period."""
     inside = lambda span: F.col("p").between(F.lit(span[0]).cast("date"), F.lit(span[1]).cast("date"))
-    whole = Window.partitionBy(key)
-    joined = dec
-    for end, span in (("_ref", ref), ("_cc", cc)):
-        for m in metrics:
-            mean = F.exp(F.avg(F.when(inside(span) & (F.col(m) > 0), F.ln(F.when(F.col(m) > 0, F.col(m))))).over(whole))
-            joined = joined.withColumn(m + end, mean)
-    if min_duration:
-        ed = next(m for m in metrics if m.startswith("ed") and "avg" not in m)
-        joined = joined.withColumn("_least", F.min(F.when(inside(ref), F.col(ed))).over(whole))
-        for m in metrics:
-            joined = joined.withColumn(m + "_ref", F.when(F.col("_least") >= min_duration / 10, F.col(m + "_ref")))
+    means = [geometric_mean(F.when(inside(span), F.col(m))).alias(m + end) for end, span in (("_ref", ref), ("_cc", cc)) for m in metrics]
+    ed = next((m for m in metrics if m.startswith("ed") and "avg" not in m), None) if min_duration else None
+    least = [F.min(F.when(inside(ref), F.col(ed))).alias("_least")] if ed else []
+    own = dec.groupBy(F.col(key).alias("_key")).agg(*means, *least)
+    if ed:
+        own = own.select("_key", *[F.when(F.col("_least") >= min_duration / 10, F.col(m + "_ref")).alias(m + "_ref") for m in metrics], *[m + "_cc" for m in metrics])
+    joined = dec.select(key, "p", *metrics).join(own, F.col(key).eqNullSafe(F.col("_key")))
     factor = lambda a, m: F.when(F.col(m + "_ref") > 0, F.try_divide(F.col(a), F.col(m + "_ref")))
     return joined.select(key, "p", *[factor(m, m).alias(m + "_af") for m in metrics], *[factor(m + "_cc", m).alias(m + "_af_cc") for m in metrics])
 

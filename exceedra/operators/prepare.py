@@ -93,12 +93,20 @@ def monthly_anomaly(series: DataFrame, first: int, last: int) -> DataFrame:
     return series.withColumn("anomaly", F.col("v") - F.avg(own).over(Window.partitionBy("gr_id", F.month("d"))))
 
 
-def percentile_threshold(field: DataFrame, q: float, first: str, last: str, wet: float | None = None) -> DataFrame:
-    """Interpolated quantile of each cell over the reference days; ``wet``: of days above it only."""
-    some = field.filter(F.col("d").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+def percentile_threshold(field: DataFrame, q: float, first: str, last: str, wet: float | None = None, shared: bool = False) -> DataFrame:
+    """Interpolated quantile of each cell over the reference days; ``wet``: of days above it only.
+
+    The days are a filter, which reaches a stored field's scan.  ``shared`` makes them a
+    condition of the aggregate instead: a field that the same plan derives for all days is
+    then derived once, as both uses read the same exchange.
+    """
+    some = F.col("d").between(F.lit(first).cast("date"), F.lit(last).cast("date"))
     if wet is not None:
-        some = some.filter(F.col("v") > wet)
-    return some.groupBy("cell_id").agg(F.percentile("v", F.lit(q)).alias("thr"))
+        some &= F.col("v") > wet
+    if not shared:
+        return field.filter(some).groupBy("cell_id").agg(F.percentile("v", F.lit(q)).alias("thr"))
+    value = F.when(some, F.col("v"))
+    return field.groupBy("cell_id").agg(F.percentile(value, F.lit(q)).alias("thr")).filter("thr is not null")
 
 
 def smooth(values: DataFrame, radius: int) -> DataFrame:

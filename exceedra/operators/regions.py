@@ -60,16 +60,20 @@ def window_weights(links: DataFrame, cells: DataFrame) -> DataFrame:
     return links.join(some, "gr_id", "left_semi").groupBy("gr_id").agg(F.sum("area").alias("a"))
 
 
-def window_days(dbv: DataFrame, links: DataFrame, min_area: float = MIN_AREA) -> DataFrame:
+def window_days(dbv: DataFrame, links: DataFrame, min_area: float = MIN_AREA, field: DataFrame | None = None) -> DataFrame:
     """Daily metrics of every window: only exceeding cells meet the bridge, once for all windows.
 
-    ``links`` are those of :func:`valid_links`, so that no window without data has days of zeros.
+    ``links`` are those of :func:`valid_links`, so that no window without data has days of
+    zeros.  Days run from the first to the last of ``field``, by default those of ``dbv``, and
+    are made beside each window; only exceedances are shuffled to meet them.
     """
     hot = dbv.filter("dtem > 0").select("cell_id", "d", "dtem")
     met = hot.join(links, "cell_id").withColumn("a", F.col("area") / F.col("area_frac"))
     sums = met.groupBy("gr_id", "d").agg(F.sum("a").alias("dtea_gr"), F.sum(F.col("dtem") * F.col("a")).alias("ma"), F.max("dtem").alias("top"))
-    spine = links.select("gr_id").distinct().join(F.broadcast(dbv.select("d").distinct()))
-    filled = spine.join(sums, ["gr_id", "d"], "left").fillna(0.0, ["dtea_gr", "ma", "top"])
+    day = F.to_date("d")
+    span = (dbv if field is None else field).agg(F.min(day).alias("_a"), F.max(day).alias("_b"))
+    spine = links.select("gr_id").distinct().crossJoin(F.broadcast(span)).select("gr_id", F.explode(F.sequence("_a", "_b")).alias("d"))  # one row beside every window
+    filled = spine.join(sums.withColumn("d", day), ["gr_id", "d"], "left").fillna(0.0, ["dtea_gr", "ma", "top"])
     return region_metrics(filled, min_area)
 
 

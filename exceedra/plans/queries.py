@@ -125,7 +125,7 @@ ctpc AS (SELECT * FROM {sql_trim(period, 'cell_id', 'cc3')})"""
 
 def grid(s: SparkSession, d: str, how: str = "inner") -> DataFrame:
     """Cells with their threshold; ``how`` ``left`` keeps those without one."""
-    thr = prepare.percentile_threshold(tables.daily(s, d), QUANTILE, *REF_DAYS)
+    thr = prepare.percentile_threshold(tables.daily(s, d), QUANTILE, *REF_DAYS, shared=True)
     return tables.cells(s, d).join(thr, "cell_id", how)
 
 
@@ -143,7 +143,7 @@ def dbv_plain(s: SparkSession, d: str, low: bool = False) -> DataFrame:
 
 
 def region(s: SparkSession, d: str, min_area: float = daily.MIN_AREA) -> DataFrame:
-    days = daily.region_days(dbv_plain(s, d), tables.cells(s, d), min_area)
+    days = daily.region_series(tables.daily(s, d), grid(s, d), min_area)
     return daily.mark_events(days, "gr_id", "dtec_gr", "dteec_gr")
 
 
@@ -448,7 +448,8 @@ def links(s: SparkSession, d: str) -> DataFrame:
 
 
 def windows(s: SparkSession, d: str) -> DataFrame:
-    return regions.window_days(dbv_plain(s, d), regions.valid_links(links(s, d), grid(s, d)))
+    field, cells = tables.daily(s, d), grid(s, d)
+    return regions.window_days(daily.cell_exceedance(field, cells), regions.valid_links(links(s, d), cells), field=field)
 
 
 def window_weights(s: SparkSession, d: str) -> DataFrame:

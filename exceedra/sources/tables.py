@@ -8,14 +8,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from exceedra.functions.columns import area_latlon
 
 STEP = 0.5
 
 
+_SCHEMAS: dict[tuple[str, str], StructType] = {}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the synthetic data; its schema is looked up once in a session, not by a job for each use."""
+    path = f"{sf_dir}/{name}.parquet"
+    key = spark.sparkContext.applicationId, path
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
 def field(spark: SparkSession, path: str, first_year: int, last_year: int, seasonal: bool = False) -> DataFrame:

@@ -165,7 +165,7 @@ def test_region_and_window_with_a_cell_without_data(spark):
     links = spark.createDataFrame([(0, 1, 2.0, 1.0), (0, 3, 4.0, 1.0), (1, 3, 4.0, 1.0)], "gr_id int, cell_id int, area double, area_frac double")
     days = spark.createDataFrame([(1, "2000-01-01", 3.0), (1, "2000-01-02", 0.0), (2, "2000-01-01", 1.0), (3, "2000-01-01", None)], "cell_id int, d string, dtem double")
     got = regions.window_days(days, regions.valid_links(links, cells)).orderBy("gr_id", "d").collect()
-    assert [(r.gr_id, r.d, r.dtec_gr, r.dtea_gr, r.dtem_gr) for r in got] == [(0, "2000-01-01", 1, 2.0, 3.0), (0, "2000-01-02", 0, 0.0, 0.0)]
+    assert [(r.gr_id, r.d, r.dtec_gr, r.dtea_gr, r.dtem_gr) for r in got] == [(0, dt.date(2000, 1, 1), 1, 2.0, 3.0), (0, dt.date(2000, 1, 2), 0, 0.0, 0.0)]
 
 
 def test_stations_long_and_wide(spark):
