@@ -21,17 +21,27 @@ def share_above(df: DataFrame, metric: str, limit: float) -> DataFrame:
     return df.groupBy("p").agg((F.coalesce(F.sum(F.when(F.col(metric) > limit, F.col("a"))), F.lit(0.0)) / F.sum("a") * 100).alias("percent"))
 
 
-def compare(a: DataFrame, b: DataFrame, keys: list[str], metrics: list[str], absolute: float = 5e-5) -> DataFrame:
-    """Largest absolute difference of each metric, values that one table lacks, and whether all is within the tolerance.
+def compare(a: DataFrame, b: DataFrame, keys: list[str], metrics: list[str], absolute: float = 5e-5, relative: float | None = None) -> DataFrame:
+    """Largest difference of each metric, values that one table lacks, and whether all is within the tolerance.
 
-    A key that one table lacks is a value it lacks for every metric that the other has there.
+    With ``relative`` differences are shares of the second table's values, and where that is 0
+    or missing they are 0.  A key that one table lacks is a value it lacks for every metric
+    that the other has there.
     """
     x = a.alias("a").join(b.alias("b"), keys, "full")
     one, two = (lambda m, t=t: F.col(f"{t}.{m}") for t in "ab")
-    found = [F.struct(F.max(F.abs(one(m) - two(m))).alias("gap"), F.count_if(one(m).isNull() != two(m).isNull()).alias("one_sided")).alias(m) for m in metrics]
+    share = lambda m: F.coalesce(F.try_divide(one(m) - two(m), two(m)), F.when(two(m) == 0, F.lit(0.0)))
+    gap = lambda m: F.abs(one(m) - two(m)) if relative is None else F.abs(share(m))
+    found = [F.struct(F.max(gap(m)).alias("gap"), F.count_if(one(m).isNull() != two(m).isNull()).alias("one_sided")).alias(m) for m in metrics]
     long = x.agg(*found).select(F.stack(F.lit(len(metrics)), *[y for m in metrics for y in (F.lit(m), F.col(m))]).alias("metric", "r"))
     out = long.select("metric", "r.gap", "r.one_sided")
-    return out.withColumn("within", (F.coalesce(F.col("gap"), F.lit(0.0)) <= absolute) & (F.col("one_sided") == 0))
+    return out.withColumn("within", (F.coalesce(F.col("gap"), F.lit(0.0)) <= (absolute if relative is None else relative)) & (F.col("one_sided") == 0))
+
+
+def at_point(cells: DataFrame, y: float, x: float) -> DataFrame:
+    """The row of the cell nearest a point, by coordinate differences; of equal ones the least id."""
+    far = F.abs(F.col("y") - y) + F.abs(F.col("x") - x)
+    return cells.filter("y is not null and x is not null").orderBy(F.round(far, 9), "cell_id").limit(1)
 
 
 def trend_bounds(df: DataFrame, key: str, x: str, y: str, z: float = 1.645) -> DataFrame:
@@ -43,8 +53,8 @@ def trend_bounds(df: DataFrame, key: str, x: str, y: str, z: float = 1.645) -> D
 def trend_ratio(df: DataFrame, key: str, x: str, y: str, base: str) -> DataFrame:
     """Slope of each key over that of the key ``base``, whose own row has the ratio 1."""
     t = trend(df, key, x, y)
-    own = F.max(F.when(F.col(key) == F.lit(base), F.col("slope"))).over(Window.partitionBy(F.lit(0)))  # a row for each key
-    return t.select(key, F.try_divide(F.col("slope"), own).alias("ratio"))
+    own = t.filter(F.col(key) == F.lit(base)).agg(F.max("slope").alias("_own"))
+    return t.crossJoin(F.broadcast(own)).select(key, F.try_divide("slope", "_own").alias("ratio"))  # one row beside every key
 
 
 def factor_spans(factors: DataFrame, key: str, metric: str, spans: list[tuple[str, str, str]], dof: float = 1.0) -> DataFrame:

@@ -138,6 +138,31 @@ def crop_to_mask(df: DataFrame, mask: DataFrame, margin: float = 0.0) -> DataFra
     return df.crossJoin(F.broadcast(box)).filter(inside).drop("_s", "_n", "_w", "_e")  # one row beside every cell
 
 
+# Western and eastern side, in degrees, of a region whose extent is not taken from its mask.
+EXTENTS = {"EUR": (-12.0, 40.0)}
+
+
+def reduced(df: DataFrame, mask: DataFrame, size: float, region: str = "", planar: bool = False) -> DataFrame:
+    """Rows inside the mask's cells and half a window around them, in whole degrees, but not beyond the mask's lattice.
+
+    ``size`` is a window's height; its width in degrees grows with the cosine of the box's
+    northern side, and not at all where coordinates are planar.  Regions of ``EXTENTS`` have
+    fixed western and eastern sides, which are not clamped.
+    """
+    own = lambda c: F.when(F.col("mask_frac") > 0, F.col(c))
+    b = mask.agg(*[f(own(c)).alias(n) for f, c, n in ((F.min, "y", "s"), (F.max, "y", "n"), (F.min, "x", "w"), (F.max, "x", "e"))], *[f(c).alias(n) for f, c, n in ((F.min, "y", "s0"), (F.max, "y", "n0"), (F.min, "x", "w0"), (F.max, "x", "e0"))])
+    b = b.select("*", F.greatest(F.floor(F.col("s") - size / 2).cast("double"), F.col("s0")).alias("_s"), F.least(F.ceil(F.col("n") + size / 2).cast("double"), F.col("n0")).alias("_n"))
+    wide = F.lit(size) if planar else size / F.cos(F.radians("_n"))
+    if region in EXTENTS:
+        west, east = EXTENTS[region]
+        sides = F.floor(west - wide / 2).cast("double"), F.ceil(east + wide / 2).cast("double")
+    else:
+        sides = F.greatest(F.floor(F.col("w") - wide / 2).cast("double"), F.col("w0")), F.least(F.ceil(F.col("e") + wide / 2).cast("double"), F.col("e0"))
+    box = b.select("_s", "_n", sides[0].alias("_w"), sides[1].alias("_e"))
+    inside = F.col("y").between(F.col("_s"), F.col("_n")) & F.col("x").between(F.col("_w"), F.col("_e"))
+    return df.crossJoin(F.broadcast(box)).filter(inside).drop("_s", "_n", "_w", "_e")  # one row beside every cell
+
+
 def land_mask(cells: DataFrame, least: float = 0.5, below: float = 0.0) -> DataFrame:
     """Cells with more than ``least`` of land and, where ``below`` is not 0, a height under it: share 1, else NULL."""
     ok = F.col("lsm") > least

@@ -26,6 +26,24 @@ def lattice(cells: DataFrame, spacing: float) -> DataFrame:
     return rows.select("iy", "yc", F.posexplode(xs).alias("ix", "xc")).select((F.col("iy") * n + F.col("ix")).alias("gr_id"), "yc", "xc")
 
 
+def inner_lattice(cells: DataFrame, spacing: float, size: float, margin: float | None = None) -> DataFrame:
+    """Centres gr_id, yc, xc that keep ``margin`` (half a window) from the cells' edges, from the top left on.
+
+    In longitude the margin is that of the first row of centres, rounded to whole spacings.
+    Everything comes from one row of bounds inside the plan; cells that leave no room give no
+    centre.
+    """
+    margin = size / 2 if margin is None else margin
+    b = cells.agg(F.max("y").alias("top"), F.min("y").alias("low"), F.min("x").alias("left"), F.max("x").alias("right"))
+    wide = F.round(F.bround(margin / F.cos(F.radians(F.col("top") - margin)) / spacing) * spacing, 2)
+    steps = lambda length: F.ceil(length / spacing - EDGE).cast("int")
+    b = b.withColumn("wide", wide).withColumn("ny", steps(F.col("top") - F.col("low") + spacing - 2 * margin)).withColumn("nx", steps(F.col("right") - F.col("left") + spacing - 2 * F.col("wide")))
+    some = b.filter("ny > 0 and nx > 0")
+    rows = some.select("*", F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("iy"))
+    at = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("ix"))
+    return at.select((F.col("iy") * F.col("nx") + F.col("ix")).alias("gr_id"), (F.col("top") - margin - F.col("iy") * spacing).alias("yc"), (F.col("left") + F.col("wide") + F.col("ix") * spacing).alias("xc"))
+
+
 def with_extent(grid: DataFrame, size: float, step: float = 0.25) -> DataFrame:
     """Half widths: rounded to ``step`` in longitude, and the share of area that this adds."""
     half = size / 2

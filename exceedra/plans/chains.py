@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from exceedra.operators import analysis, daily, decadal, periods, prepare, regions
 from exceedra.plans.queries import (
     AF_COLS, CC, CELL, COMP, CTPM, DAILY, DBV, DEC_COLS, GR, HOURS, HOURS_GR, LATTICE, RAIN, REF, SUB, THR,
-    ctp, dbv_plain, dec, grid, hourly_cells, hourly_gr, r6, region, register, sql6, sql_ctp_gr, sql_events, window_weights, windows,
+    ctp, dbv_plain, dec, grid, hourly_cells, hourly_gr, r6, region, register, sql6, sql_ctp_gr, sql_events, sql_region, window_weights, windows,
 )
 from exceedra.sources import sinks, tables
 
@@ -92,16 +92,17 @@ def _(s, d):
     return r6(daily.hourly_region(daily.hourly_days(tables.hourly(s, d), c), daily_of_hours(s, d), c).select("gr_id", "d", "nhours_gr"))
 
 
-@register(
-    "hours_times_extremity",
-    f"WITH {HOURS_GR}, x AS (SELECT gr_id, date_trunc('month', d)::DATE AS p, sum(nhours_gr) AS em_gr, 2 * sum(nhours_gr) AS tex_gr, 3 * sum(nhours_gr) AS es_avg_gr, coalesce(avg(nhours_gr) FILTER (WHERE nhours_gr > 0), 0) AS h FROM hg GROUP BY ALL), z AS (SELECT gr_id, p, em_gr * h AS htex_gr, tex_gr * h AS htotal_ex_gr, es_avg_gr * h AS hes_avg_gr FROM x) " + sql6("htex_gr, htotal_ex_gr, hes_avg_gr", "z", "gr_id, p"),
-)
+HOURS_EX = f"""{HOURS_GR}, dm AS (SELECT cell_id, gr_id, area, ts::DATE AS d, max(v) AS v FROM hourly JOIN cell USING (cell_id) GROUP BY ALL), dbv0 AS (SELECT *, (dtem > 0)::INT * area AS dtea FROM (SELECT dm.*, CASE WHEN v - thr <= 0 THEN 0.0::DOUBLE ELSE v - thr END AS dtem FROM dm JOIN ht USING (cell_id))),
+{sql_region()}, {sql_ctp_gr("monthly")}, hp AS (SELECT gr_id, date_trunc('month', d)::DATE AS p, coalesce(avg(nhours_gr) FILTER (WHERE nhours_gr > 0), 0) AS h FROM hg GROUP BY ALL)"""
+
+
+@register("hours_times_extremity", f"WITH {HOURS_EX}, z AS (SELECT gr_id, p, em_gr * h AS htex_gr, tex_gr * h AS htotal_ex_gr, es_avg_gr * h AS hes_avg_gr FROM ctp LEFT JOIN hp USING (gr_id, p)) " + sql6("htex_gr, htotal_ex_gr, hes_avg_gr", "z", "gr_id, p"))
 def _(s, d):
-    """The daily table ends before the hourly one begins, so sums of hours stand for the metrics."""
-    h = hourly_gr(s, d)
-    total = F.sum("nhours_gr")
-    own = h.groupBy("gr_id", F.trunc("d", "month").alias("p")).agg(total.alias("em_gr"), (2 * total).alias("tex_gr"), (3 * total).alias("es_avg_gr"))
-    return r6(periods.with_hours(own, periods.hourly_periods(h, "gr_id", "monthly", "_gr"), "gr_id", "_gr").select("gr_id", "p", "htex_gr", "htotal_ex_gr", "hes_avg_gr"))
+    """Period metrics of the daily maxima of the hourly field, times its hours of exposure."""
+    c = hourly_cells(s, d)
+    days = daily.mark_events(daily.region_days(daily_of_hours(s, d), c), "gr_id", "dtec_gr", "dteec_gr")
+    hours = periods.hourly_periods(hourly_gr(s, d), "gr_id", "monthly", "_gr")
+    return r6(periods.with_hours(periods.region_periods(days, "monthly"), hours, "gr_id", "_gr").select("gr_id", "p", "htex_gr", "htotal_ex_gr", "hes_avg_gr"))
 
 
 # ------------------------------------------------------------------ decadal driver, references, factors
@@ -258,3 +259,27 @@ def _(s, d):
 @register("min_duration_af", f"WITH {COMP}, rf AS (SELECT gr_id, min(ed_gr) FILTER (WHERE p BETWEEN DATE '{REF[0]}' AND DATE '{REF[1]}') AS least, exp(avg(ln(CASE WHEN em_gr > 0 THEN em_gr END)) FILTER (WHERE p BETWEEN DATE '{REF[0]}' AND DATE '{REF[1]}')) AS r FROM dec_ GROUP BY gr_id), z AS (SELECT gr_id, p, CASE WHEN least >= 1.5 THEN em_gr / r END AS em_gr_af FROM dec_ JOIN rf USING (gr_id)) " + sql6("em_gr_af", "z", "gr_id, p"))
 def _(s, d):
     return r6(decadal.amplification(decadal.compounds(dec(s, d)), "gr_id", ["ed_gr", "em_gr"], REF, CC, 15.0).select("gr_id", "p", "em_gr_af"))
+
+
+@register("compare_relative", f"WITH {CTPM}, j AS (SELECT em_gr AS e2, em_gr * (1 + (gr_id + 1) / 200.0::DOUBLE) AS e1, ed_gr AS d2, CASE WHEN gr_id = 3 THEN ed_gr * 1.5 ELSE ed_gr END AS d1 FROM ctp), z AS (SELECT 'em_gr' AS metric, max(abs(CASE WHEN e2 = 0 THEN 0 ELSE (e1 - e2) / e2 END)) AS gap FROM j UNION ALL SELECT 'ed_gr', max(abs(CASE WHEN d2 = 0 THEN 0 ELSE (d1 - d2) / d2 END)) FROM j), y AS (SELECT *, 0::BIGINT AS one_sided, gap <= 0.05 AS within FROM z) " + sql6("gap", "y", "metric, one_sided, within"))
+def _(s, d):
+    """Metrics off by up to 2.5 percent are within 5 percent, those off by half are not."""
+    x = ctp(s, d).select("gr_id", "p", "em_gr", "ed_gr")
+    off = x.select("gr_id", "p", (F.col("em_gr") * (1 + (F.col("gr_id") + 1) / 200.0)).alias("em_gr"), F.when(F.col("gr_id") == 3, F.col("ed_gr") * 1.5).otherwise(F.col("ed_gr")).alias("ed_gr"))
+    return r6(analysis.compare(off, x, ["gr_id", "p"], ["em_gr", "ed_gr"], relative=0.05))
+
+
+@register("point_lookup", f"WITH {CELL}, {DAILY}, {THR}, z AS (SELECT cell_id, thr FROM cell JOIN thr USING (cell_id) ORDER BY round(abs(y - 44.9) + abs(x - 10.3), 9), cell_id LIMIT 1) " + sql6("thr", "z", "cell_id"))
+def _(s, d):
+    return r6(analysis.at_point(grid(s, d), 44.9, 10.3).select("cell_id", "thr"))
+
+
+@register("inner_lattice", f"WITH {CELL}, b AS (SELECT max(y) AS top, min(y) AS low, min(x) AS l, max(x) AS r FROM cell), c AS (SELECT *, round(round_even(0.5 / cos(radians(top - 0.5)) / 0.25, 0) * 0.25, 2) AS wide FROM b), k AS (SELECT *, ceil((top - low + 0.25 - 1) / 0.25 - 1e-9)::INT AS ny, ceil((r - l + 0.25 - 2 * wide) / 0.25 - 1e-9)::INT AS nx FROM c), z AS (SELECT iy * nx + ix AS gr_id, top - 0.5 - iy * 0.25 AS yc, l + wide + ix * 0.25 AS xc FROM k, range(40) t(iy), range(40) u(ix) WHERE iy < ny AND ix < nx) " + sql6("yc, xc", "(SELECT gr_id::INT AS gr_id, yc, xc FROM z)", "gr_id"))
+def _(s, d):
+    return r6(regions.inner_lattice(tables.cells(s, d), 0.25, 1.0).select("gr_id", "yc", "xc"))
+
+
+@register("reduced_region", f"WITH {CELL}, m AS (SELECT *, CASE WHEN cell_id = 0 THEN mask_frac END AS mf FROM cell), b AS (SELECT greatest(floor(min(y) FILTER (WHERE mf > 0) - 0.25), min(y)) AS s, least(ceil(max(y) FILTER (WHERE mf > 0) + 0.25), max(y)) AS n, min(x) FILTER (WHERE mf > 0) AS w, max(x) FILTER (WHERE mf > 0) AS e, min(x) AS w0, max(x) AS e0 FROM m), c AS (SELECT s, n, greatest(floor(w - 0.5 / cos(radians(n)) / 2), w0) AS w, least(ceil(e + 0.5 / cos(radians(n)) / 2), e0) AS e FROM b) SELECT cell_id FROM cell, c WHERE y BETWEEN s AND n AND x BETWEEN w AND e")
+def _(s, d):
+    c = tables.cells(s, d)
+    return prepare.reduced(c, c.withColumn("mask_frac", F.when(F.col("cell_id") == 0, F.col("mask_frac"))), 0.5).select("cell_id")

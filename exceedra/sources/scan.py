@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from exceedra.functions.columns import MONTHS
+from exceedra.operators.prepare import fill_gaps
+from exceedra.sources.tables import station_csv
 
 _YEAR = re.compile(r"(?<!\d)(\d{4})(?!\d)")
 
@@ -136,3 +138,28 @@ def choose(df: DataFrame, keys: Iterable[str], scope: str | None = None, metrics
         names = tuple(metrics)
         wanted = [c for c in wanted if any(c == m or c.startswith(m + "_") for m in names)]
     return df.select(*keys, *wanted)
+
+
+def station_file(spark: SparkSession, folder: str, station: str, prefix: str, oldest: str = "18770101") -> str:
+    """The CSV of a station: that of the longest record where its name tells one, else the first by name."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(folder, f"{prefix}_{station}*.csv")
+    names = sorted(str(f.getPath().toString()) for f in where.getFileSystem(conf).globStatus(where) or [])
+    if not names:
+        raise FileNotFoundError(f"no file of station {station} below {folder}")
+    return next((n for n in names if oldest in n.rsplit("/", 1)[-1]), names[0])
+
+
+def station_series(spark: SparkSession, path: str, column: str, first: int, last: int, period: str = "annual", key: int = 0) -> DataFrame:
+    """A station's days ``(cell_id, d, v)``: read, days without a row added, gaps filled by calendar day, cut to the period."""
+    raw = station_csv(spark, path, column).withColumn("cell_id", F.lit(key)).filter("d is not null")
+    span = raw.agg(F.min("d").alias("a"), F.max("d").alias("b")).filter("a is not null")
+    days = span.select(F.lit(key).alias("cell_id"), F.explode(F.sequence("a", "b")).alias("d"))
+    filled = fill_gaps(days.join(raw, ["cell_id", "d"], "left"))
+    return extract(filled, period, first, last).select("cell_id", "d", "v")
+
+
+def chosen_variable(df: DataFrame, names: dict[str, str], variable: str) -> DataFrame:
+    """Renames columns of a raw hourly table and keeps its coordinates and one variable as ``v``."""
+    renamed = df.withColumnsRenamed({a: b for a, b in names.items() if a in df.columns})
+    return renamed.select("cell_id", "ts", F.col(variable).cast("double").alias("v"))

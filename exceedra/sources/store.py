@@ -12,7 +12,6 @@ import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,9 +141,33 @@ class LevelStore:
             self.save(build(), level, run, first, last, digits)
         return self.read(level, run, [span]).drop("span")
 
-    def exists(self, level: str) -> bool:
-        try:
-            self.spark.read.parquet(self.path(level))
-        except AnalysisException:
-            return False
-        return True
+    def static(self, name: str) -> DataFrame | None:
+        """A stored static table (mask, area, threshold) of no particular years; None where there is none."""
+        held = self.spans("STATIC", name)
+        return self.read("STATIC", name, held[-1:]).drop("span") if held else None
+
+    def mask(self, dataset: str, kind: str = "polygon", region: str = "", corners: tuple[float, float, float, float] | None = None, altitude: int | None = None) -> DataFrame:
+        """The stored mask of a named region, or of a box given by its ``corners`` (south, west, north, east)."""
+        found = self.static(mask_name(dataset, kind, region, corners, altitude))
+        if found is None:
+            raise FileNotFoundError(f"no stored mask {mask_name(dataset, kind, region, corners, altitude)}")
+        return found
+
+    def land_sea_mask(self, dataset: str, region: str, altitude: int | None = None) -> DataFrame:
+        """The mask that tells land from sea; every part of Europe uses that of the whole."""
+        return self.mask(dataset, region="EUR" if "EUR" in region else region, altitude=altitude)
+
+
+def mask_name(dataset: str, kind: str = "polygon", region: str = "", corners: tuple[float, float, float, float] | None = None, altitude: int | None = None) -> str:
+    """Name of a mask by kind: ``polygon`` by region and height, ``corners`` and ``center`` by the box's corners."""
+    if kind == "polygon":
+        return "-".join(["mask", region, dataset, *([str(altitude)] if altitude is not None else [])])
+    if kind not in ("corners", "center") or corners is None:
+        raise ValueError(f"a mask of kind {kind!r} needs its corners")
+    south, west, north, east = corners
+    return f"mask-SW_{south:.1f}_{west:.1f}-NE_{north:.1f}_{east:.1f}-{dataset}"
+
+
+def box_of(center: tuple[float, float], height: float, width: float) -> tuple[float, float, float, float]:
+    """Corners of a box around its centre (latitude, longitude)."""
+    return center[0] - height / 2, center[1] - width / 2, center[0] + height / 2, center[1] + width / 2

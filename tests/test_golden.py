@@ -224,3 +224,26 @@ def test_spans_with_gaps_and_overlaps(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     want = sorted((a, DAY + dt.timedelta(days=i)) for a, b in spans for i in range(200) if a <= DAY + dt.timedelta(days=i) <= b)
     assert sorted((r.p, r.d) for r in df.collect()) == want
+
+
+def test_relative_comparison(spark):
+    from exceedra.operators import analysis
+
+    a = spark.createDataFrame([(1, 1.04, 0.0), (2, 0.5, 7.0), (3, 1.0, None)], "k int, x double, y double")
+    b = spark.createDataFrame([(1, 1.0, 0.0), (2, 0.5, 0.0), (3, 1.0, 2.0)], "k int, x double, y double")
+    got = {r.metric: (r.gap, r.one_sided, r.within) for r in analysis.compare(a, b, ["k"], ["x", "y"], relative=0.05).collect()}
+    assert got["x"] == (pytest.approx(0.04), 0, True) and got["y"] == (0.0, 1, False)
+
+
+def test_fixed_extent_is_not_clamped(spark):
+    cells = spark.createDataFrame([(i, 50.0, -20.0 + 2 * i, 1.0 if i == 20 else None) for i in range(40)], "cell_id int, y double, x double, mask_frac double")
+    got = [r.x for r in prepare.reduced(cells, cells, 2.0, "EUR").orderBy("x").collect()]
+    assert got[0] == -14.0 and got[-1] == 42.0
+    assert [r.x for r in prepare.reduced(cells, cells, 2.0, planar=True).orderBy("x").collect()] == [20.0]
+
+
+def test_inner_lattice_without_room(spark):
+    cells = spark.createDataFrame([(1, 50.0, 10.0), (2, 49.0, 11.0)], "cell_id int, y double, x double")
+    assert regions.inner_lattice(cells, 0.5, 8.0).count() == 0
+    got = regions.inner_lattice(cells, 0.5, 1.0, 0.0).collect()
+    assert len(got) == 9 and got[0].yc == 50.0 and got[0].xc == 10.0

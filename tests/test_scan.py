@@ -73,3 +73,20 @@ def test_choose(spark):
     assert scan.choose(df, ["p"], "cell").columns == ["p", "em"]
     assert scan.choose(df, ["p"], "gr").columns == ["p", "em_gr", "em_avg_gr"]
     assert scan.choose(df, ["p"], metrics=["ef"]).columns == ["p", "ef_agr"]
+
+
+def test_station(spark, tmp_path):
+    for name in ("Tmax_Graz_19000101.csv", "Tmax_Graz_18770101_x.csv"):
+        (tmp_path / name).write_text("station,tmax,time\n" + "".join(f"7,{v},{d} 00:00:00+00:00\n" for d, v in (("1877-05-01", 10), ("1878-05-01", 20), ("1879-04-30", 5), ("1879-05-02", ""))))
+    path = scan.station_file(spark, f"file://{tmp_path}", "Graz", "Tmax")
+    assert path.endswith("18770101_x.csv")
+    got = {r.d: r.v for r in scan.station_series(spark, path, "tmax", 1879, 1879).collect()}
+    assert len(got) == 122 and got[D(1879, 5, 1)] == 15.0 and got[D(1879, 4, 30)] == 5.0 and got[D(1879, 5, 2)] is None
+    assert set(scan.station_series(spark, path, "tmax", 1879, 1879, "JJA").collect()) == set()
+    with pytest.raises(FileNotFoundError):
+        scan.station_file(spark, f"file://{tmp_path}", "Wien", "Tmax")
+
+
+def test_chosen_variable(spark):
+    raw = spark.createDataFrame([(1, dt.datetime(2000, 1, 1), 280, 5.0)], "cell_id int, valid_time timestamp, t2m int, u10 double")
+    assert scan.chosen_variable(raw, {"valid_time": "ts", "t2m": "T", "nothing": "x"}, "T").collect()[0].asDict() == {"cell_id": 1, "ts": dt.datetime(2000, 1, 1), "v": 280.0}

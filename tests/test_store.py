@@ -129,3 +129,19 @@ def test_run(spark, store):
         runs.run(store, config)
     least = runs.exceedance_days(store.load("DBV", "region", 1990, 1999, ["gr_id"], "d"), 3.0)
     assert periods.region_periods(least, "annual").count() == 20
+
+
+def test_masks_by_name(spark, store):
+    from exceedra.sources.store import box_of, mask_name
+
+    mask = spark.createDataFrame([(1, 1.0)], "cell_id int, mask_frac double")
+    store.save(mask, "STATIC", mask_name("ERA5", region="EUR", altitude=1500), 1900, 1900)
+    corners = box_of((47.0, 15.0), 2.0, 3.0)
+    assert corners == (46.0, 13.5, 48.0, 16.5)
+    store.save(mask, "STATIC", mask_name("ERA5", "corners", corners=corners), 1900, 1900)
+    assert store.land_sea_mask("ERA5", "SEUR", 1500).count() == 1 and store.mask("ERA5", "center", corners=corners).count() == 1
+    assert store.static("area-none") is None
+    with pytest.raises(FileNotFoundError):
+        store.mask("ERA5", region="AUT")
+    with pytest.raises(ValueError):
+        mask_name("ERA5", "corners")
