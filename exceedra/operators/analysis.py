@@ -57,14 +57,22 @@ def trend_ratio(df: DataFrame, key: str, x: str, y: str, base: str) -> DataFrame
     return t.crossJoin(F.broadcast(own)).select(key, F.try_divide("slope", "_own").alias("ratio"))  # one row beside every key
 
 
-def factor_spans(factors: DataFrame, key: str, metric: str, spans: list[tuple[str, str, str]], dof: float = 1.0) -> DataFrame:
-    """Geometric mean of a factor in each named span, and the mean's spread for ``dof`` independent regions."""
+def factor_spans(factors: DataFrame, key: str, metric: str, spans: list[tuple[str, str, str]], dof: float | DataFrame = 1.0) -> DataFrame:
+    """Geometric mean of a factor in each named span, and the mean's spread for ``dof`` independent regions.
+
+    ``dof`` is a number or one row with ``n_dof``.
+    """
     value = F.when(F.col(metric) > 0, F.col(metric))
     inside = lambda a, b: F.when(F.col("p").between(F.lit(a).cast("date"), F.lit(b).cast("date")), value)
-    per = [F.struct(F.exp(F.avg(F.ln(inside(a, b)))).alias("m"), (F.stddev_pop(inside(a, b)) / F.sqrt(F.lit(dof))).alias("s")).alias(n) for n, a, b in spans]
+    per = [F.struct(F.exp(F.avg(F.ln(inside(a, b)))).alias("m"), F.stddev_pop(inside(a, b)).alias("s")).alias(n) for n, a, b in spans]
     long = factors.groupBy(key).agg(*per)
     pairs = [y for n, _, _ in spans for y in (F.lit(n), F.col(n))]
-    return long.select(key, F.stack(F.lit(len(spans)), *pairs).alias("span", "r")).select(key, "span", F.col("r.m").alias("factor"), F.col("r.s").alias("spread"))
+    long = long.select(key, F.stack(F.lit(len(spans)), *pairs).alias("span", "r"))
+    if isinstance(dof, DataFrame):
+        long, n = long.crossJoin(F.broadcast(dof.select("n_dof"))), F.col("n_dof")  # one row beside every span
+    else:
+        n = F.lit(dof)
+    return long.select(key, "span", F.col("r.m").alias("factor"), (F.col("r.s") / F.sqrt(n)).alias("spread"))
 
 
 def mean_of_rows(df: DataFrame, key: str, metric: str, first: int, last: int) -> DataFrame:

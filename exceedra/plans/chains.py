@@ -225,9 +225,10 @@ def _(s, d):
     return r6(analysis.trend_ratio(t, "gr_id", "t", "ed_gr", 2))
 
 
-@register("factor_spans", f"WITH {CTPM}, q AS (SELECT gr_id, n, exp(avg(ln(x))) AS factor, stddev_pop(x) / sqrt(4.0::DOUBLE) AS spread FROM (SELECT gr_id, em_gr AS x, CASE WHEN p <= DATE '1998-05-01' THEN 'early' ELSE 'late' END AS n FROM ctp WHERE em_gr > 0 AND p BETWEEN DATE '{REF[0]}' AND DATE '{CC[1]}') GROUP BY ALL) " + sql6("factor, spread", "(SELECT gr_id, n AS span, factor, spread FROM q)", "gr_id, span"))
+@register("factor_spans", f"WITH {CTPM}, q AS (SELECT gr_id, n, exp(avg(ln(x))) AS factor, stddev_pop(x) / sqrt((SELECT greatest(sum(area) / pow(2 * pi() * 6371 / 360 * 1, 2) * 100, 1) FROM cell)) AS spread FROM (SELECT gr_id, em_gr AS x, CASE WHEN p <= DATE '1998-05-01' THEN 'early' ELSE 'late' END AS n FROM ctp WHERE em_gr > 0 AND p BETWEEN DATE '{REF[0]}' AND DATE '{CC[1]}') GROUP BY ALL) " + sql6("factor, spread", "(SELECT gr_id, n AS span, factor, spread FROM q)", "gr_id, span"))
 def _(s, d):
-    return r6(analysis.factor_spans(ctp(s, d), "gr_id", "em_gr", [("early", *REF), ("late", *CC)], 4.0))
+    dof = regions.degrees_of_freedom(tables.cells(s, d).withColumnRenamed("area", "gr_area"), 1.0)
+    return r6(analysis.factor_spans(ctp(s, d), "gr_id", "em_gr", [("early", *REF), ("late", *CC)], dof))
 
 
 @register("row_means", f"WITH {CTPM}, n AS (SELECT gr_id, em_gr, row_number() OVER (PARTITION BY gr_id ORDER BY p) - 1 AS k, count(*) OVER (PARTITION BY gr_id) AS c FROM ctp), z AS (SELECT gr_id, avg(em_gr) AS em_gr FROM n WHERE k >= c - 10 AND k < c - 4 GROUP BY gr_id) " + sql6("em_gr", "z", "gr_id"))
@@ -283,3 +284,16 @@ def _(s, d):
 def _(s, d):
     c = tables.cells(s, d)
     return prepare.reduced(c, c.withColumn("mask_frac", F.when(F.col("cell_id") == 0, F.col("mask_frac"))), 0.5).select("cell_id")
+
+
+HOURLY_DEC = f"{HOURS_EX}, hq AS (SELECT gr_id, date_trunc('month', d)::DATE AS p, avg(h_rise_gr) AS rise, avg(h_set_gr) AS sets FROM hg GROUP BY ALL), z AS (SELECT gr_id, p, ef_gr * ed_avg_gr * em_avg_gr * h AS htex_gr, ed_avg_gr * em_avg_gr * ea_avg_gr * h AS hes_avg_gr, ef_gr * ed_avg_gr * em_avg_gr * ea_avg_gr * h AS htotal_ex_gr, rise * (h / nullif(rise + sets, 0)) AS h_rise_avg_gr, sets * (h / nullif(rise + sets, 0)) AS h_set_avg_gr FROM ctp JOIN hp USING (gr_id, p) JOIN hq USING (gr_id, p)) "
+
+
+@register("decadal_hours", f"WITH {HOURLY_DEC}" + sql6("htex_gr, hes_avg_gr, htotal_ex_gr, h_rise_avg_gr, h_set_avg_gr", "z", "gr_id, p"))
+def _(s, d):
+    """Hourly compounds and the adjusted hours of a decadal table whose windows are one row long."""
+    c = hourly_cells(s, d)
+    days = daily.mark_events(daily.region_days(daily_of_hours(s, d), c), "gr_id", "dtec_gr", "dteec_gr")
+    x = periods.with_hours(periods.region_periods(days, "monthly"), periods.hourly_periods(hourly_gr(s, d), "gr_id", "monthly", "_gr"), "gr_id", "_gr")
+    basic = ["ef_gr", "ed_avg_gr", "em_avg_gr", "ea_avg_gr", "h_avg_gr", "h_rise_avg_gr", "h_set_avg_gr"]
+    return r6(decadal.decadal_driver(x.select("gr_id", "p", *basic), "gr_id", basic, (1, 0, 0)).select("gr_id", "p", "htex_gr", "hes_avg_gr", "htotal_ex_gr", "h_rise_avg_gr", "h_set_avg_gr"))

@@ -80,6 +80,23 @@ def _(s, d):
     return r6(whole_run(s, d).load("AF", "grid-annual", 1995, 2001, ["gr_id"]).select("gr_id", "p", *AF_COLS))
 
 
+SPREADS = ["em_avg_gr", "ed_avg_gr", "ef_gr"]
+
+
+def _spread(m: str) -> str:
+    up = f"coalesce(b.{m} > a.{m}, false)"
+    part = lambda on: f"CASE WHEN any_value(a.{m}) IS NOT NULL THEN sqrt(coalesce(sum(pow(b.{m} - a.{m}, 2)) FILTER (WHERE {on}), 0) / greatest(count(*) FILTER (WHERE {on}), 1)) END"
+    return f"{part(up)} AS {m}_supp, {part('NOT ' + up)} AS {m}_slow"
+
+
+SPREAD_COLS = [f"{m}_{e}" for m in SPREADS for e in ("supp", "slow")]
+
+
+@register("run_spreads", f"WITH {DEC}, z AS (SELECT a.gr_id, a.p, {', '.join(map(_spread, SPREADS))} FROM (SELECT d0.*, n FROM d0 JOIN dn USING (gr_id, p)) a JOIN dn b ON a.gr_id = b.gr_id AND b.n BETWEEN a.n - 1 AND a.n + 1 GROUP BY ALL) " + sql6(", ".join(SPREAD_COLS), "z", "gr_id, p"))
+def _(s, d):
+    return r6(whole_run(s, d).load("DEC", "grid-annual", 1995, 2001, ["gr_id"]).select("gr_id", "p", *SPREAD_COLS))
+
+
 def small(s: SparkSession, d: str, least: float) -> DataFrame:
     return periods.region_periods(region(s, d, least), "annual").select("gr_id", "p", "ed_gr", "em_gr", "tex_gr")
 
