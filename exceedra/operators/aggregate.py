@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from exceedra.functions.columns import geometric_mean
 from exceedra.operators import decadal, regions
+from exceedra.sources.store import written
 
 BASIC = ("ef", "ed_avg", "em_avg", "em_avg_md", "ea_avg")
 COMPOUND = ("ed", "em", "em_md", "dm_avg", "es_avg", "tex")
@@ -48,7 +49,7 @@ def aggregate(windows: DataFrame, areas: DataFrame, ref: tuple[str, str], cc: tu
     basic = [f"{m}_gr" for m in BASIC]
     every = [*basic, *[f"{m}_gr" for m in COMPOUND]]
     full = decadal.compounds(windows.select("gr_id", "p", *basic)).join(areas.select("gr_id", "a"), "gr_id")
-    own = decadal.reference_pair(full, "gr_id", every, ref, cc)
+    own = written(decadal.reference_pair(full, "gr_id", every, ref, cc))
     weighed = own.join(areas.select("gr_id", "a"), "gr_id")
     mean = lambda c: F.sum(F.col("a") * F.col(c)) / F.sum("a")
     over_windows = weighed.agg(*[mean(f"{m}_ref").alias(f"_ref_{m}") for m in basic])
@@ -56,13 +57,13 @@ def aggregate(windows: DataFrame, areas: DataFrame, ref: tuple[str, str], cc: tu
     over_time = series.agg(*[geometric_mean(F.when(_inside(ref), F.col(m))).alias(f"_own_{m}") for m in basic])
     scale = over_windows.crossJoin(over_time)  # one row beside one row
     scaled = series.crossJoin(F.broadcast(scale)).select("p", *[(F.col(m) * F.try_divide(F.col(f"_ref_{m}"), F.col(f"_own_{m}"))).alias(m) for m in basic])
-    means = decadal.compounds(scaled)
+    means = written(decadal.compounds(scaled))  # a row for each period, read by all that follows
     base = decadal.compounds(over_windows.select(*[F.col(f"_ref_{m}").alias(m) for m in basic]))
     recent = means.agg(*[geometric_mean(F.when(_inside(cc), F.col(m))).alias(m) for m in every])
     enough = F.col("ed_gr") >= min_duration / 10
     lasting = base.select(*[(F.when(enough, F.col(m)) if min_duration else F.col(m)).alias(f"{m}_base") for m in every])
     met = means.crossJoin(F.broadcast(lasting)).crossJoin(F.broadcast(recent.select(*[F.col(m).alias(f"{m}_recent") for m in every])))
-    factors = met.select("p", *[F.try_divide(F.col(m), F.col(f"{m}_base")).alias(f"{m}_af") for m in every], *[F.try_divide(F.col(f"{m}_recent"), F.col(f"{m}_base")).alias(f"{m}_af_cc") for m in every])
+    factors = written(met.select("p", *[F.try_divide(F.col(m), F.col(f"{m}_base")).alias(f"{m}_af") for m in every], *[F.try_divide(F.col(f"{m}_recent"), F.col(f"{m}_base")).alias(f"{m}_af_cc") for m in every]))
     own_af = full.join(own.select("gr_id", *[f"{m}_ref" for m in every]), "gr_id").select("gr_id", "a", "p", *[F.when(F.col(f"{m}_ref") > 0, F.try_divide(F.col(m), F.col(f"{m}_ref"))).alias(f"{m}_af") for m in every])
     named = means.join(spread_about(full, means, every), "p")
     factors = factors.join(spread_about(own_af, factors, [f"{m}_af" for m in every]), "p")

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from exceedra.operators import aggregate, decadal, regions
+from exceedra.plans import run as runs
 from exceedra.plans.queries import SUB, extent, r6, register, sql6, sql_ctp_gr, sql_events, window_weights, windows
 from exceedra.plans.registry import described
+from exceedra.plans.spatial import LAND
+from exceedra.plans.stored import CONFIG as ONE_RUN
 from exceedra.plans.stored import fresh_store
+from exceedra.sources import tables
 
 REF, CC, SHAPE, LEAST = ("1996-01-01", "1997-12-31"), ("1999-01-01", "2000-12-31"), (3, 1, 1), 10.0
 BASIC = [f"{m}_gr" for m in aggregate.BASIC]
@@ -125,3 +131,22 @@ def _(s, d):
 def _(s, d):
     return r6(regions.degrees_of_freedom(window_weights(s, d).withColumnRenamed("a", "gr_area"), 2.0))
 
+
+# ------------------------------------------------------------------ from a configuration
+
+CONFIG = dataclasses.replace(ONE_RUN, min_exceedance_area=0.0001, agr_size=2.0, land_frac_min=0.4)
+LANDED = CHAIN.replace("FROM lnk WHERE gr_id IN", "FROM lnk WHERE gr_id IN (SELECT gr_id FROM wl WHERE land_share >= 0.4 - 1e-9) AND gr_id IN").replace("wa AS (", f"{LAND}, wa AS (", 1)
+RUN_COLS = ["ef_agr_af", "tex_agr_af", "tex_agr_af_cc", "em_agr_af", "n_dof_agr"]
+
+
+@register(
+    "run_aggregate",
+    f"WITH {LANDED}, dof AS (SELECT greatest(sum(a) / pow(2 * pi() * 6371 / 360 * 2, 2) * 100, 1) AS n FROM wa), z AS (SELECT p, n AS n_dof_agr, {', '.join(f'CASE WHEN rc.ed_gr >= 1 THEN xs.{m}_gr / rc.{m}_gr END AS {m}_agr_af' for m in ('ef', 'tex', 'em'))}, CASE WHEN rc.ed_gr >= 1 THEN xc.tex_gr / rc.tex_gr END AS tex_agr_af_cc FROM xs, rc, xc, dof) " + sql6(", ".join(RUN_COLS), "z", "p"),
+)
+def _(s, d):
+    """A whole run of the aggregate over a store; windows with little land leave first."""
+    store = fresh_store(s)
+    land = tables.altitude(s, d).withColumn("land", F.when((F.col("lsm") > 0.3) & (F.col("altitude") < 1500), 1.0).otherwise(0.0))
+    centres = regions.lattice(tables.cells(s, d), 1.0).withColumn("gr_id", F.col("gr_id").cast("int"))
+    runs.run_aggregate(store, CONFIG, tables.daily(s, d), tables.cells(s, d), centres, land, tables.STEP)
+    return r6(store.load("AF", "grid-agr-annual", 1995, 2001, []).select("p", *RUN_COLS))

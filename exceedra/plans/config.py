@@ -44,6 +44,11 @@ class RunConfig:
     recalc_daily: bool = False
     decadal_only: bool = False
     spreads: bool = False
+    agr_spacing: float = 0.5
+    agr_size: float = 2.0
+    agr_y_range: tuple[float, float] | None = None
+    agr_x_range: tuple[float, float] | None = None
+    land_frac_min: float = 0.0
     unknown: tuple[str, ...] = ()
 
     @classmethod
@@ -69,6 +74,10 @@ class RunConfig:
         for p in (self.period, self.perc_period):
             if p not in PERIODS:
                 raise ValueError(f"unknown period {p!r}")
+        if not 0 <= self.land_frac_min <= 1:
+            raise ValueError("a share of land is between 0 and 1")
+        if self.agr_spacing <= 0 or self.agr_size <= 0:
+            raise ValueError("spacing and size of a lattice are positive")
         rows, before, after = self.decadal_window
         if rows != before + after + 1:
             raise ValueError("a decadal window has one row beside those before and after")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from exceedra.functions.columns import primary
-from exceedra.operators import daily, decadal, periods, prepare
+from exceedra.operators import aggregate, daily, decadal, periods, prepare, regions, spatial
 from exceedra.plans.config import RunConfig
 from exceedra.plans.registry import described
 from exceedra.sources.store import LevelStore
@@ -94,3 +94,36 @@ def run(store: LevelStore, config: RunConfig, field: DataFrame | None = None, ce
     decades(store, config)
     factors(store, config)
 
+
+def run_aggregate(store: LevelStore, config: RunConfig, field: DataFrame, cells: DataFrame, grid: DataFrame | None = None, land: DataFrame | None = None, step: float = 0.5) -> None:
+    """The aggregate of a lattice of overlapping regions: periods and decades of every window, then its means and factors.
+
+    ``grid (gr_id, yc, xc)`` is by default the lattice inside the cells; ``land (cell_id, y, x,
+    land)`` with 1 for land lets windows below ``land_frac_min`` leave before anything is
+    computed for them.  Each level is read from the one stored before; the aggregate is stored
+    beside the windows' levels under the run's name with ``-agr``.
+    """
+    config.check()
+    windows, name = f"{config.name}-windows-{config.period}", f"{config.name}-agr-{config.period}"
+    own = field.filter(F.year("d").between(config.start, config.end))
+    placed = cells.join(thresholds(store, config, field, cells), "cell_id", "left")
+    centres = regions.inner_lattice(cells, config.agr_spacing, config.agr_size) if grid is None else grid
+    grid = regions.with_extent(aggregate.within(centres, config.agr_y_range, config.agr_x_range), config.agr_size)
+    if land is not None and config.land_frac_min > 0:
+        enough = spatial.land_windows(spatial.window_sums(land, grid, step, ["land"]), config.land_frac_min)
+        grid = grid.join(enough.select("gr_id"), "gr_id", "left_semi")
+    links = regions.bridge(cells, grid)
+    days = regions.window_days(daily.cell_exceedance(own, placed.filter("thr is not null"), config.low_extreme), regions.valid_links(links, placed), config.min_exceedance_area, own)
+    ctp = regions.window_periods(days, config.period)
+    store.save(described(ctp, "CTP", config.unit, _history(config)), "CTP", windows, config.start, config.end)
+    areas = store.load_or_build("STATIC", f"{windows}-areas", config.start, config.end, lambda: regions.window_weights(links, placed), True)
+    basic = [f"{m}_gr" for m in aggregate.BASIC]
+    dec = decadal.decadal_means(store.load("CTP", windows, config.start, config.end, ["gr_id"]), "gr_id", basic, config.decadal_window)
+    store.save(described(dec, "DEC", config.unit, _history(config)), "DEC", windows, config.start, config.end)
+    spans = [decadal.centre_span(*span, config.start, config.end, config.decadal_window) for span in (config.ref_period, config.cc_period)]
+    found = aggregate.aggregate(store.load("DEC", windows, config.start, config.end, ["gr_id"]), areas, *spans, config.min_duration)
+    dof = regions.degrees_of_freedom(areas.withColumnRenamed("a", "gr_area"), config.agr_size)
+    beside = lambda df: df.crossJoin(F.broadcast(dof.withColumnRenamed("n_dof", "n_dof_agr")))  # noqa: E731  (one row)
+    store.save(described(beside(found.means.crossJoin(F.broadcast(found.references))), "DEC", config.unit, _history(config)), "DEC", name, config.start, config.end)
+    store.save(described(beside(found.factors), "AF", "", _history(config)), "AF", name, config.start, config.end)
+    store.save(found.percentiles, "STATIC", f"{name}-percentiles", config.start, config.end)
