@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from exceedra.llm.common import materialize, read_table, shuffle_partitions
+from exceedra.llm.common import free_prefix, materialize, read_table, shuffle_partitions
 
 WEIGHTS = (1, 2, 3)
 MAX_TIMES = 3
@@ -122,17 +122,18 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     """Pipeline form: the rows of ``docs``, each as often as the mix takes it, in training order.
 
     Places are found on narrow rows; texts move once to meet them and once in the range
-    exchange.  Rows that agree in id, source and size share one place.
+    exchange.  Rows that agree in id, source and size share one place, the
+    first; no column name of ``docs`` clashes.
     """
     rows = materialize(placed_documents(docs.select("doc_id", "source", "text")))
-    place = rows.select("doc_id", "source", "key", "size", "before", "copies", "source_size", "weight", "target")
-    clash = {c: f"_m_{c}" for c in place.columns}
-    place = place.filter("copies > 0").dropDuplicates(["doc_id", "source", "size"]).withColumnsRenamed(clash)
-    same = F.col("doc_id").eqNullSafe(F.col("_m_doc_id")) & F.col("source").eqNullSafe(F.col("_m_source")) & (word_count(F.col("text")) == F.col("_m_size"))
-    joined = docs.join(place, same).withColumn("_m_k", F.explode(F.sequence(F.lit(0), F.col("_m_copies") - 1)))
-    x = F.col("_m_before") + F.col("_m_k") * F.col("_m_source_size") + F.col("_m_size") / F.lit(2.0)
-    timed = joined.withColumn("_m_t", training_time(x, "_m_weight", "_m_target"))
-    return timed.select(*[f"`{c}`" for c in docs.columns], "_m_t").repartitionByRange(shuffle_partitions(docs.sparkSession), "_m_t").sortWithinPartitions("_m_t").drop("_m_t")
+    x = free_prefix(docs)
+    own = rows.filter("copies > 0").groupBy("doc_id", "source", "size", "source_size", "weight", "target").agg(F.min(F.struct("before", "copies")).alias("b"))
+    place = own.select(*[F.col(c).alias(x + c) for c in ("doc_id", "source", "size", "source_size", "weight", "target")], F.col("b.before").alias(f"{x}before"), F.col("b.copies").alias(f"{x}copies"))
+    same = F.col("doc_id").eqNullSafe(F.col(f"{x}doc_id")) & F.col("source").eqNullSafe(F.col(f"{x}source")) & (word_count(F.col("text")) == F.col(f"{x}size"))
+    joined = docs.join(place, same).withColumn(f"{x}k", F.explode(F.sequence(F.lit(0), F.col(f"{x}copies") - 1)))
+    middle = F.col(f"{x}before") + F.col(f"{x}k") * F.col(f"{x}source_size") + F.col(f"{x}size") / F.lit(2.0)
+    timed = joined.withColumn(f"{x}t", training_time(middle, f"{x}weight", f"{x}target"))
+    return timed.select(*[f"`{c}`" for c in docs.columns], f"{x}t").repartitionByRange(shuffle_partitions(docs.sparkSession), f"{x}t").sortWithinPartitions(f"{x}t").drop(f"{x}t")
 
 
 def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exceedra.llm.common import arrow_map, chunks, connected_components, materialize, mix64, no_clash, read_table, shingle_sets, shuffle_partitions, span_hashes, text_buffer, tidy, word_spans
+from exceedra.llm.common import arrow_map, chunks, connected_components, free_prefix, materialize, mix64, no_clash, read_table, shingle_sets, shuffle_partitions, span_hashes, text_buffer, tidy, word_spans
 
 WORDS = 5
 LEAD = 4
@@ -456,13 +456,15 @@ def keep_one_each(docs: DataFrame) -> DataFrame:
     groups = materialize(named.groupBy("c", "k").count())
     first = groups.groupBy("c").agg(F.min("k").alias("f"))
     judged = materialize(groups.join(first, "c").select("k", (F.col("k") == F.col("f")).alias("stays"), "count"))
-    key = [F.col("k.doc_id").alias("_one_id"), F.col("k.th").alias("_one_th")]
+    x = free_prefix(docs)
+    key = [F.col("k.doc_id").alias(f"{x}id"), F.col("k.th").alias(f"{x}th")]
     gone, again = judged.filter("not stays").select(*key), judged.filter("stays and count > 1").select(*key)
-    same = docs["doc_id"].eqNullSafe(F.col("_one_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_one_th"))
+    of_text = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    same = docs["doc_id"].eqNullSafe(F.col(f"{x}id")) & (of_text == F.col(f"{x}th"))
     kept = docs.join(gone, same, "left_anti")
     if again.isEmpty():
         return kept
-    repeated = docs.join(again, same, "left_semi").withColumn("_one_th", F.xxhash64(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "_one_th"]).drop("_one_th")
+    repeated = docs.join(again, same, "left_semi").withColumn(f"{x}th", of_text).dropDuplicates(["doc_id", f"{x}th"]).drop(f"{x}th")
     return kept.join(again, same, "left_anti").unionByName(repeated)
 
 

@@ -107,3 +107,14 @@ def test_lines(odd):
 def test_no_toxic_label(odd, labels):
     got = toxicity.score(odd, labels.filter("toxic = 0")).select(F.max("score")).first()[0]
     assert got == 0.0
+
+
+def test_stages_with_the_names_they_use(odd):
+    """Columns named like the temporary ones of the stages pass through untouched, and reruns agree on repeated rows."""
+    named = odd.withColumns({c: F.lit("own") for c in ("_m_t", "_m_k", "_m_key", "_x_t", "_x_k", "_x_size", "_one_id", "_one_th", "_x_id", "_x_th")})
+    mixed = mixing.mix_documents(named)
+    assert mixed.columns == named.columns and {r["_m_t"] for r in mixed.collect()} == {"own"}
+    first, again = (Counter(map(str, mixing.mix_documents(odd).collect())) for _ in range(2))
+    assert first == again
+    kept = ngramjoin.keep_one_each(named)
+    assert kept.columns == named.columns and {r["_one_id"] for r in kept.collect()} == {"own"}
