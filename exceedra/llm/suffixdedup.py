@@ -24,7 +24,9 @@ groups.  Nothing is renamed and no smaller problem is solved.
 
 Defined cases: null and empty texts have no bytes; texts under 50 bytes lose nothing;
 repeated rows and rows that share an id do not count against each other; a row with a null
-id neither loses nor lends; an empty table gives no rows; other columns are not looked at.
+id neither loses nor lends; of documents that share bytes only the order of their ids
+decides, so nothing ties; a text of any length is read whole, above a batch's bytes in one of
+its own; an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations

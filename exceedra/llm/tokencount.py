@@ -15,7 +15,8 @@ Two deterministic transducers run one after the other.
 
 Defined cases: null and empty texts have no tokens; the special string of the vocabulary is
 one token where it occurs and separates its neighbours; repeated rows and ids each return a
-row; other columns of the input are not looked at.
+row, and rows have no order that could tie; a text of any length is counted whole, above a
+batch's bytes in one of its own; other columns of the input are not looked at.
 """
 
 from __future__ import annotations

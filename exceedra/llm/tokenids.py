@@ -25,8 +25,9 @@ across it, so the library encodes each distinct run of other characters once and
 a text are those of its runs in order.
 
 Defined cases: null and empty texts are a lone end id; repeated rows and ids each have
-their own entry; a null id sorts first and is stored as the least int64; an empty table
-gives no file; other columns are not looked at.
+their own entry; a null id sorts first and is stored as the least int64; rows that tie in id
+are ordered by their text; a text of any length is encoded whole, above ``CHUNK_BYTES`` in a
+batch of its own; an empty table gives no file; other columns are not looked at.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ fitted, chosen by a hash of the id.
 Defined cases: null, empty and wordless texts score as a text without hits; documents
 without a label are scored like others; a document labelled twice takes the larger label;
 null labels are ignored; repeated rows score alike; without any toxic label the lexicon is
-empty and all scores are 0; other columns are not looked at.
+empty and all scores are 0; a text of any length is matched whole, above ``CHUNK_BYTES`` in
+a batch of its own; other columns are not looked at.
 """
 
 from __future__ import annotations
