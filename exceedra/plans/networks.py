@@ -45,12 +45,12 @@ NV_COLS = [*[f"scale_{m}" for m in stations.PARTS], "scale_ea_dm", *[f"nv_{m}_{e
 
 
 def _about_mean(columns: list[str], key: str) -> str:
-    return ", ".join(f"{c} / avg({c}) OVER (PARTITION BY {key}) AS {c}" for c in columns)
+    return ", ".join(f"{c} / nullif(avg({c}) OVER (PARTITION BY {key}), 0) AS {c}" for c in columns)
 
 
 NATURAL = f"""{DBV}, {sql_region(20.0)}, {sql_ctp_gr("annual")},
 sy AS (SELECT cell_id, gr_id, date_trunc('year', d)::DATE AS p, sum(dteec)::DOUBLE AS ef, sum(dtec)::DOUBLE / nullif(sum(dteec), 0) AS ed_avg, sum(dtem) / nullif(sum(dtec), 0) AS em_avg FROM dbv GROUP BY ALL),
-sf0 AS (SELECT gr_id, cell_id AS station, p, {_about_mean(["ef", "ed_avg"], "cell_id")}, CASE WHEN cell_id % 4 <> 1 THEN em_avg / avg(em_avg) OVER (PARTITION BY cell_id) END AS em_avg FROM sy WHERE cell_id % 4 <> 2 OR year(p) >= 1997),
+sf0 AS (SELECT gr_id, cell_id AS station, p, {_about_mean(["ef", "ed_avg"], "cell_id")}, CASE WHEN cell_id % 4 <> 1 THEN em_avg / nullif(avg(em_avg) OVER (PARTITION BY cell_id), 0) END AS em_avg FROM sy WHERE cell_id % 4 <> 2 OR year(p) >= 1997),
 sf AS (SELECT *, ed_avg * em_avg AS dm_avg FROM sf0),
 rf0 AS (SELECT gr_id, p, {_about_mean(["ef_gr", "ed_avg_gr", "em_avg_gr", "ea_avg_gr"], "gr_id")} FROM ctp),
 rf AS (SELECT gr_id, p, ef_gr AS ef, ed_avg_gr AS ed_avg, em_avg_gr AS em_avg, ea_avg_gr AS ea_avg, ed_avg_gr * em_avg_gr AS dm_avg FROM rf0),
