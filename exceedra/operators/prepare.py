@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from exceedra.functions.columns import specific_humidity
+from exceedra.functions.columns import area_cartesian, area_latlon, specific_humidity
 from exceedra.functions.projection import Conic, TransverseMercator
 from exceedra.operators.spatial import region_cells, where_present
 
@@ -29,6 +29,17 @@ def signed_longitude(lon: Column) -> Column:
     return F.when(lon > 180, lon - 360).otherwise(lon)
 
 
+def with_area(cells: DataFrame, dy: float, dx: float, planar: bool = False) -> DataFrame:
+    """Area of each cell times its share of the mask, on the globe by latitude or, where coordinates are metres, in the plane."""
+    whole = F.lit(area_cartesian(dx, dy)) if planar else area_latlon(F.col("y"), dy, dx)
+    return cells.withColumn("area", whole * F.col("mask_frac"))
+
+
+def with_land(cells: DataFrame, land: DataFrame) -> DataFrame:
+    """Longitudes from -180 to 180 and each cell's share of land ``land (cell_id, lsm)``; missing where it is not known."""
+    return cells.withColumn("x", signed_longitude(F.col("x"))).join(land.select("cell_id", "lsm"), "cell_id", "left")
+
+
 def local_day(ts: Column, lon: Column, extra: int = 0) -> Column:
     return F.to_date(F.timestamp_seconds(F.unix_timestamp(ts) + 3600 * (utc_offset(lon) + extra)))
 

@@ -101,6 +101,19 @@ def blocks(cells: DataFrame, size: float, top: float, left: float) -> DataFrame:
     return by.groupBy("yb", "xb").agg(F.avg(F.when(F.col("mask_frac") > 0, 1.0).otherwise(0.0)).alias("mask_frac"), F.sum(F.when(F.col("mask_frac") > 0, F.col("area"))).alias("gr_area"))
 
 
+def coarse_blocks(cells: DataFrame, factor: int) -> DataFrame:
+    """Blocks of ``factor`` by ``factor`` lattice points ``(iy, ix)``: share of valid cells and their area, by block.
+
+    Rows and columns that fill no whole block are trimmed at the far ends; a block without a
+    valid cell has no area.  The lattice's ends come from one row inside the plan.
+    """
+    ends = cells.agg((F.floor((F.max("iy") + 1) / factor) * factor).alias("_ny"), (F.floor((F.max("ix") + 1) / factor) * factor).alias("_nx"))
+    kept = cells.crossJoin(F.broadcast(ends)).filter((F.col("iy") < F.col("_ny")) & (F.col("ix") < F.col("_nx")))  # one row beside every cell
+    valid = F.col("mask_frac") > 0
+    by = kept.groupBy(F.floor(F.col("iy") / factor).alias("yb"), F.floor(F.col("ix") / factor).alias("xb"))
+    return by.agg((F.count_if(valid) / (factor * factor)).alias("mask_frac"), F.sum(F.when(valid, F.col("area"))).alias("gr_area"))
+
+
 def weighted_mean(df: DataFrame, *metrics: str) -> DataFrame:
     """Area-weighted means per period; a missing value adds nothing and keeps its weight."""
     return df.groupBy("p").agg(*[(F.sum(F.col("a") * F.col(m)) / F.sum("a")).alias(m) for m in metrics])

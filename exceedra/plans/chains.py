@@ -297,3 +297,25 @@ def _(s, d):
     x = periods.with_hours(periods.region_periods(days, "monthly"), periods.hourly_periods(hourly_gr(s, d), "gr_id", "monthly", "_gr"), "gr_id", "_gr")
     basic = ["ef_gr", "ed_avg_gr", "em_avg_gr", "ea_avg_gr", "h_avg_gr", "h_rise_avg_gr", "h_set_avg_gr"]
     return r6(decadal.decadal_driver(x.select("gr_id", "p", *basic), "gr_id", basic, (1, 0, 0)).select("gr_id", "p", "htex_gr", "hes_avg_gr", "htotal_ex_gr", "h_rise_avg_gr", "h_set_avg_gr"))
+
+
+@register("coarse_blocks", f"WITH {CELL}, k AS (SELECT *, cell_id // 5 AS iy, cell_id % 5 AS ix FROM cell), z AS (SELECT (iy // 2)::BIGINT AS yb, (ix // 2)::BIGINT AS xb, count(*) FILTER (WHERE mask_frac > 0) / 4.0::DOUBLE AS mask_frac, sum(area) AS gr_area FROM k WHERE iy < 4 AND ix < 4 GROUP BY ALL) " + sql6("mask_frac, gr_area", "z", "yb, xb"))
+def _(s, d):
+    """Blocks of two by two of a lattice of five by five, whose last row and column are trimmed."""
+    c = tables.cells(s, d).withColumn("iy", F.floor(F.col("cell_id") / 5)).withColumn("ix", (F.col("cell_id") % 5).cast("long"))
+    return r6(regions.coarse_blocks(c, 2))
+
+
+@register("areas_by_plane", f"WITH {CELL}, z AS (SELECT cell_id, area AS globe, 5.0::DOUBLE * 2 / 100 * mask_frac AS plane FROM cell) " + sql6("globe, plane", "z", "cell_id"))
+def _(s, d):
+    c = tables.cells(s, d).drop("area")
+    globe = prepare.with_area(c, tables.STEP, tables.STEP).select("cell_id", F.col("area").alias("globe"))
+    return r6(globe.join(prepare.with_area(c, 5000.0, 2000.0, True).select("cell_id", F.col("area").alias("plane")), "cell_id"))
+
+
+@register("wrapped_land", f"WITH {LAND} SELECT cell_id, round((CASE WHEN x + 171 > 180 THEN x + 171 - 360 ELSE x + 171 END) + 1.23e-9::DOUBLE, 6) AS x, CASE WHEN cell_id % 3 > 0 THEN round(lsm + 1.23e-9::DOUBLE, 6) END AS lsm FROM land")
+def _(s, d):
+    """Longitudes beyond 180 are wrapped; a third of the cells has no share of land."""
+    c = tables.cells(s, d).withColumn("x", F.col("x") + 171)
+    land = tables.altitude(s, d).filter("cell_id % 3 > 0").select("cell_id", "lsm")
+    return r6(prepare.with_land(c, land).select("cell_id", "x", "lsm"))
