@@ -247,3 +247,15 @@ def test_inner_lattice_without_room(spark):
     assert regions.inner_lattice(cells, 0.5, 8.0).count() == 0
     got = regions.inner_lattice(cells, 0.5, 1.0, 0.0).collect()
     assert len(got) == 9 and got[0].yc == 50.0 and got[0].xc == 10.0
+
+
+def test_coarse_blocks_trim_and_empty_blocks(spark):
+    rows = [(iy, ix, 1.0 if ix < 2 else None, 2.0) for iy in range(3) for ix in range(5)]
+    got = {(r.yb, r.xb): (r.mask_frac, r.gr_area) for r in regions.coarse_blocks(spark.createDataFrame(rows, "iy int, ix int, mask_frac double, area double"), 2).collect()}
+    assert got == {(0, 0): (1.0, 8.0), (0, 1): (0.0, None)}
+
+
+def test_land_of_unknown_cells(spark):
+    cells = spark.createDataFrame([(1, 190.0), (2, 180.0), (3, -10.0)], "cell_id int, x double")
+    land = spark.createDataFrame([(1, 0.5), (9, 1.0)], "cell_id int, lsm double")
+    assert {(r.cell_id, r.x, r.lsm) for r in prepare.with_land(cells, land).collect()} == {(1, -170.0, 0.5), (2, 180.0, None), (3, -10.0, None)}
