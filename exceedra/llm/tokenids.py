@@ -37,14 +37,14 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exceedra.llm.common import chunks, local_path, materialize, no_clash, read_table, shuffle_partitions, text_buffer
+from exceedra.llm.common import _IS_BLANK, chunks, local_path, materialize, no_clash, read_table, shuffle_partitions, text_buffer, word_spans
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
@@ -119,8 +119,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        special = json.loads(spec)["added_tokens"][0]
+        parsed = json.loads(spec)
+        special = parsed["added_tokens"][0]
         self.mark = special["content"], special["id"]
+        suffix = parsed["model"]["end_of_word_suffix"]
+        vocabulary = parsed["model"]["vocab"]
+        self.last = np.zeros(max(*vocabulary.values(), special["id"]) + 1, bool)
+        self.last[[k for piece, k in vocabulary.items() if piece.endswith(suffix)]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -141,33 +146,61 @@ class Encoder:
             return word.lower(), run[len(word) :]
         return run.lower(), b""
 
+    def learn_letters(self, words: list[bytes]) -> list[bytes]:
+        """Adds words of letters alone by the library and returns the others.
+
+        Such a word is one piece, and the last id of a piece ends a word in the vocabulary, so
+        words go parted by spaces.  Where there are not as many ends as words nothing is added.
+        """
+        texts = b"\n".join(words).decode("utf-8").split("\n") if words else []
+        plain = [t.isalpha() for t in texts]
+        rest = [w for w, p in zip(words, plain, strict=True) if not p]
+        words, texts = list(compress(words, plain)), list(compress(texts, plain))
+        lines = [" ".join(texts[lo : lo + 200]) for lo in range(0, len(texts), 200)]
+        ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+        for lo, found in zip(range(0, len(words), 200), ids, strict=True):
+            part = words[lo : lo + 200]
+            ends = np.flatnonzero(self.last[found]) + 1
+            if len(ends) == len(part) and ends[-1] == len(found):
+                self.add_all(part, found, ends)
+            else:
+                rest += part
+        return rest
+
     def learn_plain(self, runs: list[bytes]) -> None:
         """Adds runs by the library: many at once, parted by a special string and cut at its id."""
         mark, mark_id = self.mark
-        plain = [r for r in runs if b"<" not in r]
+        plain = self.learn_letters([r for r in runs if b"<" not in r])
         for lo in range(0, len(plain), 4000):
             part = plain[lo : lo + 4000]
             ids = np.array(self.tokenizer.encode(mark.join([r.decode("utf-8") for r in part]), add_special_tokens=False).ids, np.uint32)
             marks = np.flatnonzero(ids == mark_id)
-            ends = np.append(marks - np.arange(len(marks)), len(ids) - len(marks)) + self.starts[-1]
-            self.number.update(zip(part, range(len(self.number), len(self.number) + len(part)), strict=True))
-            self.flat.frombytes(ids[ids != mark_id].tobytes())
-            self.starts.frombytes(ends.astype(np.int64).tobytes())
+            self.add_all(part, ids[ids != mark_id], np.append(marks - np.arange(len(marks)), len(ids) - len(marks)))
         for r in runs:
             if b"<" in r:
                 self.add(r, self.tokenizer.encode(r.decode("utf-8"), add_special_tokens=False).ids)
 
     def learn(self, runs: list[bytes]) -> None:
         """Adds runs that are not known yet."""
+        known = self.number
         parts = [self.simple(r) for r in runs]
-        self.learn_plain(list({x for p in parts for x in p if x} - self.number.keys()))
+        self.learn_plain(list({x for p in parts for x in p if x and x not in known}))
+        flat, starts = self.flat, self.starts
         for run, (word, stops) in zip(runs, parts, strict=True):
-            if run not in self.number:
-                self.add(run, self.ids_of(word) + self.ids_of(stops) if stops else self.ids_of(word))
-
-    def ids_of(self, run: bytes) -> array:
-        k = self.number[run]
-        return self.flat[self.starts[k] : self.starts[k + 1]]
+            if run not in known:
+                k = known[word]
+                known[run] = len(known)
+                flat.extend(flat[starts[k] : starts[k + 1]])
+                if stops:
+                    k = known[stops]
+                    flat.extend(flat[starts[k] : starts[k + 1]])
+                starts.append(len(flat))
+
+    def add_all(self, runs: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
+        """Adds runs whose ids lie end to end."""
+        self.number.update(zip(runs, range(len(self.number), len(self.number) + len(runs)), strict=True))
+        self.starts.frombytes((ends + self.starts[-1]).astype(np.int64).tobytes())
+        self.flat.frombytes(ids.tobytes())
 
     def add(self, run: bytes, ids) -> None:
         self.number[run] = len(self.number)
@@ -176,19 +209,30 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, each with the end id, and how many each has."""
+        return self.encode_buffer(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+
+    def encode_buffer(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of texts that lie end to end; each distinct run of a call is looked up once."""
         if len(self.number) > MAX_RUNS:
             self.clear()
-        runs = [t.split() for t in texts]
+        s, e, first = word_spans(buf, offsets)
+        ends = np.concatenate([[0], np.cumsum(e - s)]).astype(np.int32)
+        data = buf[~_IS_BLANK[buf]]
+        coded = pa.Array.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
+        runs = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         known = self.number
-        new = set(chain.from_iterable(runs)) - known.keys()
+        numbers = list(map(known.get, runs))
+        new = [r for r, k in zip(runs, numbers, strict=True) if k is None]
         if new:
-            self.learn(list(new))
+            self.learn(new)
+            numbers = [known[r] if k is None else k for r, k in zip(runs, numbers, strict=True)]
         starts = np.frombuffer(self.starts, np.int64)
         flat = np.frombuffer(self.flat, np.uint32) if len(self.flat) else np.zeros(0, np.uint32)
-        which = np.fromiter(map(known.__getitem__, chain.from_iterable(runs)), np.int64)
+        which = np.array(numbers, np.int64)[coded.indices.to_numpy()]
+        n_texts = len(offsets) - 1
         size = starts[which + 1] - starts[which]
-        owner = np.repeat(np.arange(len(texts)), [len(doc) for doc in runs])
-        per_doc = np.bincount(owner, weights=size, minlength=len(texts)).astype(np.int64) + 1
+        owner = np.repeat(np.arange(n_texts), np.diff(first))
+        per_doc = np.bincount(owner, weights=size, minlength=n_texts).astype(np.int64) + 1
         ends = np.cumsum(per_doc)
         out = np.full(int(ends[-1]) if len(ends) else 0, END_ID, np.uint32)
         total = int(size.sum())
@@ -251,8 +295,7 @@ def encode_files(docs: DataFrame, path: str, file_ids: int = FILE_IDS) -> DataFr
             for lo, hi in chunks(batch, 1):
                 rows = batch.slice(lo, hi - lo)
                 buf, offsets = text_buffer(rows.column(1))
-                data = buf.tobytes()
-                ids, sizes = encoder.encode([data[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
+                ids, sizes = encoder.encode_buffer(buf, offsets)
                 held.append((rows.column(0).fill_null(NULL_ID).to_numpy(), sizes, ids))
                 n += len(ids)
                 if n >= file_ids:

@@ -152,6 +152,37 @@ def test_encoder_equals_library():
     assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
+def test_encoder_looks_up_each_run_once_a_call():
+    from tokenizers import Tokenizer
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *args):
+            self.asked += 1
+            return super().get(*args)
+
+        def __getitem__(self, key):
+            self.asked += 1
+            return super().__getitem__(key)
+
+        def __iter__(self):
+            raise AssertionError("walks over all known runs")
+
+    path = local_path(tokenids.VOCABULARY)
+    # Words that lower case, composition or the splitter turn into several pieces or none.
+    odd = ["\u0130stanbul", "stra\u00dfe", "\u1112\u1161\u11ab", "e\u0301a", "\u00aa", "\u0e01\u0e33", "\u02bc", "\u3007", "\u00a0x", "we'll", "<a>", "x<", "..", "No.", "a1b", "\U0001d400b"]
+    texts = ["Some words. " * 500 + " ".join(odd), "", "words " * 500, *odd, " ".join(f"{w}zq" for w in odd)]
+    with open(path, encoding="utf-8") as f:
+        encoder = tokenids.Encoder(f.read())
+    encoder.encode(["Some words. words".encode()])
+    encoder.number = Counted(encoder.number)
+    ids, sizes = encoder.encode([t.encode() for t in texts])
+    assert encoder.number.asked < 300
+    want = [[*e.ids, tokenids.END_ID] for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 def test_held_out_toxicity(spark, data):
     got = {r.doc_id: r for r in QUERIES["op6_toxic_lexicon"](spark, data).collect()}
     truth = {r["doc_id"]: r["toxic"] for r in pq.read_table(f"{data}/labels.parquet").to_pylist()}
