@@ -15,12 +15,11 @@ anchors.  A run is an anchor with its windows, 50 to 84 bytes in all.
    that agree come together in it; those with a smaller document among them go.
 3. Each document cuts its own bytes.
 
-The suffix array is built by Lyndon groups.  Suffixes start in groups by their first byte.
-Groups are processed in descending order: each member points to the nearest earlier suffix
-that is in a lower group, and suffixes that are pointed to move, by how often, to new groups
-just above the one they leave.  Then suffixes are emitted in ascending order: behind each
-one, the suffix to its left and the chain of its pointers take the next places of their
-groups.  Nothing is renamed and no smaller problem is solved.
+The suffix array is built by Lyndon groups, of many variants side by side.  The longest Lyndon
+word from each place reaches to the next smaller suffix: places point there, from the last to
+the first, by way of the pointers behind them.  Suffixes are grouped by these words, groups
+are in the words' order, and in a group the suffixes behind the words decide, along the
+pointers, twice as many words in each round, up to a window's bytes.
 
 Defined cases: null and empty texts have no bytes; texts under 50 bytes lose nothing;
 repeated rows and rows that share an id do not count against each other; a row with a null
@@ -173,93 +172,113 @@ def judge_runs(table: pa.Table) -> pa.Table:
     )
 
 
+def _eights(raw: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Up to eight bytes from each place to the end of its row, as a number that sorts as they do."""
+    n = len(raw)
+    h = np.zeros(n + 8, np.uint64)
+    h[:n] = raw
+    for step in (1, 2, 4):
+        h[:-step] = (h[:-step] << np.uint64(8 * step)) | h[step:]
+    return h[:n] & _HEADS[np.minimum(end - np.arange(n), 8)]
+
+
+_HEADS = np.array([0, *(((1 << 8 * k) - 1) << (64 - 8 * k) for k in range(1, 9))], np.uint64)
+
+
+def lyndon_ends(eights: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Where the longest Lyndon word from each place ends, which is at the next smaller suffix of its row.
+
+    Rows go side by side from their last place to the first: a place points behind itself and
+    follows the pointers there while they lead to greater suffixes.
+    """
+    by = np.argsort(-size, kind="stable")
+    begin, size = begin[by], size[by]
+    stop = begin + size
+    to = np.zeros(len(eights), np.int64)
+    for k in range(int(size[0]) - 1, -1, -1):
+        here = begin[: np.searchsorted(-size, -k)] + k
+        next_ = here + 1
+        go = np.flatnonzero(next_ < stop[: len(here)])
+        while len(go):
+            mine, other = here[go], next_[go]
+            x, y = eights[mine], eights[other]
+            more = y > x
+            same = np.flatnonzero(x == y)
+            depth = 8
+            while len(same):
+                same = same[other[same] + depth < stop[go[same]]]  # a suffix that ends is the smaller
+                x, y = eights[mine[same] + depth], eights[other[same] + depth]
+                more[same] = y > x
+                same = same[x == y]
+                depth += 8
+            go, other = go[more], other[more]
+            next_[go] = other = to[other]
+            go = go[other < stop[go]]
+        to[here] = next_
+    return to
+
+
+def _refine(rank: np.ndarray, some: np.ndarray, key: np.ndarray) -> None:
+    """Splits whole groups, the places ``some``, by a key; a group's rank is the number of places in groups below."""
+    small = key.dtype == np.int64  # no key is above the number of places
+    order = np.argsort(rank[some] * (len(rank) + 1) + key) if small else np.lexsort((key, rank[some]))
+    old, key = rank[some[order]], key[order]
+    at = np.arange(len(order))
+    new_group = np.r_[True, old[1:] != old[:-1]]
+    new = new_group | np.r_[True, key[1:] != key[:-1]]
+    first = np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(new_group, at, 0))
+    rank[some[order]] = old + first
+
+
+def suffix_ranks(raw: np.ndarray, begin: np.ndarray, size: np.ndarray, depth: int) -> np.ndarray:
+    """Rank of the suffix from each place of rows that lie end to end (none empty).
+
+    Suffixes that agree in ``depth`` bytes or to their ends may share a rank.
+    """
+    n = len(raw)
+    end = np.repeat(begin + size, size)
+    eights = _eights(raw, end)
+    to = lyndon_ends(eights, begin, size)
+    at = np.arange(n)
+    length = to - at
+    # Groups by Lyndon words, eight bytes at a time.
+    key = eights & _HEADS[np.minimum(length, 8)]
+    order = np.argsort(key, kind="stable")
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(np.r_[True, key[order[1:]] != key[order[:-1]]], at, 0))
+    done = 8
+    while True:
+        longer = np.zeros(n + 1, bool)
+        longer[rank[length > done]] = True
+        some = np.flatnonzero(longer[rank])
+        if not len(some):
+            break
+        left = np.clip(length[some] - done, 0, 8)
+        _refine(rank, some, np.where(left > 0, eights[np.minimum(some + done, n - 1)], np.uint64(0)) & _HEADS[left])
+        done += 8
+    # In a group the suffixes behind the words decide; each round doubles the words looked at.
+    while True:
+        short = (to < end) & (to - at < depth)
+        count = np.bincount(rank, minlength=n)
+        open_ = np.zeros(n, bool)
+        open_[rank[short & (count[rank] > 1)]] = True
+        some = np.flatnonzero(open_[rank])
+        if not len(some):
+            return rank
+        inside = to[some] < end[some]
+        target = np.minimum(to[some], n - 1)
+        key = np.where(inside, rank[target] + 1, 0)
+        further = np.where(short, to[np.minimum(to, n - 1)], to)
+        _refine(rank, some, key)
+        to = further
+
+
 def suffix_array(text: list[int]) -> list[int]:
-    """Suffixes of a sequence of small integers in order, by Lyndon groups."""
+    """Suffixes of a sequence of bytes in order."""
+    if not text:
+        return []
     n = len(text)
-    # Groups are linked in order; a member that leaves is told by its own group number.
-    first: dict[int, list[int]] = {}
-    for i, c in enumerate(text):
-        first.setdefault(c, []).append(i)
-    members = [first[c] for c in sorted(first)]
-    below = list(range(-1, len(members) - 1))
-    above = [*range(1, len(members)), -1]
-    group = [0] * n
-    for g, m in enumerate(members):
-        for i in m:
-            group[i] = g
-    size = [len(m) for m in members]
-    pointer = [-1] * n
-    jump = list(range(-1, n - 1))
-    done = bytearray(n + 1)
-    g = len(members) - 1
-    while g >= 0:
-        own = [i for i in members[g] if group[i] == g] if size[g] != len(members[g]) else members[g]
-        members[g] = own
-        for i in own:
-            done[i] = 1
-        hits: dict[int, int] = {}
-        for i in own:
-            p = jump[i]
-            if p >= 0 and done[p]:
-                path = [i]
-                while p >= 0 and done[p]:
-                    path.append(p)
-                    p = jump[p]
-                for x in path:
-                    jump[x] = p
-            pointer[i] = p
-            if p >= 0:
-                hits[p] = hits.get(p, 0) + 1
-        if hits:
-            moves: dict[int, dict[int, list[int]]] = {}
-            for p, k in hits.items():
-                moves.setdefault(group[p], {}).setdefault(k, []).append(p)
-            for h, by_count in moves.items():
-                left = size[h] - sum(len(v) for v in by_count.values())
-                at = h
-                for k in sorted(by_count):
-                    moved = by_count[k]
-                    if not left and len(by_count) == 1:
-                        break  # all go together: the group stays as it is
-                    new = len(members)
-                    moved.sort()
-                    members.append(moved)
-                    size.append(len(moved))
-                    up = above[at]
-                    below.append(at)
-                    above.append(up)
-                    above[at] = new
-                    if up >= 0:
-                        below[up] = new
-                    for p in moved:
-                        group[p] = new
-                    size[h] -= len(moved)
-                    at = new
-        g = below[g]
-    # Places: groups in order, empty ones left out.
-    bottom = 0 if members else -1
-    while bottom >= 0 and below[bottom] >= 0:
-        bottom = below[bottom]
-    front = [0] * len(members)
-    at, g = 0, bottom
-    while g >= 0:
-        front[g] = at
-        at += size[g]
-        g = above[g]
-    out = [-1] * n
-    placed = bytearray(n)
-
-    def place(i: int) -> None:
-        while i >= 0 and not placed[i]:
-            placed[i] = 1
-            out[front[group[i]]] = i
-            front[group[i]] += 1
-            i = pointer[i]
-
-    place(n - 1)  # the empty suffix comes first
-    for k in range(n):
-        place(out[k] - 1)
-    return out
+    return np.argsort(suffix_ranks(np.array(text, np.uint8), np.array([0]), np.array([n]), n)).tolist()
 
 
 # First byte from the anchor, and length, of the strings of which a shared window holds one.
@@ -303,16 +322,13 @@ def equal_windows(table: pa.Table) -> pa.Table:
             hi += 1
         part = by[lo:hi].tolist()
         lo = hi
-        joined = b"\x00".join(data[i] for i in part) + b"\x00"
-        raw = np.frombuffer(joined, np.uint8)
+        raw = np.frombuffer(b"".join([data[i] for i in part]), np.uint8)
         size = np.array([len(data[i]) for i in part], np.int64)
-        begin = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
-        symbols = raw.astype(np.int64) + 1
-        symbols[begin + size] = 0
-        order_ = np.array(suffix_array(symbols.tolist()), np.int64)
-        whose = np.repeat(np.arange(len(part)), size + 1)
+        begin = np.cumsum(size) - size
+        whose = np.repeat(np.arange(len(part)), size)
         skip = np.arange(len(raw)) - begin[whose]
-        windows = order_[skip[order_] + WINDOW <= size[whose[order_]]]
+        windows = np.flatnonzero(skip + WINDOW <= size[whose])
+        windows = windows[np.argsort(suffix_ranks(raw, begin, size, WINDOW)[windows], kind="stable")]
         if not len(windows):
             continue
         rows = np.lib.stride_tricks.sliding_window_view(raw, WINDOW)

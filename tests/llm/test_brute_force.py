@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import sys
 import re
 import zlib
 
@@ -235,6 +236,55 @@ def test_suffix_array():
         assert suffixdedup.suffix_array(t) == sorted(range(len(t)), key=lambda i: t[i:])
 
 
+def test_suffixes_of_many_rows():
+    rng = random.Random(8)
+    for depth in (3, 100):
+        rows = [bytes(rng.choice([0, 0, 1, 2, 97]) for _ in range(rng.randint(1, 40))) for _ in range(200)]
+        size = np.array([len(r) for r in rows])
+        rank = suffixdedup.suffix_ranks(np.frombuffer(b"".join(rows), np.uint8), np.cumsum(size) - size, size, depth)
+        heads = [r[k : k + depth] for r in rows for k in range(len(r))]
+        in_order = [heads[k] for k in np.argsort(rank, kind="stable")]
+        assert in_order == sorted(heads)
+        if depth == 100:
+            assert len(set(rank.tolist())) == len(set(heads))
+
+
+def test_variants_are_not_sorted_byte_by_byte_in_python():
+    rng = np.random.default_rng(4)
+    rows, ids, anchors = [], [], []
+    for k in range(700):
+        row = bytes(rng.integers(97, 123, 70, dtype=np.uint8))
+        for j in range(3):
+            rows.append(row[: 69 - j] + bytes([48 + j]) + row[70 - j :])
+            ids.append(int(rng.integers(1000)) * 3 + j)
+            anchors.append(k)
+    n = len(rows)
+    table = pa.table({"doc_id": ids, "th": [0] * n, "ord": pa.array(range(n), pa.int32()), "data": pa.array(rows, pa.binary()), "anchor": anchors, "place": pa.array([20] * n, pa.int32())})
+    lines = 0
+
+    def trace(frame, event, arg):
+        nonlocal lines
+        lines += event == "line"
+        return trace
+
+    sys.settrace(trace)
+    try:
+        found = suffixdedup.equal_windows(table)
+    finally:
+        sys.settrace(None)
+    want = set()
+    for k in range(0, n, 3):
+        first: dict[bytes, int] = {}
+        for i in range(k, k + 3):
+            for p in range(21):
+                w = rows[i][p : p + 50]
+                first[w] = min(first.get(w, ids[i]), ids[i])
+        want |= {(i, p) for i in range(k, k + 3) for p in range(21) if first[rows[i][p : p + 50]] < ids[i]}
+    got = {(o, s + j) for o, s, c in zip(*(found.column(c).to_pylist() for c in ("ord", "skip", "n")), strict=True) for j in range(c)}
+    assert got == want
+    assert lines < sum(map(len, rows)) / 4
+
+
 def test_suffix_dedup(spark, data):
     got = {r.doc_id: r for r in QUERIES["op8_suffix_dedup"](spark, data).collect()}
     first: dict[bytes, int] = {}
