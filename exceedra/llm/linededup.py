@@ -57,6 +57,7 @@ STRETCH = 8
 FEW_PAIRS = 6  # fewer are compared one at a time
 FAR = 10_000  # beyond any distance of lines of ``BAND_SIZE``
 BUCKET_LINES = 100_000
+LINE_BUCKETS = 4  # groups of packed lines for each bucket of keys
 LINE_BYTES = 200  # expected; sets the number of blocks and buckets only
 MAX_BROADCAST_ROWS = 2_000_000
 # Least length of the longer line and q of each class.
@@ -215,59 +216,69 @@ def picked_grams(x: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.
     return np.concatenate(lines), np.concatenate(keys)
 
 
-_FIELDS = ("key", "h", "size", "own")
-_KINDS = (np.uint64, np.int64, np.uint32, np.uint32)
+_FIELDS = ("key", "h", "size")
+_KINDS = (np.uint64, np.int64, np.uint32)
+
+
+def planes(x: np.ndarray, size: int) -> bytes:
+    """The low ``size`` bytes of each value, byte plane by byte plane."""
+    return x.view(np.uint8).reshape(len(x), -1)[:, :size].T.tobytes()
+
+
+def from_planes(data: bytes, kind: type) -> np.ndarray:
+    """Values from all their byte planes."""
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
 def line_blocks(docs: DataFrame, m: int, buckets: int) -> DataFrame:
-    """Lines (doc_id, th, line, h) of ``docs (doc_id, th, text)``, and rows without line that carry the keys of a batch in a bucket.
+    """Packed rows of ``docs (doc_id, th, text)``: a batch's keys in a bucket, or a batch's lines, in a bucket below 0.
 
     Buckets below ``buckets`` hold q-gram keys; those above hold SimHashes by choice of blocks.
     """
-    names = ["doc_id", "th", "line", "h", "bucket", *(f"b_{f}" for f in _FIELDS)]
+    names = ["bucket", "b_key", "b_h", "b_size", "b_line", "b_own", "b_id", "b_th"]
 
-    def packed(bucket: np.ndarray, key: np.ndarray, line: np.ndarray, h: np.ndarray, size: np.ndarray) -> Iterator[tuple]:
+    def packed(bucket: np.ndarray, key: np.ndarray, h: np.ndarray, size: np.ndarray) -> Iterator[tuple]:
         if not len(bucket):
             return
         order = np.argsort(bucket, kind="stable")
         held, starts = np.unique(bucket[order], return_index=True)
         for b, k in zip(held.tolist(), np.split(order, starts[1:]), strict=True):
-            used, own = np.unique(line[k], return_inverse=True)
-            yield b, key[k].tobytes(), h[used].tobytes(), size[used].tobytes(), own.astype(np.uint32).tobytes()
+            yield (b, *(planes(v[k], v.dtype.itemsize) for v in (key, h, size)), *[None] * 4)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple[np.ndarray, ...]] = []
+        ids, ths = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2))
 
         def flush() -> Iterator[pa.RecordBatch]:
             base = np.cumsum([0, *[len(w[0]) for w in waiting]])
-            h, size, sim = (np.concatenate([w[k] for w in waiting]) for k in range(3))
+            h, size, sim, number, doc = (np.concatenate([w[k] for w in waiting]) for k in (0, 1, 2, 5, 6))
             line = np.concatenate([w[3] + b for w, b in zip(waiting, base[:-1], strict=True)])
             key = np.concatenate([w[4] for w in waiting])
             waiting.clear()
+            if not len(h):
+                return
+            who, own = np.unique(doc, return_inverse=True)
+            spread = -1 - int(h.view(np.uint64)[0] % np.uint64(LINE_BUCKETS * buckets))
+            rows = [(spread, None, h.tobytes(), None, planes(number, 4), planes(own.astype(np.uint32), 4), ids[who].tobytes(), ths[who].tobytes())]
             _, once = np.unique(h, return_index=True)
             place = np.full(len(h), -1)
             place[once] = np.arange(len(once))
             held = place[line] >= 0
             line, key = place[line[held]], key[held]
             h, size, sim = h[once], size[once], sim[once]
-            rows = list(packed((key % np.uint64(buckets)).astype(np.int64), key, line, h, size))
+            rows += packed((key % np.uint64(buckets)).astype(np.int64), key, h[line], size[line])
             some = np.flatnonzero(size >= EDIT_SHARE)
             for c, k in enumerate(block_keys(sim[some], m)):
-                rows += packed(buckets * (c + 1) + (mix64(k) % np.uint64(buckets)).astype(np.int64), sim[some], some, h, size)
-            if rows:
-                nothing = [pa.nulls(len(rows), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64())]
-                columns = [pa.array(v, t) for v, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)]
-                yield pa.RecordBatch.from_arrays([*nothing, *columns], names)
+                rows += packed(buckets * (c + 1) + (mix64(k) % np.uint64(buckets)).astype(np.int64), sim[some], h[some], size[some])
+            columns = [pa.array(v, t) for v, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 7), strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
         lines = 0
         for lo, hi in chunks(batch, 2, 1 << 20):
-            part = batch.slice(lo, hi - lo)
-            doc, number, whole, sim, begin, end, x = lines_of(*text_buffer(part.column(2)))
-            who, h = pa.array(doc, pa.int64()), whole.view(np.int64)
-            nothing = [pa.nulls(len(doc), t) for t in (pa.int32(), *[pa.binary()] * 4)]
-            yield pa.RecordBatch.from_arrays([part.column(0).take(who), part.column(1).take(who), pa.array(number.astype(np.int32)), pa.array(h), *nothing], names)
+            doc, number, whole, sim, begin, end, x = lines_of(*text_buffer(batch.column(2).slice(lo, hi - lo)))
             line, key = picked_grams(x, begin, end)
-            waiting.append((h, (end - begin).astype(np.uint32), sim, line, key))
+            waiting.append((whole.view(np.int64), (end - begin).astype(np.uint32), sim, line, key, number.astype(np.uint32), doc + lo))
             lines += len(doc)
             if lines > BUCKET_LINES:
                 yield from flush()
@@ -275,19 +286,35 @@ def line_blocks(docs: DataFrame, m: int, buckets: int) -> DataFrame:
         if waiting:
             yield from flush()
 
-    return arrow_map(docs, run, "doc_id long, th long, line int, h long, bucket int, " + ", ".join(f"b_{f} binary" for f in _FIELDS))
+    return arrow_map(docs, run, "bucket int, " + ", ".join(f"{n} binary" for n in names[1:]))
 
 
 def block_members(packed: DataFrame, m: int, buckets: int) -> DataFrame:
-    """(block, h, n) of the lines that have a partner within the bounds in their block; ``n`` is how many batches hold them."""
+    """(block, h, n) of the lines that have a partner within the bounds in their block; ``n`` is how many batches hold them.
+
+    With ``block`` null, every line (doc_id, th, line, h): both leave by the one exchange of the packed rows.
+    """
+
+    def lines(table: pa.Table) -> pa.Table:
+        parts: list[list[np.ndarray]] = [[] for _ in range(4)]
+        for h, number, own, ids, ths in zip(*(table.column(f"b_{f}").to_pylist() for f in ("h", "line", "own", "id", "th")), strict=True):
+            own = from_planes(own, np.uint32)
+            values = (np.frombuffer(ids, np.int64)[own], np.frombuffer(ths, np.int64)[own], from_planes(number, np.uint32).astype(np.int32), np.frombuffer(h, np.int64))
+            for p, v in zip(parts, values, strict=True):
+                p.append(v)
+        doc_id, th, number, h = (np.concatenate(p) for p in parts)
+        nothing = pa.nulls(len(h), pa.int64())
+        return pa.table({"doc_id": doc_id, "th": th, "line": number, "h": h, "block": nothing, "n": nothing})
 
     def run(table: pa.Table) -> pa.Table:
-        choice = int(table.column("bucket")[0].as_py()) // buckets - 1
+        bucket = int(table.column("bucket")[0].as_py())
+        if bucket < 0:
+            return lines(table)
+        choice = bucket // buckets - 1
         parts: list[list[np.ndarray]] = [[] for _ in range(3)]
         for row in zip(*(table.column(f"b_{f}").to_pylist() for f in _FIELDS), strict=True):
-            key, h, size, own = (np.frombuffer(v, k) for v, k in zip(row, _KINDS, strict=True))
-            for p, v in zip(parts, (key, h[own], size[own]), strict=True):
-                p.append(v)
+            for p, v, k in zip(parts, row, _KINDS, strict=True):
+                p.append(from_planes(v, k))
         value, h, size = (np.concatenate(p) for p in parts)
         key = value if choice < 0 else list(block_keys(value, m))[choice]
         order = np.lexsort((h, size, key))
@@ -313,9 +340,11 @@ def block_members(packed: DataFrame, m: int, buckets: int) -> DataFrame:
                 stays[hit + d] = True
                 d += 1
         block = mix64(key + np.uint64(choice + 1)).view(np.int64)
-        return pa.table({"block": block[stays], "h": h[stays], "n": n[stays]})
+        k = int(stays.sum())
+        nothing = [pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.int32())]
+        return pa.table([*nothing, h[stays], block[stays], n[stays]], names=["doc_id", "th", "line", "h", "block", "n"])
 
-    return packed.groupBy("bucket").applyInArrow(run, "block long, h long, n long")
+    return packed.groupBy("bucket").applyInArrow(run, "doc_id long, th long, line int, h long, block long, n long")
 
 
 def signatures(texts: list[str]) -> np.ndarray:
@@ -615,12 +644,11 @@ def dealt_members(members: DataFrame, texts: DataFrame) -> DataFrame:
     return cells.select(cell.alias("cell"), "block", "h", "n", "t", "bag", "blocks", side.alias("side"))
 
 
-def line_groups(lines: DataFrame, packed: DataFrame, docs: DataFrame, m: int, buckets: int) -> DataFrame:
+def line_groups(lines: DataFrame, members: DataFrame, docs: DataFrame) -> DataFrame:
     """First occurrence of the group of every line that has another occurrence or a near copy: (h, doc_id, th, line)."""
     spark = docs.sparkSession
-    members = materialize(block_members(packed, m, buckets))
-    tidy(spark)
     texts = line_texts(lines, materialize(members.select("h").distinct()), docs)
+    tidy(spark)
     n = max(shuffle_partitions(spark), -(-members.count() // TILE_MEMBERS))
     tiles = dealt_members(members, texts).withColumn("bucket", F.pmod(F.xxhash64("cell"), F.lit(n)))
     links = materialize(tiles.groupBy("bucket").applyInArrow(block_links, "a long, b long"))
@@ -645,9 +673,10 @@ def dedup_lines(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     n_bytes = some.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     m = blocks_for(int(n_bytes) // LINE_BYTES)
     buckets = max(-(-shuffle_partitions(spark) // 4), -(-int(n_bytes) // (LINE_BYTES * BUCKET_LINES)))
-    found = materialize(line_blocks(some, m, buckets))
-    lines, packed = found.filter("bucket is null").select("doc_id", "th", "line", "h"), found.filter("bucket is not null")
-    first = line_groups(lines, packed, some, m, buckets).withColumnsRenamed({"doc_id": "_d", "th": "_t", "line": "_l", "h": "_h"})
+    found = materialize(block_members(line_blocks(some, m, buckets), m, buckets))
+    tidy(spark)
+    lines, members = found.filter("block is null").select("doc_id", "th", "line", "h"), found.filter("block is not null").select("block", "h", "n")
+    first = line_groups(lines, members, some).withColumnsRenamed({"doc_id": "_d", "th": "_t", "line": "_l", "h": "_h"})
     met = lines.join(first, F.col("h") == F.col("_h"))
     gone = met.filter((F.col("doc_id") != F.col("_d")) | (F.col("line") != F.col("_l")) | (F.col("th") != F.col("_t")))
     lists = gone.groupBy("doc_id", "th").agg(F.collect_set("line").alias("gone"))

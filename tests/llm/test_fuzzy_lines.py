@@ -131,3 +131,17 @@ def test_corpus_lines_by_edit_distance_alone(spark, data):
     want = removed_by_brute_force({i: x or "" for i, x in zip(t["doc_id"], t["text"], strict=True)})
     assert all(n <= want[i] for i, n in got.items())
     assert sum(got.values()) >= 0.97 * sum(want.values())
+
+
+def test_keys_are_not_stored_before_their_exchange(spark, data, monkeypatch):
+    stored, keep = [], linededup.materialize
+
+    def recorded(df, *args):
+        stored.append(df.columns)
+        return keep(df, *args)
+
+    monkeypatch.setattr(linededup, "materialize", recorded)
+    docs = spark.createDataFrame([(1, "One line of some words here.\n77 others"), (2, "One line of some wards here."), (3, "One line of some words here."), (4, None)], "doc_id long, text string")
+    rows = {r.doc_id: (r.n_lines, r.n_removed) for r in linededup.dedup_lines(docs).collect()}
+    assert rows == {1: (2, 0), 2: (1, 1), 3: (1, 1), 4: (1, 0)}
+    assert stored and not any("bucket" in columns for columns in stored)
