@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -45,24 +46,28 @@ from exceedra.llm.common import arrow_map, chunks, connected_components, free, m
 from exceedra.llm.decontaminate import END, normalise
 
 MAX_DISTANCE = 3
+NEAR_DISTANCE = 5  # differing bits of lines that meet in a block all the same
 EDIT_SHARE = 10
-GROUP_LINES = 64  # lines expected in a block by chance at most
-LARGE_BLOCK = 2_000  # members that are not looked at pair by pair while blocks are built
+GROUP_LINES = 2_048  # lines expected in a block by chance at most; each meets those of near size only
+LARGE_BLOCK = 20_000  # members that are not looked at pair by pair while blocks are built
+FEW_MEMBERS = 16  # in a cell where no pair is compared that an earlier block has
+LARGE_GRAM_BLOCK = 2_000  # the same where a q-gram is the key
 CELL_MEMBERS = 5_000  # of a block, before its pairs are dealt over cells
 TILE_MEMBERS = 40_000  # expected in a task that compares texts
 PAIRS_AT_ONCE = 100_000
 BAND_SIZE = 3_000  # characters; longer lines are compared one pair at a time
-BAND_CELLS = 60_000  # of the distance tables of pairs compared together
+BAND_CELLS = 600_000  # characters of pairs compared together
 STRETCH = 8
-FEW_PAIRS = 6  # fewer are compared one at a time
-FAR = 10_000  # beyond any distance of lines of ``BAND_SIZE``
+FEW_PAIRS = 24  # fewer are compared one at a time
 BUCKET_LINES = 100_000
 LINE_BUCKETS = 4  # groups of packed lines for each bucket of keys
+TEXT_BYTES = 1 << 18  # of texts whose keys are made together, within a processor's cache
 LINE_BYTES = 200  # expected; sets the number of blocks and buckets only
 MAX_BROADCAST_ROWS = 2_000_000
 # Least length of the longer line and q of each class.
 CLASSES = ((EDIT_SHARE, 4), (20, 6), (40, 10), (100, 16))
 PICKS = 6
+ANYWHERE = 65_535  # place of a q-gram that a line has twice
 BINS = 16
 SKETCH_Q = (4, 8)  # for lines below SKETCH_SIZE, and others
 SKETCH_SIZE = 40
@@ -77,6 +82,11 @@ def _powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+@cache
+def _letter_hashes() -> np.ndarray:
+    return mix64(np.arange(0x110000, dtype=np.uint64))
+
+
 def _sums(values: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Order-aware hash of consecutive stretches of hashed values, ``size`` of each."""
     first = np.cumsum(size) - size
@@ -140,7 +150,7 @@ def lines_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     stops = letter.copy()
     stops[:-1] &= ~letter[1:]
     s, e = np.flatnonzero(starts), np.flatnonzero(stops) + 1
-    words = _sums(mix64(x[letter].astype(np.uint64)), e - s)
+    words = _sums(_letter_hashes()[x[letter]], e - s)
     lo, hi = np.searchsorted(s, begin), np.searchsorted(s, ends)
     count = hi - lo
     at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count - lo, count)
@@ -180,8 +190,11 @@ def gram_hashes(x: np.ndarray, q: int) -> np.ndarray:
         size *= 2
 
 
-def range_minima(x: np.ndarray, begin: np.ndarray, end: np.ndarray, q: int, ranges: int) -> np.ndarray:
-    """The least q-gram hash of each line in each range of hash values; all bits set where there is none."""
+def range_minima(x: np.ndarray, begin: np.ndarray, end: np.ndarray, q: int, ranges: int, where: np.ndarray | None = None) -> np.ndarray:
+    """The least q-gram hash of each line in each range of hash values; all bits set where there is none.
+
+    ``where`` gets the place of its q-gram in the line, or ``ANYWHERE`` if the line has it again.
+    """
     low = np.full(len(begin) * ranges, _NONE, np.uint64)
     count = end - begin - q + 1
     own = np.flatnonzero(count > 0)
@@ -197,27 +210,34 @@ def range_minima(x: np.ndarray, begin: np.ndarray, end: np.ndarray, q: int, rang
         g = gram_hashes(x, q)[at]
         place = np.repeat(own * ranges, count) + ((g & np.uint64(0xFFFF)) * np.uint64(ranges) >> np.uint64(16)).astype(np.int64)
         np.minimum.at(low, place, g)
+        if where is not None:
+            hit = np.flatnonzero(g == low[place])
+            place = place[hit]
+            where[place] = np.minimum(at[hit] - begin[place // ranges], ANYWHERE)
+            where[np.bincount(place, minlength=len(where)) > 1] = ANYWHERE
     return low.reshape(-1, ranges)
 
 
-def picked_grams(x: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(line, key) of the least q-gram hash of each range in each line, for every class that the line can be in."""
+def picked_grams(x: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, key, place) of the least q-gram hash of each range in each line, for every class that the line can be in."""
     size = end - begin
-    lines, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    lines, keys, places = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16)]
     for c, (least, q) in enumerate(CLASSES):
         most = CLASSES[c + 1][0] if c + 1 < len(CLASSES) else 1 << 40
         # The shorter line of a pair may lack a tenth of the longer.
         own = np.flatnonzero((size >= least - least // EDIT_SHARE) & (size < most) & (size >= q))
         if len(own):
-            low = range_minima(x, begin[own], end[own], q, PICKS).ravel()
+            where = np.zeros(len(own) * PICKS, np.uint16)
+            low = range_minima(x, begin[own], end[own], q, PICKS, where).ravel()
             held = np.flatnonzero(low != _NONE)
             lines.append(own[held // PICKS])
             keys.append(mix64(low[held] + np.uint64(q)))
-    return np.concatenate(lines), np.concatenate(keys)
+            places.append(where[held])
+    return np.concatenate(lines), np.concatenate(keys), np.concatenate(places)
 
 
-_FIELDS = ("key", "h", "size")
-_KINDS = (np.uint64, np.int64, np.uint32)
+_FIELDS = ("key", "h", "size", "place")
+_KINDS = (np.uint64, np.int64, np.uint32, np.uint16)
 
 
 def planes(x: np.ndarray, size: int) -> bytes:
@@ -236,15 +256,15 @@ def line_blocks(docs: DataFrame, m: int, buckets: int) -> DataFrame:
 
     Buckets below ``buckets`` hold q-gram keys; those above hold SimHashes by choice of blocks.
     """
-    names = ["bucket", "b_key", "b_h", "b_size", "b_line", "b_own", "b_id", "b_th"]
+    names = ["bucket", "b_key", "b_h", "b_size", "b_place", "b_line", "b_own", "b_id", "b_th"]
 
-    def packed(bucket: np.ndarray, key: np.ndarray, h: np.ndarray, size: np.ndarray) -> Iterator[tuple]:
+    def packed(bucket: np.ndarray, *values: np.ndarray) -> Iterator[tuple]:
         if not len(bucket):
             return
         order = np.argsort(bucket, kind="stable")
         held, starts = np.unique(bucket[order], return_index=True)
         for b, k in zip(held.tolist(), np.split(order, starts[1:]), strict=True):
-            yield (b, *(planes(v[k], v.dtype.itemsize) for v in (key, h, size)), *[None] * 4)
+            yield (b, *(planes(v[k], v.dtype.itemsize) for v in values), *[None] * 4)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple[np.ndarray, ...]] = []
@@ -252,7 +272,7 @@ def line_blocks(docs: DataFrame, m: int, buckets: int) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             base = np.cumsum([0, *[len(w[0]) for w in waiting]])
-            h, size, sim, number, doc = (np.concatenate([w[k] for w in waiting]) for k in (0, 1, 2, 5, 6))
+            h, size, sim, number, doc, where = (np.concatenate([w[k] for w in waiting]) for k in (0, 1, 2, 5, 6, 7))
             line = np.concatenate([w[3] + b for w, b in zip(waiting, base[:-1], strict=True)])
             key = np.concatenate([w[4] for w in waiting])
             waiting.clear()
@@ -260,25 +280,25 @@ def line_blocks(docs: DataFrame, m: int, buckets: int) -> DataFrame:
                 return
             who, own = np.unique(doc, return_inverse=True)
             spread = -1 - int(h.view(np.uint64)[0] % np.uint64(LINE_BUCKETS * buckets))
-            rows = [(spread, None, h.tobytes(), None, planes(number, 4), planes(own.astype(np.uint32), 4), ids[who].tobytes(), ths[who].tobytes())]
+            rows = [(spread, None, h.tobytes(), None, None, planes(number, 4), planes(own.astype(np.uint32), 4), ids[who].tobytes(), ths[who].tobytes())]
             _, once = np.unique(h, return_index=True)
             place = np.full(len(h), -1)
             place[once] = np.arange(len(once))
             held = place[line] >= 0
-            line, key = place[line[held]], key[held]
+            line, key, where = place[line[held]], key[held], where[held]
             h, size, sim = h[once], size[once], sim[once]
-            rows += packed((key % np.uint64(buckets)).astype(np.int64), key, h[line], size[line])
+            rows += packed((key % np.uint64(buckets)).astype(np.int64), key, h[line], size[line], where)
             some = np.flatnonzero(size >= EDIT_SHARE)
             for c, k in enumerate(block_keys(sim[some], m)):
-                rows += packed(buckets * (c + 1) + (mix64(k) % np.uint64(buckets)).astype(np.int64), sim[some], h[some], size[some])
-            columns = [pa.array(v, t) for v, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 7), strict=True)]
+                rows += packed(buckets * (c + 1) + (mix64(k) % np.uint64(buckets)).astype(np.int64), sim[some], h[some], size[some], np.zeros(len(some), np.uint16))
+            columns = [pa.array(v, t) for v, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 8), strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
         lines = 0
-        for lo, hi in chunks(batch, 2, 1 << 20):
+        for lo, hi in chunks(batch, 2, TEXT_BYTES):
             doc, number, whole, sim, begin, end, x = lines_of(*text_buffer(batch.column(2).slice(lo, hi - lo)))
-            line, key = picked_grams(x, begin, end)
-            waiting.append((whole.view(np.int64), (end - begin).astype(np.uint32), sim, line, key, number.astype(np.uint32), doc + lo))
+            line, key, where = picked_grams(x, begin, end)
+            waiting.append((whole.view(np.int64), (end - begin).astype(np.uint32), sim, line, key, number.astype(np.uint32), doc + lo, where))
             lines += len(doc)
             if lines > BUCKET_LINES:
                 yield from flush()
@@ -311,34 +331,40 @@ def block_members(packed: DataFrame, m: int, buckets: int) -> DataFrame:
         if bucket < 0:
             return lines(table)
         choice = bucket // buckets - 1
-        parts: list[list[np.ndarray]] = [[] for _ in range(3)]
+        parts: list[list[np.ndarray]] = [[] for _ in _FIELDS]
         for row in zip(*(table.column(f"b_{f}").to_pylist() for f in _FIELDS), strict=True):
             for p, v, k in zip(parts, row, _KINDS, strict=True):
                 p.append(from_planes(v, k))
-        value, h, size = (np.concatenate(p) for p in parts)
+        value, h, size, place = (np.concatenate(p) for p in parts)
         key = value if choice < 0 else list(block_keys(value, m))[choice]
         order = np.lexsort((h, size, key))
         new = np.r_[True, (key[order[1:]] != key[order[:-1]]) | (h[order[1:]] != h[order[:-1]])]
         n = np.diff(np.append(np.flatnonzero(new), len(order)))
         order = order[new]
-        key, value, h, size = key[order], value[order], h[order], size[order].astype(np.int64)
+        key, value, h, size, place = key[order], value[order], h[order], size[order].astype(np.int64), place[order].astype(np.int64)
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         in_block = np.repeat(np.diff(np.append(starts, len(key))), np.diff(np.append(starts, len(key))))
         stays = np.zeros(len(key), bool)
+        large = in_block > LARGE_BLOCK
         if choice < 0:  # sizes rise in a block, so the nearest size is next to a line
-            near = (key[1:] == key[:-1]) & (size[1:] - size[:-1] <= size[1:] // EDIT_SHARE)
+            large = in_block > LARGE_GRAM_BLOCK
+            near = large[1:] & (key[1:] == key[:-1]) & (size[1:] - size[:-1] <= size[1:] // EDIT_SHARE)
             stays[1:] |= near
             stays[:-1] |= near
         else:
-            stays |= in_block > LARGE_BLOCK
-            left, d = np.flatnonzero(in_block <= LARGE_BLOCK), 1
-            while len(left):
-                left = left[left + d < len(key)]
-                left = left[(key[left] == key[left + d]) & (size[left + d] - size[left] <= size[left + d] // EDIT_SHARE)]
-                hit = left[np.bitwise_count(value[left] ^ value[left + d]) <= MAX_DISTANCE]
-                stays[hit] = True
-                stays[hit + d] = True
-                d += 1
+            stays |= large
+        left, d = np.flatnonzero(~large), 1
+        while len(left):
+            left = left[left + d < len(key)]
+            left = left[(key[left] == key[left + d]) & (size[left + d] - size[left] <= size[left + d] // EDIT_SHARE)]
+            right = left + d
+            if choice < 0:  # edits move a q-gram that they spare by their number at most
+                fits = (np.abs(place[left] - place[right]) <= size[right] // EDIT_SHARE) | (place[left] == ANYWHERE) | (place[right] == ANYWHERE)
+            else:
+                fits = np.bitwise_count(value[left] ^ value[right]) <= NEAR_DISTANCE
+            stays[left[fits]] = True
+            stays[right[fits]] = True
+            d += 1
         block = mix64(key + np.uint64(choice + 1)).view(np.int64)
         k = int(stays.sum())
         nothing = [pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.int32())]
@@ -387,21 +413,21 @@ def within(a: str, b: str, limit: int) -> bool:
     hi = 0
     while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
         hi += 1
-    a, b = a[lo : len(a) - hi], b[lo : len(b) - hi]
-    if not a or not b:
-        return max(len(a), len(b)) <= limit
+    a, b = sorted((a[lo : len(a) - hi], b[lo : len(b) - hi]), key=len)
+    if not a:
+        return len(b) <= limit
     where: dict[str, int] = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
-    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    up, down, score = full, 0, len(a)
-    for left_over, c in zip(range(len(b) - 1, -1, -1), b, strict=True):
+    full, up, down, score = (1 << len(a)) - 1, (1 << len(a)) - 1, 0, len(b) - len(a)
+    for row, c in enumerate(b, len(a) - len(b)):
         same = where.get(c, 0)
         diagonal = (((same & up) + up) ^ up) | same | down
+        if row >= 0 and not diagonal >> row & 1:  # the diagonal that ends in the distance never falls
+            score += 1
+            if score > limit:
+                return False
         right, left = down | (full & ~(diagonal | up)), up & diagonal
-        score += bool(right & last) - bool(left & last)
-        if score - left_over > limit:
-            return False
         right = (right << 1 | 1) & full
         left = left << 1 & full
         up, down = left | (full & ~(diagonal | right)), right & diagonal
@@ -419,12 +445,14 @@ def line_texts(lines: DataFrame, needed: DataFrame, docs: DataFrame) -> DataFram
 
     def fetch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for lo, hi in chunks(batch, 0, 1 << 20):
-            doc, number, begin, end, x = line_bounds(*text_buffer(batch.column(0).slice(lo, hi - lo)))
-            want = {(i, w["line"]): w["h"] for i, ws in enumerate(batch.column(1).slice(lo, hi - lo).to_pylist()) for w in ws}
-            rows = [(k, want[key]) for k, key in enumerate(zip(doc.tolist(), number.tolist(), strict=True)) if key in want]
-            if rows:
-                found = [x[begin[k] : end[k]].tobytes().decode("utf-32-le") for k, _ in rows]
-                yield pa.RecordBatch.from_arrays([pa.array([h for _, h in rows], pa.int64()), pa.array(found, pa.string()), pa.array([c.tobytes() for c in signatures(found)], pa.binary())], ["h", "t", "bag"])
+            held, hashes = [], []  # only the wanted lines are brought to their compared form
+            for text, wanted in zip(batch.column(0).slice(lo, hi - lo).cast(pa.binary()).to_pylist(), batch.column(1).slice(lo, hi - lo).to_pylist(), strict=True):
+                parts = text.split(b"\n")
+                held += [parts[w["line"]] for w in wanted]
+                hashes += [w["h"] for w in wanted]
+            doc, _, begin, end, x = line_bounds(*text_buffer(pa.array(held, pa.binary()).view(pa.string())))
+            found = [x[a:b].tobytes().decode("utf-32-le") for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([hashes[k] for k in doc.tolist()], pa.int64()), pa.array(found, pa.string()), pa.array([c.tobytes() for c in signatures(found)], pa.binary())], ["h", "t", "bag"])
 
     return materialize(arrow_map(texts, fetch, "h long, t string, bag binary").dropDuplicates(["h"]))
 
@@ -497,60 +525,92 @@ def _banded_parts(pairs: list[tuple[str, str]], limit: np.ndarray) -> np.ndarray
     go = np.flatnonzero(size - np.array([len(a) for a, _ in pairs], np.int64) <= limit)
     if not len(go):
         return out
-    size_class, limit_class = (np.floor(np.log2(v[go] + 1) * 2).astype(np.int64) for v in (size, limit))
-    order = np.lexsort((limit_class, size_class))
-    go, kind = go[order], size_class[order] * 100 + limit_class[order]
-    starts = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]])
+    words = 1 << np.ceil(np.log2(2 * limit[go] // 64 + 1)).astype(np.int64)  # of a band, in powers of two
+    order = np.lexsort((size[go], words))
+    go, words = go[order], words[order]
+    starts = np.flatnonzero(np.r_[True, words[1:] != words[:-1]])
     for lo, end in zip(starts.tolist(), np.append(starts[1:], len(go)).tolist(), strict=True):
-        most = max(1, BAND_CELLS // (2 * int(limit[go[lo:end]].max()) + 1))
-        for a in range(lo, end, most):
-            part = go[a : min(a + most, end)]
+        while lo < end:
+            most = max(FEW_PAIRS, BAND_CELLS // int(size[go[min(lo + BAND_CELLS // 64, end) - 1]]))
+            part = go[lo : min(lo + most, end)]
             some = [pairs[k] for k in part.tolist()]
-            out[part] = _banded(some, limit[part]) if len(part) >= FEW_PAIRS else [within(x, y, k) for (x, y), k in zip(some, limit[part].tolist(), strict=True)]
+            out[part] = [within(x, y, k) for (x, y), k in zip(some, limit[part].tolist(), strict=True)] if len(part) < FEW_PAIRS else _banded(some, limit[part])
+            lo += most
     return out
 
 
-def _columns(texts: list[str], before: int, height: int) -> np.ndarray:
-    """A text in each column, ``before`` places down, over a filler that no text holds."""
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, code point) of every character."""
     size = np.array([len(t) for t in texts], np.int64)
-    out = np.full((height, len(texts)), END, np.uint32)
-    at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    out[before + at, np.repeat(np.arange(len(texts)), size)] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    return out
+    who = np.repeat(np.arange(len(texts)), size)
+    return who, np.arange(len(who)) - np.repeat(np.cumsum(size) - size, size), np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def _banded(pairs: list[tuple[str, str]], limit: np.ndarray) -> np.ndarray:
-    """The table of edit distances of many pairs at once, a band around its diagonal."""
+    """Edit distances of many pairs at once, the bits of a band of the table's columns in the words of a pair.
+
+    At the shorter line's character ``i`` the band's top bit is the longer line's character
+    ``i + k``.  ``far`` follows the diagonal that ends in the distance; it never falls there.
+    """
     k = int(limit.max())
-    width = 2 * k + 1
-    m, n = (np.array([len(p[i]) for p in pairs], np.int64) for i in (0, 1))
-    s = _columns([a for a, _ in pairs], 0, int(m.max()))
-    t = _columns([b for _, b in pairs], k, int(n.max()) + width)
-    step = np.arange(width, dtype=np.int16)[:, None]
-    row = np.where(step >= k, step - k, FAR).astype(np.int16) + np.zeros((1, len(pairs)), np.int16)
-    who, out = np.arange(len(pairs)), (m == 0) & (n <= limit)
-    for i in range(len(s)):
-        new = row + (t[i : i + width] != s[i])
-        np.minimum(new[:-1], row[1:] + np.int16(1), out=new[:-1])
-        new -= step
-        np.minimum.accumulate(new, axis=0, out=new)
-        new += step
-        row = new
-        done = np.flatnonzero(m[who] == i + 1)
-        if len(done):
-            p = who[done]
-            out[p] = row[n[p] - m[p] + k, done] <= limit[p]
-        if i % 8 == 7:
-            alive = (m[who] > i + 1) & (row.min(0) <= limit[who])
+    words = 2 * k // 64 + 1
+    bits, one, top = 64 * words, np.uint64(1), np.uint64(63)
+    n, m = (np.array([len(p[i]) for p in pairs], np.int64) for i in (0, 1))
+    who, place, char = _codes([b for _, b in pairs])
+    letters = np.unique(char)
+    rows, wide = len(letters) + 1, int(m.max() + bits) // 64 + words + 2
+    place = place + bits - k - 1
+    same = np.zeros((len(pairs) * rows, wide), np.uint64)  # a row for each pair and letter, and one for others
+    np.bitwise_or.at(same, (who * rows + np.searchsorted(letters, char), place >> 6), one << (place & 63).astype(np.uint64))
+    same = same.ravel()
+    who, place, char = _codes([a for a, _ in pairs])
+    code = np.minimum(np.searchsorted(letters, char), rows - 2)
+    code = np.where(letters[code] == char, code, rows - 1)
+    row = ((np.arange(len(pairs)) + 1) * rows - 1 + np.zeros((max(int(n.max()), 1), 1), np.int64)) * wide
+    row[place, who] = (who * rows + code) * wide
+    mask = ((1 << (k + 1)) - 1) << (bits - 1 - k)
+    up = np.array([[mask >> (64 * w) & (1 << 64) - 1] for w in range(words)], np.uint64) + np.zeros((1, len(pairs)), np.uint64)
+    down = np.zeros_like(up)
+    who, far = np.arange(len(pairs)), m - n
+    out, bit = far <= limit, bits - 1 - k + far
+    word, bit = bit >> 6, (bit & 63).astype(np.uint64)
+    step = np.arange(words)[:, None]
+    for i in range(int(n.max())):
+        at = row[i] + (i >> 6) + step
+        x = same[at] >> np.uint64(i & 63)
+        if i & 63:
+            x |= same[at + 1] << np.uint64(64 - (i & 63))
+        diagonal = x & up
+        total = diagonal + up
+        for w in range(1, words):
+            total[w] += (diagonal[w - 1] | (up[w - 1] & ~total[w - 1])) >> top
+        total ^= up
+        total |= x
+        total |= down
+        right, left = down | ~(total | up), total & up
+        down = total >> one
+        if words > 1:
+            down[:-1] |= total[1:] << top
+            last = total[word, np.arange(len(who))]
+        else:
+            last = total[0]
+        far += (~(last >> bit) & one).view(np.int64) * (n > i)
+        up = left | ~(down | right)
+        down &= right
+        if i % 16 == 15:
+            alive = (n > i + 1) & (far <= limit)
             if 4 * int(alive.sum()) <= 3 * len(who):
-                who, row, s, t = who[alive], row[:, alive], s[:, alive], t[:, alive]
+                out[who] = far <= limit
+                who, word, bit, far, limit, n = (v[alive] for v in (who, word, bit, far, limit, n))
+                row, up, down = row[:, alive], up[:, alive], down[:, alive]
                 if not len(who):
                     break
+    out[who] = far <= limit
     return out
 
 
 def block_links(table: pa.Table) -> pa.Table:
-    """Links (a, b) that connect lines of the blocks of one bucket."""
+    """Links (a, b) of each connected line of the blocks of one bucket to the least one of its group there."""
     cell, block, h, n, side = (table.column(c).to_numpy() for c in ("cell", "block", "h", "n", "side"))
     names, node = np.unique(h, return_inverse=True)
     at = np.zeros(len(names), np.int64)
@@ -566,7 +626,6 @@ def block_links(table: pa.Table) -> pa.Table:
     cell, block, n, side, node = cell[order], block[order], n[order], side[order], node[order]
     size = length[node]
     parent = list(range(len(names)))
-    links: list[tuple[int, int]] = []
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -577,25 +636,37 @@ def block_links(table: pa.Table) -> pa.Table:
     def settle(one: np.ndarray, two: np.ndarray) -> bool:
         """Link pairs of nodes within the budget; ``one`` is no longer than ``two``."""
         pairs = np.unique(np.stack([one, two], 1), axis=0)
-        one, two = pairs[:, 0], pairs[:, 1]
-        pairs = pairs[can_link(bag[one], bag[two], length[one], length[two])]
+        pairs = pairs[can_link(bag[pairs[:, 0]], bag[pairs[:, 1]], length[pairs[:, 0]], length[pairs[:, 1]])]
         some = False
         for i, j in pairs[all_within([(texts[i], texts[j]) for i, j in pairs.tolist()])].tolist():
             a, b = root(i), root(j)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-                links.append((i, j))
                 some = True
         return some
 
+    def first_here(x: np.ndarray, y: np.ndarray, here: np.ndarray) -> np.ndarray:
+        """Whether pairs of nodes meet in no earlier block of both."""
+        first = np.ones(len(x), bool)
+        for k in range(blocks.shape[1]):
+            v = blocks[x, k]
+            some = np.flatnonzero(first & (v < here))
+            if not len(some):
+                break  # a node's blocks are in order
+            first[some] = ~(blocks[y[some]] == v[some, None]).any(1)
+        return first
+
     starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-    of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(cell))))
+    members = np.diff(np.append(starts, len(cell)))
+    of = np.repeat(np.arange(len(starts)), members)
     hub = node[np.lexsort((node, n, of))[np.append(starts[1:], len(cell)) - 1]][of]
-    other = node != hub
     long_ = length[hub] > size
-    one, two = np.where(long_, node, hub)[other], np.where(long_, hub, node)[other]
-    for a in range(0, len(one), PAIRS_AT_ONCE):
-        settle(one[a : a + PAIRS_AT_ONCE], two[a : a + PAIRS_AT_ONCE])
+    one, two = np.where(long_, node, hub), np.where(long_, hub, node)
+    # A pair meets once; only in a cell of many lines each is held against the hub, whatever other blocks do.
+    go = np.flatnonzero((node != hub) & ((members[of] > FEW_MEMBERS) | first_here(one, two, block)))
+    for a in range(0, len(go), PAIRS_AT_ONCE):
+        k = go[a : a + PAIRS_AT_ONCE]
+        settle(one[k], two[k])
 
     label = np.array([root(i) for i in range(len(names))])[node]
     left, d, held = np.arange(len(node)), 1, 0
@@ -604,18 +675,15 @@ def block_links(table: pa.Table) -> pa.Table:
         left = left[left + d < len(node)]
         r = left + d
         left = left[(cell[left] == cell[r]) & (size[r] - size[left] <= size[r] // EDIT_SHARE)]
-        s = left[(label[left] != label[left + d]) & ((side[left] != side[left + d]) | (side[left] == 0))]
+        s = left[(label[left] != label[left + d]) & ((side[left] != side[left + d]) | (side[left] == 0)) & (node[left] != hub[left]) & (node[left + d] != hub[left])]
         for a in range(0, len(s), PAIRS_AT_ONCE):
             i = s[a : a + PAIRS_AT_ONCE]
             x, y, here = node[i], node[i + d], block[i]
             fits = can_link(bag[x], bag[y], length[x], length[y])
             x, y, here = x[fits], y[fits], here[fits]
-            before = np.zeros(len(x), bool)  # met in an earlier block of both
-            for k in range(blocks.shape[1]):
-                v = blocks[x, k]
-                before |= (v < here) & (blocks[y] == v[:, None]).any(1)
-            if not before.all():
-                waiting.append((x[~before], y[~before]))
+            first = first_here(x, y, here)
+            if first.any():
+                waiting.append((x[first], y[first]))
                 held += len(waiting[-1][0])
         d += 1
         if waiting and (not len(left) or held > PAIRS_AT_ONCE // 4):
@@ -624,8 +692,9 @@ def block_links(table: pa.Table) -> pa.Table:
             held = 0
             if settle(x, y):
                 label = np.array([root(i) for i in range(len(names))])[node]
-    a, b = (names[np.array([p[k] for p in links], np.int64)] for k in (0, 1))
-    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    first = np.array([root(i) for i in range(len(names))])
+    some = np.flatnonzero(first != np.arange(len(names)))
+    return pa.table({"a": names[first[some]], "b": names[some]})
 
 
 def dealt_members(members: DataFrame, texts: DataFrame) -> DataFrame:
@@ -677,6 +746,7 @@ def dedup_lines(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     tidy(spark)
     lines, members = found.filter("block is null").select("doc_id", "th", "line", "h"), found.filter("block is not null").select("block", "h", "n")
     first = line_groups(lines, members, some).withColumnsRenamed({"doc_id": "_d", "th": "_t", "line": "_l", "h": "_h"})
+    tidy(spark)
     met = lines.join(first, F.col("h") == F.col("_h"))
     gone = met.filter((F.col("doc_id") != F.col("_d")) | (F.col("line") != F.col("_l")) | (F.col("th") != F.col("_t")))
     lists = gone.groupBy("doc_id", "th").agg(F.collect_set("line").alias("gone"))
@@ -684,19 +754,18 @@ def dedup_lines(docs: DataFrame, keep_text: bool = False) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        for i, t, g in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            parts = t.split("\n")
+        for i, t, g in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
             kept = t
             if g:
                 out = set(g)
-                kept = "\n".join(p for k, p in enumerate(parts) if k not in out)
-            row = (i, len(parts), len(g or ()), hashlib.sha256(kept.encode()).hexdigest())
-            rows.append((*row, kept) if keep_text else row)
+                kept = b"\n".join(p for k, p in enumerate(t.split(b"\n")) if k not in out)
+            row = (i, t.count(b"\n") + 1, len(g or ()), hashlib.sha256(kept).hexdigest())
+            rows.append((*row, kept.decode()) if keep_text else row)
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         names = [f.split(" ")[0] for f in schema.split(", ")]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)], names)
 
-    return arrow_map(docs.join(lists, ["doc_id", "th"], "left").select("doc_id", "text", "gone"), run, schema)
+    return arrow_map(docs.join(lists.hint("shuffle_hash"), ["doc_id", "th"], "left").select("doc_id", "text", "gone"), run, schema)
 
 
 def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,3 +145,25 @@ def test_keys_are_not_stored_before_their_exchange(spark, data, monkeypatch):
     rows = {r.doc_id: (r.n_lines, r.n_removed) for r in linededup.dedup_lines(docs).collect()}
     assert rows == {1: (2, 0), 2: (1, 1), 3: (1, 1), 4: (1, 0)}
     assert stored and not any("bucket" in columns for columns in stored)
+
+
+def test_equal_grams_at_far_places_make_no_members(spark):
+    """A q-gram that two lines hold further apart than their budget leads to no texts and no comparison; near copies stay."""
+    rng = random.Random(14)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    far, near = [], []
+    for _ in range(20):
+        shared = letters(90)
+        far += [shared + letters(110), letters(110) + shared]
+        near += [(base := letters(200)), base[:100] + "z" + base[101:]]
+
+    def members(texts):
+        docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "doc_id long, th long, text string")
+        return linededup.block_members(linededup.line_blocks(docs, 4, 2), 4, 2).filter("block is not null").select("h").distinct().count()
+
+    assert members(far) == 0
+    assert members(near) == 40
+
+
+def test_more_lines_do_not_soon_mean_more_keys():
+    assert [linededup.blocks_for(n) for n in (1_000, 5_000_000, 100_000_000)] == [4, 4, 4]
