@@ -15,13 +15,14 @@ the longer.  Candidates share a block key; a line has keys of two kinds:
 
 One pass over the texts deals all keys to buckets.  A bucket keeps those members of a block
 that have a partner near enough in size (or in SimHash), which is linear in its rows.  Their
-texts are fetched once and go to the blocks.  There each member is first held against the
-block's most frequent line; then members that are not connected by now meet those of near
-size, each two in the first of their common blocks only.  Sizes, counts of characters and
-minima of shorter q-grams rule most pairs out, banded edit distance decides the others, and
-only links that connect something become rows.  A large block is dealt over a triangle of
-cells.  Of each connected group of lines the first occurrence in the corpus, by document and
-line, stays and all others go.
+texts are fetched once.  Sizes, counts of characters and minima of shorter q-grams, 40 bytes
+a line, go to the blocks first: a member stays in a block if these allow a link with another
+one there that it meets in no earlier block.  Texts follow for those that stay.  Each member
+is first held against the block's most frequent line; then members that are not connected by
+now meet those of near size, each two in the first of their common blocks only.  Banded edit
+distance decides, and only links that connect something become rows.  A large block is dealt
+over a triangle of cells.  Of each connected group of lines the first occurrence in the
+corpus, by document and line, stays and all others go.
 
 Defined cases: null and empty texts have one empty line; lines without a letter or digit
 always stay; lines with fewer than ``EDIT_SHARE`` compared characters link with equal ones
@@ -43,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from exceedra.llm.common import arrow_map, chunks, connected_components, free, materialize, mix64, no_clash, read_table, shuffle_partitions, text_buffer, tidy
-from exceedra.llm.decontaminate import END, normalise
+from exceedra.llm.decontaminate import END, _tables
 
 MAX_DISTANCE = 3
 NEAR_DISTANCE = 5  # differing bits of lines that meet in a block all the same
@@ -60,6 +61,7 @@ BAND_CELLS = 600_000  # characters of pairs compared together
 STRETCH = 8
 FEW_PAIRS = 24  # fewer are compared one at a time
 BUCKET_LINES = 100_000
+BATCH_LINES = 50_000  # whose keys are packed together
 LINE_BUCKETS = 4  # groups of packed lines for each bucket of keys
 TEXT_BYTES = 1 << 18  # of texts whose keys are made together, within a processor's cache
 LINE_BYTES = 200  # expected; sets the number of blocks and buckets only
@@ -72,6 +74,8 @@ BINS = 16
 SKETCH_Q = (4, 8)  # for lines below SKETCH_SIZE, and others
 SKETCH_SIZE = 40
 SKETCH_SHARE = 6
+LIKELY = 1.7  # lines with the inverse of this share of minima in common are aligned before the table
+SIGNATURE = tuple(f"s{k}" for k in range(2 * BINS // 8))  # columns of eight bytes of a signature each
 _STEP = np.uint64(0xD1342543DE82EF95)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -94,22 +98,30 @@ def _sums(values: np.ndarray, size: np.ndarray) -> np.ndarray:
     return mix64(np.add.reduceat(values * _powers(int(size.max()))[local], first) + size.astype(np.uint64))
 
 
+@cache
+def _folded() -> np.ndarray:
+    """Compared form of each code point: 32 where it is no letter, mark or number, ``END`` for a line's end."""
+    lower, solid = _tables()
+    out = np.where(solid, lower, 32).astype(np.uint32)
+    out[(out >= 48) & (out <= 57)] = 48
+    out[10] = END
+    return out
+
+
 def line_bounds(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """(document, line number, first, last + 1) of lines with a letter or digit, and the compared text.
 
     A line is compared without the spaces at its ends.
     """
     data = buf.tobytes()
-    mark = np.array([END], np.uint32)
-    parts, n_lines = [], []
-    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        codes = np.frombuffer(data[a:b].decode("utf-8", "replace").encode("utf-32-le"), np.uint32).copy()
-        breaks = codes == 10
-        codes[breaks] = END
-        parts += [codes, mark]
-        n_lines.append(int(breaks.sum()) + 1)
-    x, _ = normalise(np.concatenate(parts))
-    x[(x >= 48) & (x <= 57)] = 48
+    docs = [data[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    n_lines = np.array([d.count(b"\n") + 1 for d in docs])
+    docs.append(b"")
+    x = _folded()[np.frombuffer(b"\n".join(docs).decode("utf-8", "replace").encode("utf-32-le"), np.uint32)]
+    blank = x == 32
+    again = blank[1:] & blank[:-1]
+    if again.any():
+        x = x[np.r_[True, ~again]]
     ends = np.flatnonzero(x == END)
     begin = np.concatenate([[0], ends[:-1] + 1])
     doc = np.repeat(np.arange(len(n_lines)), n_lines)
@@ -145,17 +157,13 @@ def lines_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     if not len(doc):
         return doc, number, none, none, begin, ends, x
     letter = (x != 32) & (x != END)
-    starts = letter.copy()
-    starts[1:] &= ~letter[:-1]
-    stops = letter.copy()
-    stops[:-1] &= ~letter[1:]
-    s, e = np.flatnonzero(starts), np.flatnonzero(stops) + 1
+    edges = np.flatnonzero(letter[1:] != letter[:-1]) + 1  # the text ends with a mark, and so with no word
+    if letter[0]:
+        edges = np.r_[0, edges]
+    s, e = edges[::2], edges[1::2]
     words = _sums(_letter_hashes()[x[letter]], e - s)
-    lo, hi = np.searchsorted(s, begin), np.searchsorted(s, ends)
-    count = hi - lo
-    at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count - lo, count)
-    own = words[at]
-    return doc, number, _sums(own, count), sim_hashes(own, count), begin, ends, x
+    count = np.searchsorted(s, ends) - np.searchsorted(s, begin)  # every word is in a line
+    return doc, number, _sums(words, count), sim_hashes(words, count), begin, ends, x
 
 
 def blocks_for(n: int) -> int:
@@ -300,7 +308,7 @@ def line_blocks(docs: DataFrame, m: int, buckets: int) -> DataFrame:
             line, key, where = picked_grams(x, begin, end)
             waiting.append((whole.view(np.int64), (end - begin).astype(np.uint32), sim, line, key, number.astype(np.uint32), doc + lo, where))
             lines += len(doc)
-            if lines > BUCKET_LINES:
+            if lines > BATCH_LINES:
                 yield from flush()
                 lines = 0
         if waiting:
@@ -326,6 +334,8 @@ def block_members(packed: DataFrame, m: int, buckets: int) -> DataFrame:
         nothing = pa.nulls(len(h), pa.int64())
         return pa.table({"doc_id": doc_id, "th": th, "line": number, "h": h, "block": nothing, "n": nothing})
 
+    nobody = pa.schema([(c, pa.int32() if c == "line" else pa.int64()) for c in ("doc_id", "th", "line", "h", "block", "n")]).empty_table()
+
     def run(table: pa.Table) -> pa.Table:
         bucket = int(table.column("bucket")[0].as_py())
         if bucket < 0:
@@ -337,7 +347,12 @@ def block_members(packed: DataFrame, m: int, buckets: int) -> DataFrame:
                 p.append(from_planes(v, k))
         value, h, size, place = (np.concatenate(p) for p in parts)
         key = value if choice < 0 else list(block_keys(value, m))[choice]
-        order = np.lexsort((h, size, key))
+        order = np.argsort(key)
+        again = key[order[1:]] == key[order[:-1]]
+        order = order[np.r_[False, again] | np.r_[again, False]]  # a line alone in its block has no partner
+        if not len(order):
+            return nobody
+        order = order[np.lexsort((h[order], size[order], key[order]))]
         new = np.r_[True, (key[order[1:]] != key[order[:-1]]) | (h[order[1:]] != h[order[:-1]])]
         n = np.diff(np.append(np.flatnonzero(new), len(order)))
         order = order[new]
@@ -368,7 +383,7 @@ def block_members(packed: DataFrame, m: int, buckets: int) -> DataFrame:
         block = mix64(key + np.uint64(choice + 1)).view(np.int64)
         k = int(stays.sum())
         nothing = [pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.int32())]
-        return pa.table([*nothing, h[stays], block[stays], n[stays]], names=["doc_id", "th", "line", "h", "block", "n"])
+        return pa.table([*nothing, h[stays], block[stays], n[stays]], names=nobody.column_names)
 
     return packed.groupBy("bucket").applyInArrow(run, "doc_id long, th long, line int, h long, block long, n long")
 
@@ -388,6 +403,25 @@ def signatures(texts: list[str]) -> np.ndarray:
     return out
 
 
+def _byte_sums(x: np.ndarray) -> np.ndarray:
+    """Sum of the 16 bytes in each row of two integers."""
+    low = np.uint64(0x00FF00FF00FF00FF)
+    x = (x & low) + (x >> np.uint64(8) & low)
+    return ((x[:, 0] + x[:, 1]) * np.uint64(0x0001000100010001) >> np.uint64(48)).astype(np.int64)
+
+
+def _byte_count(x: np.ndarray) -> np.ndarray:
+    """How many of the 16 values of each row are true."""
+    return np.bitwise_count(x.view(np.uint64)).sum(1, dtype=np.int64)
+
+
+def shared_minima(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many q-gram minima pairs of signatures have in common, and how many either has."""
+    x, y = one[:, BINS:], two[:, BINS:]
+    none = _byte_count((x | y) == 0)
+    return _byte_count(x == y) - none, BINS - none
+
+
 def can_link(one: np.ndarray, two: np.ndarray, size_one: np.ndarray, size_two: np.ndarray) -> np.ndarray:
     """Whether pairs of lines can be within the budget, by their sizes and signatures.
 
@@ -395,12 +429,13 @@ def can_link(one: np.ndarray, two: np.ndarray, size_one: np.ndarray, size_two: n
     the q-gram minima that either has; lines on two sides of ``SKETCH_SIZE`` are not held to that.
     """
     budget = np.maximum(size_one, size_two) // EDIT_SHARE
-    more = one[:, :BINS].astype(np.int16) - two[:, :BINS]
-    ok = (np.abs(size_one - size_two) <= budget) & (np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1)) <= budget)
-    x, y = one[:, BINS:], two[:, BINS:]
-    used = ((x > 0) | (y > 0)).sum(1)
-    same = ((x == y) & (x > 0)).sum(1)
-    return ok & ((SKETCH_SHARE * same >= used) | ((size_one < SKETCH_SIZE) != (size_two < SKETCH_SIZE)))
+    same, used = shared_minima(one, two)
+    ok = (np.abs(size_one - size_two) <= budget) & ((SKETCH_SHARE * same >= used) | ((size_one < SKETCH_SIZE) != (size_two < SKETCH_SIZE)))
+    some = np.flatnonzero(ok)
+    x, y = one[some, :BINS], two[some, :BINS]
+    top = np.maximum(x, y)
+    ok[some] = np.maximum(_byte_sums((top - y).view(np.uint64)), _byte_sums((top - x).view(np.uint64))) <= budget[some]
+    return ok
 
 
 def within(a: str, b: str, limit: int) -> bool:
@@ -416,6 +451,10 @@ def within(a: str, b: str, limit: int) -> bool:
     a, b = sorted((a[lo : len(a) - hi], b[lo : len(b) - hi]), key=len)
     if not a:
         return len(b) <= limit
+    if len(b) - len(a) > limit:
+        return False
+    if 2 * limit + 1 < len(a):
+        return _in_band(a, b, limit)
     where: dict[str, int] = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
@@ -434,8 +473,31 @@ def within(a: str, b: str, limit: int) -> bool:
     return score <= limit
 
 
+def _in_band(a: str, b: str, limit: int) -> bool:
+    """``within`` for a longer ``b`` over the band of the table that the limit leaves, as in ``_banded``."""
+    where: dict[str, int] = {}
+    for i, c in enumerate(b, limit):
+        where[c] = where.get(c, 0) | 1 << i
+    full, up, down, far = (1 << (2 * limit + 1)) - 1, ((1 << (limit + 1)) - 1) << limit, 0, len(b) - len(a)
+    bit = limit + far
+    for i, c in enumerate(a):
+        same = where.get(c, 0) >> i & full
+        diagonal = ((((same & up) + up) ^ up) | same | down) & full
+        if not diagonal >> bit & 1:
+            far += 1
+            if far > limit:
+                return False
+        right, left = down | (full ^ (diagonal | up)), diagonal & up
+        diagonal >>= 1
+        up, down = left | (full ^ (diagonal | right)), diagonal & right
+    return True
+
+
 def line_texts(lines: DataFrame, needed: DataFrame, docs: DataFrame) -> DataFrame:
-    """h, compared text t and counts of characters of the lines ``needed (h)``, each from one of its occurrences."""
+    """h, compared text t, its size and signature (``SIGNATURE``) of the lines ``needed (h)``, each from one of its occurrences.
+
+    A line is there again for every repetition of the row it is taken from.
+    """
     few = needed.count() <= MAX_BROADCAST_ROWS
     some = lines.join(F.broadcast(needed) if few else needed, "h", "left_semi")
     first = some.groupBy("h").agg(F.min(F.struct("doc_id", "th", "line")).alias("p"))
@@ -452,9 +514,12 @@ def line_texts(lines: DataFrame, needed: DataFrame, docs: DataFrame) -> DataFram
                 hashes += [w["h"] for w in wanted]
             doc, _, begin, end, x = line_bounds(*text_buffer(pa.array(held, pa.binary()).view(pa.string())))
             found = [x[a:b].tobytes().decode("utf-32-le") for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([hashes[k] for k in doc.tolist()], pa.int64()), pa.array(found, pa.string()), pa.array([c.tobytes() for c in signatures(found)], pa.binary())], ["h", "t", "bag"])
+            signs = signatures(found).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(hashes, np.int64)[doc]), pa.array(found, pa.string()), pa.array((end - begin).astype(np.int32)), *[pa.array(c) for c in signs.T.copy()]], ["h", "t", "size", *SIGNATURE])
 
-    return materialize(arrow_map(texts, fetch, "h long, t string, bag binary").dropDuplicates(["h"]))
+    texts = materialize(arrow_map(texts, fetch, "h long, t string, size int, " + ", ".join(f"{c} long" for c in SIGNATURE)))
+    free(lists)
+    return texts
 
 
 def same_start(a: str, b: str) -> int:
@@ -492,21 +557,23 @@ def surely_within(a: str, b: str, limit: int) -> bool:
         i, j = i + skip, p
 
 
-def all_within(pairs: list[tuple[str, str]]) -> np.ndarray:
+def all_within(pairs: list[tuple[str, str]], likely: np.ndarray | None = None) -> np.ndarray:
     """Whether pairs of lines, the shorter one first, are within the budget of the longer.
 
     Most links are proved by a plain alignment, the rest by the table between the common ends.
+    The alignment is left out where a link is not ``likely``.
     """
+    likely = np.ones(len(pairs), bool) if likely is None else likely
     out = np.zeros(len(pairs), bool)
     left: list[tuple[str, str]] = []
     rows, limits = [], []
-    for k, (a, b) in enumerate(pairs):
+    for k, ((a, b), try_first) in enumerate(zip(pairs, likely.tolist(), strict=True)):
         limit = len(b) // EDIT_SHARE
         lo = same_start(a, b)
         a, b = a[lo:], b[lo:]
         hi = same_start(a[::-1], b[::-1])
         a, b = a[: len(a) - hi], b[: len(b) - hi]
-        if len(b) <= limit or surely_within(a, b, limit):
+        if len(b) <= limit or (try_first and surely_within(a, b, limit)):
             out[k] = True
         elif len(b) > BAND_SIZE:
             out[k] = within(a, b, limit)
@@ -599,6 +666,11 @@ def _banded(pairs: list[tuple[str, str]], limit: np.ndarray) -> np.ndarray:
         down &= right
         if i % 16 == 15:
             alive = (n > i + 1) & (far <= limit)
+            if int(n[alive].sum()) < FEW_PAIRS * (len(row) - i):  # too few for steps side by side
+                out[who] = far <= limit
+                for w, k in zip(who[alive].tolist(), limit[alive].tolist(), strict=True):
+                    out[w] = within(*pairs[w], k)
+                return out
             if 4 * int(alive.sum()) <= 3 * len(who):
                 out[who] = far <= limit
                 who, word, bit, far, limit, n = (v[alive] for v in (who, word, bit, far, limit, n))
@@ -609,21 +681,68 @@ def _banded(pairs: list[tuple[str, str]], limit: np.ndarray) -> np.ndarray:
     return out
 
 
+def _signs(table: pa.Table) -> np.ndarray:
+    return np.stack([table.column(c).to_numpy() for c in SIGNATURE], 1).view(np.uint8)
+
+
+def _earlier(table: pa.Table) -> np.ndarray:
+    """The earlier blocks of each row, in order, and the largest number where there are no more."""
+    lists = table.column("earlier").combine_chunks()
+    count = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.full((len(count), int(count.max(initial=0))), np.iinfo(np.int64).max)
+    place = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    out[np.repeat(np.arange(len(count)), count), place] = lists.flatten().to_numpy()
+    return out
+
+
+def meet_first(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the members with the earlier blocks ``x`` and ``y`` have none in common."""
+    first = np.ones(len(x), bool)
+    for k in range(x.shape[1]):
+        some = np.flatnonzero(first & (x[:, k] < np.iinfo(np.int64).max))
+        if not len(some):
+            break
+        first[some] = ~(y[some] == x[some, k, None]).any(1)
+    return first
+
+
+def linked_members(table: pa.Table) -> pa.Table:
+    """Members of one bucket's cells whose signature allows a link with another that they meet in no earlier block."""
+    h, size = table.column("h").to_numpy(), table.column("size").to_numpy().astype(np.int64)
+    _, cell = np.unique(table.column("cell").to_numpy(), return_inverse=True)
+    order = np.lexsort((h, size, cell))
+    h, size, cell, side, signs, earlier = h[order], size[order], cell[order], table.column("side").to_numpy()[order], _signs(table)[order], _earlier(table)[order]
+    # Sizes rise in a cell, so those near enough stand together.
+    wide = int(size.max()) + 1
+    end = np.searchsorted(cell * wide + size - size // EDIT_SHARE, cell * wide + size, side="right")
+    stays = np.zeros(len(h), bool)
+    left, d = np.arange(len(h)), 1
+    while len(left):
+        left = left[left + d < end[left]]
+        if d % 16 == 0:  # who stays already is only held against those that may not
+            open_ = np.r_[0, np.cumsum(~stays)]
+            left = left[~stays[left] | (open_[end[left]] > open_[np.minimum(left + d, end[left])])]
+        s = left[~(stays[left] & stays[left + d]) & ((side[left] != side[left + d]) | (side[left] == 0))]
+        for a in range(0, len(s), PAIRS_AT_ONCE):
+            i = s[a : a + PAIRS_AT_ONCE]
+            i = i[can_link(signs[i], signs[i + d], size[i], size[i + d])]
+            i = i[meet_first(earlier[i], earlier[i + d])]
+            stays[i] = stays[i + d] = True
+        d += 1
+    return table.select(["cell", "h", "n", "side", "earlier"]).take(pa.array(np.sort(order[stays])))
+
+
 def block_links(table: pa.Table) -> pa.Table:
-    """Links (a, b) of each connected line of the blocks of one bucket to the least one of its group there."""
-    cell, block, h, n, side = (table.column(c).to_numpy() for c in ("cell", "block", "h", "n", "side"))
+    """Links (a, b) of each connected line of the cells of one bucket to the least one of its group there."""
+    cell, h, n, side = (table.column(c).to_numpy() for c in ("cell", "h", "n", "side"))
     names, node = np.unique(h, return_inverse=True)
     at = np.zeros(len(names), np.int64)
     at[node] = np.arange(len(h))
     texts = table.column("t").take(pa.array(at)).to_pylist()
     length = np.array([len(t) for t in texts], np.int64)
-    bag = np.frombuffer(b"".join(table.column("bag").take(pa.array(at)).to_pylist()), np.uint8).reshape(-1, 2 * BINS)
-    lists = table.column("blocks").take(pa.array(at)).to_pylist()
-    blocks = np.full((len(names), max(map(len, lists))), np.iinfo(np.int64).max)
-    for i, v in enumerate(lists):
-        blocks[i, : len(v)] = v
+    bag = _signs(table)[at]
     order = np.lexsort((h, length[node], cell))
-    cell, block, n, side, node = cell[order], block[order], n[order], side[order], node[order]
+    cell, n, side, node, earlier = cell[order], n[order], side[order], node[order], _earlier(table)[order]
     size = length[node]
     parent = list(range(len(names)))
 
@@ -637,33 +756,24 @@ def block_links(table: pa.Table) -> pa.Table:
         """Link pairs of nodes within the budget; ``one`` is no longer than ``two``."""
         pairs = np.unique(np.stack([one, two], 1), axis=0)
         pairs = pairs[can_link(bag[pairs[:, 0]], bag[pairs[:, 1]], length[pairs[:, 0]], length[pairs[:, 1]])]
+        same, used = shared_minima(bag[pairs[:, 0]], bag[pairs[:, 1]])
         some = False
-        for i, j in pairs[all_within([(texts[i], texts[j]) for i, j in pairs.tolist()])].tolist():
+        for i, j in pairs[all_within([(texts[i], texts[j]) for i, j in pairs.tolist()], LIKELY * same >= used)].tolist():
             a, b = root(i), root(j)
             if a != b:
                 parent[max(a, b)] = min(a, b)
                 some = True
         return some
 
-    def first_here(x: np.ndarray, y: np.ndarray, here: np.ndarray) -> np.ndarray:
-        """Whether pairs of nodes meet in no earlier block of both."""
-        first = np.ones(len(x), bool)
-        for k in range(blocks.shape[1]):
-            v = blocks[x, k]
-            some = np.flatnonzero(first & (v < here))
-            if not len(some):
-                break  # a node's blocks are in order
-            first[some] = ~(blocks[y[some]] == v[some, None]).any(1)
-        return first
-
     starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
     members = np.diff(np.append(starts, len(cell)))
     of = np.repeat(np.arange(len(starts)), members)
-    hub = node[np.lexsort((node, n, of))[np.append(starts[1:], len(cell)) - 1]][of]
+    chief = np.lexsort((node, n, of))[np.append(starts[1:], len(cell)) - 1][of]
+    hub = node[chief]
     long_ = length[hub] > size
     one, two = np.where(long_, node, hub), np.where(long_, hub, node)
     # A pair meets once; only in a cell of many lines each is held against the hub, whatever other blocks do.
-    go = np.flatnonzero((node != hub) & ((members[of] > FEW_MEMBERS) | first_here(one, two, block)))
+    go = np.flatnonzero((node != hub) & ((members[of] > FEW_MEMBERS) | meet_first(earlier, earlier[chief])))
     for a in range(0, len(go), PAIRS_AT_ONCE):
         k = go[a : a + PAIRS_AT_ONCE]
         settle(one[k], two[k])
@@ -678,13 +788,11 @@ def block_links(table: pa.Table) -> pa.Table:
         s = left[(label[left] != label[left + d]) & ((side[left] != side[left + d]) | (side[left] == 0)) & (node[left] != hub[left]) & (node[left + d] != hub[left])]
         for a in range(0, len(s), PAIRS_AT_ONCE):
             i = s[a : a + PAIRS_AT_ONCE]
-            x, y, here = node[i], node[i + d], block[i]
-            fits = can_link(bag[x], bag[y], length[x], length[y])
-            x, y, here = x[fits], y[fits], here[fits]
-            first = first_here(x, y, here)
-            if first.any():
-                waiting.append((x[first], y[first]))
-                held += len(waiting[-1][0])
+            i = i[can_link(bag[node[i]], bag[node[i + d]], size[i], size[i + d])]
+            i = i[meet_first(earlier[i], earlier[i + d])]
+            if len(i):
+                waiting.append((node[i], node[i + d]))
+                held += len(i)
         d += 1
         if waiting and (not len(left) or held > PAIRS_AT_ONCE // 4):
             x, y = (np.concatenate(v) for v in zip(*waiting, strict=True))
@@ -698,30 +806,46 @@ def block_links(table: pa.Table) -> pa.Table:
 
 
 def dealt_members(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Members (block, h, n) with their texts, all their blocks, and the cells of large blocks.
+    """Members (block, h, n) with their signatures, their earlier blocks, and the cells of large blocks, in buckets.
 
     A block of ``c`` parts has a cell for each part and one for each two parts, whose members
     meet only those of the other side.
     """
-    large = materialize(members.groupBy("block").agg(F.ceil(F.count("*") / CELL_MEMBERS).cast("int").alias("c")).filter("c > 1"))
+    large = materialize(members.groupBy("block").agg(F.count("*").alias("k")).withColumn("c", F.ceil(F.col("k") / CELL_MEMBERS).cast("int")).filter("c > 1"))
+    n_rows = members.count() + large.agg(F.coalesce(F.sum(F.col("k") * (F.col("c") - 1)), F.lit(0))).first()[0]
+    n = max(shuffle_partitions(members.sparkSession), -(-n_rows // TILE_MEMBERS))
     lists = members.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("block", "n"))).alias("own_blocks"))
-    rows = lists.join(texts, "h").select("h", "t", "bag", F.col("own_blocks.block").alias("blocks"), F.explode("own_blocks").alias("m")).select("h", "t", "bag", "blocks", "m.block", "m.n")
-    rows = rows.join(large, "block", "left").withColumn("c", F.coalesce("c", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("h"), F.col("c")).cast("int"))
+    signs = texts.groupBy("h").agg(*[F.min(c).alias(c) for c in ("size", *SIGNATURE)])
+    own = ["h", "size", *SIGNATURE]
+    rows = lists.join(signs, "h").select(*own, F.col("own_blocks.block").alias("blocks"), F.posexplode("own_blocks").alias("k", "m"))
+    rows = rows.select(*own, F.slice("blocks", F.lit(1), F.col("k")).alias("earlier"), "m.block", "m.n")
+    rows = rows.join(large.select("block", "c"), "block", "left").withColumn("c", F.coalesce("c", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("h"), F.col("c")).cast("int"))
     cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
     cell = F.when(F.col("c") == 1, F.col("block")).otherwise(F.xxhash64("block", F.least("own", "other"), F.greatest("own", "other")))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    return cells.select(cell.alias("cell"), "block", "h", "n", "t", "bag", "blocks", side.alias("side"))
+    return cells.select(cell.alias("cell"), "n", side.alias("side"), "earlier", *own).withColumn("bucket", F.pmod(F.xxhash64("cell"), F.lit(n)))
+
+
+def member_texts(near: DataFrame, texts: DataFrame) -> DataFrame:
+    """The members that stay, with texts and signatures, in buckets."""
+    needed = near.select("h").distinct()
+    few = near.count() <= MAX_BROADCAST_ROWS
+    own = texts.join(F.broadcast(needed) if few else needed, "h", "left_semi").dropDuplicates(["h"])
+    n = max(shuffle_partitions(near.sparkSession), -(-near.count() // TILE_MEMBERS))
+    return near.join(own, "h").withColumn("bucket", F.pmod(F.xxhash64("cell"), F.lit(n)))
 
 
 def line_groups(lines: DataFrame, members: DataFrame, docs: DataFrame) -> DataFrame:
     """First occurrence of the group of every line that has another occurrence or a near copy: (h, doc_id, th, line)."""
     spark = docs.sparkSession
-    texts = line_texts(lines, materialize(members.select("h").distinct()), docs)
+    needed = materialize(members.select("h").distinct())
+    texts = line_texts(lines, needed, docs)
+    free(needed)
     tidy(spark)
-    n = max(shuffle_partitions(spark), -(-members.count() // TILE_MEMBERS))
-    tiles = dealt_members(members, texts).withColumn("bucket", F.pmod(F.xxhash64("cell"), F.lit(n)))
-    links = materialize(tiles.groupBy("bucket").applyInArrow(block_links, "a long, b long"))
-    free(texts)
+    near = materialize(dealt_members(members, texts).groupBy("bucket").applyInArrow(linked_members, "cell long, h long, n long, side int, earlier array<long>"))
+    tidy(spark)
+    links = materialize(member_texts(near, texts).groupBy("bucket").applyInArrow(block_links, "a long, b long"))
+    free(texts), free(near)
     tidy(spark)
     whole = materialize(connected_components(links))
     place = F.struct("doc_id", "line", "th")
@@ -730,7 +854,9 @@ def line_groups(lines: DataFrame, members: DataFrame, docs: DataFrame) -> DataFr
     least = placed.filter("component is not null").groupBy("component").agg(F.min("p").alias("first"))
     near = whole.join(least, "component").select(F.col("node").alias("h"), "first")
     same = placed.filter("component is null").select("h", F.col("p").alias("first"))
-    return materialize(near.unionByName(same).select("h", F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th"), F.col("first.line").alias("line")))
+    found = materialize(near.unionByName(same).select("h", F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th"), F.col("first.line").alias("line")))
+    free(placed), free(whole), free(links)
+    return found
 
 
 def dedup_lines(docs: DataFrame, keep_text: bool = False) -> DataFrame:
@@ -749,7 +875,9 @@ def dedup_lines(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     tidy(spark)
     met = lines.join(first, F.col("h") == F.col("_h"))
     gone = met.filter((F.col("doc_id") != F.col("_d")) | (F.col("line") != F.col("_l")) | (F.col("th") != F.col("_t")))
-    lists = gone.groupBy("doc_id", "th").agg(F.collect_set("line").alias("gone"))
+    lists = materialize(gone.groupBy("doc_id", "th").agg(F.collect_set("line").alias("gone")))
+    free(found), free(first)
+    tidy(spark)
     schema = "doc_id long, n_lines long, n_removed long, kept_sha256 string" + (", kept string" if keep_text else "")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

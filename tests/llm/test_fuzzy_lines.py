@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 import unicodedata
 
+import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 
 from support import DATA
@@ -167,3 +169,55 @@ def test_equal_grams_at_far_places_make_no_members(spark):
 
 def test_more_lines_do_not_soon_mean_more_keys():
     assert [linededup.blocks_for(n) for n in (1_000, 5_000_000, 100_000_000)] == [4, 4, 4]
+
+
+def test_texts_go_only_where_a_link_can_be_made(spark, monkeypatch, tmp_path):
+    """Equal beginnings of lines of other letters lead to no texts; a pair of near copies gets them in one of its common blocks."""
+    rng = random.Random(15)
+    some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    texts = []
+    for _ in range(20):
+        shared, base = some("abcdefghijklmnop", 60), some("abcdefghijklmnop", 200)
+        texts += [shared + some("abcdefgh", 140), shared + some("ijklmnop", 140), base, base[:100] + "z" + base[101:]]
+    folder, links = str(tmp_path), linededup.block_links
+
+    def counted(table):
+        import uuid
+
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write(str(table.num_rows))
+        return links(table)
+
+    monkeypatch.setattr(linededup, "block_links", counted)
+    got = linededup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got if r.n_removed} == {4 * k + 3 for k in range(20)}
+    assert sum(int(f.read_text()) for f in tmp_path.iterdir()) == 40
+
+
+def test_members_that_stay_are_those_of_a_possible_pair():
+    """Cells of all kinds, held against each pair of their members."""
+    rng = random.Random(16)
+    draw = np.random.default_rng(16)
+    rows = []
+    for cell in range(60):
+        base = draw.integers(0, 256, 2 * linededup.BINS)
+        for _ in range(rng.choice([2, 3, 10, 60])):
+            sign = base.copy()
+            kind = rng.random()
+            sign[draw.random(len(sign)) < (0.0 if kind < 0.2 else 0.95)] = rng.randrange(256)
+            earlier = sorted(rng.sample(range(40), rng.choice([0, 0, 1, 3])))
+            rows.append((cell, len(rows), 1, rng.choice([0, 0, 1, 2]), earlier, rng.randint(30, 300), *sign.astype(np.uint8).view(np.int64).tolist()))
+    names = ["cell", "h", "n", "side", "earlier", "size", *linededup.SIGNATURE]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int32(), *[pa.int64()] * 4]
+    table = pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+    sign = np.array([r[6:] for r in rows], np.int64).view(np.uint8)
+    want = set()
+    for x in rows:
+        for y in rows[: x[1]]:
+            if x[0] == y[0] and (x[3] != y[3] or x[3] == 0) and not set(x[4]) & set(y[4]):
+                i, j = [x[1]], [y[1]]
+                if linededup.can_link(sign[i], sign[j], np.array([x[5]]), np.array([y[5]]))[0]:
+                    want |= {x[1], y[1]}
+    got = linededup.linked_members(table).column("h").to_pylist()
+    assert len(got) == len(set(got)) and set(got) == want
+    assert 50 < len(want) < len(rows) - 50
