@@ -34,8 +34,8 @@ rows; other columns are not looked at.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from functools import cache
+from collections.abc import Callable, Iterator
+from functools import cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -55,6 +55,9 @@ FEW_MEMBERS = 16  # in a cell where no pair is compared that an earlier block ha
 LARGE_GRAM_BLOCK = 2_000  # the same where a q-gram is the key
 CELL_MEMBERS = 5_000  # of a block, before its pairs are dealt over cells
 TILE_MEMBERS = 40_000  # expected in a task that compares texts
+LEAST_ROUND = 1_000_000  # rows that are dealt at once in any case
+MEMBER_BYTES = 400  # of the corpus for each signature that is dealt at once, so that exchanges take a share of its size
+MEMBER_TEXT_BYTES = 1_600  # the same for each text
 PAIRS_AT_ONCE = 100_000
 BAND_SIZE = 3_000  # characters; longer lines are compared one pair at a time
 BAND_CELLS = 600_000  # characters of pairs compared together
@@ -805,48 +808,68 @@ def block_links(table: pa.Table) -> pa.Table:
     return pa.table({"a": names[first[some]], "b": names[some]})
 
 
-def dealt_members(members: DataFrame, texts: DataFrame) -> DataFrame:
+def dealt_members(members: DataFrame, texts: DataFrame, n_bytes: int) -> Iterator[DataFrame]:
     """Members (block, h, n) with their signatures, their earlier blocks, and the cells of large blocks, in buckets.
 
     A block of ``c`` parts has a cell for each part and one for each two parts, whose members
-    meet only those of the other side.
+    meet only those of the other side.  Buckets come in rounds, few for a corpus of ``n_bytes``.
     """
     large = materialize(members.groupBy("block").agg(F.count("*").alias("k")).withColumn("c", F.ceil(F.col("k") / CELL_MEMBERS).cast("int")).filter("c > 1"))
     n_rows = members.count() + large.agg(F.coalesce(F.sum(F.col("k") * (F.col("c") - 1)), F.lit(0))).first()[0]
     n = max(shuffle_partitions(members.sparkSession), -(-n_rows // TILE_MEMBERS))
+    rounds = max(1, -(-n_rows // max(LEAST_ROUND, n_bytes // MEMBER_BYTES)))
     lists = members.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("block", "n"))).alias("own_blocks"))
     signs = texts.groupBy("h").agg(*[F.min(c).alias(c) for c in ("size", *SIGNATURE)])
     own = ["h", "size", *SIGNATURE]
-    rows = lists.join(signs, "h").select(*own, F.col("own_blocks.block").alias("blocks"), F.posexplode("own_blocks").alias("k", "m"))
+    whole = lists.join(signs, "h")
+    if rounds > 1:
+        whole = materialize(whole)
+        tidy(members.sparkSession)
+    rows = whole.select(*own, F.col("own_blocks.block").alias("blocks"), F.posexplode("own_blocks").alias("k", "m"))
     rows = rows.select(*own, F.slice("blocks", F.lit(1), F.col("k")).alias("earlier"), "m.block", "m.n")
     rows = rows.join(large.select("block", "c"), "block", "left").withColumn("c", F.coalesce("c", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("h"), F.col("c")).cast("int"))
     cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
     cell = F.when(F.col("c") == 1, F.col("block")).otherwise(F.xxhash64("block", F.least("own", "other"), F.greatest("own", "other")))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    return cells.select(cell.alias("cell"), "n", side.alias("side"), "earlier", *own).withColumn("bucket", F.pmod(F.xxhash64("cell"), F.lit(n)))
-
-
-def member_texts(near: DataFrame, texts: DataFrame) -> DataFrame:
-    """The members that stay, with texts and signatures, in buckets."""
-    needed = near.select("h").distinct()
-    few = near.count() <= MAX_BROADCAST_ROWS
-    own = texts.join(F.broadcast(needed) if few else needed, "h", "left_semi").dropDuplicates(["h"])
-    n = max(shuffle_partitions(near.sparkSession), -(-near.count() // TILE_MEMBERS))
-    return near.join(own, "h").withColumn("bucket", F.pmod(F.xxhash64("cell"), F.lit(n)))
-
-
-def line_groups(lines: DataFrame, members: DataFrame, docs: DataFrame) -> DataFrame:
+    cells = cells.select(cell.alias("cell"), "n", side.alias("side"), "earlier", *own).withColumn("bucket", F.pmod(F.xxhash64("cell"), F.lit(n)))
+    for r in range(rounds):
+        yield cells if rounds == 1 else cells.filter(F.col("bucket") % rounds == r)
+    if rounds > 1:
+        free(whole)
+
+
+def member_texts(near: DataFrame, texts: DataFrame, n_bytes: int) -> Iterator[DataFrame]:
+    """The members that stay, with texts and signatures, in buckets; these come in rounds as in ``dealt_members``."""
+    n_rows = near.count()
+    n = max(shuffle_partitions(near.sparkSession), -(-n_rows // TILE_MEMBERS))
+    rounds = max(1, -(-n_rows // max(LEAST_ROUND, n_bytes // MEMBER_TEXT_BYTES)))
+    near = near.withColumn("bucket", F.pmod(F.xxhash64("cell"), F.lit(n)))
+    for r in range(rounds):
+        some = near if rounds == 1 else near.filter(F.col("bucket") % rounds == r)
+        needed = some.select("h").distinct()
+        few = n_rows // rounds <= MAX_BROADCAST_ROWS // 2
+        yield some.join(texts.join(F.broadcast(needed) if few else needed, "h", "left_semi").dropDuplicates(["h"]), "h")
+
+
+def in_rounds(rounds: Iterator[DataFrame], step: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """What ``step`` makes of each bucket, one round after the other; a round's exchange goes before the next."""
+    parts = []
+    for part in rounds:
+        parts.append(materialize(part.groupBy("bucket").applyInArrow(step, schema)))
+        tidy(part.sparkSession)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def line_groups(lines: DataFrame, members: DataFrame, docs: DataFrame, n_bytes: int) -> DataFrame:
     """First occurrence of the group of every line that has another occurrence or a near copy: (h, doc_id, th, line)."""
     spark = docs.sparkSession
     needed = materialize(members.select("h").distinct())
     texts = line_texts(lines, needed, docs)
     free(needed)
     tidy(spark)
-    near = materialize(dealt_members(members, texts).groupBy("bucket").applyInArrow(linked_members, "cell long, h long, n long, side int, earlier array<long>"))
-    tidy(spark)
-    links = materialize(member_texts(near, texts).groupBy("bucket").applyInArrow(block_links, "a long, b long"))
+    near = in_rounds(dealt_members(members, texts, n_bytes), linked_members, "cell long, h long, n long, side int, earlier array<long>")
+    links = in_rounds(member_texts(near, texts, n_bytes), block_links, "a long, b long")
     free(texts), free(near)
-    tidy(spark)
     whole = materialize(connected_components(links))
     place = F.struct("doc_id", "line", "th")
     first = lines.groupBy("h").agg(F.min(place).alias("p"), F.count("*").alias("n"))
@@ -871,7 +894,7 @@ def dedup_lines(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     found = materialize(block_members(line_blocks(some, m, buckets), m, buckets))
     tidy(spark)
     lines, members = found.filter("block is null").select("doc_id", "th", "line", "h"), found.filter("block is not null").select("block", "h", "n")
-    first = line_groups(lines, members, some).withColumnsRenamed({"doc_id": "_d", "th": "_t", "line": "_l", "h": "_h"})
+    first = line_groups(lines, members, some, int(n_bytes)).withColumnsRenamed({"doc_id": "_d", "th": "_t", "line": "_l", "h": "_h"})
     tidy(spark)
     met = lines.join(first, F.col("h") == F.col("_h"))
     gone = met.filter((F.col("doc_id") != F.col("_d")) | (F.col("line") != F.col("_l")) | (F.col("th") != F.col("_t")))

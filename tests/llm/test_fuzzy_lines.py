@@ -221,3 +221,22 @@ def test_members_that_stay_are_those_of_a_possible_pair():
     got = linededup.linked_members(table).column("h").to_pylist()
     assert len(got) == len(set(got)) and set(got) == want
     assert 50 < len(want) < len(rows) - 50
+
+
+def test_rounds_lose_no_link(spark, data, monkeypatch):
+    """Signatures and texts dealt in many rounds: the same rows, and less dealt at a time."""
+    digest = lambda: sorted((r.doc_id, r.n_removed, r.kept_sha256) for r in linededup.op10_fuzzy_lines(spark, data).collect())
+    sizes, keep = [], linededup.in_rounds
+
+    def counted(rounds, *args):
+        rounds = list(rounds)
+        sizes.append([df.count() for df in rounds])
+        return keep(iter(rounds), *args)
+
+    want = digest()
+    for name, value in (("LEAST_ROUND", 60), ("MEMBER_BYTES", 1 << 40), ("MEMBER_TEXT_BYTES", 1 << 40)):
+        monkeypatch.setattr(linededup, name, value)
+    monkeypatch.setattr(linededup, "free", lambda df: None)
+    monkeypatch.setattr(linededup, "in_rounds", counted)
+    assert digest() == want
+    assert len(sizes) == 2 and all(len(x) > 1 and max(x) < 0.8 * sum(x) for x in sizes)
